@@ -135,7 +135,12 @@ def history_months(df: DataFrame) -> DataFrame:
 def observed_periods(df: DataFrame, date_col: str = "order_date") -> DataFrame:
     """AGG-29: distinct year-months observed."""
     return df.where(F.col(date_col).isNotNull()).select(
-        F.trunc(F.col(date_col), "month").cast("date").alias("period")).distinct()
+        month_start(date_col).alias("period")).distinct()
+
+
+def month_start(date_col: str = "order_date"):
+    """First instant of the month, kept as a timestamp (no time zone)."""
+    return F.date_trunc("month", F.col(date_col)).cast("timestamp_ntz")
 
 
 def month_name_col(month: str = "month"):

@@ -93,6 +93,25 @@ def base_purchases(purchases_raw: DataFrame, catalogue: DataFrame,
     return grouped.select(*PURCHASES_COLUMNS)
 
 
+def stage_purchases(purchases: DataFrame, path: str) -> DataFrame:
+    """Write the base purchases once as a table partitioned by order year and
+    read it back.
+
+    Every report reads year windows of the same base; materialising it cuts
+    the lineage (a lost executor re-reads files instead of recomputing the
+    join and the 22-key grouping) and lets order-date range filters skip
+    whole files by their statistics.  ``path`` must be a shared folder (the
+    session's checkpoint directory on a cluster).
+    """
+    (purchases.withColumn("order_year", F.year("order_date"))
+     .write.mode("overwrite").partitionBy("order_year").parquet(path))
+    return read_staged(purchases.sparkSession, path)
+
+
+def read_staged(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path).select(*PURCHASES_COLUMNS)
+
+
 def _year_bounds(y0: int, y1: int) -> tuple[_dt.datetime, _dt.datetime]:
     return _dt.datetime(y0, 1, 1), _dt.datetime(y1 + 1, 1, 1)
 
