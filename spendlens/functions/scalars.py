@@ -53,7 +53,7 @@ def extract_quantity(detail) -> Column:
     """SCA-4: first of four patterns (priority order, case-insensitive); else 1."""
     t = _c(detail)
     tries = [
-        F.try_cast(F.nullif(F.regexp_extract(t, "(?i)" + pat, 1), F.lit("")), "bigint")
+        F.nullif(F.regexp_extract(t, "(?i)" + pat, 1), F.lit("")).try_cast("bigint")
         for pat in fixed.QUANTITY_PATTERNS
     ]
     return F.coalesce(*tries, F.lit(1).cast("bigint"))

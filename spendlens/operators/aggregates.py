@@ -108,6 +108,7 @@ def dimension_breakdown(df: DataFrame, labels: Sequence[str], top: int = 10) ->
     dimension, broadcast); top-k uses ``row_number`` which Catalyst turns into
     a partial per-task limit before the shuffle.
     """
+    labels = [l for l in labels if fixed.DIMENSIONS[l] in df.columns]  # absent columns are skipped
     if not labels:
         spark = df.sparkSession
         return spark.createDataFrame([], "dimension string, value string, total double, "

@@ -18,6 +18,11 @@ task.  This operator keeps every per-group state bounded:
    ``percentile``, whose per-group state is then at most ``small_limit``
    values.
 
+Before planning, one scalar job reads the largest group size (a partial
+count aggregate, one number back to the driver).  When no group exceeds
+``small_limit`` only step 3 is planned -- one aggregation instead of the
+sketch, the window and their joins.
+
 Result: one row per group with ``n`` and one column per probability.
 """
 
@@ -31,7 +36,8 @@ from pyspark.sql import functions as F
 
 def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
                       by: Sequence[str] = (), names: Sequence[str] | None = None,
-                      accuracy: int = 100_000, small_limit: int | None = None) -> DataFrame:
+                      accuracy: int = 100_000, small_limit: int | None = None,
+                      adaptive: bool = True) -> DataFrame:
     by = list(by)
     probs = [float(p) for p in probs]
     k = len(probs)
@@ -46,6 +52,23 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
         vals = vals.withColumn("_g", F.lit(0))
     vals = vals.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
 
+    def small_path(keys_df):
+        src = vals if keys_df is None else vals.join(keys_df, key_cols, "left_semi")
+        return (src.groupBy(*key_cols)
+                .agg(F.count(F.lit(1)).alias("_n"),
+                     F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_q"))
+                .select(*key_cols, "_n", *[F.col("_q")[i].alias(names[i]) for i in range(k)]))
+
+    def finish(out):
+        if not by:
+            out = out.drop("_g")
+        return out.withColumnRenamed("_n", "n")
+
+    if adaptive:
+        max_n = vals.groupBy(*key_cols).count().agg(F.max("count")).first()[0]
+        if max_n is None or max_n <= small_limit:
+            return finish(small_path(None))
+
     fr = [max(p - eps, 0.0) for p in probs] + [min(p + eps, 1.0) for p in probs]
     sk = vals.groupBy(*key_cols).agg(
         F.count(F.lit(1)).alias("_n"),
@@ -64,13 +87,7 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
     small_keys = sk.where(F.col("_n") <= small_limit).select(*key_cols)
     if not by:
         small_keys = F.broadcast(small_keys)
-    small = (
-        vals.join(small_keys, key_cols, "left_semi")
-        .groupBy(*key_cols)
-        .agg(F.count(F.lit(1)).alias("_n"),
-             F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_q"))
-        .select(*key_cols, "_n", *[F.col("_q")[i].alias(names[i]) for i in range(k)])
-    )
+    small = small_path(small_keys)
 
     # ---- large groups: count below the window, rank inside it
     big_b = bounds.where(F.col("_n") > small_limit)
@@ -115,10 +132,7 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
         *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(names[i]) for i in range(k)],
     )
 
-    out = small.unionByName(large)
-    if not by:
-        out = out.drop("_g")
-    return out.withColumnRenamed("_n", "n")
+    return finish(small.unionByName(large))
 
 
 def exact_percentile_scalar(df: DataFrame, value: str, probs: Sequence[float],

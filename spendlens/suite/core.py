@@ -27,7 +27,7 @@ YEAR = 2001                     # "current" year (last order date 2001-08-01)
 NEXT_YEAR = 2002                # projection year
 PARAMS: Params = TEST.replace(as_of=_dt.date(2001, 8, 1))
 BUDGET = 450_000_000.0          # monitoring budget
-PROJ_BUDGET = 500_000_000.0     # projection budget
+PROJ_BUDGET = 400_000_000.0     # projection budget
 ALL_DIMS = ["ORIGEN", "UN", "CATEGORIA", "CLASE", "FAMILIA", "DESTINO", "EMPRESA"]
 
 
