@@ -222,3 +222,26 @@ SEVERITY_COLORS = {
     "bajo": "blue",
     "info": "gray",
 }
+
+# --- fixed values: dashboard stat cards (titles and subtitles) -------------
+CARD_ACTUAL = "Gasto Real"
+CARD_PROJECTED = "Proyección Total"
+CARD_ACTUAL_SUB = "Acumulado a la fecha"
+CARD_PROJECTED_SUB = "Año {year}"
+CARD_BUDGET = "Presupuesto Asignado"
+CARD_REMAINING_SUB = "Restante: {value}"
+CARD_DIFFERENCE_SUB = "Diferencia: {value}"
+CARD_YEAR_END = "Proyección Fin Año"
+CARD_CONFIDENCE = "Confianza"
+CARD_YEAR_END_SUB = "Estimado"
+CARD_HISTORY_SUB = "{n} meses históricos"
+CARD_ALERTS = "Alertas"
+CARD_NO_ALERTS = "Sin alertas"
+
+# --- fixed values: dashboard alert colour bands ----------------------------
+ALERT_BAND_CRITICAL = "red"
+ALERT_BAND_HIGH = "orange"
+ALERT_BAND_OTHER = "yellow"
+
+# --- fixed values: short Spanish month names of the medium date format -----
+MONTH_ABBR = ["ene", "feb", "mar", "abr", "may", "jun", "jul", "ago", "sept", "oct", "nov", "dic"]

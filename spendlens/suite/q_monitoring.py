@@ -57,6 +57,46 @@ monthly AS (
          CASE WHEN predicted * 1.15 <> 0 THEN predicted * 1.15 END AS upper
   FROM mm)""" % "['Enero','Febrero','Marzo','Abril','Mayo','Junio','Julio','Agosto','Septiembre','Octubre','Noviembre','Diciembre']"
 
+
+BREAKDOWN_SELECT = """
+SELECT dimension, value, total, mean, orders,
+       CASE WHEN all_total > 0 THEN total / all_total * 100.0 ELSE 0.0 END AS share_pct,
+       CAST(rk AS INTEGER) AS rank
+FROM (SELECT *, sum(total) OVER (PARTITION BY dimension) AS all_total,
+             row_number() OVER (PARTITION BY dimension ORDER BY total DESC, value ASC) AS rk
+      FROM g) WHERE rk <= 10"""
+BREAKDOWN_CTES = PREP + """,
+u AS (UNPIVOT (SELECT origin AS ORIGEN, unit AS UN, category AS CATEGORIA, class AS CLASE,
+                      family AS FAMILIA, destination AS DESTINO, company AS EMPRESA, amount FROM ydf)
+      ON ORIGEN, UN, CATEGORIA, CLASE, FAMILIA, DESTINO, EMPRESA
+      INTO NAME dimension VALUE value),
+g AS (SELECT dimension, value, SUM(amount) AS total, avg(amount) AS mean, count(*) AS orders
+      FROM u WHERE value IS NOT NULL GROUP BY dimension, value)"""
+
+ALERTS_SELECT = """
+SELECT * FROM (
+  SELECT 1 AS alert_no, 'desviacion_presupuesto' AS type,
+         CASE WHEN abs(deviation_pct) > 20 THEN 'critico' ELSE 'alto' END AS severity,
+         'Desviación ' || dir || ' lo predicho' AS title,
+         'El gasto real está ' || format('{:.1f}', abs(deviation_pct)) || '% ' || dir
+           || ' la predicción. Real: $' || format('{:,.2f}', actual) || ' vs Predicho: $'
+           || format('{:,.2f}', predicted) AS description,
+         actual AS observed, predicted AS expected, CAST(NULL AS VARCHAR) AS dimension
+  FROM (SELECT *, CASE WHEN deviation_pct > 0 THEN 'sobre' ELSE 'bajo' END AS dir FROM head)
+  WHERE abs(deviation_pct) > 10
+  UNION ALL
+  SELECT 2, 'desviacion_presupuesto', 'critico', 'Presupuesto cerca de agotarse',
+         'Se ha consumido el ' || format('{:.1f}', actual / budget * 100.0)
+           || '% del presupuesto asignado. Presupuesto: $' || format('{:,.2f}', budget),
+         actual, budget, NULL
+  FROM head WHERE budget IS NOT NULL AND budget <> 0 AND actual > budget * 0.9
+  UNION ALL
+  SELECT 3, 'desviacion_presupuesto', 'alto', 'Proyección excede presupuesto',
+         'La proyección de fin de año ($' || format('{:,.2f}', year_end_projection)
+           || ') excede el presupuesto en $' || format('{:,.2f}', year_end_projection - budget),
+         year_end_projection, budget, NULL
+  FROM head WHERE budget IS NOT NULL AND budget <> 0 AND year_end_projection > budget)"""
+
 HEAD_R = r("actual, predicted, deviation, budget, remaining, year_end_projection") | r("deviation_pct", 6)
 MONTH_R = r("predicted, actual, deviation, lower, upper") | r("deviation_pct", 6)
 
@@ -166,49 +206,14 @@ def budget_position(spark, sf):
     return monitoring_headline(spark, sf).select("year", "actual", "budget", "remaining")
 
 
-@register("dimension_breakdown", """
-SELECT dimension, value, total, mean, orders,
-       CASE WHEN all_total > 0 THEN total / all_total * 100.0 ELSE 0.0 END AS share_pct,
-       CAST(rk AS INTEGER) AS rank
-FROM (SELECT *, sum(total) OVER (PARTITION BY dimension) AS all_total,
-             row_number() OVER (PARTITION BY dimension ORDER BY total DESC, value ASC) AS rk
-      FROM g) WHERE rk <= 10""", ctes=PREP + """,
-u AS (UNPIVOT (SELECT origin AS ORIGEN, unit AS UN, category AS CATEGORIA, class AS CLASE,
-                      family AS FAMILIA, destination AS DESTINO, company AS EMPRESA, amount FROM ydf)
-      ON ORIGEN, UN, CATEGORIA, CLASE, FAMILIA, DESTINO, EMPRESA
-      INTO NAME dimension VALUE value),
-g AS (SELECT dimension, value, SUM(amount) AS total, avg(amount) AS mean, count(*) AS orders
-      FROM u WHERE value IS NOT NULL GROUP BY dimension, value)""",
+@register("dimension_breakdown", BREAKDOWN_SELECT, ctes=BREAKDOWN_CTES,
           rounding=r("total, mean") | r("share_pct", 6))
 def dimension_breakdown(spark, sf):
     """AGG-8 + TOP-1: top-10 values per dimension of 2001 with share of total."""
     return M.breakdown(_prepared(spark, sf), YEAR, ALL_DIMS)
 
 
-@register("monitoring_alerts", """
-SELECT * FROM (
-  SELECT 1 AS alert_no, 'desviacion_presupuesto' AS type,
-         CASE WHEN abs(deviation_pct) > 20 THEN 'critico' ELSE 'alto' END AS severity,
-         'Desviación ' || dir || ' lo predicho' AS title,
-         'El gasto real está ' || format('{:.1f}', abs(deviation_pct)) || '% ' || dir
-           || ' la predicción. Real: $' || format('{:,.2f}', actual) || ' vs Predicho: $'
-           || format('{:,.2f}', predicted) AS description,
-         actual AS observed, predicted AS expected, CAST(NULL AS VARCHAR) AS dimension
-  FROM (SELECT *, CASE WHEN deviation_pct > 0 THEN 'sobre' ELSE 'bajo' END AS dir FROM head)
-  WHERE abs(deviation_pct) > 10
-  UNION ALL
-  SELECT 2, 'desviacion_presupuesto', 'critico', 'Presupuesto cerca de agotarse',
-         'Se ha consumido el ' || format('{:.1f}', actual / budget * 100.0)
-           || '% del presupuesto asignado. Presupuesto: $' || format('{:,.2f}', budget),
-         actual, budget, NULL
-  FROM head WHERE budget IS NOT NULL AND budget <> 0 AND actual > budget * 0.9
-  UNION ALL
-  SELECT 3, 'desviacion_presupuesto', 'alto', 'Proyección excede presupuesto',
-         'La proyección de fin de año ($' || format('{:,.2f}', year_end_projection)
-           || ') excede el presupuesto en $' || format('{:,.2f}', year_end_projection - budget),
-         year_end_projection, budget, NULL
-  FROM head WHERE budget IS NOT NULL AND budget <> 0 AND year_end_projection > budget)""",
-          ctes=HEAD, rounding=r("observed, expected"))
+@register("monitoring_alerts", ALERTS_SELECT, ctes=HEAD, rounding=r("observed, expected"))
 def monitoring_alerts(spark, sf):
     """RUL-1: deviation, budget-consumption and projection-over-budget alerts."""
     head = M.headline(_prepared(spark, sf), YEAR, PARAMS, BUDGET)
