@@ -13,7 +13,7 @@ unpivot + groupBy; the top-N list is an ``orderBy().limit()``.
 
 from __future__ import annotations
 
-import dataclasses
+import functools
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -156,19 +156,35 @@ def alerts(flagged: DataFrame, st: DataFrame, p: Params) -> DataFrame:
     return R.alerts(one, rules)
 
 
-@dataclasses.dataclass
 class AnomalyReport:
-    stats: DataFrame
-    top: DataFrame
-    by_dimension: DataFrame
-    alerts: DataFrame
-    flagged: DataFrame
+    """REP-5 tables, each planned on first access; rows are flagged once."""
+
+    def __init__(self, df: DataFrame, p: Params, method: str = "quantile", top_n: int | None = None,
+                 context: bool = True):
+        self.df, self.p, self.method = df, p, method
+        self.top_n, self.context = top_n or p.top_n, context
+
+    @functools.cached_property
+    def flagged(self) -> DataFrame:
+        return flag(self.df, self.p, self.method)
+
+    @functools.cached_property
+    def stats(self) -> DataFrame:
+        return stats(self.flagged)
+
+    @functools.cached_property
+    def top(self) -> DataFrame:
+        return context_projection(top_anomalies(self.flagged, self.top_n), self.stats, self.context)
+
+    @functools.cached_property
+    def by_dimension(self) -> DataFrame:
+        return counts_by_dimension(self.flagged)
+
+    @functools.cached_property
+    def alerts(self) -> DataFrame:
+        return alerts(self.flagged, self.stats, self.p)
 
 
 def anomaly_report(df: DataFrame, p: Params, method: str = "quantile", top_n: int | None = None,
                    context: bool = True) -> AnomalyReport:
-    flagged = flag(df, p, method)
-    st = stats(flagged)
-    top = context_projection(top_anomalies(flagged, top_n or p.top_n), st, context)
-    return AnomalyReport(stats=st, top=top, by_dimension=counts_by_dimension(flagged),
-                         alerts=alerts(flagged, st, p), flagged=flagged)
+    return AnomalyReport(df, p, method, top_n, context)

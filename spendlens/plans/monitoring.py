@@ -7,7 +7,7 @@ are lazy DataFrames: ``headline`` (1 row), ``monthly`` (12 rows),
 
 from __future__ import annotations
 
-import dataclasses
+import functools
 from typing import Sequence
 
 from pyspark.sql import DataFrame
@@ -129,22 +129,33 @@ def alerts(head: DataFrame, p: Params) -> DataFrame:
     return R.alerts(head, rules)
 
 
-@dataclasses.dataclass
 class MonitoringReport:
-    headline: DataFrame
-    monthly: DataFrame
-    breakdown: DataFrame
-    alerts: DataFrame
+    """REP-1 tables, each planned on first access; the prepared frame is shared."""
+
+    def __init__(self, purchases: DataFrame, year: int, p: Params, budget: float | None = None,
+                 dimensions: Sequence[str] = (), intervals: bool = True):
+        self.prepared = prepare(purchases)
+        self.year, self.p, self.budget = year, p, budget
+        self.dimensions, self.intervals = list(dimensions), intervals
+
+    @functools.cached_property
+    def headline(self) -> DataFrame:
+        return headline(self.prepared, self.year, self.p, self.budget)
+
+    @functools.cached_property
+    def monthly(self) -> DataFrame:
+        return monthly(self.prepared, self.year, self.p, self.intervals)
+
+    @functools.cached_property
+    def breakdown(self) -> DataFrame:
+        return breakdown(self.prepared, self.year, self.dimensions)
+
+    @functools.cached_property
+    def alerts(self) -> DataFrame:
+        return alerts(self.headline, self.p)
 
 
 def monitoring_report(purchases: DataFrame, year: int, p: Params, budget: float | None = None,
                       dimensions: Sequence[str] = (), intervals: bool = True) -> MonitoringReport:
     """REP-1 over the purchases of the forecast window."""
-    prepared = prepare(purchases)
-    head = headline(prepared, year, p, budget)
-    return MonitoringReport(
-        headline=head,
-        monthly=monthly(prepared, year, p, intervals),
-        breakdown=breakdown(prepared, year, dimensions),
-        alerts=alerts(head, p),
-    )
+    return MonitoringReport(purchases, year, p, budget, dimensions, intervals)

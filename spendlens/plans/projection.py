@@ -9,7 +9,7 @@ Breakdown: the latest year's actual spend per dimension value (ML-9).
 
 from __future__ import annotations
 
-import dataclasses
+import functools
 from typing import Sequence
 
 from pyspark.sql import DataFrame
@@ -92,35 +92,53 @@ def alerts(head: DataFrame, p: Params) -> DataFrame:
     return R.alerts(head, rules)
 
 
-@dataclasses.dataclass
 class ProjectionReport:
-    headline: DataFrame
-    monthly: DataFrame
-    breakdown: DataFrame
-    alerts: DataFrame
-    checks: DataFrame
+    """REP-2 tables, each planned on first access; features are built once."""
+
+    def __init__(self, purchases: DataFrame, target_year: int, p: Params, budget: float | None = None,
+                 dimensions: Sequence[str] = (), intervals: bool = True, method: str = "naive", model=None):
+        if method not in ("naive", "model"):
+            raise ValueError(f"unknown method {method!r}")
+        self.prepared = FE.prepare(purchases)
+        self.year, self.p, self.budget = target_year, p, budget
+        self.dimensions, self.intervals, self.method, self.model = list(dimensions), intervals, method, model
+
+    @functools.cached_property
+    def features(self) -> DataFrame:
+        return FE.feature_frame(self.prepared, self.year, self.p)
+
+    @functools.cached_property
+    def total(self) -> DataFrame:
+        if self.method == "naive":
+            return naive_total(self.features, self.p)
+        from ..operators import model as ML
+        return ML.predicted_total(ML.score(self.model, FE.encode_categories(self.prepared, self.features)))
+
+    @functools.cached_property
+    def headline(self) -> DataFrame:
+        return headline(self.prepared, self.total, self.p, self.year, self.budget, self.intervals)
+
+    @functools.cached_property
+    def monthly(self) -> DataFrame:
+        return monthly(self.prepared, self.year, self.p, self.intervals)
+
+    @functools.cached_property
+    def breakdown(self) -> DataFrame:
+        return dimension_forecast(self.features, self.dimensions)
+
+    @functools.cached_property
+    def alerts(self) -> DataFrame:
+        return alerts(self.headline, self.p)
+
+    @functools.cached_property
+    def checks(self) -> DataFrame:
+        return sufficiency_checks(self.prepared, self.p)
 
 
 def projection_report(purchases: DataFrame, target_year: int, p: Params, budget: float | None = None,
                       dimensions: Sequence[str] = (), intervals: bool = True,
                       method: str = "naive", model=None) -> ProjectionReport:
-    prepared = FE.prepare(purchases)
-    feats = FE.feature_frame(prepared, target_year, p)
-    if method == "naive":
-        total = naive_total(feats, p)
-    elif method == "model":
-        from ..operators import model as ML
-        total = ML.predicted_total(ML.score(model, FE.encode_categories(prepared, feats)))
-    else:
-        raise ValueError(f"unknown method {method!r}")
-    head = headline(prepared, total, p, target_year, budget, intervals)
-    return ProjectionReport(
-        headline=head,
-        monthly=monthly(prepared, target_year, p, intervals),
-        breakdown=dimension_forecast(feats, dimensions),
-        alerts=alerts(head, p),
-        checks=sufficiency_checks(prepared, p),
-    )
+    return ProjectionReport(purchases, target_year, p, budget, dimensions, intervals, method, model)
 
 
 def forecast_dynamic(purchases: DataFrame, target_year: int, p: Params, budget: float | None = None,

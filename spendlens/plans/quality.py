@@ -9,7 +9,7 @@ ever holds more than n rows per problem.
 
 from __future__ import annotations
 
-import dataclasses
+import functools
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,24 +143,36 @@ def summary(prof: DataFrame, probs: DataFrame) -> DataFrame:
         F.col("rows").alias("total_rows"), "state", "score", "needs_cleaning", "problems")
 
 
-@dataclasses.dataclass
 class QualityReport:
-    profile: DataFrame
-    null_counts: DataFrame
-    problems: DataFrame
-    advice: DataFrame
-    examples: DataFrame
-    summary: DataFrame
+    """REP-4 tables, each planned on first access."""
+
+    def __init__(self, df: DataFrame, p: Params, details: bool = True):
+        self.df, self.p, self.details = df, p, details
+
+    @functools.cached_property
+    def profile(self) -> DataFrame:
+        return profile(self.df, self.p)
+
+    @functools.cached_property
+    def null_counts(self) -> DataFrame:
+        return null_counts(self.profile)
+
+    @functools.cached_property
+    def problems(self) -> DataFrame:
+        return problems(self.profile)
+
+    @functools.cached_property
+    def advice(self) -> DataFrame:
+        return advice(self.profile, self.problems)
+
+    @functools.cached_property
+    def examples(self) -> DataFrame | None:
+        return examples(self.df, self.profile, self.p.example_limit) if self.details else None
+
+    @functools.cached_property
+    def summary(self) -> DataFrame:
+        return summary(self.profile, self.problems)
 
 
 def quality_report(df: DataFrame, p: Params, details: bool = True) -> QualityReport:
-    prof = profile(df, p)
-    probs = problems(prof)
-    return QualityReport(
-        profile=prof,
-        null_counts=null_counts(prof),
-        problems=probs,
-        advice=advice(prof, probs),
-        examples=examples(df, prof, p.example_limit) if details else None,
-        summary=summary(prof, probs),
-    )
+    return QualityReport(df, p, details)

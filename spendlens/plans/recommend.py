@@ -11,7 +11,7 @@ deterministic.
 
 from __future__ import annotations
 
-import dataclasses
+import functools
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -306,32 +306,53 @@ def executive_summary(df: DataFrame, recs: DataFrame, opps: DataFrame) -> DataFr
     return one.select(text.alias("summary"))
 
 
-@dataclasses.dataclass
 class RecommendationReport:
-    recommendations: DataFrame
-    origins: DataFrame
-    origin_top_categories: DataFrame
-    units: DataFrame
-    unit_top_categories: DataFrame
-    trends: DataFrame | None
-    opportunities: DataFrame
-    summary: DataFrame
+    """REP-6 tables, each planned on first access; shared profiles built once."""
+
+    def __init__(self, df: DataFrame, p: Params, dimensions: Sequence[str] = ("ORIGEN", "UN"),
+                 include_trends: bool = True):
+        self.df, self.p, self.dimensions, self.include_trends = df, p, list(dimensions), include_trends
+
+    @functools.cached_property
+    def stats(self) -> DataFrame:
+        return global_stats(self.df, self.p)
+
+    @functools.cached_property
+    def origins(self) -> DataFrame:
+        return origin_profile(self.df, self.stats)
+
+    @functools.cached_property
+    def units(self) -> DataFrame:
+        return unit_profile(self.df)
+
+    @functools.cached_property
+    def origin_top_categories(self) -> DataFrame:
+        return top_categories_by_group(self.df, "origin")
+
+    @functools.cached_property
+    def unit_top_categories(self) -> DataFrame:
+        return top_categories_by_group(self.df, "unit")
+
+    @functools.cached_property
+    def recommendations(self) -> DataFrame:
+        return recommendations(self.df, self.p, self.stats, self.origins, self.units)
+
+    @functools.cached_property
+    def opportunities(self) -> DataFrame:
+        return opportunities(self.df, self.p, self.stats, self.origins)
+
+    @functools.cached_property
+    def trends(self) -> DataFrame | None:
+        return dimension_trends(self.df, self.dimensions, self.p) if self.include_trends else None
+
+    @functools.cached_property
+    def summary(self) -> DataFrame:
+        return executive_summary(self.df, self.recommendations, self.opportunities)
 
 
 def recommendation_report(df: DataFrame, p: Params, dimensions: Sequence[str] = ("ORIGEN", "UN"),
                           include_trends: bool = True) -> RecommendationReport:
-    stats = global_stats(df, p)
-    origins = origin_profile(df, stats)
-    units = unit_profile(df)
-    recs = recommendations(df, p, stats, origins, units)
-    opps = opportunities(df, p, stats, origins)
-    return RecommendationReport(
-        recommendations=recs, origins=origins,
-        origin_top_categories=top_categories_by_group(df, "origin"),
-        units=units, unit_top_categories=top_categories_by_group(df, "unit"),
-        trends=dimension_trends(df, dimensions, p) if include_trends else None,
-        opportunities=opps, summary=executive_summary(df, recs, opps),
-    )
+    return RecommendationReport(df, p, dimensions, include_trends)
 
 
 def quick_recommendations(df: DataFrame, p: Params) -> DataFrame:

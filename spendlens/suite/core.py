@@ -76,7 +76,7 @@ def raw_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return fx.purchases_raw(spark, sf_dir), fx.catalogue(spark, sf_dir)
 
 
-_STAGED: dict[tuple, str] = {}
+_STAGED: dict[tuple, DataFrame] = {}
 
 
 def base(spark: SparkSession, sf_dir: str, **filters) -> DataFrame:
@@ -84,17 +84,19 @@ def base(spark: SparkSession, sf_dir: str, **filters) -> DataFrame:
 
     Without filters the base is staged once per session and test-table folder
     (a Parquet table partitioned by year in the session's checkpoint folder)
-    and every query reads it; with filters the job runs from the raw input so
-    the filters reach the fact scan.
+    and every query reads it through the same DataFrame (its file listing is
+    done once); with filters the job runs from the raw input so the filters
+    reach the fact scan.
     """
-    raw, cat = raw_inputs(spark, sf_dir)
     if filters:
+        raw, cat = raw_inputs(spark, sf_dir)
         return P.base_purchases(raw, cat, **filters)
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
-    path = _STAGED.get(key)
-    if path is None:
+    staged = _STAGED.get(key)
+    if staged is None:
+        raw, cat = raw_inputs(spark, sf_dir)
         digest = hashlib.sha1(key[1].encode()).hexdigest()[:12]
         path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged-purchases-{digest}"
-        P.stage_purchases(P.base_purchases(raw, cat), path)
-        _STAGED[key] = path
-    return P.read_staged(spark, path)
+        staged = P.stage_purchases(P.base_purchases(raw, cat), path)
+        _STAGED[key] = staged
+    return staged
