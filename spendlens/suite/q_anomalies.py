@@ -68,11 +68,11 @@ def _flagged(spark, sf):
     return AN.flag(_year(spark, sf), PARAMS, "quantile")
 
 
-STAT_R = r("mean_normal, mean_anomalous, max_anomalous") | r("anomaly_pct", 6)
+STAT_R = r("max_anomalous") | r("mean_normal, mean_anomalous, anomaly_pct", 6)
 
 
 @register("quantile_flag", "SELECT request_line, amount, threshold, is_anomaly, score FROM fl", ctes=ANOM,
-          rounding=r("amount, threshold, score"))
+          rounding=r("amount") | r("threshold, score", 6))
 def quantile_flag(spark, sf):
     """ML-11: amount above its exact 95th percentile (contamination 5 %)."""
     return _flagged(spark, sf).select("request_line", "amount", "threshold", "is_anomaly", "score")
@@ -115,7 +115,7 @@ def top_anomalies(spark, sf):
 
 
 @register("context_projection", "SELECT * FROM ctx", ctes=ANOM,
-          rounding=r("amount, score") | r("relative_excess", 6))
+          rounding=r("amount") | r("score, relative_excess", 6))
 def context_projection(spark, sf):
     """PRJ-1: report rows of the top anomalies with the request context."""
     f = _flagged(spark, sf)
@@ -129,7 +129,7 @@ def relative_excess(spark, sf):
     return context_projection(spark, sf).select("amount", "relative_excess")
 
 
-@register("anomaly_alerts", "SELECT * FROM aal", ctes=ANOM, rounding=r("observed, expected"))
+@register("anomaly_alerts", "SELECT * FROM aal", ctes=ANOM, rounding=r("observed, expected", 6))
 def anomaly_alerts(spark, sf):
     """RUL-3: volume, extreme maximum and origin-concentration alerts."""
     f = _flagged(spark, sf)

@@ -97,8 +97,8 @@ SELECT * FROM (
          year_end_projection, budget, NULL
   FROM head WHERE budget IS NOT NULL AND budget <> 0 AND year_end_projection > budget)"""
 
-HEAD_R = r("actual, predicted, deviation, budget, remaining, year_end_projection") | r("deviation_pct", 6)
-MONTH_R = r("predicted, actual, deviation, lower, upper") | r("deviation_pct", 6)
+HEAD_R = r("actual, budget, remaining") | r("predicted, deviation, year_end_projection", 4) | r("deviation_pct", 6)
+MONTH_R = r("actual") | r("deviation, lower, upper", 4) | r("predicted, deviation_pct", 6)
 
 
 def _prepared(spark, sf):
@@ -126,7 +126,7 @@ def annual_totals(spark, sf):
 
 
 @register("predicted_annual_total", "SELECT mean_total, years, trend, predicted FROM pred2",
-          ctes=PRED, rounding=r("mean_total, trend, predicted"))
+          ctes=PRED, rounding=r("mean_total, trend, predicted", 4))
 def predicted_annual_total(spark, sf):
     """AGG-3: mean annual total plus the 3-year trend term."""
     _, hist = M.split_history(_prepared(spark, sf), YEAR)
@@ -149,7 +149,7 @@ def monthly_actual(spark, sf):
 
 
 @register("monthly_history_mean", "SELECT month, avg(amount) AS hist_mean FROM hist GROUP BY month",
-          ctes=PREP, rounding=r("hist_mean"))
+          ctes=PREP, rounding=r("hist_mean", 6))
 def monthly_history_mean(spark, sf):
     """AGG-6: mean order amount per month over the history years."""
     _, hist = M.split_history(_prepared(spark, sf), YEAR)
@@ -157,7 +157,7 @@ def monthly_history_mean(spark, sf):
 
 
 @register("month_spine", "SELECT month, a AS actual, predicted FROM mm", ctes=MONTHLY,
-          rounding=r("actual, predicted"))
+          rounding=r("actual") | r("predicted", 6))
 def month_spine(spark, sf):
     """JOIN-6: months 1..12 left-joined to the two monthly aggregates, missing -> 0."""
     ydf, hist = M.split_history(_prepared(spark, sf), YEAR)
@@ -169,14 +169,14 @@ def month_spine(spark, sf):
 
 
 @register("deviation", "SELECT month, actual, predicted, deviation, deviation_pct FROM monthly",
-          ctes=MONTHLY, rounding=r("actual, predicted, deviation") | r("deviation_pct", 6))
+          ctes=MONTHLY, rounding=r("actual") | r("deviation", 4) | r("predicted, deviation_pct", 6))
 def deviation(spark, sf):
     """SCA-8: deviation and deviation % per month (zero -> null)."""
     return monitoring_monthly(spark, sf).select("month", "actual", "predicted", "deviation", "deviation_pct")
 
 
 @register("interval_band", "SELECT month, predicted, lower, upper FROM monthly",
-          ctes=MONTHLY, rounding=r("predicted, lower, upper"))
+          ctes=MONTHLY, rounding=r("lower, upper", 4) | r("predicted", 6))
 def interval_band(spark, sf):
     """SCA-9: +-15 % band around the monthly prediction."""
     return monitoring_monthly(spark, sf).select("month", "predicted", "lower", "upper")
@@ -190,7 +190,7 @@ def month_name(spark, sf):
 
 @register("year_end_projection",
           "SELECT year, actual, predicted, 8 AS months_elapsed, year_end_projection FROM head",
-          ctes=HEAD, rounding=r("actual, predicted, year_end_projection"))
+          ctes=HEAD, rounding=r("actual") | r("predicted, year_end_projection", 4))
 def year_end_projection(spark, sf):
     """SCA-10: 0.6 x run-rate x 12 + 0.4 x predicted, run rate from the as-of month."""
     h = monitoring_headline(spark, sf)
@@ -207,13 +207,13 @@ def budget_position(spark, sf):
 
 
 @register("dimension_breakdown", BREAKDOWN_SELECT, ctes=BREAKDOWN_CTES,
-          rounding=r("total, mean") | r("share_pct", 6))
+          rounding=r("total") | r("mean, share_pct", 6))
 def dimension_breakdown(spark, sf):
     """AGG-8 + TOP-1: top-10 values per dimension of 2001 with share of total."""
     return M.breakdown(_prepared(spark, sf), YEAR, ALL_DIMS)
 
 
-@register("monitoring_alerts", ALERTS_SELECT, ctes=HEAD, rounding=r("observed, expected"))
+@register("monitoring_alerts", ALERTS_SELECT, ctes=HEAD, rounding=r("observed, expected", 4))
 def monitoring_alerts(spark, sf):
     """RUL-1: deviation, budget-consumption and projection-over-budget alerts."""
     head = M.headline(_prepared(spark, sf), YEAR, PARAMS, BUDGET)

@@ -140,8 +140,8 @@ def _feats(spark, sf):
     return FE.feature_frame(_prep(spark, sf), NEXT_YEAR, PARAMS)
 
 
-_FEAT_R = r("amount, cat_mean, cat_median, cat_std, dest_mean, dest_median, origin_mean, unit_mean, "
-            "prev_month_spend") | r("cat_ratio, dest_ratio", 6)
+_FEAT_R = r("amount") | r("cat_mean, cat_median, cat_std, dest_mean, dest_median, origin_mean, unit_mean, "
+                        "prev_month_spend, cat_ratio, dest_ratio", 6)
 
 
 @register("valid_projection_rows", "SELECT * FROM pp", ctes=_prep_sql(1997, 2002), rounding=r("amount"))
@@ -193,31 +193,31 @@ def latest_year_slice(spark, sf):
     return FE.latest_year_slice(_prep(spark, sf), NEXT_YEAR).select("request_line", "order_date", "amount", "year")
 
 
-@register("category_stats", "SELECT * FROM cs", ctes=FEAT, rounding=r("cat_mean, cat_median, cat_std"))
+@register("category_stats", "SELECT * FROM cs", ctes=FEAT, rounding=r("cat_mean, cat_median, cat_std", 6))
 def category_stats(spark, sf):
     """AGG-9: mean, exact median, sample std per category."""
     return FE.category_stats(_prep(spark, sf), PARAMS)
 
 
-@register("destination_stats", "SELECT * FROM dst", ctes=FEAT, rounding=r("dest_mean, dest_median"))
+@register("destination_stats", "SELECT * FROM dst", ctes=FEAT, rounding=r("dest_mean, dest_median", 6))
 def destination_stats(spark, sf):
     """AGG-10: mean and exact median per destination."""
     return FE.destination_stats(_prep(spark, sf), PARAMS)
 
 
-@register("origin_stats", "SELECT * FROM os", ctes=FEAT, rounding=r("origin_mean"))
+@register("origin_stats", "SELECT * FROM os", ctes=FEAT, rounding=r("origin_mean", 6))
 def origin_stats(spark, sf):
     """AGG-11: mean per origin."""
     return FE.origin_stats(_prep(spark, sf))
 
 
-@register("unit_stats", "SELECT * FROM us", ctes=FEAT, rounding=r("unit_mean"))
+@register("unit_stats", "SELECT * FROM us", ctes=FEAT, rounding=r("unit_mean", 6))
 def unit_stats(spark, sf):
     """AGG-12: mean per unit."""
     return FE.unit_stats(_prep(spark, sf))
 
 
-@register("global_median", "SELECT * FROM gm", ctes=FEAT, rounding=r("prev_month_spend"))
+@register("global_median", "SELECT * FROM gm", ctes=FEAT, rounding=r("prev_month_spend", 6))
 def global_median(spark, sf):
     """AGG-13: exact median amount over the prepared rows."""
     return FE.global_median(_prep(spark, sf), PARAMS)
@@ -238,28 +238,28 @@ def _enriched(spark, sf):
 
 
 @register("enrich_category_stats", "SELECT request_line, category, cat_mean, cat_median, cat_std FROM fe",
-          ctes=FEAT, rounding=r("cat_mean, cat_median, cat_std"))
+          ctes=FEAT, rounding=r("cat_mean, cat_median, cat_std", 6))
 def enrich_category_stats(spark, sf):
     """JOIN-2: slice rows left-joined to the category statistics."""
     return _enriched(spark, sf).select("request_line", "category", "cat_mean", "cat_median", "cat_std")
 
 
 @register("enrich_destination_stats", "SELECT request_line, destination, dest_mean, dest_median FROM fe",
-          ctes=FEAT, rounding=r("dest_mean, dest_median"))
+          ctes=FEAT, rounding=r("dest_mean, dest_median", 6))
 def enrich_destination_stats(spark, sf):
     """JOIN-3: slice rows left-joined to the destination statistics."""
     return _enriched(spark, sf).select("request_line", "destination", "dest_mean", "dest_median")
 
 
 @register("enrich_origin_stats", "SELECT request_line, origin, origin_mean FROM fe", ctes=FEAT,
-          rounding=r("origin_mean"))
+          rounding=r("origin_mean", 6))
 def enrich_origin_stats(spark, sf):
     """JOIN-4: slice rows left-joined to the origin mean."""
     return _enriched(spark, sf).select("request_line", "origin", "origin_mean")
 
 
 @register("enrich_unit_stats", "SELECT request_line, unit, unit_mean FROM fe", ctes=FEAT,
-          rounding=r("unit_mean"))
+          rounding=r("unit_mean", 6))
 def enrich_unit_stats(spark, sf):
     """JOIN-5: slice rows left-joined to the unit mean."""
     return _enriched(spark, sf).select("request_line", "unit", "unit_mean")
@@ -274,8 +274,7 @@ def spend_ratios(spark, sf):
 
 @register("impute_medians", """
 SELECT request_line, cat_mean, cat_median, cat_std, dest_mean, dest_median, unit_mean, cat_ratio, dest_ratio
-FROM imp""", ctes=FEAT, rounding=r("cat_mean, cat_median, cat_std, dest_mean, dest_median, unit_mean")
-          | r("cat_ratio, dest_ratio", 6))
+FROM imp""", ctes=FEAT, rounding=r("cat_mean, cat_median, cat_std, dest_mean, dest_median, unit_mean, cat_ratio, dest_ratio", 6))
 def impute_medians(spark, sf):
     """SCA-6: nulls replaced by the column's exact median."""
     cols = ["cat_mean", "cat_median", "cat_std", "dest_mean", "dest_median", "unit_mean", "cat_ratio", "dest_ratio"]
@@ -300,7 +299,7 @@ def encode_categories(spark, sf):
 
 
 @register("projection_fallback_total", "SELECT sum(amount) * 1.05 AS projected_total FROM feat",
-          ctes=FEAT, rounding=r("projected_total"))
+          ctes=FEAT, rounding=r("projected_total", 4))
 def projection_fallback_total(spark, sf):
     """ML-6: latest-year spend x 1.05."""
     return PR.naive_total(_feats(spark, sf), PARAMS)
@@ -360,7 +359,7 @@ def fill_missing_months(spark, sf):
 @register("fallback_monthly", """
 SELECT s.month, coalesce(mm.m, gmean.g) AS predicted
 FROM (SELECT CAST(range AS INTEGER) AS month FROM range(1, 13)) s LEFT JOIN mm USING (month), gmean""",
-          ctes=SEAS, rounding=r("predicted"))
+          ctes=SEAS, rounding=r("predicted", 6))
 def fallback_monthly(spark, sf):
     """ML-8: mean order amount per month, global mean where a month is missing."""
     return FC.fallback_monthly(_prep(spark, sf))
@@ -378,13 +377,13 @@ u AS (UNPIVOT (SELECT origin AS ORIGEN, unit AS UN, category AS CATEGORIA, class
       ON ORIGEN, UN, CATEGORIA, CLASE, FAMILIA, DESTINO INTO NAME dimension VALUE value),
 g AS (SELECT dimension, value, SUM(amount) AS total, avg(amount) AS mean, count(*) AS orders
       FROM u WHERE value IS NOT NULL GROUP BY dimension, value)""",
-          rounding=r("total, mean") | r("share_pct", 6))
+          rounding=r("total") | r("mean, share_pct", 6))
 def dimension_forecast(spark, sf):
     """ML-9: breakdown of the latest year's actual amounts per dimension (top 10)."""
     return PR.dimension_forecast(_feats(spark, sf), [d for d in ALL_DIMS if d != "EMPRESA"])
 
 
-_HEAD_R = r("projected_total, lower, upper, budget, difference") | r("difference_pct, confidence", 6)
+_HEAD_R = r("budget") | r("projected_total, lower, upper, difference", 4) | r("difference_pct, confidence", 6)
 
 
 def _report(spark, sf):
@@ -404,7 +403,7 @@ def projection_monthly(spark, sf):
     return _report(spark, sf).monthly
 
 
-@register("projection_alerts", "SELECT * FROM palerts", ctes=HEAD, rounding=r("observed, expected"))
+@register("projection_alerts", "SELECT * FROM palerts", ctes=HEAD, rounding=r("observed, expected", 4))
 def projection_alerts(spark, sf):
     """RUL-2: projection over budget by > 5 % / > 15 %."""
     return _report(spark, sf).alerts
@@ -413,7 +412,7 @@ def projection_alerts(spark, sf):
 @register("forecast_dynamic", """
 SELECT year, mode, projected_total AS total, CAST(NULL AS DOUBLE) AS reference_total, budget,
        difference AS budget_gap, (SELECT count(*) FROM palerts) AS alerts FROM phead""",
-          ctes=HEAD, rounding=r("total, budget, budget_gap"))
+          ctes=HEAD, rounding=r("total, budget, budget_gap", 4))
 def forecast_dynamic(spark, sf):
     """REP-3: 2002 is after the as-of year, so the projection path runs."""
     rep = PR.forecast_dynamic(P.forecast_history_window(base(spark, sf), NEXT_YEAR, PARAMS), NEXT_YEAR,

@@ -144,26 +144,26 @@ def _recs_out(recs):
                        F.array_join("actions", " | ").alias("actions"))
 
 
-@register("amount_quartiles", "SELECT q25, q75 FROM gs", ctes=REC, rounding=r("q25, q75"))
+@register("amount_quartiles", "SELECT q25, q75 FROM gs", ctes=REC, rounding=r("q25, q75", 6))
 def amount_quartiles(spark, sf):
     """AGG-15: q25 and q75 of amount (linear interpolation), skew-safe exact."""
     return RC.global_stats(_rw(spark, sf), PARAMS).select("q25", "q75")
 
 
-@register("group_size_p75", "SELECT p75_orders FROM p75", ctes=REC, rounding=r("p75_orders"))
+@register("group_size_p75", "SELECT p75_orders FROM p75", ctes=REC, rounding=r("p75_orders", 6))
 def group_size_p75(spark, sf):
     """AGG-16: p75 of the order counts per origin."""
     return RC.group_size_p75(_rw(spark, sf), PARAMS)
 
 
-@register("origin_profile", "SELECT * FROM op2", ctes=REC, rounding=r("total, mean"))
+@register("origin_profile", "SELECT * FROM op2", ctes=REC, rounding=r("total") | r("mean", 6))
 def origin_profile(spark, sf):
     """AGG-17: per origin total, mean, orders, spend class."""
     df = _rw(spark, sf)
     return RC.origin_profile(df, RC.global_stats(df, PARAMS))
 
 
-@register("unit_profile", "SELECT * FROM up", ctes=REC, rounding=r("total, mean"))
+@register("unit_profile", "SELECT * FROM up", ctes=REC, rounding=r("total") | r("mean", 6))
 def unit_profile(spark, sf):
     """AGG-18: per non-null unit total, mean, orders."""
     return RC.unit_profile(_rw(spark, sf))
@@ -196,7 +196,7 @@ def non_null_unit(spark, sf):
 
 @register("scalar_broadcast", """
 SELECT op2.origin, op2.mean, op2.orders, gs.global_mean, gs.q25, gs.q75, p75.p75_orders
-FROM op2, gs, p75""", ctes=REC, rounding=r("mean, global_mean, q25, q75, p75_orders"))
+FROM op2, gs, p75""", ctes=REC, rounding=r("mean, global_mean, q25, q75, p75_orders", 6))
 def scalar_broadcast(spark, sf):
     """JOIN-9: each origin next to the global scalars (mean, q25, q75, p75 of counts)."""
     df = _rw(spark, sf)
@@ -219,7 +219,7 @@ def top_categories(spark, sf):
     return RC.top_categories(_rw(spark, sf))
 
 
-@register("top_units_by_mean", "SELECT * FROM tu", ctes=REC, rounding=r("total, mean"))
+@register("top_units_by_mean", "SELECT * FROM tu", ctes=REC, rounding=r("total") | r("mean", 6))
 def top_units_by_mean(spark, sf):
     """TOP-4: top 3 units by mean amount."""
     return RC.top_units_by_mean(_rw(spark, sf))
@@ -247,14 +247,14 @@ def small_order_totals(spark, sf):
 
 
 @register("savings_opportunities", "SELECT * FROM opps", ctes=REC,
-          rounding=r("spend, saving") | r("saving_pct", 6))
+          rounding=r("spend") | r("saving, saving_pct", 6))
 def savings_opportunities(spark, sf):
     """RUL-8 (+TOP-7): expensive origins and small orders, top 5 by saving."""
     return RC.opportunities(_rw(spark, sf), PARAMS)
 
 
 @register("spend_summary", "SELECT total_spend, orders, mean, saving, opportunities, saving_pct FROM spend",
-          ctes=REC, rounding=r("total_spend, mean, saving") | r("saving_pct", 6))
+          ctes=REC, rounding=r("total_spend") | r("mean, saving, saving_pct", 6))
 def spend_summary(spark, sf):
     """AGG-32: total, orders, mean, saving and saving % of spend."""
     df = _rw(spark, sf)
