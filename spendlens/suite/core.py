@@ -99,4 +99,19 @@ def base(spark: SparkSession, sf_dir: str, **filters) -> DataFrame:
         path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged-purchases-{digest}"
         staged = P.stage_purchases(P.base_purchases(raw, cat), path)
         _STAGED[key] = staged
+        _STAGED_PATH[key] = path
     return staged
+
+
+_STAGED_PATH: dict[tuple, str] = {}
+
+
+def staged_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the staged base purchases (staging it first if needed)."""
+    base(spark, sf_dir)
+    return _STAGED_PATH[(spark.sparkContext.applicationId, os.path.abspath(sf_dir))]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder under the session's shared checkpoint directory."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
