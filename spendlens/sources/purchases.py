@@ -62,13 +62,16 @@ def filter_extra_equals(df: DataFrame, extra: Mapping[str, Any] | None = None) -
     return df
 
 
-def join_catalogue(fact: DataFrame, catalogue: DataFrame) -> DataFrame:
+def join_catalogue(fact: DataFrame, catalogue: DataFrame, dedupe_catalogue: bool = False) -> DataFrame:
     """JOIN-1: LEFT equi-join on cost_center = cost_center_id AND company = unit.
 
-    Duplicate catalogue rows fan out (as in the reference).  No broadcast
-    hint: the catalogue's size is not bounded by contract, so AQE decides at
-    runtime from its measured size.
+    Duplicate catalogue rows fan out (as in the reference) unless
+    ``dedupe_catalogue`` keeps one row per key.  No broadcast hint: the
+    catalogue's size is not bounded by contract, so AQE decides at runtime
+    from its measured size.
     """
+    if dedupe_catalogue:
+        catalogue = catalogue.dropDuplicates(["cost_center_id", "unit"])
     d = catalogue.select(
         F.col("cost_center_id").alias("_cc"), F.col("unit").alias("_un"),
         "unit", "destination", "level6", "level7", "level8", "nature")
@@ -79,14 +82,14 @@ def join_catalogue(fact: DataFrame, catalogue: DataFrame) -> DataFrame:
 def base_purchases(purchases_raw: DataFrame, catalogue: DataFrame,
                    start: Any = None, end: Any = None,
                    origin: str | None = None, company: str | None = None,
-                   extra: Mapping[str, Any] | None = None) -> DataFrame:
+                   extra: Mapping[str, Any] | None = None, dedupe_catalogue: bool = False) -> DataFrame:
     """SRC-1: filtered fact LEFT JOIN catalogue, SUM(amount) over 22 keys."""
     fact = conform(purchases_raw, PURCHASES_RAW, "purchases_raw")
     cat = conform(catalogue, CATALOGUE, "catalogue")
     fact = filter_date_between(fact, start, end)
     fact = filter_origin_company(fact, origin, company)
     fact = filter_extra_equals(fact, extra)
-    joined = join_catalogue(fact, cat)
+    joined = join_catalogue(fact, cat, dedupe_catalogue)
     keys = FACT_KEYS + ["unit", "destination", "level6", "level7", "level8", "nature"]
     grouped = joined.groupBy(*keys).agg(F.sum("amount").alias("amount"))
     grouped = grouped.withColumn("request_line", S.concat_request_line("request_id", "line_no"))

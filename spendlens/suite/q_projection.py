@@ -11,7 +11,8 @@ from ..operators import features as FE
 from ..operators import forecast as FC
 from ..plans import projection as PR
 from ..sources import purchases as P
-from .core import ALL_DIMS, NEXT_YEAR, PARAMS, PROJ_BUDGET, YEAR, base, r, register
+from . import q_monitoring as QM
+from .core import ALL_DIMS, BUDGET, NEXT_YEAR, PARAMS, PROJ_BUDGET, YEAR, base, r, register
 
 Z = FC.z_value(PARAMS.confidence)
 
@@ -418,3 +419,15 @@ def forecast_dynamic(spark, sf):
     rep = PR.forecast_dynamic(P.forecast_history_window(base(spark, sf), NEXT_YEAR, PARAMS), NEXT_YEAR,
                               PARAMS, PROJ_BUDGET, ALL_DIMS)
     return PR.dynamic_headline(rep)
+
+
+@register("forecast_dynamic_current", """
+SELECT year, mode, actual AS total, predicted AS reference_total, budget, remaining AS budget_gap,
+       (SELECT count(*) FROM mal) AS alerts FROM head""",
+          ctes=QM.HEAD + ",\nmal AS (" + QM.ALERTS_SELECT + ")",
+          rounding=r("total, budget, budget_gap") | r("reference_total", 4))
+def forecast_dynamic_current(spark, sf):
+    """REP-3: 2001 is the as-of year, so the monitoring path runs."""
+    rep = PR.forecast_dynamic(P.forecast_history_window(base(spark, sf), YEAR, PARAMS), YEAR, PARAMS,
+                              BUDGET, ALL_DIMS)
+    return PR.dynamic_headline(rep)

@@ -122,3 +122,22 @@ def history_split(spark, sf):
     cols = ["request_line", "order_date", "amount", "year"]
     return (ydf.select(*cols, F.lit("target").alias("part"))
             .unionByName(hist.select(*cols, F.lit("history").alias("part"))))
+
+
+@register("group_base_sum", """
+SELECT a.origin, a.system, a.company, d.unit, a.request_date, a.order_date,
+       a.cost_center, d.destination, d.level6, d.level7, d.level8, d.nature,
+       a.business_line, SUM(a.amount) AS amount, a.detail, a.requester, a.preparer,
+       a.request_id, a.line_no, concat_ws('', a.request_id, a.line_no) AS request_line,
+       a.category, a.class, a.family, a.buying_entity
+FROM (SELECT * FROM purchases_raw UNION ALL SELECT * FROM purchases_raw) a
+LEFT JOIN catalogue d ON d.cost_center_id = a.cost_center AND d.unit = a.company
+GROUP BY a.origin, a.system, d.unit, a.company, a.request_date, a.order_date,
+         a.cost_center, d.destination, d.level6, d.level7, d.level8, d.nature,
+         a.business_line, a.detail, a.requester, a.preparer, a.request_id,
+         a.line_no, a.category, a.class, a.family, a.buying_entity""", rounding=MONEY)
+def group_base_sum(spark, sf):
+    """AGG-1: every fact line arrives twice; the 22-key grouping merges the
+    copies and sums their amounts (null keys group together)."""
+    raw, cat = raw_inputs(spark, sf)
+    return P.base_purchases(raw.unionByName(raw), cat)
