@@ -146,3 +146,15 @@ def month_start(date_col: str = "order_date"):
 
 def month_name_col(month: str = "month"):
     return S.month_name(month)
+
+
+def scalar(one_row: DataFrame, col: str | None = None):
+    """A one-row frame as a value: a Spark scalar subquery.
+
+    Catalyst runs the subquery once and uses its result as a constant in the
+    consuming plan -- no join, no pairing of rows.  Without ``col`` the whole
+    row comes back as a struct (fields by name); zero rows give null.
+    """
+    if col is not None:
+        return one_row.select(col).scalar()
+    return one_row.select(F.struct(*one_row.columns)).scalar()

@@ -17,6 +17,7 @@ from .. import fixed
 from ..functions import scalars as S
 from ..params import Params
 from ..session import ensure_checkpoint_dir
+from . import aggregates as A
 from .quantiles import exact_percentile_scalar, exact_percentiles
 
 
@@ -95,7 +96,7 @@ def enrich(forecast: DataFrame, hist: DataFrame, p: Params) -> DataFrame:
          .join(unit_stats(hist), "unit", "left"))
     f = f.withColumn("cat_ratio", S.spend_ratio("amount", "cat_mean"))
     f = f.withColumn("dest_ratio", S.spend_ratio("amount", "dest_mean"))
-    return f.crossJoin(F.broadcast(global_median(hist, p)))
+    return f.withColumn("prev_month_spend", A.scalar(global_median(hist, p), "prev_month_spend"))
 
 
 def column_medians(df: DataFrame, columns: Sequence[str], p: Params) -> DataFrame:
@@ -113,11 +114,11 @@ def column_medians(df: DataFrame, columns: Sequence[str], p: Params) -> DataFram
 
 def impute_medians(df: DataFrame, columns: Sequence[str], p: Params) -> DataFrame:
     """SCA-6: null numeric values -> that column's median (one-row broadcast)."""
-    meds = F.broadcast(column_medians(df, columns, p))
-    out = df.crossJoin(meds)
+    meds = A.scalar(column_medians(df, columns, p))
+    out = df
     for c in columns:
-        out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"med_{c}").cast(df.schema[c].dataType)))
-    return out.drop(*[f"med_{c}" for c in columns])
+        out = out.withColumn(c, F.coalesce(F.col(c), meds[f"med_{c}"].cast(df.schema[c].dataType)))
+    return out
 
 
 def feature_frame(prepared: DataFrame, target_year: int, p: Params) -> DataFrame:
@@ -162,10 +163,9 @@ def encode_categories(fit: DataFrame, apply: DataFrame, columns: Sequence[str] =
     out = apply
     for c in columns:
         idx = label_index(fit, c)
-        k = F.broadcast(idx.agg(F.count(F.lit(1)).cast("int").alias("_k")))  # one row
+        k = A.scalar(idx.agg(F.count(F.lit(1)).cast("int").alias("_k")), "_k")
         out = (out.join(idx.withColumnRenamed("label", f"_l_{c}"),
                         F.col(c).cast("string") == F.col(f"_l_{c}"), "left")
-               .crossJoin(k)
-               .withColumn(c, F.coalesce(F.col("index"), F.col("_k")))
-               .drop("index", "_k", f"_l_{c}"))
+               .withColumn(c, F.coalesce(F.col("index"), k))
+               .drop("index", f"_l_{c}"))
     return out

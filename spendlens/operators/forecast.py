@@ -57,23 +57,25 @@ def seasonal_forecast(df: DataFrame, target_year: int, confidence: float = 0.95,
     Returns (by..., month, predicted, lower, upper) for the forecast months
     that fall in the target year.
     """
-    by = list(by)
+    user_by = list(by)
+    by = user_by or ["_series"]          # one global series = a constant series key
+    if not user_by:
+        df = df.withColumn("_series", F.lit(0))
     ser = monthly_series(df, by)
     start = ser.groupBy(*by).agg(F.min("ds").alias("_s"), F.max("ds").alias("_e"),
                                  F.count(F.lit(1)).alias("_nm"))
-    s = ser.join(start, by) if by else ser.crossJoin(F.broadcast(start))
+    s = ser.join(start, by)
     s = s.withColumn("t", _months_between(F.col("ds"), F.col("_s")).cast("double"))
     fit = s.groupBy(*by).agg(F.regr_slope("y", "t").alias("_b1"), F.regr_intercept("y", "t").alias("_b0"),
                              F.first("_nm").alias("_nm"), F.first("_s").alias("_s"), F.first("_e").alias("_e"))
     fit = fit.withColumn("_b1", F.coalesce("_b1", F.lit(0.0)))
     fit = fit.withColumn("_b0", F.coalesce("_b0", F.lit(0.0)))
-    r = s.join(fit.select(*by, "_b1", "_b0"), by) if by else s.crossJoin(F.broadcast(fit.select("_b1", "_b0")))
+    r = s.join(fit.select(*by, "_b1", "_b0"), by)
     r = r.withColumn("_res", F.col("y") - (F.col("_b0") + F.col("_b1") * F.col("t"))) \
         .withColumn("_moy", F.month("ds"))
     season = r.groupBy(*by, "_moy").agg(F.avg("_res").alias("_sea"))
     centre = season.groupBy(*by).agg(F.avg("_sea").alias("_c"))
-    season = (season.join(centre, by) if by else season.crossJoin(F.broadcast(centre)))
-    season = season.join(fit.select(*by, "_nm"), by) if by else season.crossJoin(F.broadcast(fit.select("_nm")))
+    season = season.join(centre, by).join(fit.select(*by, "_nm"), by)
     season = season.select(*by, "_moy", F.when(F.col("_nm") >= min_season_months,
                                                F.col("_sea") - F.col("_c")).otherwise(F.lit(0.0)).alias("_sea"))
     r2 = r.join(season, [*by, "_moy"], "left")
@@ -91,12 +93,11 @@ def seasonal_forecast(df: DataFrame, target_year: int, confidence: float = 0.95,
     fut = fut.where(F.year("ds") == target_year)
     fut = fut.withColumn("t", _months_between(F.col("ds"), F.col("_s")).cast("double")) \
         .withColumn("_moy", F.month("ds"))
-    fut = fut.join(season, [*by, "_moy"], "left").join(noise, by) if by else \
-        fut.join(F.broadcast(season), "_moy", "left").crossJoin(F.broadcast(noise))
+    fut = fut.join(season, [*by, "_moy"], "left").join(noise, by)
     yhat = F.col("_b0") + F.col("_b1") * F.col("t") + F.coalesce("_sea", F.lit(0.0))
     z = z_value(confidence)
     band = F.coalesce(F.col("_sd"), F.lit(0.0)) * z
-    out = fut.select(*by, F.month("ds").cast("int").alias("month"),
+    out = fut.select(*user_by, F.month("ds").cast("int").alias("month"),
                      S.clamp_non_negative(yhat).alias("predicted"),
                      (S.clamp_non_negative(yhat - band) if intervals else F.lit(None).cast("double")).alias("lower"),
                      (S.clamp_non_negative(yhat + band) if intervals else F.lit(None).cast("double")).alias("upper"),
@@ -115,9 +116,9 @@ def fill_missing_months(forecast: DataFrame, df: DataFrame) -> DataFrame:
     have = forecast.select("month").distinct()
     missing = A.month_spine(spark).join(F.broadcast(have), "month", "left_anti")
     mm = df.where(F.col("month").isNotNull()).groupBy("month").agg(F.avg("amount").alias("_mm"))
-    gm = df.agg(F.avg("amount").alias("_gm"))
-    filled = (missing.join(F.broadcast(mm), "month", "left").crossJoin(F.broadcast(gm))
-              .select("month", F.coalesce("_mm", "_gm").alias("predicted"),
+    gm = A.scalar(df.agg(F.avg("amount").alias("_gm")), "_gm")
+    filled = (missing.join(F.broadcast(mm), "month", "left")
+              .select("month", F.coalesce(F.col("_mm"), gm).alias("predicted"),
                       F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper")))
     return (forecast.select("month", "predicted", "lower", "upper").withColumn("source", F.lit("model"))
             .unionByName(filled.withColumn("source", F.lit("filled"))))
@@ -127,6 +128,6 @@ def fallback_monthly(df: DataFrame) -> DataFrame:
     """ML-8: 12 months = mean order amount of that month, else global mean."""
     spark = df.sparkSession
     mm = df.where(F.col("month").isNotNull()).groupBy("month").agg(F.avg("amount").alias("_mm"))
-    gm = df.agg(F.avg("amount").alias("_gm"))
-    return (A.month_spine(spark).join(F.broadcast(mm), "month", "left").crossJoin(F.broadcast(gm))
-            .select("month", F.coalesce("_mm", "_gm").alias("predicted")))
+    gm = A.scalar(df.agg(F.avg("amount").alias("_gm")), "_gm")
+    return (A.month_spine(spark).join(F.broadcast(mm), "month", "left")
+            .select("month", F.coalesce(F.col("_mm"), gm).alias("predicted")))

@@ -88,21 +88,22 @@ class IsolationModel:
     n_trees: int
 
 
-def sample(df: DataFrame, value: str, n_trees: int, sample_size: int, seed: int) -> DataFrame:
-    """Step 1: (tree_id, x) rows, at most ``psi`` per tree."""
+def sample(df: DataFrame, value: str, n_trees: int, sample_size: int, seed: int,
+           n: int | None = None) -> DataFrame:
+    """Step 1: (tree_id, x) rows, at most ``psi`` per tree (``n`` = row count)."""
     cols = df.columns
     h = F.xxhash64(*[F.col(c) for c in cols], F.lit(seed))
     u = (h.bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / float(1 << 53))
     base = df.select(F.col(value).cast("double").alias("x"), u.alias("_u"))
-    n = F.broadcast(df.agg(F.count(F.lit(1)).alias("_n")))             # one row
-    psi = F.least(F.lit(sample_size), F.col("_n"))
-    rate = F.lit(2.0) * psi / F.col("_n")
+    n = df.count() if n is None else n
+    psi = min(sample_size, n)
+    rate = F.lit(2.0 * psi / max(n, 1))
     t_ids = F.sequence(F.lit(0), F.lit(n_trees - 1))
     pri = lambda t: F.col("_u") - t * PHI - F.floor(F.col("_u") - t * PHI)  # noqa: E731  frac(u - t*phi)
-    cand = (base.crossJoin(n)
-            .select("x", "_u", "_n", F.explode(F.filter(t_ids, lambda t: pri(t) < rate)).alias("tree_id"))
+    cand = (base
+            .select("x", "_u", F.explode(F.filter(t_ids, lambda t: pri(t) < rate)).alias("tree_id"))
             .withColumn("_pri", pri(F.col("tree_id")))
-            .withColumn("_psi", psi))
+            .withColumn("_psi", F.lit(psi)))
     w = Window.partitionBy("tree_id").orderBy("_pri", "x")
     return (cand.withColumn("_rk", F.row_number().over(w))
             .where(F.col("_rk") <= F.col("_psi")).select("tree_id", "x"))
@@ -114,7 +115,7 @@ def fit(df: DataFrame, value: str = "amount", n_trees: int = 100, sample_size: i
     parameter bound) is brought to the driver, as any fitted model is."""
     n = df.count()
     psi = int(min(sample_size, n))
-    s = sample(df, value, n_trees, sample_size, seed)
+    s = sample(df, value, n_trees, sample_size, seed, n)
     leaves = s.groupBy("tree_id").applyInPandas(
         _fit_group_factory(seed, psi), "tree_id int, lo double, hi double, path double")
     # step deltas at each finite upper bound of a leaf: next leaf's path - this one's

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import scalars as S
 from ..functions import text as X
+from ..operators import aggregates as A
 from ..operators import isolation as IF
 from ..operators import rules as R
 from ..operators.quantiles import exact_percentile_scalar
@@ -35,7 +36,7 @@ def quantile_flag(rows: DataFrame, p: Params, score_col: str = "amount") -> Data
     """ML-11 / FIL-8: ``is_anomaly`` = score > exact (1-c) quantile of the score;
     ``score`` = score - threshold (positive for anomalies)."""
     thr = exact_percentile_scalar(rows, score_col, [1.0 - p.contamination], ["_thr"], p.quantile_accuracy)
-    out = rows.crossJoin(F.broadcast(thr))                                   # one row
+    out = rows.withColumn("_thr", A.scalar(thr, "_thr"))
     return (out.withColumn("is_anomaly", F.coalesce(F.col(score_col) > F.col("_thr"), F.lit(False)))
             .withColumn("score", F.col(score_col) - F.col("_thr"))
             .withColumnRenamed("_thr", "threshold"))
@@ -94,8 +95,8 @@ def top_origin_share(flagged: DataFrame) -> DataFrame:
     g = flagged.where(F.col("is_anomaly") & F.col("origin").isNotNull()).groupBy("origin") \
         .agg(F.count(F.lit(1)).alias("n"))
     top = g.orderBy(F.col("n").desc(), F.col("origin").asc()).limit(1)
-    tot = flagged.agg(F.count_if("is_anomaly").alias("anomalies"))
-    return top.crossJoin(F.broadcast(tot)).select(
+    tot = A.scalar(flagged.agg(F.count_if("is_anomaly").alias("anomalies")), "anomalies")
+    return top.withColumn("anomalies", tot).select(
         "origin", F.col("n").alias("origin_anomalies"), "anomalies",
         F.when(F.col("anomalies") > 0, F.col("n") / F.col("anomalies")).alias("share"))
 
@@ -117,7 +118,7 @@ def context_projection(rows: DataFrame, st: DataFrame, context: bool = True) ->
     """PRJ-1 + SCA-12: report rows: date, origin, category, destination,
     amount, relative excess over the normal mean, score, detail[:200] and the
     request context ('N/A' for missing values)."""
-    r = rows.crossJoin(F.broadcast(st.select("mean_normal")))               # one row
+    r = rows.withColumn("mean_normal", A.scalar(st, "mean_normal"))
     cols = [
         F.col("order_date").cast("timestamp_ntz").alias("order_date"),
         _na("origin").alias("origin"), _na("category").alias("category"),
@@ -134,9 +135,8 @@ def context_projection(rows: DataFrame, st: DataFrame, context: bool = True) ->
 
 def alerts(flagged: DataFrame, st: DataFrame, p: Params) -> DataFrame:
     """RUL-3: many anomalies, an extreme maximum, concentration in one origin."""
-    share = top_origin_share(flagged)
-    # both sides have at most one row
-    one = st.join(F.broadcast(share.select("origin", "origin_anomalies")), how="left")
+    share = A.scalar(top_origin_share(flagged).select("origin", "origin_anomalies"))  # null if none
+    one = st.withColumn("origin", share["origin"]).withColumn("origin_anomalies", share["origin_anomalies"])
     n, mx, mn = F.col("anomalies"), F.col("max_anomalous"), F.col("mean_normal")
     o, on = F.col("origin"), F.col("origin_anomalies")
     rules = [

@@ -9,12 +9,12 @@ browser's ``toFixed`` differs only on exact binary ties.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import fixed
 from ..functions import text as X
+from ..operators import aggregates as A
 
 
 def _falsy_to_null(c):
@@ -42,9 +42,9 @@ def origin_pie(breakdown: DataFrame, n: int = 6) -> DataFrame:
 def stat_cards(headline: DataFrame, alerts: DataFrame) -> DataFrame:
     """EXT-3: the four stat cards of either mode, long form:
     (card_no, title, value, subtitle, trend, trend_text)."""
-    first = alerts.orderBy("alert_no").limit(1).select(F.col("severity").alias("_first_sev"))
-    cnt = alerts.agg(F.count(F.lit(1)).alias("_alerts"))
-    h = headline.crossJoin(F.broadcast(cnt)).join(F.broadcast(first), how="left")   # one row each
+    first = A.scalar(alerts.orderBy("alert_no").limit(1), "severity")          # null if no alert
+    cnt = A.scalar(alerts.agg(F.count(F.lit(1)).alias("_alerts")), "_alerts")
+    h = headline.withColumn("_alerts", cnt).withColumn("_first_sev", first)
     mon = F.col("mode") == fixed.MODE_MONITORING
     cols = set(headline.columns)
 

@@ -51,7 +51,7 @@ def headline(prepared: DataFrame, year: int, p: Params, budget: float | None = N
     ydf, hist = split_history(prepared, year)
     actual = ydf.agg(F.sum("amount").alias("actual"), F.count(F.lit(1)).alias("target_rows"))
     pred = A.predicted_annual_total(hist, p.trend_years, p.trend_divisor)
-    h = actual.crossJoin(F.broadcast(pred.select("predicted")))  # one row x one row
+    h = actual.withColumn("predicted", A.scalar(pred, "predicted"))
     b = F.lit(budget).cast("double")
     dev = F.col("actual") - F.col("predicted")
     proj = S.year_end_projection("actual", "predicted", F.lit(months_elapsed(year, p)), p.linear_weight)

@@ -69,9 +69,9 @@ def headline(prepared: DataFrame, total: DataFrame, p: Params, target_year: int,
     months of history (SCA-9, SCA-11, AGG-28)."""
     b = F.lit(budget).cast("double")
     diff, pct = S.budget_position(b, F.col("projected_total"))
-    hm = A.history_months(prepared)
+    hm = A.scalar(A.history_months(prepared), "history_months")
     lo, hi = S.interval_band("projected_total", p.year_band, intervals)
-    return total.crossJoin(F.broadcast(hm)).select(
+    return total.withColumn("history_months", hm).select(
         F.lit(target_year).cast("int").alias("year"), F.lit(fixed.MODE_PROJECTION).alias("mode"),
         "projected_total", lo.alias("lower"), hi.alias("upper"), b.alias("budget"),
         diff.alias("difference"), pct.alias("difference_pct"),
@@ -154,7 +154,7 @@ def dynamic_headline(report) -> DataFrame:
     """Common one-row view of either report: year, mode, total, reference
     total, budget, budget gap, alert count."""
     h = report.headline
-    n = F.broadcast(report.alerts.agg(F.count(F.lit(1)).alias("alerts")))
+    n = A.scalar(report.alerts.agg(F.count(F.lit(1)).alias("alerts")), "alerts")
     if "actual" in h.columns:
         v = h.select("year", "mode", F.col("actual").alias("total"), F.col("predicted").alias("reference_total"),
                      "budget", F.col("remaining").alias("budget_gap"))
@@ -162,4 +162,4 @@ def dynamic_headline(report) -> DataFrame:
         v = h.select("year", "mode", F.col("projected_total").alias("total"),
                      F.lit(None).cast("double").alias("reference_total"), "budget",
                      F.col("difference").alias("budget_gap"))
-    return v.crossJoin(n)
+    return v.withColumn("alerts", n)

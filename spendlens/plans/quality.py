@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from .. import fixed
 from ..functions import scalars as S
 from ..functions import text as X
+from ..operators import aggregates as A
 from ..operators import rules as R
 from ..params import Params
 
@@ -124,8 +125,8 @@ def examples(df: DataFrame, prof: DataFrame, limit: int = 10) -> DataFrame:
     t = t.select("_t.column_label", "_t.kind", *EXAMPLE_COLS)
     w = Window.partitionBy("column_label", "kind").orderBy(*[F.col(c).asc_nulls_first() for c in EXAMPLE_COLS])
     top = t.withColumn("example_no", F.row_number().over(w)).where(F.col("example_no") <= limit)
-    keep_neg = F.broadcast(prof.select((F.col("negatives") > 0).alias("_neg")))  # one row
-    top = top.crossJoin(keep_neg).where((F.col("kind") != fixed.PROBLEM_NEGATIVE) | F.col("_neg")).drop("_neg")
+    has_neg = A.scalar(prof, "negatives") > 0
+    top = top.where((F.col("kind") != fixed.PROBLEM_NEGATIVE) | has_neg)
     narrow = F.col("kind") == fixed.PROBLEM_NEGATIVE
     return top.select(
         "column_label", "kind", F.col("example_no").cast("int").alias("example_no"),
@@ -138,9 +139,8 @@ def examples(df: DataFrame, prof: DataFrame, limit: int = 10) -> DataFrame:
 
 def summary(prof: DataFrame, probs: DataFrame) -> DataFrame:
     """PRJ-2 (quality part): total, state, score, needs-cleaning, problem count."""
-    n = probs.agg(F.count(F.lit(1)).alias("problems"))
-    return prof.crossJoin(F.broadcast(n)).select(
-        F.col("rows").alias("total_rows"), "state", "score", "needs_cleaning", "problems")
+    n = A.scalar(probs.agg(F.count(F.lit(1)).alias("problems")), "problems")
+    return prof.select(F.col("rows").alias("total_rows"), "state", "score", "needs_cleaning", n.alias("problems"))
 
 
 class QualityReport:

@@ -34,7 +34,8 @@ def global_stats(df: DataFrame, p: Params) -> DataFrame:
     q = exact_percentile_scalar(df, "amount", [0.25, 0.75], ["q25", "q75"], p.quantile_accuracy)
     g = df.agg(F.avg("amount").alias("global_mean"), F.sum("amount").alias("total_spend"),
                F.count(F.lit(1)).alias("orders"))
-    return g.crossJoin(F.broadcast(q))
+    qs = A.scalar(q)
+    return g.withColumn("q25", qs["q25"]).withColumn("q75", qs["q75"])
 
 
 def top_categories_by_group(df: DataFrame, group_col: str, k: int = 3) -> DataFrame:
@@ -52,9 +53,9 @@ def origin_profile(df: DataFrame, stats: DataFrame) -> DataFrame:
     g = df.where(F.col("origin").isNotNull()).groupBy("origin").agg(
         F.sum("amount").alias("total"), F.avg("amount").alias("mean"),
         F.count(F.lit(1)).alias("orders"))
-    g = g.crossJoin(F.broadcast(stats.select("q25", "q75")))
-    cls = (F.when(F.col("mean") > F.col("q75"), fixed.ORIGIN_CLASS_HIGH)
-           .when(F.col("mean") < F.col("q25"), fixed.ORIGIN_CLASS_LOW)
+    q = A.scalar(stats.select("q25", "q75"))
+    cls = (F.when(F.col("mean") > q["q75"], fixed.ORIGIN_CLASS_HIGH)
+           .when(F.col("mean") < q["q25"], fixed.ORIGIN_CLASS_LOW)
            .otherwise(fixed.ORIGIN_CLASS_NORMAL))
     return g.select("origin", "total", "mean", "orders", cls.alias("spend_class"))
 
@@ -88,8 +89,8 @@ def recommendations(df: DataFrame, p: Params, stats: DataFrame | None = None,
     stats = stats if stats is not None else global_stats(df, p)
     origins = origins if origins is not None else origin_profile(df, stats)
     units = units if units is not None else unit_profile(df)
-    gmean = F.broadcast(stats.select("global_mean"))
-    p75 = F.broadcast(group_size_p75(df, p))
+    gmean = A.scalar(stats, "global_mean")
+    p75 = A.scalar(group_size_p75(df, p), "p75_orders")
     o, t, m, n = F.col("origin"), F.col("total"), F.col("mean"), F.col("orders")
 
     r1 = _rec_frame(
@@ -100,7 +101,7 @@ def recommendations(df: DataFrame, p: Params, stats: DataFrame | None = None,
         impact=X.template(fixed.REC1_IMPACT, saving=X.money(t * p.high_saving)),
         actions=F.array(*[F.lit(a) for a in fixed.REC1_ACTIONS]))
     r2 = _rec_frame(
-        origins.crossJoin(p75).where(n > F.col("p75_orders")), 2, o, t,
+        origins.where(n > p75), 2, o, t,
         title=X.template(fixed.REC2_TITLE, origin=o),
         description=X.template(fixed.REC2_DESC, origin=o, n=X.grouped_int(n)),
         priority=fixed.SEV_MEDIUM, area=fixed.REC2_AREA, impact=fixed.REC2_IMPACT,
@@ -108,7 +109,7 @@ def recommendations(df: DataFrame, p: Params, stats: DataFrame | None = None,
     top_units = units.orderBy(m.desc(), F.col("unit").asc()).limit(3)          # TOP-4
     u = F.col("unit")
     r3 = _rec_frame(
-        top_units.crossJoin(gmean).where(m > F.col("global_mean") * p.unit_mean_factor), 3, u, m,
+        top_units.where(m > gmean * p.unit_mean_factor), 3, u, m,
         title=X.template(fixed.REC3_TITLE, unit=u),
         description=X.template(fixed.REC3_DESC, unit=u, mean=X.money(m), total=X.money(t)),
         priority=fixed.SEV_HIGH, area=fixed.REC3_AREA,
@@ -156,7 +157,7 @@ OPP_FIELDS = [("kind", T.StringType()), ("dimension", T.StringType()), ("value",
 
 def small_orders(df: DataFrame, stats: DataFrame) -> DataFrame:
     """FIL-9: orders strictly below the 25th percentile of amount."""
-    return df.crossJoin(F.broadcast(stats.select("q25"))).where(F.col("amount") < F.col("q25")).drop("q25")
+    return df.where(F.col("amount") < A.scalar(stats, "q25"))
 
 
 def small_order_totals(df: DataFrame, stats: DataFrame) -> DataFrame:
@@ -181,8 +182,7 @@ def opportunities(df: DataFrame, p: Params, stats: DataFrame | None = None,
             cols.append(v.cast(dtype).alias(name))
         return src.select(*cols)
 
-    o1 = frame(origins.crossJoin(F.broadcast(stats.select("global_mean")))
-               .where(F.col("mean") > F.col("global_mean") * p.saving_mean_factor),
+    o1 = frame(origins.where(F.col("mean") > A.scalar(stats, "global_mean") * p.saving_mean_factor),
                kind=fixed.OPP1_KIND, dimension=fixed.OPP1_DIMENSION, value=o,
                description=X.template(fixed.OPP1_DESC, origin=o), spend=t,
                saving=t * p.origin_saving, saving_pct=round(p.origin_saving * 100.0, 10),
@@ -245,8 +245,8 @@ def period_spend_change(df: DataFrame, labels: Sequence[str], p: Params) -> Data
     g = tops.join(g, ["dimension", "value"], "left").select(
         "dimension", "value", F.coalesce("recent", F.lit(0.0)).alias("recent"),
         F.coalesce("prior", F.lit(0.0)).alias("prior"))
-    has = F.broadcast(period_parts(df, p).agg(F.count(F.lit(1)).alias("_np")))
-    g = g.crossJoin(has).where(F.col("_np") > 0).drop("_np")
+    has = A.scalar(period_parts(df, p).agg(F.count(F.lit(1)).alias("_np")), "_np")
+    g = g.where(has > 0)
     g = g.where(F.col("prior") != 0)
     chg = (F.col("recent") - F.col("prior")) / F.col("prior") * 100.0
     return g.select("dimension", "value", "recent", "prior", chg.alias("change_pct"),
@@ -269,7 +269,9 @@ def spend_summary(df: DataFrame, opps: DataFrame) -> DataFrame:
                F.avg("amount").alias("mean"))
     s = opps.agg(F.coalesce(F.sum("saving"), F.lit(0.0)).alias("saving"),
                  F.count(F.lit(1)).alias("opportunities"))
-    return g.crossJoin(F.broadcast(s)).withColumn(
+    sv = A.scalar(s)
+    g = g.withColumn("saving", sv["saving"]).withColumn("opportunities", sv["opportunities"])
+    return g.withColumn(
         "saving_pct", F.try_divide(F.col("saving"), F.col("total_spend")) * 100.0)
 
 
@@ -286,7 +288,7 @@ def executive_summary(df: DataFrame, recs: DataFrame, opps: DataFrame) -> DataFr
     nrec = recs.agg(F.count(F.lit(1)).alias("_nrec"))
     top = priority_actions(recs).withColumn("_i", F.row_number().over(Window.orderBy("rec_no")))
     items = top.agg(F.sort_array(F.collect_list(F.struct("_i", "title"))).alias("_items"))
-    one = summ.crossJoin(F.broadcast(nrec)).crossJoin(F.broadcast(items))
+    one = summ.withColumn("_nrec", A.scalar(nrec, "_nrec")).withColumn("_items", A.scalar(items, "_items"))
     item_lines = F.transform("_items", lambda x: F.concat(F.lit("\n   "), x["_i"].cast("string"),
                                                           F.lit(". "), x["title"]))
     head = F.concat_ws(
@@ -367,6 +369,7 @@ def quick_recommendations(df: DataFrame, p: Params) -> DataFrame:
     o3 = rep.opportunities.where(F.col("opp_no") <= 3).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("opp_no", "description"))),
                                  lambda x: x["description"]), " | ").alias("top_opportunities"))
-    return (n.crossJoin(F.broadcast(t5)).crossJoin(F.broadcast(o3))
-            .crossJoin(F.broadcast(rep.summary)))
+    return (n.withColumn("top_recommendations", A.scalar(t5, "top_recommendations"))
+            .withColumn("top_opportunities", A.scalar(o3, "top_opportunities"))
+            .withColumn("summary", A.scalar(rep.summary, "summary")))
 

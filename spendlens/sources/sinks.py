@@ -45,5 +45,5 @@ def report_document(headline: DataFrame, lists: dict[str, DataFrame], order: dic
     for name, df in lists.items():
         arr = df.agg(F.sort_array(F.collect_list(F.struct(F.col(order[name]).alias("_k"), F.struct(*df.columns).alias("v"))))
                      .alias("_a")).select(F.transform("_a", lambda x: x["v"]).alias(name))
-        out = out.crossJoin(F.broadcast(arr))
+        out = out.withColumn(name, arr.select(name).scalar())
     return out.select(F.to_json(F.struct(*out.columns)).alias("document"))

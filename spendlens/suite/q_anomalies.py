@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import aggregates as A
 from ..plans import anomalies as AN
 from ..sources import purchases as P
 from .core import PARAMS, base, r, register
@@ -142,9 +143,9 @@ SELECT st.*, (SELECT count(*) FROM ctx) AS top_rows, (SELECT count(*) FROM cbd)
 def anomaly_report(spark, sf):
     """REP-5 (quantile method): statistics plus the sizes of its sections."""
     rep = AN.anomaly_report(_year(spark, sf), PARAMS, "quantile")
-    c = lambda d, n: F.broadcast(d.agg(F.count(F.lit(1)).alias(n)))  # noqa: E731  one row each
-    return rep.stats.crossJoin(c(rep.top, "top_rows")).crossJoin(c(rep.by_dimension, "dimension_rows")) \
-        .crossJoin(c(rep.alerts, "alerts"))
+    c = lambda d: A.scalar(d.agg(F.count(F.lit(1)).alias("n")), "n")
+    return rep.stats.select("*", c(rep.top).alias("top_rows"), c(rep.by_dimension).alias("dimension_rows"),
+                            c(rep.alerts).alias("alerts"))
 
 
 @register("isolation_scores")

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import aggregates as A
 from ..operators import features as FE
 from ..operators import model as ML
 from ..plans import monitoring as M
@@ -66,8 +67,8 @@ def model_store_roundtrip(spark, sf):
     loaded = ML.load(path)
     enc = _encoded_slice(spark, sf)
     a = ML.predicted_total(ML.score(_trained(spark, sf), enc)).withColumnRenamed("projected_total", "before")
-    b = ML.predicted_total(ML.score(loaded, enc)).withColumnRenamed("projected_total", "after")
-    return a.crossJoin(b)
+    b = A.scalar(ML.predicted_total(ML.score(loaded, enc)), "projected_total")
+    return a.withColumn("after", b)
 
 
 @register("projection_headline_model")

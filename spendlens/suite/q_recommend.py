@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..operators import aggregates as A
 from ..plans import recommend as RC
 from ..sources import purchases as P
 from .core import PARAMS, YEAR, base, r, register
@@ -202,9 +203,10 @@ def scalar_broadcast(spark, sf):
     df = _rw(spark, sf)
     stats = RC.global_stats(df, PARAMS)
     o = RC.origin_profile(df, stats)
-    return (o.crossJoin(F.broadcast(stats.select("global_mean", "q25", "q75")))
-            .crossJoin(F.broadcast(RC.group_size_p75(df, PARAMS)))
-            .select("origin", "mean", "orders", "global_mean", "q25", "q75", "p75_orders"))
+    s = A.scalar(stats.select("global_mean", "q25", "q75"))
+    p75 = A.scalar(RC.group_size_p75(df, PARAMS), "p75_orders")
+    return o.select("origin", "mean", "orders", s["global_mean"].alias("global_mean"), s["q25"].alias("q25"),
+                    s["q75"].alias("q75"), p75.alias("p75_orders"))
 
 
 @register("recommendations", "SELECT * FROM recs", ctes=REC)
@@ -337,10 +339,10 @@ SELECT (SELECT count(*) FROM recs) AS recommendations, (SELECT count(*) FROM op2
 def recommendation_report(spark, sf):
     """REP-6: the report's section sizes and its summary (default dims + trends)."""
     rep = RC.recommendation_report(_rw(spark, sf), PARAMS, TREND_DIMS, include_trends=True)
-    c = lambda d, n: F.broadcast(d.agg(F.count(F.lit(1)).alias(n)))  # noqa: E731  one row each
-    return (c(rep.recommendations, "recommendations").crossJoin(c(rep.origins, "origins"))
-            .crossJoin(c(rep.units, "units")).crossJoin(c(rep.trends, "trends"))
-            .crossJoin(c(rep.opportunities, "opportunities")).crossJoin(F.broadcast(rep.summary)))
+    c = lambda d: A.scalar(d.agg(F.count(F.lit(1)).alias("n")), "n")
+    return rep.summary.select(c(rep.recommendations).alias("recommendations"), c(rep.origins).alias("origins"),
+                              c(rep.units).alias("units"), c(rep.trends).alias("trends"),
+                              c(rep.opportunities).alias("opportunities"), "summary")
 
 
 @register("recommendation_quick", """
