@@ -113,10 +113,19 @@ def column_medians(df: DataFrame, columns: Sequence[str], p: Params) -> DataFram
 
 
 def impute_medians(df: DataFrame, columns: Sequence[str], p: Params) -> DataFrame:
-    """SCA-6: null numeric values -> that column's median (one-row broadcast)."""
-    meds = A.scalar(column_medians(df, columns, p))
+    """SCA-6: null numeric values -> that column's exact median.
+
+    One partial-count pass finds the columns that have nulls; only those go
+    through the median job (medians of complete columns are never used).
+    The medians come back as one scalar subquery (no join).
+    """
+    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    need = [c for c in columns if nulls[c]]
+    if not need:
+        return df
+    meds = A.scalar(column_medians(df, need, p))
     out = df
-    for c in columns:
+    for c in need:
         out = out.withColumn(c, F.coalesce(F.col(c), meds[f"med_{c}"].cast(df.schema[c].dataType)))
     return out
 
