@@ -158,3 +158,11 @@ def scalar(one_row: DataFrame, col: str | None = None):
     if col is not None:
         return one_row.select(col).scalar()
     return one_row.select(F.struct(*one_row.columns)).scalar()
+
+
+def keep_small(df: DataFrame) -> DataFrame:
+    """Persist a frame whose size is bounded by construction (one-row
+    statistics, per-group profiles, top-k lists) because several outputs read
+    it; large fact slices are never persisted here."""
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -47,37 +47,69 @@ def latest_year_slice(prepared: DataFrame, target_year: int) -> DataFrame:
             .withColumn("year", F.lit(target_year).cast("int")))
 
 
-def category_stats(hist: DataFrame, p: Params) -> DataFrame:
+STAT_DIMENSIONS = ["category", "destination", "origin", "unit"]
+MEDIAN_DIMENSIONS = ["category", "destination"]     # the model uses these medians (+ the global one)
+ALL = "_all"
+
+
+def group_stats(hist: DataFrame, p: Params) -> DataFrame:
+    """AGG-9..13 in one pass: (dim, value, mean, std, median, n) for every
+    value of category, destination, origin and unit, plus the group of all
+    rows (dim = value = '_all') for the global median.
+
+    One unpivot feeds one partially-aggregated groupBy (means, std) and one
+    skew-safe quantile job for the medians the features use (category,
+    destination and all rows -- the all-rows group is hot by construction).
+    The result has one row per dimension value, not per purchase, and is kept
+    because the enrichment reads it four times.
+    """
+    cols = [F.col(c).cast("string").alias(c) for c in STAT_DIMENSIONS]
+    long = (hist.select(*cols, F.lit(ALL).alias(ALL), "amount")
+            .unpivot(ids=["amount"], values=STAT_DIMENSIONS + [ALL], variableColumnName="dim",
+                     valueColumnName="value")
+            .where(F.col("value").isNotNull()))
+    g = long.groupBy("dim", "value").agg(F.avg("amount").alias("mean"), F.stddev_samp("amount").alias("std"))
+    med = exact_percentiles(long.where(F.col("dim").isin(*MEDIAN_DIMENSIONS, ALL)), "amount", [0.5],
+                            by=["dim", "value"], names=["median"], accuracy=p.quantile_accuracy)
+    return A.keep_small(g.join(med.drop("n"), ["dim", "value"], "left"))
+
+
+def _stats_of(gs: DataFrame, dim: str, **names) -> DataFrame:
+    return gs.where(F.col("dim") == dim).select(F.col("value").alias(dim),
+                                                *[F.col(src).alias(dst) for dst, src in names.items()])
+
+
+def category_stats(hist: DataFrame, p: Params, gs: DataFrame | None = None) -> DataFrame:
     """AGG-9: mean, exact median and sample std of amount per category."""
-    g = hist.where(F.col("category").isNotNull()).groupBy("category").agg(
-        F.avg("amount").alias("cat_mean"), F.stddev_samp("amount").alias("cat_std"))
-    med = exact_percentiles(hist.where(F.col("category").isNotNull()), "amount", [0.5],
-                            by=["category"], names=["cat_median"], accuracy=p.quantile_accuracy)
-    return g.join(med.drop("n"), "category").select("category", "cat_mean", "cat_median", "cat_std")
+    gs = gs if gs is not None else group_stats(hist, p)
+    return _stats_of(gs, "category", cat_mean="mean", cat_median="median", cat_std="std")
 
 
-def destination_stats(hist: DataFrame, p: Params) -> DataFrame:
+def destination_stats(hist: DataFrame, p: Params, gs: DataFrame | None = None) -> DataFrame:
     """AGG-10: mean and exact median per destination."""
-    g = hist.where(F.col("destination").isNotNull()).groupBy("destination").agg(
-        F.avg("amount").alias("dest_mean"))
-    med = exact_percentiles(hist.where(F.col("destination").isNotNull()), "amount", [0.5],
-                            by=["destination"], names=["dest_median"], accuracy=p.quantile_accuracy)
-    return g.join(med.drop("n"), "destination").select("destination", "dest_mean", "dest_median")
+    gs = gs if gs is not None else group_stats(hist, p)
+    return _stats_of(gs, "destination", dest_mean="mean", dest_median="median")
 
 
-def origin_stats(hist: DataFrame) -> DataFrame:
+def origin_stats(hist: DataFrame, p: Params | None = None, gs: DataFrame | None = None) -> DataFrame:
     """AGG-11: mean per origin."""
-    return hist.where(F.col("origin").isNotNull()).groupBy("origin").agg(F.avg("amount").alias("origin_mean"))
+    if gs is None:
+        return hist.where(F.col("origin").isNotNull()).groupBy("origin").agg(F.avg("amount").alias("origin_mean"))
+    return _stats_of(gs, "origin", origin_mean="mean")
 
 
-def unit_stats(hist: DataFrame) -> DataFrame:
+def unit_stats(hist: DataFrame, p: Params | None = None, gs: DataFrame | None = None) -> DataFrame:
     """AGG-12: mean per unit."""
-    return hist.where(F.col("unit").isNotNull()).groupBy("unit").agg(F.avg("amount").alias("unit_mean"))
+    if gs is None:
+        return hist.where(F.col("unit").isNotNull()).groupBy("unit").agg(F.avg("amount").alias("unit_mean"))
+    return _stats_of(gs, "unit", unit_mean="mean")
 
 
-def global_median(hist: DataFrame, p: Params) -> DataFrame:
+def global_median(hist: DataFrame, p: Params, gs: DataFrame | None = None) -> DataFrame:
     """AGG-13: median amount (one row), used as the 'previous month' feature."""
-    return exact_percentile_scalar(hist, "amount", [0.5], ["prev_month_spend"], p.quantile_accuracy)
+    if gs is None:
+        return exact_percentile_scalar(hist, "amount", [0.5], ["prev_month_spend"], p.quantile_accuracy)
+    return gs.where(F.col("dim") == ALL).select(F.col("median").alias("prev_month_spend"))
 
 
 NUMERIC_FEATURES = [
@@ -90,13 +122,14 @@ NUMERIC_FEATURES = [
 
 def enrich(forecast: DataFrame, hist: DataFrame, p: Params) -> DataFrame:
     """JOIN-2..5 + SCA-5 + AGG-13: group statistics, ratios, lag feature."""
-    f = (forecast.join(category_stats(hist, p), "category", "left")
-         .join(destination_stats(hist, p), "destination", "left")
-         .join(origin_stats(hist), "origin", "left")
-         .join(unit_stats(hist), "unit", "left"))
+    gs = group_stats(hist, p)
+    f = (forecast.join(category_stats(hist, p, gs), "category", "left")
+         .join(destination_stats(hist, p, gs), "destination", "left")
+         .join(origin_stats(hist, p, gs), "origin", "left")
+         .join(unit_stats(hist, p, gs), "unit", "left"))
     f = f.withColumn("cat_ratio", S.spend_ratio("amount", "cat_mean"))
     f = f.withColumn("dest_ratio", S.spend_ratio("amount", "dest_mean"))
-    return f.withColumn("prev_month_spend", A.scalar(global_median(hist, p), "prev_month_spend"))
+    return f.withColumn("prev_month_spend", A.scalar(global_median(hist, p, gs), "prev_month_spend"))
 
 
 def column_medians(df: DataFrame, columns: Sequence[str], p: Params) -> DataFrame:
@@ -123,7 +156,7 @@ def impute_medians(df: DataFrame, columns: Sequence[str], p: Params) -> DataFram
     need = [c for c in columns if nulls[c]]
     if not need:
         return df
-    meds = A.scalar(column_medians(df, need, p))
+    meds = A.scalar(A.keep_small(column_medians(df, need, p)))     # one row
     out = df
     for c in need:
         out = out.withColumn(c, F.coalesce(F.col(c), meds[f"med_{c}"].cast(df.schema[c].dataType)))

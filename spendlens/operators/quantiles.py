@@ -18,10 +18,11 @@ task.  This operator keeps every per-group state bounded:
    ``percentile``, whose per-group state is then at most ``small_limit``
    values.
 
-Before planning, one scalar job reads the largest group size (a partial
-count aggregate, one number back to the driver).  When no group exceeds
-``small_limit`` only step 3 is planned -- one aggregation instead of the
-sketch, the window and their joins.
+Before planning, one job counts the rows per group (a partial count
+aggregate; the per-group counts are kept, one row per group) and reads the
+largest.  When no group exceeds ``small_limit`` only step 3 is planned -- one
+aggregation instead of the sketch, the window and their joins; otherwise the
+sketch is built for the large groups only.
 
 Result: one row per group with ``n`` and one column per probability.
 """
@@ -64,13 +65,19 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
             out = out.drop("_g")
         return out.withColumnRenamed("_n", "n")
 
+    counts = None
     if adaptive:
-        max_n = vals.groupBy(*key_cols).count().agg(F.max("count")).first()[0]
+        from .aggregates import keep_small
+        counts = keep_small(vals.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_n")))  # one row per group
+        max_n = counts.agg(F.max("_n")).first()[0]
         if max_n is None or max_n <= small_limit:
             return finish(small_path(None))
 
     fr = [max(p - eps, 0.0) for p in probs] + [min(p + eps, 1.0) for p in probs]
-    sk = vals.groupBy(*key_cols).agg(
+    sk_rows = vals
+    if counts is not None:   # sketch only the groups above the exact bound
+        sk_rows = vals.join(counts.where(F.col("_n") > small_limit).select(*key_cols), key_cols, "left_semi")
+    sk = sk_rows.groupBy(*key_cols).agg(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", F.array(*[F.lit(x) for x in fr]), accuracy).alias("_b"),
     )
@@ -84,7 +91,7 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
         bounds = F.broadcast(bounds)  # one row: proven bound
 
     # ---- small groups: exact built-in percentile, state <= small_limit values
-    small_keys = sk.where(F.col("_n") <= small_limit).select(*key_cols)
+    small_keys = (counts if counts is not None else sk).where(F.col("_n") <= small_limit).select(*key_cols)
     if not by:
         small_keys = F.broadcast(small_keys)
     small = small_path(small_keys)

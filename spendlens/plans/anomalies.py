@@ -35,7 +35,8 @@ def clean(df: DataFrame) -> DataFrame:
 def quantile_flag(rows: DataFrame, p: Params, score_col: str = "amount") -> DataFrame:
     """ML-11 / FIL-8: ``is_anomaly`` = score > exact (1-c) quantile of the score;
     ``score`` = score - threshold (positive for anomalies)."""
-    thr = exact_percentile_scalar(rows, score_col, [1.0 - p.contamination], ["_thr"], p.quantile_accuracy)
+    thr = A.keep_small(exact_percentile_scalar(rows, score_col, [1.0 - p.contamination], ["_thr"],
+                                               p.quantile_accuracy))                 # one row
     out = rows.withColumn("_thr", A.scalar(thr, "_thr"))
     return (out.withColumn("is_anomaly", F.coalesce(F.col(score_col) > F.col("_thr"), F.lit(False)))
             .withColumn("score", F.col(score_col) - F.col("_thr"))
@@ -170,7 +171,7 @@ class AnomalyReport:
 
     @functools.cached_property
     def stats(self) -> DataFrame:
-        return stats(self.flagged)
+        return A.keep_small(stats(self.flagged))                             # one row
 
     @functools.cached_property
     def top(self) -> DataFrame:

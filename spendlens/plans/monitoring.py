@@ -140,7 +140,7 @@ class MonitoringReport:
 
     @functools.cached_property
     def headline(self) -> DataFrame:
-        return headline(self.prepared, self.year, self.p, self.budget)
+        return A.keep_small(headline(self.prepared, self.year, self.p, self.budget))   # one row
 
     @functools.cached_property
     def monthly(self) -> DataFrame:

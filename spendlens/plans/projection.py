@@ -110,9 +110,10 @@ class ProjectionReport:
     @functools.cached_property
     def total(self) -> DataFrame:
         if self.method == "naive":
-            return naive_total(self.features, self.p)
+            return A.keep_small(naive_total(self.features, self.p))
         from ..operators import model as ML
-        return ML.predicted_total(ML.score(self.model, FE.encode_categories(self.prepared, self.features)))
+        return A.keep_small(ML.predicted_total(ML.score(self.model, FE.encode_categories(self.prepared,
+                                                                                          self.features))))
 
     @functools.cached_property
     def headline(self) -> DataFrame:

@@ -151,7 +151,7 @@ class QualityReport:
 
     @functools.cached_property
     def profile(self) -> DataFrame:
-        return profile(self.df, self.p)
+        return A.keep_small(profile(self.df, self.p))                        # one row
 
     @functools.cached_property
     def null_counts(self) -> DataFrame:

@@ -315,17 +315,19 @@ class RecommendationReport:
                  include_trends: bool = True):
         self.df, self.p, self.dimensions, self.include_trends = df, p, list(dimensions), include_trends
 
+    # one row / one row per origin or unit / <= 10 / <= 5 rows: kept because
+    # several tables read them
     @functools.cached_property
     def stats(self) -> DataFrame:
-        return global_stats(self.df, self.p)
+        return A.keep_small(global_stats(self.df, self.p))
 
     @functools.cached_property
     def origins(self) -> DataFrame:
-        return origin_profile(self.df, self.stats)
+        return A.keep_small(origin_profile(self.df, self.stats))
 
     @functools.cached_property
     def units(self) -> DataFrame:
-        return unit_profile(self.df)
+        return A.keep_small(unit_profile(self.df))
 
     @functools.cached_property
     def origin_top_categories(self) -> DataFrame:
@@ -337,11 +339,11 @@ class RecommendationReport:
 
     @functools.cached_property
     def recommendations(self) -> DataFrame:
-        return recommendations(self.df, self.p, self.stats, self.origins, self.units)
+        return A.keep_small(recommendations(self.df, self.p, self.stats, self.origins, self.units))
 
     @functools.cached_property
     def opportunities(self) -> DataFrame:
-        return opportunities(self.df, self.p, self.stats, self.origins)
+        return A.keep_small(opportunities(self.df, self.p, self.stats, self.origins))
 
     @functools.cached_property
     def trends(self) -> DataFrame | None:

@@ -140,6 +140,12 @@ def _rw(spark, sf, quick=False):
     return P.recommendation_window(base(spark, sf), YEAR, PARAMS, quick=quick)
 
 
+def _rep(spark, sf, quick=False):
+    """The report object: global statistics and profiles are planned once and
+    shared by its tables."""
+    return RC.recommendation_report(_rw(spark, sf, quick), PARAMS, TREND_DIMS)
+
+
 def _recs_out(recs):
     return recs.select("rec_no", "rule_no", "title", "description", "priority", "area", "impact",
                        F.array_join("actions", " | ").alias("actions"))
@@ -148,7 +154,7 @@ def _recs_out(recs):
 @register("amount_quartiles", "SELECT q25, q75 FROM gs", ctes=REC, rounding=r("q25, q75", 6))
 def amount_quartiles(spark, sf):
     """AGG-15: q25 and q75 of amount (linear interpolation), skew-safe exact."""
-    return RC.global_stats(_rw(spark, sf), PARAMS).select("q25", "q75")
+    return _rep(spark, sf).stats.select("q25", "q75")
 
 
 @register("group_size_p75", "SELECT p75_orders FROM p75", ctes=REC, rounding=r("p75_orders", 6))
@@ -160,8 +166,7 @@ def group_size_p75(spark, sf):
 @register("origin_profile", "SELECT * FROM op2", ctes=REC, rounding=r("total") | r("mean", 6))
 def origin_profile(spark, sf):
     """AGG-17: per origin total, mean, orders, spend class."""
-    df = _rw(spark, sf)
-    return RC.origin_profile(df, RC.global_stats(df, PARAMS))
+    return _rep(spark, sf).origins
 
 
 @register("unit_profile", "SELECT * FROM up", ctes=REC, rounding=r("total") | r("mean", 6))
@@ -212,7 +217,7 @@ def scalar_broadcast(spark, sf):
 @register("recommendations", "SELECT * FROM recs", ctes=REC)
 def recommendations(spark, sf):
     """RUL-6 (+TOP-8): first 10 recommendations in rule order (actions joined by ' | ')."""
-    return _recs_out(RC.recommendations(_rw(spark, sf), PARAMS))
+    return _recs_out(_rep(spark, sf).recommendations)
 
 
 @register("top_categories", "SELECT * FROM tc", ctes=REC, rounding=r("total"))
@@ -230,44 +235,43 @@ def top_units_by_mean(spark, sf):
 @register("priority_actions", "SELECT rec_no, title FROM pa", ctes=REC)
 def priority_actions(spark, sf):
     """TOP-9: first 3 recommendations of severity critical/high."""
-    return RC.priority_actions(RC.recommendations(_rw(spark, sf), PARAMS))
+    return RC.priority_actions(_rep(spark, sf).recommendations)
 
 
 @register("small_orders", "SELECT request_line, amount FROM rw, gs WHERE amount < q25",
           ctes=REC, rounding=r("amount"))
 def small_orders(spark, sf):
     """FIL-9: orders strictly below q25."""
-    df = _rw(spark, sf)
-    return RC.small_orders(df, RC.global_stats(df, PARAMS)).select("request_line", "amount")
+    rep = _rep(spark, sf)
+    return RC.small_orders(rep.df, rep.stats).select("request_line", "amount")
 
 
 @register("small_order_totals", "SELECT * FROM so", ctes=REC, rounding=r("small_spend"))
 def small_order_totals(spark, sf):
     """AGG-31: count and spend of the small orders."""
-    df = _rw(spark, sf)
-    return RC.small_order_totals(df, RC.global_stats(df, PARAMS))
+    rep = _rep(spark, sf)
+    return RC.small_order_totals(rep.df, rep.stats)
 
 
 @register("savings_opportunities", "SELECT * FROM opps", ctes=REC,
           rounding=r("spend") | r("saving, saving_pct", 6))
 def savings_opportunities(spark, sf):
     """RUL-8 (+TOP-7): expensive origins and small orders, top 5 by saving."""
-    return RC.opportunities(_rw(spark, sf), PARAMS)
+    return _rep(spark, sf).opportunities
 
 
 @register("spend_summary", "SELECT total_spend, orders, mean, saving, opportunities, saving_pct FROM spend",
           ctes=REC, rounding=r("total_spend") | r("mean, saving, saving_pct", 6))
 def spend_summary(spark, sf):
     """AGG-32: total, orders, mean, saving and saving % of spend."""
-    df = _rw(spark, sf)
-    return RC.spend_summary(df, RC.opportunities(df, PARAMS))
+    rep = _rep(spark, sf)
+    return RC.spend_summary(rep.df, rep.opportunities)
 
 
 @register("executive_summary", "SELECT summary FROM summ", ctes=REC)
 def executive_summary(spark, sf):
     """RUL-7 (+SCA-18): executive summary text."""
-    df = _rw(spark, sf)
-    return RC.executive_summary(df, RC.recommendations(df, PARAMS), RC.opportunities(df, PARAMS))
+    return _rep(spark, sf).summary
 
 
 @register("money_text", """
@@ -276,8 +280,8 @@ SELECT format('{:,.2f}', total_spend) AS total_text, format('{:,}', orders) AS o
 def money_text(spark, sf):
     """SCA-18: money, grouped-integer and percent text of the spend summary."""
     from ..functions import text as X
-    df = _rw(spark, sf)
-    s = RC.spend_summary(df, RC.opportunities(df, PARAMS))
+    rep = _rep(spark, sf)
+    s = RC.spend_summary(rep.df, rep.opportunities)
     return s.select(X.money("total_spend").alias("total_text"), X.grouped_int("orders").alias("orders_text"),
                     X.fixed_n("saving_pct", 2).alias("saving_pct_text"))
 
