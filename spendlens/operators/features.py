@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import scalars as S
 from ..params import Params
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 from . import aggregates as A
 from .quantiles import exact_percentile_scalar, exact_percentiles
 
@@ -167,11 +167,10 @@ def feature_frame(prepared: DataFrame, target_year: int, p: Params) -> DataFrame
     """ML-2: the latest-year slice re-dated to the target, with the 26
     features (strings still unencoded) and the amount."""
     f = enrich(latest_year_slice(prepared, target_year), prepared, p)
-    # The enriched slice is read several times (medians of every column, then
-    # the imputation); materialise it once in the shared checkpoint folder so
-    # the statistics are not recomputed and the lineage stays short.
-    ensure_checkpoint_dir(f.sparkSession)
-    f = f.checkpoint(eager=True)
+    # The enriched slice is read several times (null counts, medians, the
+    # imputation); write it once to the shared checkpoint folder so the
+    # statistics are not recomputed and the lineage stays short.
+    f = materialize(f, "feature-slice")
     f = impute_medians(f, NUMERIC_FEATURES, p)
     return f.select("request_line", *fixed.FEATURES, "amount")
 
@@ -182,11 +181,12 @@ def label_index(labels: DataFrame, col: str) -> DataFrame:
     Distributed: the labels are range-sorted, each row gets a partition-local
     position from ``monotonically_increasing_id`` and a per-partition offset
     from the (bounded: one row per partition) counts.  The sorted labels are
-    checkpointed first so positions are stable if a task is retried.
+    written to the shared folder first so positions are stable if a task is
+    retried.
     """
-    ensure_checkpoint_dir(labels.sparkSession)
     distinct = labels.select(F.col(col).cast("string").alias("label")).where(F.col("label").isNotNull()).distinct()
-    ranked = distinct.orderBy("label").withColumn("_id", F.monotonically_increasing_id()).checkpoint(eager=True)
+    ranked = materialize(distinct.orderBy("label").withColumn("_id", F.monotonically_increasing_id()),
+                         f"labels-{col}")
     mask = (1 << 33) - 1
     with_pid = ranked.withColumn("_pid", F.shiftright("_id", 33)).withColumn("_pos", F.col("_id").bitwiseAND(F.lit(mask)))
     counts = with_pid.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))

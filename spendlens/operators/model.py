@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..params import Params
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 from . import features as FE
 
 LEAKING = ("cat_ratio", "dest_ratio")
@@ -34,14 +34,14 @@ def feature_columns(drop_leaking: bool = True) -> list[str]:
 def training_frame(prepared: DataFrame, p: Params) -> DataFrame:
     """All prepared history rows with the 26 features (encoded), label = amount.
 
-    Materialised with a reliable checkpoint: boosting reads it once per
-    iteration, and the lineage (statistics, medians, encoders) is long.
+    Written to the shared checkpoint folder (twice: before imputation and
+    after encoding): boosting reads it once per iteration, and the lineage
+    (statistics, medians, encoders) is long.
     """
     f = FE.enrich(prepared.where(F.col("year").isNotNull()), prepared, p)
-    ensure_checkpoint_dir(f.sparkSession)
-    f = f.checkpoint(eager=True)
+    f = materialize(f, "training-enriched")
     f = FE.impute_medians(f, FE.NUMERIC_FEATURES, p).select("request_line", *fixed.FEATURES, "amount")
-    return FE.encode_categories(prepared, f).checkpoint(eager=True)
+    return materialize(FE.encode_categories(prepared, f), "training-frame")
 
 
 def pipeline(drop_leaking: bool = True, max_iter: int = 20, max_depth: int = 5, seed: int = 42) -> Pipeline:

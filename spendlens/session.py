@@ -50,3 +50,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as a Parquet table in the shared checkpoint folder and
+    return it read back.
+
+    Cuts the lineage like a reliable checkpoint (a lost executor re-reads
+    files instead of recomputing), computes the plan only once (an eager
+    ``checkpoint()`` runs it twice: count, then write), and later readers get
+    column pruning and filter pushdown on the written files.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/materialized/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
