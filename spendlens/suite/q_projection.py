@@ -10,6 +10,7 @@ from ..functions import scalars as S
 from ..operators import features as FE
 from ..operators import forecast as FC
 from ..plans import projection as PR
+from ..session import materialize
 from ..sources import purchases as P
 from . import q_monitoring as QM
 from .core import ALL_DIMS, BUDGET, NEXT_YEAR, PARAMS, PROJ_BUDGET, YEAR, base, r, register
@@ -228,9 +229,7 @@ def global_median(spark, sf):
           rounding={f"med_{c}": 6 for c in FE.NUMERIC_FEATURES})
 def column_medians(spark, sf):
     """AGG-14: exact median of every numeric column of the enriched slice."""
-    p = _prep(spark, sf)
-    f = FE.enrich(FE.latest_year_slice(p, NEXT_YEAR), p, PARAMS)
-    return FE.column_medians(f, FE.NUMERIC_FEATURES, PARAMS)
+    return FE.column_medians(_enriched_written(spark, sf), FE.NUMERIC_FEATURES, PARAMS)
 
 
 def _enriched(spark, sf):
@@ -238,6 +237,11 @@ def _enriched(spark, sf):
     return FE.enrich(FE.latest_year_slice(p, NEXT_YEAR), p, PARAMS)
 
 
+def _enriched_written(spark, sf):
+    """The enriched slice written once to the shared folder (read several times)."""
+    return materialize(_enriched(spark, sf), "feature-slice")
+
+
 @register("enrich_category_stats", "SELECT request_line, category, cat_mean, cat_median, cat_std FROM fe",
           ctes=FEAT, rounding=r("cat_mean, cat_median, cat_std", 6))
 def enrich_category_stats(spark, sf):
@@ -279,7 +283,7 @@ FROM imp""", ctes=FEAT, rounding=r("cat_mean, cat_median, cat_std, dest_mean, de
 def impute_medians(spark, sf):
     """SCA-6: nulls replaced by the column's exact median."""
     cols = ["cat_mean", "cat_median", "cat_std", "dest_mean", "dest_median", "unit_mean", "cat_ratio", "dest_ratio"]
-    return FE.impute_medians(_enriched(spark, sf), FE.NUMERIC_FEATURES, PARAMS).select("request_line", *cols)
+    return FE.impute_medians(_enriched_written(spark, sf), FE.NUMERIC_FEATURES, PARAMS).select("request_line", *cols)
 
 
 @register("feature_frame", "SELECT * FROM feat", ctes=FEAT, rounding=_FEAT_R)
