@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from .. import fixed
 from ..plans import anomalies as AN
