@@ -15,7 +15,6 @@ map-side partial sums.
 
 from __future__ import annotations
 
-import datetime as _dt
 from typing import Any, Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -115,8 +114,9 @@ def read_staged(spark, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*PURCHASES_COLUMNS)
 
 
-def _year_bounds(y0: int, y1: int) -> tuple[_dt.datetime, _dt.datetime]:
-    return _dt.datetime(y0, 1, 1), _dt.datetime(y1 + 1, 1, 1)
+def _year_bounds(y0: int, y1: int) -> tuple[str, str]:
+    # text literals cast to timestamp_ntz: independent of any time zone setting
+    return f"{y0:04d}-01-01 00:00:00", f"{y1 + 1:04d}-01-01 00:00:00"
 
 
 def years_between(purchases: DataFrame, y0: int, y1: int) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from .. import fixed
 from ..plans import anomalies as AN
 from ..plans import extracts as E
