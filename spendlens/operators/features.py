@@ -70,7 +70,7 @@ def group_stats(hist: DataFrame, p: Params) -> DataFrame:
             .where(F.col("value").isNotNull()))
     g = long.groupBy("dim", "value").agg(F.avg("amount").alias("mean"), F.stddev_samp("amount").alias("std"))
     med = exact_percentiles(long.where(F.col("dim").isin(*MEDIAN_DIMENSIONS, ALL)), "amount", [0.5],
-                            by=["dim", "value"], names=["median"], accuracy=p.quantile_accuracy)
+                            by=["dim", "value"], names=["median"], accuracy=p.quantile_accuracy, exact=p.exact_quantiles)
     return A.keep_small(g.join(med.drop("n"), ["dim", "value"], "left"))
 
 
@@ -108,7 +108,7 @@ def unit_stats(hist: DataFrame, p: Params | None = None, gs: DataFrame | None =
 def global_median(hist: DataFrame, p: Params, gs: DataFrame | None = None) -> DataFrame:
     """AGG-13: median amount (one row), used as the 'previous month' feature."""
     if gs is None:
-        return exact_percentile_scalar(hist, "amount", [0.5], ["prev_month_spend"], p.quantile_accuracy)
+        return exact_percentile_scalar(hist, "amount", [0.5], ["prev_month_spend"], p.quantile_accuracy, exact=p.exact_quantiles)
     return gs.where(F.col("dim") == ALL).select(F.col("median").alias("prev_month_spend"))
 
 
@@ -140,7 +140,7 @@ def column_medians(df: DataFrame, columns: Sequence[str], p: Params) -> DataFram
     """
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         ids=[], values=list(columns), variableColumnName="_col", valueColumnName="_val")
-    med = exact_percentiles(long, "_val", [0.5], by=["_col"], names=["_med"], accuracy=p.quantile_accuracy)
+    med = exact_percentiles(long, "_val", [0.5], by=["_col"], names=["_med"], accuracy=p.quantile_accuracy, exact=p.exact_quantiles)
     wide = med.groupBy().pivot("_col", list(columns)).agg(F.first("_med"))
     return wide.select(*[F.col(c).alias(f"med_{c}") for c in columns])
 

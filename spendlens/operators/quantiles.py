@@ -38,7 +38,9 @@ from pyspark.sql import functions as F
 def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
                       by: Sequence[str] = (), names: Sequence[str] | None = None,
                       accuracy: int = 100_000, small_limit: int | None = None,
-                      adaptive: bool = True) -> DataFrame:
+                      adaptive: bool = True, exact: bool = True) -> DataFrame:
+    """See the module docstring.  ``exact=False`` returns the sketch values
+    (``percentile_approx``, rank error <= n / accuracy) in one aggregation."""
     by = list(by)
     probs = [float(p) for p in probs]
     k = len(probs)
@@ -65,6 +67,13 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
             out = out.drop("_g")
         return out.withColumnRenamed("_n", "n")
 
+    if not exact:
+        approx = (vals.groupBy(*key_cols)
+                  .agg(F.count(F.lit(1)).alias("_n"),
+                       F.percentile_approx("_v", F.array(*[F.lit(p) for p in probs]), accuracy).alias("_q"))
+                  .select(*key_cols, "_n", *[F.col("_q")[i].cast("double").alias(names[i]) for i in range(k)]))
+        return finish(approx)
+
     counts = None
     if adaptive:
         from .aggregates import keep_small
@@ -143,9 +152,9 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
 
 
 def exact_percentile_scalar(df: DataFrame, value: str, probs: Sequence[float],
-                            names: Sequence[str], accuracy: int = 100_000) -> DataFrame:
+                            names: Sequence[str], accuracy: int = 100_000, exact: bool = True) -> DataFrame:
     """Global quantiles as a one-row frame (zero rows in -> one row of nulls)."""
-    q = exact_percentiles(df, value, probs, names=names, accuracy=accuracy)
+    q = exact_percentiles(df, value, probs, names=names, accuracy=accuracy, exact=exact)
     one = df.sparkSession.range(1).select(F.lit(1).alias("_one"))
     q = q.withColumn("_one", F.lit(1))
     return one.join(F.broadcast(q), "_one", "left").drop("_one", "n")

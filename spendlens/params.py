@@ -59,8 +59,9 @@ class Params:
     max_trends: int = 10
     # data quality
     example_limit: int = 10
-    # quantiles
+    # quantiles: exact (skew-safe) by default; False = sketch only (percentile_approx)
     quantile_accuracy: int = 100_000
+    exact_quantiles: bool = True
 
     def replace(self, **kw) -> "Params":
         return dataclasses.replace(self, **kw)

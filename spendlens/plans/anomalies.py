@@ -36,7 +36,7 @@ def quantile_flag(rows: DataFrame, p: Params, score_col: str = "amount") -> Data
     """ML-11 / FIL-8: ``is_anomaly`` = score > exact (1-c) quantile of the score;
     ``score`` = score - threshold (positive for anomalies)."""
     thr = A.keep_small(exact_percentile_scalar(rows, score_col, [1.0 - p.contamination], ["_thr"],
-                                               p.quantile_accuracy))                 # one row
+                                               p.quantile_accuracy, exact=p.exact_quantiles))                 # one row
     out = rows.withColumn("_thr", A.scalar(thr, "_thr"))
     return (out.withColumn("is_anomaly", F.coalesce(F.col(score_col) > F.col("_thr"), F.lit(False)))
             .withColumn("score", F.col(score_col) - F.col("_thr"))

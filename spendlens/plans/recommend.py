@@ -31,7 +31,7 @@ REC_FIELDS = [("title", T.StringType()), ("description", T.StringType()), ("prio
 
 def global_stats(df: DataFrame, p: Params) -> DataFrame:
     """AGG-15 + global mean/total/count: one row."""
-    q = exact_percentile_scalar(df, "amount", [0.25, 0.75], ["q25", "q75"], p.quantile_accuracy)
+    q = exact_percentile_scalar(df, "amount", [0.25, 0.75], ["q25", "q75"], p.quantile_accuracy, exact=p.exact_quantiles)
     g = df.agg(F.avg("amount").alias("global_mean"), F.sum("amount").alias("total_spend"),
                F.count(F.lit(1)).alias("orders"))
     qs = A.scalar(q)
@@ -70,7 +70,7 @@ def unit_profile(df: DataFrame) -> DataFrame:
 def group_size_p75(df: DataFrame, p: Params) -> DataFrame:
     """AGG-16: 75th percentile of the number of orders per origin (one row)."""
     sizes = df.where(F.col("origin").isNotNull()).groupBy("origin").agg(F.count(F.lit(1)).alias("n"))
-    return exact_percentile_scalar(sizes, "n", [0.75], ["p75_orders"], p.quantile_accuracy)
+    return exact_percentile_scalar(sizes, "n", [0.75], ["p75_orders"], p.quantile_accuracy, exact=p.exact_quantiles)
 
 
 def _rec_frame(df: DataFrame, rule_no: int, key: Column, metric: Column, **fields) -> DataFrame:

@@ -61,11 +61,14 @@ def filter_extra_equals(df: DataFrame, extra: Mapping[str, Any] | None = None) -
     return df
 
 
-def join_catalogue(fact: DataFrame, catalogue: DataFrame, dedupe_catalogue: bool = False) -> DataFrame:
+def join_catalogue(fact: DataFrame, catalogue: DataFrame, dedupe_catalogue: bool = False,
+                   normalise_keys: bool = False) -> DataFrame:
     """JOIN-1: LEFT equi-join on cost_center = cost_center_id AND company = unit.
 
     Duplicate catalogue rows fan out (as in the reference) unless
-    ``dedupe_catalogue`` keeps one row per key.  No broadcast hint: the
+    ``dedupe_catalogue`` keeps one row per key.  ``normalise_keys`` compares
+    the text key like a case-insensitive collation that ignores trailing
+    spaces (upper + rtrim on both sides).  No broadcast hint: the
     catalogue's size is not bounded by contract, so AQE decides at runtime
     from its measured size.
     """
@@ -74,21 +77,27 @@ def join_catalogue(fact: DataFrame, catalogue: DataFrame, dedupe_catalogue: bool
     d = catalogue.select(
         F.col("cost_center_id").alias("_cc"), F.col("unit").alias("_un"),
         "unit", "destination", "level6", "level7", "level8", "nature")
-    j = fact.join(d, (fact["cost_center"] == d["_cc"]) & (fact["company"] == d["_un"]), "left")
+    if normalise_keys:
+        d = d.withColumn("_un", F.upper(F.rtrim("_un")))
+        fkey = F.upper(F.rtrim(fact["company"]))
+    else:
+        fkey = fact["company"]
+    j = fact.join(d, (fact["cost_center"] == d["_cc"]) & (fkey == d["_un"]), "left")
     return j.drop("_cc", "_un")
 
 
 def base_purchases(purchases_raw: DataFrame, catalogue: DataFrame,
                    start: Any = None, end: Any = None,
                    origin: str | None = None, company: str | None = None,
-                   extra: Mapping[str, Any] | None = None, dedupe_catalogue: bool = False) -> DataFrame:
+                   extra: Mapping[str, Any] | None = None, dedupe_catalogue: bool = False,
+                   normalise_keys: bool = False) -> DataFrame:
     """SRC-1: filtered fact LEFT JOIN catalogue, SUM(amount) over 22 keys."""
     fact = conform(purchases_raw, PURCHASES_RAW, "purchases_raw")
     cat = conform(catalogue, CATALOGUE, "catalogue")
     fact = filter_date_between(fact, start, end)
     fact = filter_origin_company(fact, origin, company)
     fact = filter_extra_equals(fact, extra)
-    joined = join_catalogue(fact, cat, dedupe_catalogue)
+    joined = join_catalogue(fact, cat, dedupe_catalogue, normalise_keys)
     keys = FACT_KEYS + ["unit", "destination", "level6", "level7", "level8", "nature"]
     grouped = joined.groupBy(*keys).agg(F.sum("amount").alias("amount"))
     grouped = grouped.withColumn("request_line", S.concat_request_line("request_id", "line_no"))

@@ -64,3 +64,14 @@ def test_schema_contract_rejects_missing_columns(spark):
     cat = spark.createDataFrame([(1, "u")], "cost_center_id int, unit string")
     with pytest.raises(SchemaError):
         P.base_purchases(raw, cat)
+
+
+def test_catalogue_key_normalisation(spark):
+    fact = spark.createDataFrame([(1, "acme ", 5.0)], "cost_center int, company string, amount double")
+    cat = spark.createDataFrame([(1, "ACME", "north"), (1, "ACME", "north")],
+                                "cost_center_id int, unit string, destination string")
+    for c in ["level6", "level7", "level8", "nature"]:
+        cat = cat.withColumn(c, F.lit(None).cast("string"))
+    assert P.join_catalogue(fact, cat).where("destination is not null").count() == 0
+    assert P.join_catalogue(fact, cat, normalise_keys=True).count() == 2          # duplicates fan out
+    assert P.join_catalogue(fact, cat, dedupe_catalogue=True, normalise_keys=True).count() == 1

@@ -62,3 +62,16 @@ def test_scalar_on_empty_input(spark):
     df = spark.createDataFrame([], "v double")
     got = exact_percentile_scalar(df, "v", [0.5], ["m"]).collect()
     assert len(got) == 1 and got[0]["m"] is None
+
+
+def test_sketch_only_mode_is_close(spark, data):
+    rows, df = data
+    want = expected(rows)
+    got = exact_percentiles(df, "v", [0.5], by=["g"], exact=False, accuracy=10_000).collect()
+    for r in got:
+        n, q = want[r["g"]]
+        v = np.sort([x[1] for x in rows if x[0] == r["g"] and x[1] is not None and not np.isnan(x[1])])
+        # the sketch value is an observed value within rank error n / accuracy of the median
+        lo, hi = np.searchsorted(v, r["q0"], side="left"), np.searchsorted(v, r["q0"], side="right")
+        err = n / 10_000 + 1
+        assert lo - err <= 0.5 * (n - 1) <= hi + err
