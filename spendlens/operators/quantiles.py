@@ -22,13 +22,17 @@ Before planning, one job counts the rows per group (a partial count
 aggregate; the per-group counts are kept, one row per group) and reads the
 largest.  When no group exceeds ``small_limit`` only step 3 is planned -- one
 aggregation instead of the sketch, the window and their joins; otherwise the
-sketch is built for the large groups only.
+sketch is built for the large groups only, with its accuracy raised to
+sqrt(10 n_max): the sketch and the ranked window of the largest group are
+then both O(sqrt(n)) values (about 3 million for a 10**12-row group), never
+a fixed fraction of the group.
 
 Result: one row per group with ``n`` and one column per probability.
 """
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -81,6 +85,8 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
         max_n = counts.agg(F.max("_n")).first()[0]
         if max_n is None or max_n <= small_limit:
             return finish(small_path(None))
+        accuracy = max(accuracy, int(math.ceil(math.sqrt(10.0 * max_n))))
+        eps = 5.0 / accuracy
 
     fr = [max(p - eps, 0.0) for p in probs] + [min(p + eps, 1.0) for p in probs]
     sk_rows = vals
