@@ -35,7 +35,7 @@ SELECT month, month_name AS label, predicted / 1e9 AS predicted_b,
        CASE WHEN actual <> 0 THEN actual / 1e9 END AS actual_b,
        CASE WHEN lower <> 0 THEN lower / 1e9 END AS lower_b,
        CASE WHEN upper <> 0 THEN upper / 1e9 END AS upper_b FROM monthly""", ctes=ALL,
-          rounding=r("predicted_b, actual_b, lower_b, upper_b", 9))
+          rounding=r("predicted_b, actual_b, lower_b, upper_b", 12))
 def extract_monthly_chart(spark, sf):
     """EXT-1: monthly chart series in billions (falsy -> null)."""
     return E.monthly_chart(_monitoring(spark, sf).monthly)
@@ -43,7 +43,7 @@ def extract_monthly_chart(spark, sf):
 
 @register("extract_origin_pie", """
 SELECT rank AS slice_no, value AS name, total / 1e9 AS value_b, share_pct AS percentage
-FROM bd WHERE dimension = 'ORIGEN' AND rank <= 6""", ctes=ALL, rounding=r("value_b, percentage", 6))
+FROM bd WHERE dimension = 'ORIGEN' AND rank <= 6""", ctes=ALL, rounding=r("value_b", 12) | r("percentage", 6))
 def extract_origin_pie(spark, sf):
     """EXT-2: first six origins: name, total in billions, share."""
     return E.origin_pie(_monitoring(spark, sf).breakdown)

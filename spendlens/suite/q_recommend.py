@@ -254,14 +254,14 @@ def small_order_totals(spark, sf):
 
 
 @register("savings_opportunities", "SELECT * FROM opps", ctes=REC,
-          rounding=r("spend") | r("saving, saving_pct", 6))
+          rounding=r("spend") | r("saving", 4) | r("saving_pct", 6))
 def savings_opportunities(spark, sf):
     """RUL-8 (+TOP-7): expensive origins and small orders, top 5 by saving."""
     return _rep(spark, sf).opportunities
 
 
 @register("spend_summary", "SELECT total_spend, orders, mean, saving, opportunities, saving_pct FROM spend",
-          ctes=REC, rounding=r("total_spend") | r("mean, saving, saving_pct", 6))
+          ctes=REC, rounding=r("total_spend") | r("saving", 4) | r("mean, saving_pct", 6))
 def spend_summary(spark, sf):
     """AGG-32: total, orders, mean, saving and saving % of spend."""
     rep = _rep(spark, sf)
