@@ -14,9 +14,9 @@ task.  This operator keeps every per-group state bounded:
    (value, count) and ranked with a running sum partitioned by (group, p).
    Each such window holds about ``10 / accuracy`` of its group, not the
    group.  The two values around the target rank are interpolated.
-3. Groups with ``n <= small_limit`` (a proven bound) use the built-in exact
-   ``percentile``, whose per-group state is then at most ``small_limit``
-   values.
+3. Groups with ``n <= small_limit`` (default max(2 x accuracy, 500,000), a
+   proven bound) use the built-in exact ``percentile``, whose per-group state
+   is then at most ``small_limit`` values.
 
 Before planning, one job counts the rows per group (a partial count
 aggregate; the per-group counts are kept, one row per group) and reads the
@@ -50,7 +50,9 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
     k = len(probs)
     names = list(names) if names else [f"q{i}" for i in range(k)]
     eps = 5.0 / accuracy
-    small_limit = 2 * accuracy if small_limit is None else small_limit
+    # exact built-in path for groups up to this many values (~60 bytes each of
+    # aggregation state in one task): a bound checked by the counting job
+    small_limit = max(2 * accuracy, 500_000) if small_limit is None else small_limit
 
     key_cols = by if by else ["_g"]
     v = F.col(value).cast("double")

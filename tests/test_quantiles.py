@@ -35,7 +35,8 @@ def expected(rows):
     return out
 
 
-@pytest.mark.parametrize("kw", [dict(), dict(accuracy=50), dict(accuracy=200, adaptive=False)])
+@pytest.mark.parametrize("kw", [dict(), dict(accuracy=50, small_limit=100),
+                                dict(accuracy=200, small_limit=400, adaptive=False)])
 def test_grouped(spark, data, kw):
     rows, df = data
     want = expected(rows)
@@ -48,7 +49,7 @@ def test_grouped(spark, data, kw):
             assert r[f"q{i}"] == pytest.approx(q[i], rel=1e-12, abs=1e-9), (r["g"], PROBS[i])
 
 
-@pytest.mark.parametrize("kw", [dict(), dict(accuracy=50, adaptive=False)])
+@pytest.mark.parametrize("kw", [dict(), dict(accuracy=50, small_limit=100, adaptive=False)])
 def test_global(spark, data, kw):
     rows, df = data
     v = np.array([r[1] for r in rows if r[1] is not None and not np.isnan(r[1])])
