@@ -61,7 +61,7 @@ def seasonal_forecast(df: DataFrame, target_year: int, confidence: float = 0.95,
     by = user_by or ["_series"]          # one global series = a constant series key
     if not user_by:
         df = df.withColumn("_series", F.lit(0))
-    ser = monthly_series(df, by)
+    ser = A.keep_small(monthly_series(df, by))       # one row per (series, month)
     start = ser.groupBy(*by).agg(F.min("ds").alias("_s"), F.max("ds").alias("_e"),
                                  F.count(F.lit(1)).alias("_nm"))
     s = ser.join(start, by)

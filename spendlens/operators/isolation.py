@@ -33,6 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import aggregates as A
+
 EULER = 0.5772156649015329
 PHI = 0.6180339887498949  # golden-ratio conjugate: spreads tree offsets
 
@@ -116,16 +118,17 @@ def fit(df: DataFrame, value: str = "amount", n_trees: int = 100, sample_size: i
     n = df.count()
     psi = int(min(sample_size, n))
     s = sample(df, value, n_trees, sample_size, seed, n)
-    leaves = s.groupBy("tree_id").applyInPandas(
-        _fit_group_factory(seed, psi), "tree_id int, lo double, hi double, path double")
+    leaves = A.keep_small(s.groupBy("tree_id").applyInPandas(          # <= T * psi rows, fitted once
+        _fit_group_factory(seed, psi), "tree_id int, lo double, hi double, path double"))
     # step deltas at each finite upper bound of a leaf: next leaf's path - this one's
     w = Window.partitionBy("tree_id").orderBy("lo")
     lv = leaves.withColumn("_next", F.lead("path").over(w))
-    first = lv.where(F.col("lo") == float("-inf")).agg(F.sum("path").alias("s")).first()["s"] or 0.0
+    # every tree has exactly one leftmost leaf: its count is the number of trees
+    head = lv.where(F.col("lo") == float("-inf")).agg(F.sum("path").alias("s"), F.count(F.lit(1)).alias("t")).first()
+    first, trees = head["s"] or 0.0, head["t"]
     deltas = (lv.where(F.col("_next").isNotNull())
               .groupBy(F.col("hi").alias("b")).agg(F.sum(F.col("_next") - F.col("path")).alias("d")))
     ws = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)   # <= T * psi rows
-    trees = leaves.select("tree_id").distinct().count()
     step = deltas.withColumn("mean_path", (F.lit(first) + F.sum("d").over(ws)) / float(max(trees, 1)))
     rows = step.orderBy("b").select("b", "mean_path").collect()
     splits = [r["b"] for r in rows]
