@@ -52,7 +52,7 @@ def naive_total(features: DataFrame, p: Params) -> DataFrame:
 
 def monthly(prepared: DataFrame, target_year: int, p: Params, intervals: bool = True) -> DataFrame:
     """ML-7 + JOIN-7 + SCA-16/17: 12 monthly rows for the target year."""
-    fc = FC.seasonal_forecast(prepared, target_year, p.confidence, intervals)
+    fc = A.keep_small(FC.seasonal_forecast(prepared, target_year, p.confidence, intervals))  # <= 12 rows
     filled = FC.fill_missing_months(fc, prepared)
     return filled.select("month", S.month_name("month").alias("month_name"), "predicted",
                          "lower", "upper", "source")
