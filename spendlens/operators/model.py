@@ -44,7 +44,7 @@ def training_frame(prepared: DataFrame, p: Params) -> DataFrame:
     return materialize(FE.encode_categories(prepared, f), "training-frame")
 
 
-def pipeline(drop_leaking: bool = True, max_iter: int = 20, max_depth: int = 5, seed: int = 42) -> Pipeline:
+def amount_model(drop_leaking: bool = True, max_iter: int = 20, max_depth: int = 5, seed: int = 42) -> Pipeline:
     cols = feature_columns(drop_leaking)
     return Pipeline(stages=[
         VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep"),
@@ -70,7 +70,7 @@ def train(prepared: DataFrame, p: Params, drop_leaking: bool = True, max_iter: i
     test_df = data.where(F.col("year") == last) if last is not None else data.limit(0)
     if train_df.isEmpty():             # a single year of history: no holdout
         train_df, test_df, last = data, data, None
-    model = pipeline(drop_leaking, max_iter, max_depth, p.seed).fit(train_df)
+    model = amount_model(drop_leaking, max_iter, max_depth, p.seed).fit(train_df)
     return TrainedModel(model=model, test=test_df, holdout_year=last, drop_leaking=drop_leaking)
 
 
