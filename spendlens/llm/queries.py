@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_rank, simhash_dedup, topk_search, url_filter
+from . import language_id, quality_rank, simhash_dedup, token_blocks, topk_search, url_filter
 from .common import id_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +40,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+@query("op3_patched_token_blocks")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as patched blocks and read back."""
+    return token_blocks.round_trip(table(spark, sf_dir, "documents"),
+                                   public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 @query("op7_bradley_terry_quality")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; learnt where crc32(doc_id) mod 3 is not 1."""

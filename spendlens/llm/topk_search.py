@@ -179,8 +179,8 @@ def _run(blocks: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
                                        np.frombuffer(p.norms, "<f8"), k)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    row = F.pmod(F.xxhash64("pack", F.lit(1)), F.lit(down))
-    column = F.pmod(F.xxhash64("pack", F.lit(2)), F.lit(across))
+    row = F.pmod(F.xxhash64("pack", F.lit(1)), F.lit(down)).cast("int")       # one type on both sides: keys are hashed
+    column = F.pmod(F.xxhash64("pack", F.lit(2)), F.lit(across)).cast("int")
     left = blocks.withColumn("r", row).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
     right = buckets.withColumn("c", column).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
     return (left.groupBy("dim", "r", "c").cogroup(right.groupBy("dim", "r", "c"))
