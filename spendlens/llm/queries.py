@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_rank, simhash_dedup, token_blocks, topk_search, url_filter
+from . import language_id, pii_tagger, piece_scan, quality_rank, simhash_dedup, token_blocks, topk_search, url_filter
 from .common import id_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,25 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+@query("op4_piece_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document by the parallel scan, decoded again: number of
+    ids, of decoded characters, and a digest of the ids."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return piece_scan.summary(piece_scan.encode(table(spark, sf_dir, "documents"), model), model)
+
+
+@query("op6_bilstm_crf_pii")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model spans of personal data in every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii_tagger.find_spans(docs, pii_tagger.labelled_windows(docs))
+    kinds = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: F.substring_index(x, ":", 1))
+    return found.select("doc_id", *[F.size(F.filter(kinds, lambda x, k=k: x == k)).cast("long").alias(f"n_{k}")
+                                    for k in pii_tagger.KINDS],
+                        F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 @query("op7_bradley_terry_quality")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; learnt where crc32(doc_id) mod 3 is not 1."""
