@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
+from types import ModuleType
+from typing import TypeVar
 
 import numpy as np
 import pandas as pd
@@ -10,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+T = TypeVar("T")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -54,6 +60,35 @@ def small_batches(frames: Iterator[pd.DataFrame], chars: int = 4_000_000,
             yield frame.iloc[cut[0]:cut[-1] + 1]
 
 
+def per_worker(key: tuple, make: Callable[[], T]) -> T:
+    """The object of ``key`` in this Python worker, made at its first use: Spark
+    reuses workers, so large read-only tables are loaded once, not once a task."""
+    box = sys.modules.setdefault("spendlens_worker_box", ModuleType("spendlens_worker_box")).__dict__
+    if key not in box:
+        box[key] = make()
+    return box[key]
+
+
+class RecentMemory(dict):
+    """A dict that forgets what was not asked for among the last ``most`` to
+    ``2 * most`` distinct keys: two generations, the older one dropped when the
+    younger is full."""
+
+    def __init__(self, most: int):
+        self.most, self.old = most, {}
+
+    def __missing__(self, key):
+        value = self[key] = self.old[key]
+        return value
+
+    def missing(self, keys) -> list:
+        """The keys that are in neither generation; room is made for the others."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        return [k for k in keys if k not in self and k not in self.old]
+
+
 def codepoints(text: str) -> np.ndarray:
     """The code points of a text as uint32."""
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)

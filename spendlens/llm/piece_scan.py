@@ -19,7 +19,10 @@ Long documents are spread: their chunks are rows of their own, matrices are
 combined per run of ``RUN`` chunks, then per document, so no task ever holds all
 chunks of a document.  Only boundary states travel.
 
-Scores are those of the model file; characters without a piece are spelled in
+Weights: a file of merge ranks (its scores are minus the ranks) gives a piece the
+weight -ln(2 + rank), Zipf's law for ranks; ``ranks=False`` takes the scores as
+they are, for a file of log-probabilities.  Weights are rounded to multiples of
+2^-20, so sums are exact in whatever order they are taken.  Characters without a piece are spelled in
 byte pieces at the library's unknown-character penalty.  Ties go to the longer
 last piece.  Texts are prefixed with a word mark and spaces become word marks,
 as the model file asks; decoding reverses that, so every text without the mark
@@ -32,7 +35,7 @@ are kept; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,33 +44,138 @@ from pyspark.sql import functions as F
 
 from spendlens.session import materialize
 
-from .common import small_batches, texts
+from .common import RecentMemory, codepoints, per_worker, small_batches, texts
 
 MARK = "▁"
 CHUNK = 1 << 15           # characters per chunk
 RUN = 64                  # chunks whose matrices are combined in one go
-MEMORY = 300_000          # remembered words per task
+MEMORY = 150_000          # words remembered by a worker, per generation
+DENSE = 0x180             # code points of the dense automaton
 NEVER = -1e300
 
 
 class Vocabulary:
     """Pieces and scores of a SentencePiece model file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: bool = True):
+        import math
+
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces = [model.id_to_piece(i) for i in range(model.vocab_size())]
         plain = [i for i in range(len(self.pieces))
                  if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        self.score = {self.pieces[i]: float(model.get_score(i)) for i in plain}
+        weight = (lambda x: -math.log(2.0 - x)) if ranks else float
+        self.score = {self.pieces[i]: round(weight(model.get_score(i)) * 2 ** 20) / 2 ** 20 for i in plain}
         self.id = {self.pieces[i]: i for i in plain}
         self.byte = {int(self.pieces[i][3:5], 16): i for i in range(len(self.pieces)) if model.is_byte(i)}
         self.unknown_id = model.unk_id()
         self.penalty = min(self.score.values(), default=0.0) - 10.0
         self.longest = max(map(len, self.score), default=1)
         self.inside = {p[i:i + 2] for p in self.score for i in range(len(p) - 1)}     # crossable boundaries
-        self.words: dict[str, tuple[float, bytes]] = {}
+        self.words = RecentMemory(MEMORY)            # word -> (best score, ids)
+        # decoding: names of the ids, with single ASCII bytes spelled out
+        self.plain = list(self.pieces)
+        for b, i in self.byte.items():
+            self.plain[i] = chr(b) if b < 128 else self.pieces[i]
+        self.high = np.zeros(len(self.pieces), dtype=bool)
+        self.high[[i for b, i in self.byte.items() if b >= 128]] = True
+        self._automaton()
+
+    def _automaton(self) -> None:
+        """The pieces of code points below ``DENSE`` and the mark as a trie in one
+        table: next node by node and character, 0 for none, 1 the root."""
+        self.code = np.zeros(DENSE + 2, dtype=np.int32)          # code point -> column, last: all others
+        self.code[:DENSE] = np.arange(2, DENSE + 2)
+        mark = ord(MARK)
+        column = lambda ch: 1 if ord(ch) == mark else ord(ch) + 2 if ord(ch) < DENSE else 0       # noqa: E731
+        edges: list[dict[int, int]] = [{}, {}]
+        at_node = {}
+        for piece in self.score:
+            if all(map(column, piece)):
+                node = 1
+                for ch in piece:
+                    nxt = edges[node].get(column(ch))
+                    if nxt is None:
+                        nxt = edges[node][column(ch)] = len(edges)
+                        edges.append({})
+                    node = nxt
+                at_node[node] = piece
+        self.next = np.zeros((len(edges), DENSE + 2), dtype=np.int32)
+        for node, out in enumerate(edges):
+            for c, nxt in out.items():
+                self.next[node, c] = nxt
+        self.node_score, self.node_id = np.full(len(edges), NEVER), np.full(len(edges), -1, dtype=np.int64)
+        for node, piece in at_node.items():
+            self.node_score[node], self.node_id[node] = self.score[piece], self.id[piece]
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Remember the best paths of many words, a column of all words at a time."""
+        new = self.words.missing(set(words))
+        dense = []
+        for w in new:
+            if len(w) <= 48 and w.replace(MARK, "").isascii() or len(w) <= 48 and max(w.replace(MARK, "a")) < chr(DENSE):
+                dense.append(w)
+            else:
+                self.words[w] = self._slow(w)
+        dense.sort(key=len, reverse=True)
+        for at in range(0, len(dense), 4096):
+            self._learn_block(dense[at:at + 4096])
+
+    def _slow(self, w: str) -> tuple[float, bytes]:
+        best, back = self.forward(w, len(w), [0.0])
+        return best[len(w)], np.array(self.trace(w, back, len(w)), dtype="<u4").tobytes()
+
+    def _learn_block(self, words: list[str]) -> None:
+        """Max-plus over positions for words of falling length, all at once."""
+        size = np.array([len(w) for w in words])
+        n, most = len(words), int(size[0])
+        flat = codepoints("".join(words))
+        column = np.where(flat == ord(MARK), 1, self.code[np.minimum(flat, DENSE)])
+        chars = np.zeros((n, most), dtype=np.int32)
+        chars[np.arange(most)[None, :] < size[:, None]] = column
+        best = np.full((n, most + 1), NEVER)
+        best[:, 0] = 0.0
+        back, piece = np.zeros((n, most + 1), dtype=np.int64), np.full((n, most + 1), -1, dtype=np.int64)
+        for i in range(most):
+            rows = np.arange(np.searchsorted(-size, -i, "left"))            # words longer than i
+            node = self.next[1, chars[rows, i]]
+            for j in range(i + 1, min(most, i + self.longest) + 1):
+                if j > i + 1:
+                    longer = size[rows] >= j
+                    rows, node = rows[longer], node[longer]
+                    node = self.next[node, chars[rows, j - 1]]
+                    alive = node > 0
+                    rows, node = rows[alive], node[alive]
+                    if not len(rows):
+                        break
+                w, ids = self.node_score[node], self.node_id[node]
+                if j == i + 1:
+                    w = np.where(ids < 0, self.penalty, w)
+                total = best[rows, i] + w
+                up = total > best[rows, j]
+                r = rows[up]
+                best[r, j], back[r, j], piece[r, j] = total[up], i, ids[up]
+        # traced back from all ends at once
+        at, rows, steps = size.copy(), np.arange(n), []
+        spelled = np.zeros(n, dtype=bool)
+        while len(rows):
+            ids = piece[rows, at[rows]]
+            spelled[rows[ids < 0]] = True
+            steps.append((rows, ids))
+            at[rows] = back[rows, at[rows]]
+            rows = rows[at[rows] > 0]
+        row = np.concatenate([r for r, _ in steps][::-1]) if steps else np.zeros(0, dtype=np.int64)
+        ids = np.concatenate([i for _, i in steps][::-1]) if steps else row
+        order = np.argsort(row, kind="stable")
+        raw = ids[order].astype("<u4").tobytes()
+        ends = (np.cumsum(np.bincount(row, minlength=n)) * 4).tolist()
+        for k, (w, s, b, a) in enumerate(zip(words, best[np.arange(n), size].tolist(), ends, [0, *ends], strict=False)):
+            if spelled[k]:
+                self.words[w] = s, np.array(self.trace(w, back[k].tolist(), len(w), True), dtype="<u4").tobytes()
+            else:
+                self.words[w] = s, raw[a:b]
 
     def marked(self, text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
@@ -99,24 +207,21 @@ class Vocabulary:
                     best[j], back[j] = here + w, i
         return best, back
 
-    def trace(self, s: str, back: list[int], end: int) -> list[int]:
+    def trace(self, s: str, back: list[int], end: int, from_zero: bool = False) -> list[int]:
         """Ids of the path that reaches ``end``."""
         out = []
-        while back[end] >= 0:
+        while back[end] >= 0 and (end > 0 or not from_zero):
             out.append(self.spell(s[back[end]:end]))
             end = back[end]
         return [i for ids in reversed(out) for i in ids]
 
     def word(self, w: str) -> tuple[float, bytes]:
         """Best score and ids of a stretch between two safe boundaries."""
-        got = self.words.get(w)
-        if got is None:
-            best, back = self.forward(w, len(w), [0.0])
-            got = best[len(w)], np.array(self.trace(w, back, len(w)), dtype="<u4").tobytes()
-            if len(self.words) >= MEMORY:
-                self.words.clear()
-            self.words[w] = got
-        return got
+        try:
+            return self.words[w]
+        except KeyError:
+            self.words[w] = got = self._slow(w)
+            return got
 
     def safe(self, a: str, b: str) -> bool:
         return a + b not in self.inside
@@ -131,6 +236,8 @@ class Vocabulary:
     def split(self, s: str) -> list[str]:
         """Words between safe boundaries before word marks (a subset of all safe
         boundaries: those after a character that is no mark)."""
+        if s.startswith(MARK) and MARK + MARK not in s and len(s) > 1 and not s.endswith(MARK):
+            return [MARK + p for p in s[1:].split(MARK)]
         parts = s.split(MARK)
         out = [parts[0]] if parts[0] else []
         marks = ""
@@ -142,6 +249,11 @@ class Vocabulary:
         return out + [marks] if marks else out
 
 
+def vocabulary(path: str) -> Vocabulary:
+    """The vocabulary of a model file, loaded once per worker."""
+    return per_worker(("pieces", path), lambda: Vocabulary(path))
+
+
 def transfer(v: Vocabulary, s: str, ahead: str, first: bool, last: bool) -> np.ndarray:
     """Transfer matrix of the chunk ``s``; ``ahead`` is the text that follows it
     (at most ``longest - 1`` characters).  A row per entry state, a column per
@@ -216,22 +328,37 @@ def encode_text(v: Vocabulary, text: str, chunk: int = CHUNK) -> bytes:
     return b"".join(trace_chunk(v, a, b, states[i], states[i + 1]) for i, (a, b) in enumerate(parts))
 
 
+def encode_batch(v: Vocabulary, many: list[str], chunk: int) -> list[bytes]:
+    """``encode_text`` of texts whose words are learnt together."""
+    cut = [v.split(v.marked(t)) if len(t) < chunk else None for t in many]
+    v.learn(w for c in cut if c for w in c)
+    word = v.word
+    return [encode_text(v, t, chunk) if c is None else b"".join([word(w)[1] for w in c])
+            for t, c in zip(many, cut, strict=True)]
+
+
+def learn_chunks(v: Vocabulary, chunks: Iterable[str]) -> None:
+    """Learn the inner words of chunks."""
+    for s in chunks:
+        v.learn(v.split(s[v.first_cut(s):v.last_cut(s)]))
+
+
 def decode_ids(v: Vocabulary, ids: np.ndarray) -> str:
-    """The text of an id sequence."""
-    names, is_byte = v.pieces, {i: b for b, i in v.byte.items()}
-    out, raw = [], bytearray()
-    for i in ids.tolist():
-        b = is_byte.get(i)
-        if b is not None:
-            raw.append(b)
-            continue
-        if raw:
+    """The text of an id sequence; bytes beyond ASCII are put together as UTF-8."""
+    ids = ids.astype(np.int64)
+    if not v.high[ids].any():
+        s = "".join(map(v.plain.__getitem__, ids.tolist()))
+    else:
+        byte, out, raw = {i: b for b, i in v.byte.items()}, [], bytearray()
+        for i in ids.tolist():
+            if i in byte:
+                raw.append(byte[i])
+                continue
             out.append(raw.decode("utf-8", "replace"))
-            raw = bytearray()
-        out.append(names[i])
-    if raw:
-        out.append(raw.decode("utf-8", "replace"))
-    s = "".join(out).replace(MARK, " ")
+            raw.clear()
+            out.append(v.pieces[i])
+        s = "".join([*out, raw.decode("utf-8", "replace")])
+    s = s.replace(MARK, " ")
     return s[1:] if s.startswith(" ") else s
 
 
@@ -243,10 +370,10 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
     short = rows.where(F.length("text") < chunk)
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = Vocabulary(model)
+        v = vocabulary(model)
         for frame in small_batches(frames):
             yield pd.DataFrame({"doc_id": frame["doc_id"], "part": np.int64(0),
-                                "ids": [encode_text(v, t, chunk) for t in frame["text"]]})
+                                "ids": encode_batch(v, frame["text"].tolist(), chunk)})
 
     near = short.mapInPandas(whole, f"doc_id {kind}, part long, ids binary")
     return near.unionByName(_encode_long(rows.where(F.length("text") >= chunk), model, chunk, kind))
@@ -254,7 +381,7 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
 
 def _encode_long(rows: DataFrame, model: str, chunk: int, kind: str) -> DataFrame:
     """The distributed scan: chunks are rows, matrices meet per run and per document."""
-    v = Vocabulary(model)
+    v = vocabulary(model)
     size, over = v.longest, v.longest - 1
     marked = F.concat(F.lit(MARK), F.translate("text", " ", MARK))
     cut = (rows.select("doc_id", F.sha2("text", 256).alias("h"), marked.alias("s")).dropDuplicates(["doc_id", "h"])
@@ -266,8 +393,9 @@ def _encode_long(rows: DataFrame, model: str, chunk: int, kind: str) -> DataFram
     key = ["doc_id", "h"]
 
     def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        voc = Vocabulary(model)
+        voc = vocabulary(model)
         for frame in small_batches(frames, column="s"):
+            learn_chunks(voc, frame["s"])
             frame["m"] = [transfer(voc, s, a, p == 0, p == n - 1).tobytes() for s, a, p, n in
                           zip(frame["s"], frame["ahead"], frame["part"], frame["n"], strict=True)]
             yield frame[["doc_id", "h", "n", "part", "m"]]
@@ -315,8 +443,9 @@ def _encode_long(rows: DataFrame, model: str, chunk: int, kind: str) -> DataFram
         fixed = materialize(runs.groupBy(*key, "run").applyInPandas(states, schema), "piece-states")
 
     def trace(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        voc = Vocabulary(model)
+        voc = vocabulary(model)
         for frame in small_batches(frames, column="s"):
+            learn_chunks(voc, frame["s"])
             yield pd.DataFrame({"doc_id": frame["doc_id"], "part": frame["part"], "ids": [
                 trace_chunk(voc, s, a, e, x) for s, a, e, x in
                 zip(frame["s"], frame["ahead"], frame["enter"], frame["leave"], strict=True)]})
@@ -333,7 +462,7 @@ def decode(parts: DataFrame, model: str) -> DataFrame:
     kind = dict(parts.dtypes)["doc_id"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = Vocabulary(model)
+        v = vocabulary(model)
         for frame in frames:
             for at in range(0, len(frame), 512):
                 f = frame.iloc[at:at + 512]
@@ -355,7 +484,7 @@ def summary(parts: DataFrame, model: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zlib
 
-        v = Vocabulary(model)
+        v = vocabulary(model)
         for frame in frames:
             yield pd.DataFrame({
                 "doc_id": frame["doc_id"], "tokens": [len(b) // 4 for b in frame["ids"]],

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, pii_tagger, piece_scan, quality_rank, simhash_dedup, token_blocks, topk_search, url_filter
@@ -31,6 +31,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _only(value: str) -> Callable[[Column], Column]:
+    return lambda x: F.when(x == value, x)
+
+
 @query("op2_language_hierarchy")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learnt where crc32(doc_id) mod 5 is not 0."""
@@ -61,7 +65,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii_tagger.find_spans(docs, pii_tagger.labelled_windows(docs))
     kinds = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: F.substring_index(x, ":", 1))
-    return found.select("doc_id", *[F.size(F.filter(kinds, lambda x, k=k: x == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *[F.size(F.array_compact(F.transform(kinds, _only(k)))).cast("long").alias(f"n_{k}")
                                     for k in pii_tagger.KINDS],
                         F.sha2("base", 256).alias("base_sha256"), "spans")
 

@@ -10,10 +10,12 @@ Image format (little-endian), one or more whole documents each:
     documents x u32     ids of each document (end id included)
     (blocks + 1) x u32  index: byte at which each block starts
     block               u32 minimum | u8 width | u8 bytes per exception | u16 exceptions
-                        128 values of ``width`` bits, value = id - minimum, low bits only
+                        128 values of ``width`` bits, value = id - minimum, low bits only:
+                        a plane of bytes for every whole byte of the width, then a
+                        plane of bits for every further bit
                         exceptions x u8 (position), exceptions x high bits
 
-A block holds 128 ids (the last one fewer).  The width is the number of bits
+A block holds 128 ids (the last one is filled up with its last id).  The width is the number of bits
 that ``PERCENTILE`` percent of the block's values need; a value with more bits
 keeps its low bits in place and its high bits in the exception list.  The index
 gives random access to any block.
@@ -29,53 +31,126 @@ very long texts fill an image of their own; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendlens.session import ensure_checkpoint_dir, materialize
 
-from .common import small_batches, texts
+from .common import RecentMemory, per_worker, texts
 
-BLOCK, PERCENTILE, IMAGE_IDS, CACHE = 128, 90, 1 << 18, 400_000
+BLOCK, PERCENTILE, IMAGE_IDS, CACHE = 128, 95, 1 << 18, 250_000
+PLANE = BLOCK // 8            # bytes of a plane of bits
+BATCH = 4_000_000             # characters that are encoded at a time, about
 HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("wide", "u1"), ("odd", "<u2")])
 
 
 class WordEncoder:
-    """``tokenizers`` ids of whole texts, remembered per piece between plain
-    spaces and line feeds.  The tokenizer never joins anything across white
-    space, so the ids of a text are those of its pieces in order; a text that
-    holds the beginning of a special token goes to the tokenizer whole."""
+    """``tokenizers`` ids of whole texts, through a memory of words.
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    A word-end tokenizer of the known form (``FORM``) never joins anything across
+    white space, so the ids of a text are those of its words in order.  Texts of
+    Latin letters are lower-cased and cut at spaces and line feeds in Arrow, each
+    distinct word is encoded once, and the ids are gathered.  Words of letters
+    alone skip the normaliser, which leaves them as they are.  Texts with other
+    scripts or special tokens, and tokenizers of another form, go to the
+    tokenizer whole."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
-        self.known: dict[str, bytes] = {}
+    #: The parts of a tokenizer file that the word memory relies on.
+    FORM = {"normalizers": ["NFC", "Replace", "Lowercase"], "suffix": "</w>", "pattern":
+            r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+    OTHER = r"[^\x00-\x{12f}\x{131}-\x{24f}]|<\|"
 
-    def _ids(self, strings: list[str]) -> list[bytes]:
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.full = Tokenizer.from_file(path)
+        spec = json.loads(self.full.to_str())
+        self.by_word = {
+            "normalizers": [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])],
+            "suffix": spec["model"].get("end_of_word_suffix"),
+            "pattern": (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex"),
+        } == self.FORM
+        spaces = pre_tokenizers.Split(" ", "removed")
+        self.ascii, self.letters = Tokenizer(self.full.model), Tokenizer(self.full.model)
+        self.ascii.pre_tokenizer = spaces                   # a-z stand for themselves among the byte symbols
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([
+            spaces, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        names = self.full.get_vocab()
+        self.ends = np.zeros(max(names.values(), default=0) + 1, dtype=bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.known = RecentMemory(CACHE)
+
+    def _full(self, strings: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes()
-                for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
-
-    def batch(self, many: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian u32 bytes."""
-        cut = [None if any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in many]
-        if len(self.known) > CACHE:
-            self.known.clear()
+                for e in self.full.encode_batch(strings, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember words: letters alone, letters and one full stop or comma, others."""
+        bare = {w: w if w.isalpha() else w[:-1] if w[-1:] in (".", ",") and w[:-1].isalpha() else None for w in words}
+        plain = {b for b in bare.values() if b}
+        of: dict[str, bytes] = {}
+        for tokenizer, some in ((self.ascii, [w for w in plain if w.isascii()]),
+                                (self.letters, [w for w in plain if not w.isascii()])):
+            for at in range(0, len(some), 16_384):          # the library's own result objects are large
+                part = some[at:at + 16_384]
+                ids = [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(
+                    [" ".join(part[i:i + 64]) for i in range(0, len(part), 64)], add_special_tokens=False)]
+                flat = np.concatenate(ids)
+                cuts = [0, *((np.flatnonzero(self.ends[flat]) + 1) * 4).tolist()]
+                if len(cuts) != len(part) + 1:
+                    raise ValueError("a word of letters did not end in a word-end id")
+                raw = flat.tobytes()
+                of.update((w, raw[a:b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
+        odd = [w for w, b in bare.items() if b is None]
         known = self.known
-        new = list(set(chain.from_iterable(c for c in cut if c is not None)).difference(known))
-        known.update(zip(new, self._ids(new), strict=True))
-        whole = iter(self._ids([t for t, c in zip(many, cut, strict=True) if c is None]))
-        return [next(whole) if c is None else b"".join([known[w] for w in c]) for c in cut]
+        known.update(zip(odd, self._full(odd), strict=True))
+        stop = dict(zip(".,", self._full([".", ","]), strict=True))
+        for w, b in bare.items():
+            if b is not None:
+                known[w] = of[b] if len(b) == len(w) else of[b] + stop[w[-1]]
+
+    def encode(self, many: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, end to end, and the number of each text's ids."""
+        n = np.zeros(len(many), dtype=np.int64)
+        whole = np.ones(len(many), dtype=bool)
+        if self.by_word:
+            whole = pc.match_substring_regex(many, self.OTHER).to_numpy(zero_copy_only=False)
+        rest = self._full(many.filter(pa.array(whole)).to_pylist())
+        n[whole] = [len(b) // 4 for b in rest]
+        lines = pc.replace_substring(pc.utf8_lower(many.filter(pa.array(~whole))), "\n", " ")
+        cut = pc.split_pattern(lines, " ")
+        at = cut.offsets.to_numpy()
+        coded = cut.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        known = self.known
+        if new := known.missing(distinct):
+            self._learn(new)
+        ids = [known[w] for w in distinct]
+        pool = np.frombuffer(b"".join(ids), dtype="<u4")
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        word = coded.indices.to_numpy()
+        per_word = size[word]
+        ends = np.concatenate(([0], np.cumsum(per_word)))
+        n[~whole] = np.diff(ends[at - at[0]])
+        flat = pool[np.repeat((np.cumsum(size) - size)[word] - ends[:-1], per_word) + np.arange(ends[-1])]
+        if not whole.any():
+            return flat, n
+        out, first = np.zeros(n.sum(), dtype="<u4"), np.cumsum(n) - n
+        kept = np.repeat(~whole, n)
+        out[kept] = flat
+        for i, b in zip(np.flatnonzero(whole), rest, strict=True):
+            out[first[i]:first[i] + n[i]] = np.frombuffer(b, dtype="<u4")
+        return out, n
 
 
 def pack_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -88,75 +163,60 @@ def pack_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     v = padded.reshape(n, BLOCK)
     low = v.min(1)
     v = v - low[:, None]
-    bits = np.where(v > 0, np.frexp(v.astype(np.float64))[1], 0)
-    width = np.sort(bits, axis=1)[:, BLOCK * PERCENTILE // 100 - 1]
+    bits = np.frexp(v.astype(np.float64))[1].astype(np.int64)
+    width = np.partition(bits, BLOCK * PERCENTILE // 100 - 1, axis=1)[:, BLOCK * PERCENTILE // 100 - 1]
     odd = bits > width[:, None]
-    wide = np.where(odd.any(1), -(-np.where(odd, bits - width[:, None], 0).max(1) // 8), 0)
+    many = odd.sum(1)
+    wide = -(-(bits.max(1) - width) // 8)
     head = np.zeros(n, dtype=HEAD)
-    head["low"], head["width"], head["wide"], head["odd"] = low, width, wide, odd.sum(1)
-    packed: list[bytes] = [b""] * n
-    for w in np.unique(width):
+    head["low"], head["width"], head["wide"], head["odd"] = low, width, wide, many
+    ends = np.cumsum(HEAD.itemsize + PLANE * width + many * (1 + wide))
+    starts = np.concatenate(([0], ends))
+    out = np.zeros(starts[-1], dtype=np.uint8)
+    out[starts[:-1, None] + np.arange(HEAD.itemsize)] = head.view(np.uint8).reshape(n, -1)
+    for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
-        if w:
-            on = (v[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
-            body = np.packbits(on.astype(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
-            for r, b in zip(rows, body, strict=True):
-                packed[r] = b.tobytes()
-    out, starts, at = [], np.zeros(n + 1, dtype="<u4"), 0
-    for r in range(n):
-        tail = b""
-        if wide[r]:
-            where = np.flatnonzero(odd[r])
-            high = (v[r, where].astype("<u8") >> np.uint64(width[r])).view(np.uint8).reshape(-1, 8)[:, :wide[r]]
-            tail = where.astype(np.uint8).tobytes() + high.tobytes()
-        image = head[r].tobytes() + packed[r] + tail
-        out.append(image)
-        at += len(image)
-        starts[r + 1] = at
-    return b"".join(out), starts
-
-
-def unpack_block(block: bytes) -> np.ndarray:
-    """The 128 ids of one block."""
-    head = np.frombuffer(block[:HEAD.itemsize], HEAD)[0]
-    w, odd, wide, at = int(head["width"]), int(head["odd"]), int(head["wide"]), HEAD.itemsize
-    v = np.zeros(BLOCK, dtype=np.uint64)
-    if w:
-        on = np.unpackbits(np.frombuffer(block, np.uint8, BLOCK * w // 8, at), bitorder="little").reshape(BLOCK, w)
-        v = (on.astype(np.uint64) << np.arange(w, dtype=np.uint64)).sum(1, dtype=np.uint64)
-        at += BLOCK * w // 8
-    if odd:
-        where = np.frombuffer(block, np.uint8, odd, at)
-        high = np.zeros((odd, 8), dtype=np.uint8)
-        high[:, :wide] = np.frombuffer(block, np.uint8, odd * wide, at + odd).reshape(odd, wide)
-        v[where] |= high.view("<u8").ravel() << np.uint64(w)
-    return (v + np.uint64(head["low"])).astype("<u4")
+        x = v[rows]
+        planes = [(x >> np.uint32(8 * b)).astype(np.uint8) for b in range(w // 8)]
+        planes += [np.packbits((x >> np.uint32(b)).astype(np.uint8) & 1, axis=1, bitorder="little")
+                   for b in range(w // 8 * 8, w)]
+        out[starts[rows][:, None] + HEAD.itemsize + np.arange(PLANE * w)] = np.concatenate(planes, axis=1)
+    r, c = np.nonzero(odd)
+    rank = np.arange(len(r)) - (np.cumsum(many) - many)[r]
+    tail = starts[r] + HEAD.itemsize + PLANE * width[r]
+    out[tail + rank] = c
+    high = v[r, c].astype(np.uint64) >> width[r].astype(np.uint64)
+    for j in range(int(wide.max())):
+        at = np.flatnonzero(wide[r] > j)
+        out[(tail + many[r] + rank * wide[r] + j)[at]] = (high[at] >> np.uint64(8 * j)) & np.uint64(255)
+    return out.tobytes(), starts.astype("<u4")
 
 
 def unpack_blocks(image: bytes, base: int, starts: np.ndarray) -> np.ndarray:
-    """All ids of an image's blocks; blocks of one width are unpacked together."""
-    n = len(starts) - 1
-    raw = np.frombuffer(image, np.uint8)
-    head = np.zeros(n, dtype=HEAD)
-    at = base + starts[:-1].astype(np.int64)
-    head[:] = raw[at[:, None] + np.arange(HEAD.itemsize)].copy().view(HEAD).ravel()
+    """The ids of the blocks that start at ``base + starts[:-1]``."""
+    raw, at = np.frombuffer(image, np.uint8), base + starts[:-1].astype(np.int64)
+    n = len(at)
+    head = np.ascontiguousarray(raw[at[:, None] + np.arange(HEAD.itemsize)]).view(HEAD).ravel()
+    width, wide, many = (head[c].astype(np.int64) for c in ("width", "wide", "odd"))
     v = np.zeros((n, BLOCK), dtype=np.uint32)
-    for w in np.unique(head["width"]):
-        if not w:
-            continue
-        w, rows = int(w), np.flatnonzero(head["width"] == w)
-        body = raw[at[rows][:, None] + HEAD.itemsize + np.arange(BLOCK * w // 8)]
-        on = np.unpackbits(body, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-        total = np.zeros((len(rows), BLOCK), dtype=np.uint32)
-        for bit in range(w):
-            total |= on[:, :, bit].astype(np.uint32) << np.uint32(bit)
-        v[rows] = total
-    for r in np.flatnonzero(head["odd"]):
-        odd, wide, w = int(head["odd"][r]), int(head["wide"][r]), int(head["width"][r])
-        tail = int(at[r]) + HEAD.itemsize + BLOCK * w // 8
-        high = np.zeros((odd, 8), dtype=np.uint8)
-        high[:, :wide] = raw[tail + odd:tail + odd + odd * wide].reshape(odd, wide)
-        v[r, raw[tail:tail + odd]] |= (high.view("<u8").ravel() << np.uint64(w)).astype(np.uint32)
+    for w in np.unique(width[width > 0]).tolist():
+        rows = np.flatnonzero(width == w)
+        body = raw[at[rows][:, None] + HEAD.itemsize + np.arange(PLANE * w)]
+        x, flat = np.zeros((len(rows), BLOCK), dtype=np.uint32), w // 8
+        for b in range(flat):
+            x |= body[:, BLOCK * b:BLOCK * (b + 1)].astype(np.uint32) << np.uint32(8 * b)
+        for b in range(8 * flat, w):
+            p = BLOCK * flat + PLANE * (b - 8 * flat)
+            x |= np.unpackbits(body[:, p:p + PLANE], axis=1, bitorder="little").astype(np.uint32) << np.uint32(b)
+        v[rows] = x
+    r = np.repeat(np.arange(n), many)
+    rank = np.arange(len(r)) - (np.cumsum(many) - many)[r]
+    tail = at[r] + HEAD.itemsize + PLANE * width[r]
+    high = np.zeros(len(r), dtype=np.uint64)
+    for j in range(int(wide.max(initial=0))):
+        on = np.flatnonzero(wide[r] > j)
+        high[on] |= raw[(tail + many[r] + rank * wide[r] + j)[on]].astype(np.uint64) << np.uint64(8 * j)
+    v[r, raw[tail + rank]] |= (high << width[r].astype(np.uint64)).astype(np.uint32)
     return (v + head["low"][:, None]).ravel().astype("<u4")
 
 
@@ -186,8 +246,7 @@ def read_ids(image: bytes, first: int, last: int) -> np.ndarray:
     if first >= last:
         return np.zeros(0, dtype="<u4")
     b0, b1 = first // BLOCK, -(-last // BLOCK)
-    part = [unpack_block(image[base + starts[b]:base + starts[b + 1]]) for b in range(b0, b1)]
-    return np.concatenate(part)[first - b0 * BLOCK:last - b0 * BLOCK]
+    return unpack_blocks(image, base, starts[b0:b1 + 1])[first - b0 * BLOCK:last - b0 * BLOCK]
 
 
 def split_image(image: bytes) -> list[np.ndarray]:
@@ -202,34 +261,42 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1) -> None
 
     Texts are range-partitioned on doc_id (text breaks ties) before they are
     encoded, so ids are made once, in place, and never shuffled."""
-    end = np.array([end_id], dtype="<u4").tobytes()
     kind = dict(docs.dtypes)["doc_id"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, keys, held, size, image_no = WordEncoder(tokenizer), [], [], 0, 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = per_worker(("words", tokenizer), lambda: WordEncoder(tokenizer))
+        keys, held, size, image_no = [], [], 0, 0
 
-        def flush() -> pd.DataFrame:
+        def flush(schema: pa.DataType) -> pa.RecordBatch:
             nonlocal size, image_no
-            image = build_image(held)
-            out = pd.DataFrame([(image_no, keys[:], size, image)], columns=["image_no", "doc_ids", "n_ids", "image"])
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([image_no], pa.int32()), pa.array([keys], pa.list_(schema)), pa.array([size], pa.int64()),
+                 pa.array([build_image(held)], pa.binary())], ["image_no", "doc_ids", "n_ids", "image"])
             keys.clear(), held.clear()
             size, image_no = 0, image_no + 1
             return out
 
-        for frame in frames:
-            for part in small_batches(iter([frame])):
-                for doc_id, raw in zip(part["doc_id"], encoder.batch(part["text"].tolist()), strict=True):
-                    ids = np.frombuffer(raw + end, dtype="<u4")
+        for batch in batches:
+            names = batch.schema.field("doc_id").type
+            sizes = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False))
+            cuts = np.flatnonzero(np.diff(sizes // BATCH, prepend=0)).tolist()
+            for a, b in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+                if a == b:
+                    continue
+                flat, n = encoder.encode(batch["text"].slice(a, b - a))
+                flat = np.insert(flat, np.cumsum(n), end_id)
+                for doc_id, ids in zip(batch["doc_id"].slice(a, b - a).to_pylist(),
+                                       np.split(flat, np.cumsum(n + 1)[:-1]), strict=True):
                     if size and size + len(ids) > IMAGE_IDS:
-                        yield flush()
-                    keys.append(None if pd.isna(doc_id) else doc_id)
+                        yield flush(names)
+                    keys.append(doc_id)
                     held.append(ids)
                     size += len(ids)
         if held:
-            yield flush()
+            yield flush(names)
 
     (texts(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
-     .mapInPandas(run, f"image_no int, doc_ids array<{kind}>, n_ids long, image binary")
+     .mapInArrow(run, f"image_no int, doc_ids array<{kind}>, n_ids long, image binary")
      .withColumn("shard", F.spark_partition_id())
      .write.mode("overwrite").parquet(folder))
 
