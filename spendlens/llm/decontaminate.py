@@ -118,7 +118,8 @@ def anchors(docs: DataFrame, items: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
                  radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, similarity and word_start of the best window of each
-    contaminated (document, item) pair."""
+    contaminated (document, item) pair (of equally good windows that begin at an
+    anchor, the first)."""
     if radius >= BLOCKS * 4:
         raise ValueError("eight blocks of three bits guarantee a radius below 32 only")
     docs = docs.select("doc_id", "text")
@@ -155,8 +156,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
                      f"shiftrightunsigned(fp ^ ifp, j * {WIDTH}) & 255) <= {radius // BLOCKS})")
     pairs = probes.join(index, ["n", "b", "v"]).where((F.bit_count(diff) <= radius) & ~earlier)
     a, b = _shingles(F.col("ww")), _shingles(F.col("iw"))
-    count = "aggregate(map_values(ia), 0, (s, x) -> s + x)"
-    weight = ("map_from_entries(transform(array_distinct({0}), x -> struct(x, size(filter({0}, y -> y = x)))))")
     exact = (pairs.withColumn("sa", a).withColumn("sb", b)
              .withColumn("common", F.array_intersect("sa", "sb")).where(F.size("common") > 0)
              .withColumn("overlap", F.expr("aggregate(transform(common, x -> least(size(filter(sa, y -> y = x)), "

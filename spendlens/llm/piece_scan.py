@@ -39,7 +39,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.session import materialize
@@ -49,7 +49,7 @@ from .common import RecentMemory, codepoints, per_worker, small_batches, texts
 MARK = "▁"
 CHUNK = 1 << 15           # characters per chunk
 RUN = 64                  # chunks whose matrices are combined in one go
-MEMORY = 150_000          # words remembered by a worker, per generation
+MEMORY = 100_000          # words remembered by a worker, per generation
 DENSE = 0x180             # code points of the dense automaton
 NEVER = -1e300
 
@@ -81,15 +81,16 @@ class Vocabulary:
             self.plain[i] = chr(b) if b < 128 else self.pieces[i]
         self.high = np.zeros(len(self.pieces), dtype=bool)
         self.high[[i for b, i in self.byte.items() if b >= 128]] = True
-        self._automaton()
+        self.next = None                             # made when words are first learnt
 
     def _automaton(self) -> None:
         """The pieces of code points below ``DENSE`` and the mark as a trie in one
         table: next node by node and character, 0 for none, 1 the root."""
-        self.code = np.zeros(DENSE + 2, dtype=np.int32)          # code point -> column, last: all others
-        self.code[:DENSE] = np.arange(2, DENSE + 2)
+        used = sorted({ord(ch) for p in self.score for ch in p if ord(ch) < DENSE})
+        self.code = np.zeros(DENSE + 1, dtype=np.int64)          # code point -> column; 0: no piece has it
+        self.code[used] = np.arange(2, len(used) + 2)
         mark = ord(MARK)
-        column = lambda ch: 1 if ord(ch) == mark else ord(ch) + 2 if ord(ch) < DENSE else 0       # noqa: E731
+        column = lambda ch: 1 if ord(ch) == mark else int(self.code[min(ord(ch), DENSE)])         # noqa: E731
         edges: list[dict[int, int]] = [{}, {}]
         at_node = {}
         for piece in self.score:
@@ -102,7 +103,7 @@ class Vocabulary:
                         edges.append({})
                     node = nxt
                 at_node[node] = piece
-        self.next = np.zeros((len(edges), DENSE + 2), dtype=np.int32)
+        self.next = np.zeros((len(edges), len(used) + 2), dtype=np.uint16 if len(edges) < 1 << 16 else np.int32)
         for node, out in enumerate(edges):
             for c, nxt in out.items():
                 self.next[node, c] = nxt
@@ -112,6 +113,8 @@ class Vocabulary:
 
     def learn(self, words: Iterable[str]) -> None:
         """Remember the best paths of many words, a column of all words at a time."""
+        if self.next is None:
+            self._automaton()
         new = self.words.missing(set(words))
         dense = []
         for w in new:

@@ -129,3 +129,15 @@ def score(docs: DataFrame, model: BradleyTerry) -> DataFrame:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "score": s, "predicted": (s >= 0.5).astype("int32")})
 
     return texts(docs).mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: BradleyTerry) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is at least 0.5."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in small_batches(frames):
+            s = model.score(np.array([features(t) if isinstance(t, str) else features("") for t in frame["text"]])
+                            .reshape(-1, len(FEATURES)))
+            yield frame[s >= 0.5]
+
+    return docs.mapInPandas(run, docs.schema)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, pii_tagger, piece_scan, quality_rank, simhash_dedup, token_blocks, topk_search, url_filter
+from . import decontaminate, language_id, pii_tagger, piece_scan, quality_rank, quote_threads, simhash_dedup, token_blocks, topk_search, url_filter
 from .common import id_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,13 @@ def _only(value: str) -> Callable[[Column], Column]:
     return lambda x: F.when(x == value, x)
 
 
+@query("op1_quote_threads")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reply-ordered conversations without quotes, from the test conversations
+    written as mail with nested quotes."""
+    return quote_threads.conversations(quote_threads.with_quotes(table(spark, sf_dir, "conversations")))
+
+
 @query("op2_language_hierarchy")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learnt where crc32(doc_id) mod 5 is not 0."""
@@ -59,6 +66,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_scan.summary(piece_scan.encode(table(spark, sf_dir, "documents"), model), model)
 
 
+@query("op5_simhash_decontamination")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contaminated (document, item) pairs with their best window."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op6_bilstm_crf_pii")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model spans of personal data in every document."""

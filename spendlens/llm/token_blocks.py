@@ -47,7 +47,7 @@ from spendlens.session import ensure_checkpoint_dir, materialize
 
 from .common import RecentMemory, per_worker, texts
 
-BLOCK, PERCENTILE, IMAGE_IDS, CACHE = 128, 95, 1 << 18, 250_000
+BLOCK, PERCENTILE, IMAGE_IDS, CACHE = 128, 95, 1 << 18, 450_000
 PLANE = BLOCK // 8            # bytes of a plane of bits
 BATCH = 4_000_000             # characters that are encoded at a time, about
 HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("wide", "u1"), ("odd", "<u2")])
