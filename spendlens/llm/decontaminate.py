@@ -69,6 +69,19 @@ def _shingles(w: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i + 1, SHINGLE), " "))
 
 
+def _overlap(a: Column, b: Column) -> Column:
+    """Weighted overlap of two shingle arrays.  Where one of them has no repeats
+    every common shingle weighs 1, else the smaller count."""
+    def of(z: Column) -> Column:
+        common = F.array_intersect(z["a"], z["b"])
+        plain = (F.size(F.array_distinct(z["a"])) == F.size(z["a"])) | (F.size(F.array_distinct(z["b"])) == F.size(z["b"]))
+        counted = F.aggregate(common, F.lit(0), lambda n, x: n + F.least(
+            F.size(F.filter(z["a"], lambda y: y == x)), F.size(F.filter(z["b"], lambda y: y == x))))
+        return F.when(plain, F.size(common)).otherwise(counted) / F.greatest(F.size(z["a"]), F.size(z["b"]))
+
+    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), of)[0]      # bound once, used often
+
+
 def _fingerprint(hashes: Column) -> Column:
     """SimHash: bit b is 1 where more than half of the hashes have it set."""
     bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.aggregate(
@@ -155,15 +168,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     earlier = F.expr(f"exists(filter(sequence(0, {BLOCKS - 1}), j -> j < b), j -> bit_count("
                      f"shiftrightunsigned(fp ^ ifp, j * {WIDTH}) & 255) <= {radius // BLOCKS})")
     pairs = probes.join(index, ["n", "b", "v"]).where((F.bit_count(diff) <= radius) & ~earlier)
-    a, b = _shingles(F.col("ww")), _shingles(F.col("iw"))
-    exact = (pairs.withColumn("sa", a).withColumn("sb", b)
-             .withColumn("common", F.array_intersect("sa", "sb")).where(F.size("common") > 0)
-             .withColumn("overlap", F.expr("aggregate(transform(common, x -> least(size(filter(sa, y -> y = x)), "
-                                           "size(filter(sb, y -> y = x)))), 0, (s, x) -> s + x)"))
-             .withColumn("similarity", F.col("overlap") / F.greatest(F.size("sa"), F.size("sb"))))
-    return (exact.where(F.col("similarity") >= F.lit(similarity) - 1e-12).groupBy("doc_id", "item_id")
-            .agg(F.max("similarity").alias("similarity"),
-                 F.max_by("start", F.struct("similarity", -F.col("start"))).alias("word_start")))
+    # written before the costly comparison: it then runs once a pair, in evenly dealt tasks
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = materialize(pairs.select("doc_id", "start", "ww", "item_id", "iw")
+                        .repartition(tasks, "doc_id", "start", "item_id"), "decon-pairs")
+    exact = (pairs.withColumn("similarity", _overlap(_shingles(F.col("ww")), _shingles(F.col("iw"))))
+             .select("doc_id", "item_id", "start", "similarity"))
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("s")))
+    return (materialize(exact, "decon-exact").where(F.col("similarity") >= F.lit(similarity) - 1e-12)
+            .groupBy("doc_id", "item_id").agg(best.alias("m"))
+            .select("doc_id", "item_id", F.col("m.similarity").alias("similarity"), (-F.col("m.s")).alias("word_start")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:

@@ -24,7 +24,8 @@ weight -ln(2 + rank), Zipf's law for ranks; ``ranks=False`` takes the scores as
 they are, for a file of log-probabilities.  Weights are rounded to multiples of
 2^-20, so sums are exact in whatever order they are taken.  Characters without a piece are spelled in
 byte pieces at the library's unknown-character penalty.  Ties go to the longer
-last piece.  Texts are prefixed with a word mark and spaces become word marks,
+last piece inside a word, to the smaller state at a chunk's boundary: a long text
+gets a best path, and always the same.  Texts are prefixed with a word mark and spaces become word marks,
 as the model file asks; decoding reverses that, so every text without the mark
 character itself comes back exactly.
 
@@ -49,7 +50,7 @@ from .common import RecentMemory, codepoints, per_worker, small_batches, texts
 MARK = "▁"
 CHUNK = 1 << 15           # characters per chunk
 RUN = 64                  # chunks whose matrices are combined in one go
-MEMORY = 100_000          # words remembered by a worker, per generation
+MEMORY = 60_000          # words remembered by a worker, per generation
 DENSE = 0x180             # code points of the dense automaton
 NEVER = -1e300
 
@@ -374,7 +375,7 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(model)
-        for frame in small_batches(frames):
+        for frame in small_batches(frames, 2_000_000):
             yield pd.DataFrame({"doc_id": frame["doc_id"], "part": np.int64(0),
                                 "ids": encode_batch(v, frame["text"].tolist(), chunk)})
 
@@ -399,6 +400,7 @@ def _encode_long(rows: DataFrame, model: str, chunk: int, kind: str) -> DataFram
         voc = vocabulary(model)
         for frame in small_batches(frames, column="s"):
             learn_chunks(voc, frame["s"])
+            frame = frame.copy()
             frame["m"] = [transfer(voc, s, a, p == 0, p == n - 1).tobytes() for s, a, p, n in
                           zip(frame["s"], frame["ahead"], frame["part"], frame["n"], strict=True)]
             yield frame[["doc_id", "h", "n", "part", "m"]]

@@ -263,29 +263,27 @@ def windows(c: np.ndarray, hot: np.ndarray) -> list[int]:
     return starts[held[np.minimum(starts + WINDOW, len(c))] > held[np.minimum(starts, len(c))]].tolist()
 
 
-def fit(rows: Sequence[tuple[np.ndarray, np.ndarray]], epochs: int = 8, batch: int = 64, rate: float = 0.02,
+def fit(rows: Sequence[tuple[np.ndarray, np.ndarray]], steps: int = 360, batch: int = 64, rate: float = 0.02,
         seed: int = 5) -> Tagger | None:
-    """Train on (classes, tags) windows of WINDOW characters with Adam."""
+    """Train on (classes, tags) windows of WINDOW characters: ``steps`` Adam steps,
+    whatever the number of windows, over one shuffle of them after the other."""
     if not rows:
         return None
     model, rng = Tagger.fresh(seed=seed), np.random.default_rng(seed)
     c, y = np.array([r[0] for r in rows]).T, np.array([r[1] for r in rows]).T
     m = {k: np.zeros_like(v) for k, v in model.p.items()}
     s = {k: np.zeros_like(v) for k, v in model.p.items()}
-    step = 0
-    for epoch in range(epochs):
-        order = rng.permutation(c.shape[1])
-        for at in range(0, len(order), batch):
-            pick = order[at:at + batch]
-            _, g = model.gradient(c[:, pick], y[:, pick])
-            norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-            step += 1
-            lr = rate * (0.5 ** (epoch / 4))
-            for k, x in g.items():
-                x = x * min(1.0, 5.0 / max(norm, 1e-9))
-                m[k] += 0.1 * (x - m[k])
-                s[k] += 0.01 * (x * x - s[k])
-                model.p[k] -= (lr * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(s[k] / (1 - 0.99 ** step)) + 1e-7)).astype(np.float32)
+    order = np.concatenate([rng.permutation(c.shape[1]) for _ in range(-(-steps * batch // c.shape[1]))])
+    for step in range(1, steps + 1):
+        pick = order[(step - 1) * batch:step * batch]
+        _, g = model.gradient(c[:, pick], y[:, pick])
+        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
+        lr = rate * 0.25 ** (step / steps)
+        for k, x in g.items():
+            x = x * min(1.0, 5.0 / max(norm, 1e-9))
+            m[k] += 0.1 * (x - m[k])
+            s[k] += 0.01 * (x * x - s[k])
+            model.p[k] -= (lr * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(s[k] / (1 - 0.99 ** step)) + 1e-7)).astype(np.float32)
     return model
 
 
