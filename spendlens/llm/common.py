@@ -20,9 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Rows that Spark hands to a Python task at a time: texts are long, and the
+#: session's default of 10,000 would hold tens of megabytes several times over.
+ARROW_ROWS = 1_000
+
+
+def small_transfers(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to ``ARROW_ROWS`` rows."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
+    return df
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` and ``text`` (null read as empty) and the named columns; any
     other column of the input, whatever its name, is left behind."""
+    small_transfers(docs)
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import codepoints, hash_sample, small_batches, texts
+from .common import codepoints, hash_sample, small_batches, small_transfers, texts
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -420,5 +420,5 @@ def redact(docs: DataFrame, model: Tagger | None) -> DataFrame:
                              for t, (_, s) in zip(raw, found, strict=True)]
             yield frame
 
-    clean = docs.mapInPandas(run, docs.schema)
+    clean = small_transfers(docs).mapInPandas(run, docs.schema)
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, small_batches, texts
+from .common import hash_sample, small_batches, small_transfers, texts
 
 FEATURES = ("log_chars", "log_words", "mean_word", "letters", "upper", "digits", "spaces", "symbols",
             "symbol_words", "shout_words", "distinct_words", "top_word", "repeat_pairs", "distinct_lines",
@@ -140,4 +140,4 @@ def accepted(docs: DataFrame, model: BradleyTerry) -> DataFrame:
                             .reshape(-1, len(FEATURES)))
             yield frame[s >= 0.5]
 
-    return docs.mapInPandas(run, docs.schema)
+    return small_transfers(docs).mapInPandas(run, docs.schema)
