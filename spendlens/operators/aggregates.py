@@ -18,6 +18,13 @@ from .. import fixed
 from ..functions import scalars as S
 
 
+def money_mean(amount="amount"):
+    """Mean of an amount column, from an exact decimal sum: the result does not
+    depend on the order in which rows are added."""
+    c = F.col(amount) if isinstance(amount, str) else amount
+    return F.sum(c.cast("decimal(19,4)")).cast("double") / F.count(c)
+
+
 def month_spine(spark: SparkSession) -> DataFrame:
     """Months 1..12 (JOIN-6 spine)."""
     return spark.range(1, 13).select(F.col("id").cast("int").alias("month"))
@@ -68,7 +75,7 @@ def monthly_history_mean(hist: DataFrame, basis: str = "order_mean") -> DataFram
     ``basis="month_total"`` gives the mean monthly total instead.
     """
     if basis == "order_mean":
-        return hist.groupBy("month").agg(F.avg("amount").alias("hist_mean"))
+        return hist.groupBy("month").agg(money_mean().alias("hist_mean"))
     per = hist.groupBy("year", "month").agg(F.sum("amount").alias("_t"))
     return per.groupBy("month").agg(F.avg("_t").alias("hist_mean"))
 
@@ -108,14 +115,18 @@ def dimension_breakdown(df: DataFrame, labels: Sequence[str], top: int = 10) ->
     dimension, broadcast); top-k uses ``row_number`` which Catalyst turns into
     a partial per-task limit before the shuffle.
     """
-    labels = [l for l in labels if fixed.DIMENSIONS[l] in df.columns]  # absent columns are skipped
+    for label in labels:
+        if label not in fixed.DIMENSIONS:
+            raise ValueError(f"unknown dimension {label!r}; known: {sorted(fixed.DIMENSIONS)}")
+        if fixed.DIMENSIONS[label] not in df.columns:
+            raise ValueError(f"dimension {label!r} needs the column {fixed.DIMENSIONS[label]!r}")
     if not labels:
         spark = df.sparkSession
         return spark.createDataFrame([], "dimension string, value string, total double, "
                                          "mean double, orders bigint, share_pct double")
     u = unpivot_dimensions(df, labels).where(F.col("value").isNotNull())
     g = u.groupBy("dimension", "value").agg(
-        F.sum("amount").alias("total"), F.avg("amount").alias("mean"),
+        F.sum("amount").alias("total"), money_mean().alias("mean"),
         F.count(F.lit(1)).alias("orders"))
     dim_tot = F.broadcast(g.groupBy("dimension").agg(F.sum("total").alias("_all")))
     w = Window.partitionBy("dimension").orderBy(F.col("total").desc(), F.col("value").asc())

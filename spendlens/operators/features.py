@@ -68,7 +68,7 @@ def group_stats(hist: DataFrame, p: Params) -> DataFrame:
             .unpivot(ids=["amount"], values=STAT_DIMENSIONS + [ALL], variableColumnName="dim",
                      valueColumnName="value")
             .where(F.col("value").isNotNull()))
-    g = long.groupBy("dim", "value").agg(F.avg("amount").alias("mean"), F.stddev_samp("amount").alias("std"))
+    g = long.groupBy("dim", "value").agg(A.money_mean().alias("mean"), F.stddev_samp("amount").alias("std"))
     med = exact_percentiles(long.where(F.col("dim").isin(*MEDIAN_DIMENSIONS, ALL)), "amount", [0.5],
                             by=["dim", "value"], names=["median"], accuracy=p.quantile_accuracy, exact=p.exact_quantiles)
     return A.keep_small(g.join(med.drop("n"), ["dim", "value"], "left"))
@@ -94,14 +94,14 @@ def destination_stats(hist: DataFrame, p: Params, gs: DataFrame | None = None) -
 def origin_stats(hist: DataFrame, p: Params | None = None, gs: DataFrame | None = None) -> DataFrame:
     """AGG-11: mean per origin."""
     if gs is None:
-        return hist.where(F.col("origin").isNotNull()).groupBy("origin").agg(F.avg("amount").alias("origin_mean"))
+        return hist.where(F.col("origin").isNotNull()).groupBy("origin").agg(A.money_mean().alias("origin_mean"))
     return _stats_of(gs, "origin", origin_mean="mean")
 
 
 def unit_stats(hist: DataFrame, p: Params | None = None, gs: DataFrame | None = None) -> DataFrame:
     """AGG-12: mean per unit."""
     if gs is None:
-        return hist.where(F.col("unit").isNotNull()).groupBy("unit").agg(F.avg("amount").alias("unit_mean"))
+        return hist.where(F.col("unit").isNotNull()).groupBy("unit").agg(A.money_mean().alias("unit_mean"))
     return _stats_of(gs, "unit", unit_mean="mean")
 
 

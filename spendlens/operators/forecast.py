@@ -115,8 +115,8 @@ def fill_missing_months(forecast: DataFrame, df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     have = forecast.select("month").distinct()
     missing = A.month_spine(spark).join(F.broadcast(have), "month", "left_anti")
-    mm = df.where(F.col("month").isNotNull()).groupBy("month").agg(F.avg("amount").alias("_mm"))
-    gm = A.scalar(df.agg(F.avg("amount").alias("_gm")), "_gm")
+    mm = df.where(F.col("month").isNotNull()).groupBy("month").agg(A.money_mean().alias("_mm"))
+    gm = A.scalar(df.agg(A.money_mean().alias("_gm")), "_gm")
     filled = (missing.join(F.broadcast(mm), "month", "left")
               .select("month", F.coalesce(F.col("_mm"), gm).alias("predicted"),
                       F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper")))
@@ -127,7 +127,7 @@ def fill_missing_months(forecast: DataFrame, df: DataFrame) -> DataFrame:
 def fallback_monthly(df: DataFrame) -> DataFrame:
     """ML-8: 12 months = mean order amount of that month, else global mean."""
     spark = df.sparkSession
-    mm = df.where(F.col("month").isNotNull()).groupBy("month").agg(F.avg("amount").alias("_mm"))
-    gm = A.scalar(df.agg(F.avg("amount").alias("_gm")), "_gm")
+    mm = df.where(F.col("month").isNotNull()).groupBy("month").agg(A.money_mean().alias("_mm"))
+    gm = A.scalar(df.agg(A.money_mean().alias("_gm")), "_gm")
     return (A.month_spine(spark).join(F.broadcast(mm), "month", "left")
             .select("month", F.coalesce(F.col("_mm"), gm).alias("predicted")))

@@ -2,167 +2,103 @@
 
 Spark's exact ``percentile``/``median`` merge a value->count map per group in
 one task, so one hot group (say a third of all rows) would be held by a single
-task.  This operator keeps every per-group state bounded:
-
-1. One aggregation per group computes ``n`` and a mergeable quantile sketch
-   (``percentile_approx``) at ``p - eps`` and ``p + eps`` for each wanted
-   ``p``.  Partial aggregation makes it skew-safe; the sketch has rank error
-   at most ``n / accuracy``, so with ``eps = 5 / accuracy`` the exact
-   ``p``-quantile lies between the two sketch values.
-2. For groups with ``n > small_limit``: rows below the lower bound are only
-   counted (partial sums), rows inside the window are collapsed to
-   (value, count) and ranked with a running sum partitioned by (group, p).
-   Each such window holds about ``10 / accuracy`` of its group, not the
-   group.  The two values around the target rank are interpolated.
-3. Groups with ``n <= small_limit`` (default max(2 x accuracy, 500,000), a
-   proven bound) use the built-in exact ``percentile``, whose per-group state
-   is then at most ``small_limit`` values.
-
-Before planning, one job counts the rows per group (a partial count
-aggregate; the per-group counts are kept, one row per group) and reads the
-largest.  When no group exceeds ``small_limit`` only step 3 is planned -- one
-aggregation instead of the sketch, the window and their joins; otherwise the
-sketch is built for the large groups only, with its accuracy raised to
-sqrt(10 n_max): the sketch and the ranked window of the largest group are
-then both O(sqrt(n)) values (about 3 million for a 10**12-row group), never
-a fixed fraction of the group.
+task.  Here there is one path for every size, and no task holds a group:
+
+1. ``groupBy(group, value).count()`` with partial aggregation: repeated values
+   are one row.
+2. The counts are range-partitioned on (group, value) -- a hot group spreads
+   over as many partitions as its size asks for -- and written once, with the
+   partition's number, to the checkpoint folder.
+3. Counts per (group, partition) and a running sum over a group's partitions
+   (one row per partition that the group touches) give each partition's first
+   rank, the group's size, and so the partition that holds each wanted rank.
+4. Only those partitions are ranked, each within itself.  The values at the two
+   ranks around ``1 + p (n - 1)`` are interpolated; ranks are exact, so neither
+   value can be missing.
 
 Result: one row per group with ``n`` and one column per probability.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
+
+def _same(cols: Sequence[str]) -> Column:
+    """Key columns equal their copies ``_k_<name>``; a null key is a group of its own."""
+    return reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in cols])
+
 
 def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
                       by: Sequence[str] = (), names: Sequence[str] | None = None,
-                      accuracy: int = 100_000, small_limit: int | None = None,
-                      adaptive: bool = True, exact: bool = True) -> DataFrame:
+                      accuracy: int = 100_000, exact: bool = True) -> DataFrame:
     """See the module docstring.  ``exact=False`` returns the sketch values
     (``percentile_approx``, rank error <= n / accuracy) in one aggregation."""
     by = list(by)
     probs = [float(p) for p in probs]
     k = len(probs)
     names = list(names) if names else [f"q{i}" for i in range(k)]
-    eps = 5.0 / accuracy
-    # exact built-in path for groups up to this many values (~60 bytes each of
-    # aggregation state in one task): a bound checked by the counting job
-    small_limit = max(2 * accuracy, 500_000) if small_limit is None else small_limit
-
-    key_cols = by if by else ["_g"]
-    v = F.col(value).cast("double")
-    vals = df.select(*[F.col(c) for c in by], v.alias("_v"))
+    keys = by if by else ["_g"]
+    vals = df.select(*[F.col(c) for c in by], F.col(value).cast("double").alias("_v"))
     if not by:
         vals = vals.withColumn("_g", F.lit(0))
     vals = vals.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
 
-    def small_path(keys_df):
-        src = vals if keys_df is None else vals.join(keys_df, key_cols, "left_semi")
-        return (src.groupBy(*key_cols)
-                .agg(F.count(F.lit(1)).alias("_n"),
-                     F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_q"))
-                .select(*key_cols, "_n", *[F.col("_q")[i].alias(names[i]) for i in range(k)]))
-
-    def finish(out):
-        if not by:
-            out = out.drop("_g")
-        return out.withColumnRenamed("_n", "n")
+    def finish(out: DataFrame) -> DataFrame:
+        return (out if by else out.drop("_g")).withColumnRenamed("_n", "n")
 
     if not exact:
-        approx = (vals.groupBy(*key_cols)
-                  .agg(F.count(F.lit(1)).alias("_n"),
-                       F.percentile_approx("_v", F.array(*[F.lit(p) for p in probs]), accuracy).alias("_q"))
-                  .select(*key_cols, "_n", *[F.col("_q")[i].cast("double").alias(names[i]) for i in range(k)]))
-        return finish(approx)
-
-    counts = None
-    if adaptive:
-        from .aggregates import keep_small
-        counts = keep_small(vals.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_n")))  # one row per group
-        max_n = counts.agg(F.max("_n")).first()[0]
-        if max_n is None or max_n <= small_limit:
-            return finish(small_path(None))
-        accuracy = max(accuracy, int(math.ceil(math.sqrt(10.0 * max_n))))
-        eps = 5.0 / accuracy
-
-    fr = [max(p - eps, 0.0) for p in probs] + [min(p + eps, 1.0) for p in probs]
-    sk_rows = vals
-    if counts is not None:   # sketch only the groups above the exact bound
-        sk_rows = vals.join(counts.where(F.col("_n") > small_limit).select(*key_cols), key_cols, "left_semi")
-    sk = sk_rows.groupBy(*key_cols).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", F.array(*[F.lit(x) for x in fr]), accuracy).alias("_b"),
-    )
-    # Per group and p: window bounds (open at 0 / 1) and target ranks.
-    bounds = sk.select(
-        *key_cols, "_n",
-        *[F.when(F.lit(probs[i] - eps > 0), F.col("_b")[i]).alias(f"_lo{i}") for i in range(k)],
-        *[F.when(F.lit(probs[i] + eps < 1), F.col("_b")[k + i]).alias(f"_hi{i}") for i in range(k)],
-    )
-    if not by:
-        bounds = F.broadcast(bounds)  # one row: proven bound
-
-    # ---- small groups: exact built-in percentile, state <= small_limit values
-    small_keys = (counts if counts is not None else sk).where(F.col("_n") <= small_limit).select(*key_cols)
-    if not by:
-        small_keys = F.broadcast(small_keys)
-    small = small_path(small_keys)
-
-    # ---- large groups: count below the window, rank inside it
-    big_b = bounds.where(F.col("_n") > small_limit)
-    rows = vals.join(big_b, key_cols)
-    below = rows.groupBy(*key_cols).agg(
-        *[F.count_if(F.col(f"_lo{i}").isNotNull() & (F.col("_v") < F.col(f"_lo{i}"))).alias(f"_below{i}")
-          for i in range(k)]
-    )
-    in_win = F.array(*[
-        F.when((F.col(f"_lo{i}").isNull() | (F.col("_v") >= F.col(f"_lo{i}")))
-               & (F.col(f"_hi{i}").isNull() | (F.col("_v") <= F.col(f"_hi{i}"))), F.lit(i))
-        for i in range(k)
-    ])
-    cand = (
-        rows.select(*key_cols, "_v", F.explode(F.filter(in_win, lambda x: x.isNotNull())).alias("_i"))
-        .groupBy(*key_cols, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    )
-    w = Window.partitionBy(*key_cols, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    cand = cand.withColumn("_cum", F.sum("_c").over(w))
-    meta = big_b.select(*key_cols, "_n").join(below, key_cols)
-    prob_arr = F.array(*[F.lit(p) for p in probs])
-    below_arr = F.array(*[F.col(f"_below{i}") for i in range(k)])
-    ranked = (
-        cand.join(meta, key_cols)
-        .withColumn("_p", prob_arr[F.col("_i")])
-        .withColumn("_off", below_arr[F.col("_i")])
-        .withColumn("_pos", F.lit(1.0) + F.col("_p") * (F.col("_n") - 1))
-        .withColumn("_rlo", F.floor("_pos"))
-        .withColumn("_rhi", F.ceil("_pos"))
-        .withColumn("_end", F.col("_off") + F.col("_cum"))
-        .withColumn("_start", F.col("_end") - F.col("_c") + 1)
-    )
-    picked = ranked.groupBy(*key_cols, "_i", "_n").agg(
-        F.max(F.when((F.col("_rlo") >= F.col("_start")) & (F.col("_rlo") <= F.col("_end")), F.col("_v"))).alias("_vlo"),
-        F.max(F.when((F.col("_rhi") >= F.col("_start")) & (F.col("_rhi") <= F.col("_end")), F.col("_v"))).alias("_vhi"),
-        F.first("_pos").alias("_pos"),
-    )
-    picked = picked.withColumn(
-        "_q", F.col("_vlo") + (F.col("_pos") - F.floor("_pos")) * (F.col("_vhi") - F.col("_vlo")))
-    large = picked.groupBy(*key_cols).agg(
+        return finish(vals.groupBy(*keys)
+                      .agg(F.count(F.lit(1)).alias("_n"),
+                           F.percentile_approx("_v", F.array(*[F.lit(p) for p in probs]), accuracy).alias("_q"))
+                      .select(*keys, "_n", *[F.col("_q")[i].cast("double").alias(names[i]) for i in range(k)]))
+
+    counts = vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    laid = materialize(counts.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()),
+                       "quantile-counts")
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    held = (laid.groupBy(*keys, "_part").agg(F.sum("_c").alias("_m"))
+            .withColumn("_n", F.sum("_m").over(group))
+            .withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0))))
+    wanted = held.withColumn("_want", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), (F.lit(1.0) + F.lit(p) * (F.col("_n") - 1)).alias("pos"))
+        for i, p in enumerate(probs)])))
+    low, high = F.floor("_want.pos"), F.ceil("_want.pos")
+    inside = lambda rank: (rank > F.col("_before")) & (rank <= F.col("_before") + F.col("_m"))
+    # one row per group, partition with a wanted rank, and probability
+    wanted = (wanted.where(inside(low) | inside(high))
+              .select(*keys, "_part", "_n", "_before", F.col("_want.i").alias("_i"),
+                      F.col("_want.pos").alias("_pos"), low.alias("_lo"), high.alias("_hi")))
+    parts = wanted.groupBy(*keys, "_part").agg(
+        F.first("_n").alias("_n"), F.first("_before").alias("_before"),
+        F.collect_list(F.struct("_i", "_pos", "_lo", "_hi")).alias("_ask"))        # at most one per probability
+    parts = parts.withColumnsRenamed({c: f"_k_{c}" for c in [*keys, "_part"]})
+    upto = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (laid.join(parts, _same([*keys, "_part"]))
+              .select(*keys, "_part", "_v", "_c", "_n", "_before", "_ask")
+              .withColumn("_end", F.col("_before") + F.sum("_c").over(upto))
+              .withColumn("_a", F.explode("_ask")))
+    at = lambda rank: (F.col(rank) > F.col("_end") - F.col("_c")) & (F.col(rank) <= F.col("_end"))
+    picked = (ranked.where(at("_a._lo") | at("_a._hi"))
+              .groupBy(*keys, F.col("_a._i").alias("_i"))
+              .agg(F.first("_n").alias("_n"), F.first("_a._pos").alias("_pos"),
+                   F.max(F.when(at("_a._lo"), F.col("_v"))).alias("_vlo"),
+                   F.max(F.when(at("_a._hi"), F.col("_v"))).alias("_vhi"))
+              .withColumn("_q", F.col("_vlo") + (F.col("_pos") - F.floor("_pos")) * (F.col("_vhi") - F.col("_vlo"))))
+    return finish(picked.groupBy(*keys).agg(
         F.max("_n").alias("_n"),
-        *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(names[i]) for i in range(k)],
-    )
-
-    return finish(small.unionByName(large))
+        *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(names[i]) for i in range(k)]))
 
 
 def exact_percentile_scalar(df: DataFrame, value: str, probs: Sequence[float],
                             names: Sequence[str], accuracy: int = 100_000, exact: bool = True) -> DataFrame:
     """Global quantiles as a one-row frame (zero rows in -> one row of nulls)."""
     q = exact_percentiles(df, value, probs, names=names, accuracy=accuracy, exact=exact)
-    one = df.sparkSession.range(1).select(F.lit(1).alias("_one"))
-    q = q.withColumn("_one", F.lit(1))
-    return one.join(F.broadcast(q), "_one", "left").drop("_one", "n")
+    return q.agg(*[F.max(n).alias(n) for n in names])

@@ -66,8 +66,8 @@ def stats(flagged: DataFrame) -> DataFrame:
     g = flagged.agg(
         F.count(F.lit(1)).alias("rows_analysed"),
         F.count_if(anom).alias("anomalies"),
-        F.avg(F.when(~anom, a)).alias("mean_normal"),
-        F.avg(F.when(anom, a)).alias("mean_anomalous"),
+        A.money_mean(F.when(~anom, a)).alias("mean_normal"),
+        A.money_mean(F.when(anom, a)).alias("mean_anomalous"),
         F.max(F.when(anom, a)).alias("max_anomalous"),
     )
     n = F.col("rows_analysed")

@@ -19,6 +19,7 @@ from ..functions import text as X
 from ..operators import aggregates as A
 from ..operators import rules as R
 from ..params import Params
+from ..schema import InsufficientData
 
 
 def prepare(purchases: DataFrame) -> DataFrame:
@@ -157,5 +158,13 @@ class MonitoringReport:
 
 def monitoring_report(purchases: DataFrame, year: int, p: Params, budget: float | None = None,
                       dimensions: Sequence[str] = (), intervals: bool = True) -> MonitoringReport:
-    """REP-1 over the purchases of the forecast window."""
-    return MonitoringReport(purchases, year, p, budget, dimensions, intervals)
+    """REP-1 over the purchases of the forecast window; raises ``InsufficientData``
+    where the year or its history holds no valid rows (one aggregate of one column)."""
+    report = MonitoringReport(purchases, year, p, budget, dimensions, intervals)
+    seen = report.prepared.agg(F.count_if(F.col("year") == year).alias("target"),
+                               F.count_if(F.col("year") < year).alias("history")).first()
+    if not seen["target"]:
+        raise InsufficientData(f"no valid rows in {year}")
+    if not seen["history"]:
+        raise InsufficientData(f"no valid rows before {year}")
+    return report

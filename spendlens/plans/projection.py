@@ -23,6 +23,7 @@ from ..operators import features as FE
 from ..operators import forecast as FC
 from ..operators import rules as R
 from ..params import Params
+from ..schema import InsufficientData
 from . import monitoring as M
 
 
@@ -45,9 +46,18 @@ def sufficiency_checks(prepared: DataFrame, p: Params, target_year: int | None =
     return one.select(F.explode(F.array(*items)).alias("c")).select("c.*")
 
 
-def naive_total(features: DataFrame, p: Params) -> DataFrame:
+def require(checks: DataFrame, names: Sequence[str]) -> None:
+    """Raise ``InsufficientData`` where one of the named checks fails (one small
+    aggregate job)."""
+    failed = [f"{r['check']}: {r['observed']} of {r['needed']}" for r in checks.collect()
+              if r["check"] in names and not r["ok"]]
+    if failed:
+        raise InsufficientData("; ".join(failed))
+
+
+def naive_total(latest: DataFrame, p: Params) -> DataFrame:
     """ML-6: latest-year spend x growth factor (one row)."""
-    return features.agg((F.sum("amount") * p.naive_growth).alias("projected_total"))
+    return latest.agg((F.sum("amount") * p.naive_growth).alias("projected_total"))
 
 
 def monthly(prepared: DataFrame, target_year: int, p: Params, intervals: bool = True) -> DataFrame:
@@ -58,9 +68,9 @@ def monthly(prepared: DataFrame, target_year: int, p: Params, intervals: bool =
                          "lower", "upper", "source")
 
 
-def dimension_forecast(features: DataFrame, dimensions: Sequence[str], top: int = 10) -> DataFrame:
+def dimension_forecast(latest: DataFrame, dimensions: Sequence[str], top: int = 10) -> DataFrame:
     """ML-9: breakdown of the latest year's actual amounts (as AGG-8)."""
-    return A.dimension_breakdown(features, dimensions, top)
+    return A.dimension_breakdown(latest, dimensions, top)
 
 
 def headline(prepared: DataFrame, total: DataFrame, p: Params, target_year: int,
@@ -103,6 +113,11 @@ class ProjectionReport:
         self.year, self.p, self.budget = target_year, p, budget
         self.dimensions, self.intervals, self.method, self.model = list(dimensions), intervals, method, model
 
+    @functools.cached_property
+    def slice(self) -> DataFrame:
+        """The latest year's rows with all their columns (no feature frame needed)."""
+        return FE.latest_year_slice(self.prepared, self.year)
+
     @functools.cached_property
     def features(self) -> DataFrame:
         return FE.feature_frame(self.prepared, self.year, self.p)
@@ -110,7 +125,7 @@ class ProjectionReport:
     @functools.cached_property
     def total(self) -> DataFrame:
         if self.method == "naive":
-            return A.keep_small(naive_total(self.features, self.p))
+            return A.keep_small(naive_total(self.slice, self.p))
         from ..operators import model as ML
         return A.keep_small(ML.predicted_total(ML.score(self.model, FE.encode_categories(self.prepared,
                                                                                           self.features))))
@@ -125,7 +140,7 @@ class ProjectionReport:
 
     @functools.cached_property
     def breakdown(self) -> DataFrame:
-        return dimension_forecast(self.features, self.dimensions)
+        return dimension_forecast(self.slice, self.dimensions)
 
     @functools.cached_property
     def alerts(self) -> DataFrame:
@@ -139,7 +154,9 @@ class ProjectionReport:
 def projection_report(purchases: DataFrame, target_year: int, p: Params, budget: float | None = None,
                       dimensions: Sequence[str] = (), intervals: bool = True,
                       method: str = "naive", model=None) -> ProjectionReport:
-    return ProjectionReport(purchases, target_year, p, budget, dimensions, intervals, method, model)
+    report = ProjectionReport(purchases, target_year, p, budget, dimensions, intervals, method, model)
+    require(report.checks, ["not_empty", "min_rows"])
+    return report
 
 
 def forecast_dynamic(purchases: DataFrame, target_year: int, p: Params, budget: float | None = None,

@@ -32,7 +32,7 @@ REC_FIELDS = [("title", T.StringType()), ("description", T.StringType()), ("prio
 def global_stats(df: DataFrame, p: Params) -> DataFrame:
     """AGG-15 + global mean/total/count: one row."""
     q = exact_percentile_scalar(df, "amount", [0.25, 0.75], ["q25", "q75"], p.quantile_accuracy, exact=p.exact_quantiles)
-    g = df.agg(F.avg("amount").alias("global_mean"), F.sum("amount").alias("total_spend"),
+    g = df.agg(A.money_mean().alias("global_mean"), F.sum("amount").alias("total_spend"),
                F.count(F.lit(1)).alias("orders"))
     qs = A.scalar(q)
     return g.withColumn("q25", qs["q25"]).withColumn("q75", qs["q75"])
@@ -51,7 +51,7 @@ def top_categories_by_group(df: DataFrame, group_col: str, k: int = 3) -> DataFr
 def origin_profile(df: DataFrame, stats: DataFrame) -> DataFrame:
     """AGG-17: per origin: total, mean, orders and the class against q25/q75."""
     g = df.where(F.col("origin").isNotNull()).groupBy("origin").agg(
-        F.sum("amount").alias("total"), F.avg("amount").alias("mean"),
+        F.sum("amount").alias("total"), A.money_mean().alias("mean"),
         F.count(F.lit(1)).alias("orders"))
     q = A.scalar(stats.select("q25", "q75"))
     cls = (F.when(F.col("mean") > q["q75"], fixed.ORIGIN_CLASS_HIGH)
@@ -63,7 +63,7 @@ def origin_profile(df: DataFrame, stats: DataFrame) -> DataFrame:
 def unit_profile(df: DataFrame) -> DataFrame:
     """AGG-18 (with FIL-11): per non-null unit: total, mean, orders."""
     return df.where(F.col("unit").isNotNull()).groupBy("unit").agg(
-        F.sum("amount").alias("total"), F.avg("amount").alias("mean"),
+        F.sum("amount").alias("total"), A.money_mean().alias("mean"),
         F.count(F.lit(1)).alias("orders"))
 
 
@@ -266,7 +266,7 @@ def dimension_trends(df: DataFrame, labels: Sequence[str], p: Params) -> DataFra
 def spend_summary(df: DataFrame, opps: DataFrame) -> DataFrame:
     """AGG-32: total spend, orders, mean, saving sum and saving % (one row)."""
     g = df.agg(F.sum("amount").alias("total_spend"), F.count(F.lit(1)).alias("orders"),
-               F.avg("amount").alias("mean"))
+               A.money_mean().alias("mean"))
     s = opps.agg(F.coalesce(F.sum("saving"), F.lit(0.0)).alias("saving"),
                  F.count(F.lit(1)).alias("opportunities"))
     sv = A.scalar(s)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Purchase lines as they arrive (one row per order line).
@@ -59,6 +60,10 @@ class SchemaError(ValueError):
     pass
 
 
+class InsufficientData(ValueError):
+    """A report was asked for data that the input does not hold."""
+
+
 def conform(df: DataFrame, schema: T.StructType, name: str) -> DataFrame:
     """Select the schema's columns with its types; raise listing any missing.
 
@@ -69,4 +74,9 @@ def conform(df: DataFrame, schema: T.StructType, name: str) -> DataFrame:
     missing = [f.name for f in schema.fields if f.name not in present]
     if missing:
         raise SchemaError(f"{name}: missing columns {sorted(missing)}")
-    return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
+    def column(f: T.StructField):
+        c = df[f.name].cast(f.dataType)
+        # NaN is a missing value: as null it leaves sums, means and ranks alone
+        return F.when(~F.isnan(c), c) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c
+
+    return df.select(*[column(f).alias(f.name) for f in schema.fields])

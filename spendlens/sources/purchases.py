@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..params import Params
 from ..schema import (CATALOGUE, FACT_KEYS, PURCHASES_COLUMNS, PURCHASES_RAW,
-                      SchemaError, conform)
+                      InsufficientData, SchemaError, conform)
 
 
 def filter_date_between(df: DataFrame, start: Any = None, end: Any = None,
@@ -120,7 +120,9 @@ def stage_purchases(purchases: DataFrame, path: str) -> DataFrame:
 
 
 def read_staged(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(*PURCHASES_COLUMNS)
+    """The staged table; ``order_year`` (the partition column) stays beside the
+    purchases columns so that year windows prune partitions."""
+    return spark.read.parquet(path).select(*PURCHASES_COLUMNS, "order_year")
 
 
 def _year_bounds(y0: int, y1: int) -> tuple[str, str]:
@@ -133,10 +135,12 @@ def years_between(purchases: DataFrame, y0: int, y1: int) -> DataFrame:
 
     Half-open on the timestamp ([y0-01-01, y1+1-01-01)), so 31 December after
     midnight is kept; a range predicate on the raw column pushes down to the
-    scan and prunes year partitions.
+    scan; on a staged table the year partitions outside it are not read.
     """
     lo, hi = _year_bounds(y0, y1)
     c = F.col("order_date")
+    if "order_year" in purchases.columns:      # staged table: skip whole partitions
+        purchases = purchases.where(F.col("order_year").between(y0, y1)).drop("order_year")
     return purchases.where((c >= F.lit(lo).cast("timestamp_ntz")) & (c < F.lit(hi).cast("timestamp_ntz")))
 
 
@@ -152,6 +156,8 @@ def latest_year_fallback(purchases: DataFrame, year: int) -> DataFrame:
     global max (one row, broadcast) and only rows of that year are kept.
     """
     two = years_between(purchases, year - 1, year).withColumn("_y", F.year("order_date"))
+    if two.isEmpty():
+        raise InsufficientData(f"no rows in {year} nor in {year - 1}")
     chosen = F.broadcast(two.agg(F.max("_y").alias("_chosen")))
     return two.join(chosen, F.col("_y") == F.col("_chosen")).drop("_y", "_chosen")
 

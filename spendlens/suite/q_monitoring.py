@@ -44,7 +44,7 @@ head AS (
 MONTHLY = PREP + """,
 spine AS (SELECT CAST(range AS INTEGER) AS month FROM range(1, 13)),
 ma AS (SELECT month, SUM(amount) AS actual_sum FROM ydf GROUP BY month),
-mh AS (SELECT month, avg(amount) AS hist_mean FROM hist GROUP BY month),
+mh AS (SELECT month, (sum(amount::DECIMAL(19,4))::DOUBLE / count(amount)) AS hist_mean FROM hist GROUP BY month),
 mm AS (SELECT s.month, coalesce(ma.actual_sum, 0.0) AS a, coalesce(mh.hist_mean, 0.0) AS predicted
        FROM spine s LEFT JOIN ma USING (month) LEFT JOIN mh USING (month)),
 monthly AS (
@@ -70,7 +70,7 @@ u AS (UNPIVOT (SELECT origin AS ORIGEN, unit AS UN, category AS CATEGORIA, class
                       family AS FAMILIA, destination AS DESTINO, company AS EMPRESA, amount FROM ydf)
       ON ORIGEN, UN, CATEGORIA, CLASE, FAMILIA, DESTINO, EMPRESA
       INTO NAME dimension VALUE value),
-g AS (SELECT dimension, value, SUM(amount) AS total, avg(amount) AS mean, count(*) AS orders
+g AS (SELECT dimension, value, SUM(amount) AS total, (sum(amount::DECIMAL(19,4))::DOUBLE / count(amount)) AS mean, count(*) AS orders
       FROM u WHERE value IS NOT NULL GROUP BY dimension, value)"""
 
 ALERTS_SELECT = """
@@ -148,7 +148,7 @@ def monthly_actual(spark, sf):
     return A.monthly_actual(ydf)
 
 
-@register("monthly_history_mean", "SELECT month, avg(amount) AS hist_mean FROM hist GROUP BY month",
+@register("monthly_history_mean", "SELECT month, (sum(amount::DECIMAL(19,4))::DOUBLE / count(amount)) AS hist_mean FROM hist GROUP BY month",
           ctes=PREP, rounding=r("hist_mean", 6))
 def monthly_history_mean(spark, sf):
     """AGG-6: mean order amount per month over the history years."""

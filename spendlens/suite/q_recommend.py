@@ -22,13 +22,13 @@ def _window_sql(y0: int) -> str:
     return f"""
 rw AS (SELECT * FROM purchases
        WHERE order_date >= TIMESTAMP '{y0}-01-01' AND order_date < TIMESTAMP '2002-01-01'),
-gs AS (SELECT avg(amount) AS global_mean, sum(amount) AS total_spend, count(*) AS orders,
+gs AS (SELECT (sum(amount::DECIMAL(19,4))::DOUBLE / count(amount)) AS global_mean, sum(amount) AS total_spend, count(*) AS orders,
               quantile_cont(amount, 0.25) AS q25, quantile_cont(amount, 0.75) AS q75 FROM rw),
-op AS (SELECT origin, sum(amount) AS total, avg(amount) AS mean, count(*) AS orders
+op AS (SELECT origin, sum(amount) AS total, (sum(amount::DECIMAL(19,4))::DOUBLE / count(amount)) AS mean, count(*) AS orders
        FROM rw WHERE origin IS NOT NULL GROUP BY origin),
 op2 AS (SELECT op.*, CASE WHEN mean > q75 THEN 'alto' WHEN mean < q25 THEN 'bajo' ELSE 'normal' END
                AS spend_class FROM op, gs),
-up AS (SELECT unit, sum(amount) AS total, avg(amount) AS mean, count(*) AS orders
+up AS (SELECT unit, sum(amount) AS total, (sum(amount::DECIMAL(19,4))::DOUBLE / count(amount)) AS mean, count(*) AS orders
        FROM rw WHERE unit IS NOT NULL GROUP BY unit),
 p75 AS (SELECT quantile_cont(orders, 0.75) AS p75_orders FROM op),
 tc AS (SELECT category, sum(amount) AS total FROM rw WHERE category IS NOT NULL
@@ -83,7 +83,7 @@ o2 AS (SELECT 'Consolidación de Compras', 'OPERACIONAL', 'Pedidos pequeños',
 opps AS (SELECT CAST(row_number() OVER (ORDER BY saving DESC, value) AS INTEGER) AS opp_no, *
          FROM (SELECT * FROM (SELECT * FROM o1 UNION ALL SELECT * FROM o2)
                ORDER BY saving DESC, value LIMIT 5)),
-ss AS (SELECT sum(amount) AS total_spend, count(*) AS orders, avg(amount) AS mean FROM rw),
+ss AS (SELECT sum(amount) AS total_spend, count(*) AS orders, (sum(amount::DECIMAL(19,4))::DOUBLE / count(amount)) AS mean FROM rw),
 sv AS (SELECT coalesce(sum(saving), 0.0) AS saving, count(*) AS opportunities FROM opps),
 spend AS (SELECT ss.*, sv.saving, sv.opportunities, sv.saving / ss.total_spend * 100.0 AS saving_pct
           FROM ss, sv),

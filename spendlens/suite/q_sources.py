@@ -14,7 +14,7 @@ MONEY = r("amount")
 @register("base_purchases", "SELECT * FROM purchases", rounding=MONEY)
 def base_purchases(spark, sf):
     """SRC-1: fact LEFT JOIN catalogue, SUM(amount) over the 22 keys."""
-    return base(spark, sf)
+    return base(spark, sf).drop("order_year")
 
 
 @register("purchases_year", """
@@ -105,7 +105,7 @@ FROM purchases WHERE amount > 0 AND order_date IS NOT NULL"""
 @register("valid_monitoring_rows", PREP_SQL, rounding=MONEY)
 def valid_monitoring_rows(spark, sf):
     """FIL-4 (with SCA-1/2): amount > 0 and a known order year."""
-    return M.prepare(base(spark, sf))
+    return M.prepare(base(spark, sf).drop("order_year"))
 
 
 @register("history_split", """

@@ -16,7 +16,8 @@ def test_oracle_keys_are_queries():
     assert set(sqls) <= set(qs)
     assert len(qs) >= 100
     # only the randomised or model-based items lack an exact oracle
-    assert set(qs) - set(sqls) <= {"isolation_scores", "anomaly_report_forest", "train_amount_model",
+    from spendlens.suite import spark_queries
+    assert set(spark_queries()) - set(sqls) <= {"isolation_scores", "anomaly_report_forest", "train_amount_model",
                                    "score_amount_model", "model_metrics", "predicted_total",
                                    "model_store_roundtrip", "projection_headline_model", "report_document"}
 

@@ -1,5 +1,5 @@
-"""Exact quantiles: both the small-group path and the sketch-window path
-equal numpy's linear interpolation, including a hot group and many ties."""
+"""Exact quantiles equal numpy's linear interpolation at every group size, with a
+hot group, many ties and null groups."""
 
 import numpy as np
 import pytest
@@ -35,12 +35,18 @@ def expected(rows):
     return out
 
 
-@pytest.mark.parametrize("kw", [dict(), dict(accuracy=50, small_limit=100),
-                                dict(accuracy=200, small_limit=400, adaptive=False)])
-def test_grouped(spark, data, kw):
+@pytest.mark.parametrize("parts", ["1", "8", "61"])
+def test_grouped(spark, data, parts):
     rows, df = data
     want = expected(rows)
-    got = exact_percentiles(df, "v", PROBS, by=["g"], **kw).collect()
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = exact_percentiles(df, "v", PROBS, by=["g"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[1])
     assert len(got) == len(want)
     for r in got:
         n, q = want[r["g"]]
@@ -49,7 +55,7 @@ def test_grouped(spark, data, kw):
             assert r[f"q{i}"] == pytest.approx(q[i], rel=1e-12, abs=1e-9), (r["g"], PROBS[i])
 
 
-@pytest.mark.parametrize("kw", [dict(), dict(accuracy=50, small_limit=100, adaptive=False)])
+@pytest.mark.parametrize("kw", [dict(), dict(accuracy=100_000)])
 def test_global(spark, data, kw):
     rows, df = data
     v = np.array([r[1] for r in rows if r[1] is not None and not np.isnan(r[1])])
@@ -59,6 +65,17 @@ def test_global(spark, data, kw):
         assert got[f"q{i}"] == pytest.approx(np.percentile(v, p * 100), rel=1e-12)
 
 
+def test_no_null_for_any_size(spark):
+    sizes = {"a": 1, "b": 2, "c": 3, "d": 1002, None: 7}
+    rows = [(g, float(i)) for g, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r for r in exact_percentiles(df, "v", [0.25, 0.5, 0.75, 0.95], by=["g"]).collect()}
+    assert set(got) == set(sizes)
+    for g, n in sizes.items():
+        want = np.percentile(np.arange(n), [25, 50, 75, 95])
+        assert [got[g][f"q{i}"] for i in range(4)] == pytest.approx(want.tolist())
+
+
 def test_scalar_on_empty_input(spark):
     df = spark.createDataFrame([], "v double")
     got = exact_percentile_scalar(df, "v", [0.5], ["m"]).collect()
