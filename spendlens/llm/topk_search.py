@@ -14,14 +14,17 @@ cosine threshold t of that bucket.  Per query and bucket one way is chosen:
 
 All surviving products are verified exactly.  First thresholds come from a
 seeding pass over the longest vectors and an evenly hashed set of others; any
-lower bound keeps results exact, so the seed decides speed only.
+lower bound keeps results exact, so the seed decides speed only.  The bound is a
+score and an id: of equal scores, which a very common vector gives in any number,
+only ids below that of the k-th best can still enter.  Bounds rise inside a cell
+from bucket to bucket.
 
 Vectors are sorted by length over the whole cluster (range partitions on length
 and id, so equal lengths are no hot key) and packed into bounded buckets, the
 queries into bounded blocks.  The work is a grid of cells, each a few blocks
 beside a few buckets; a cell emits at most k rows per query, merged by a final
-window.  Buckets shorter than anything a block still needs are left out before
-the shuffle.  Components become ``floor(64 x)``; products are exact integers
+window.  In its cell, a bucket shorter than anything a block still needs is
+passed over unread.  Components become ``floor(64 x)``; products are exact integers
 (float64 while they stay below 2^53, Python integers beyond, ends of the long
 range at most).
 
@@ -48,6 +51,7 @@ CELL = 2                  # blocks and buckets per side of a grid cell
 SEED_ROWS = 2048          # vectors of the seeding pass, about
 LENGTH_BELOW = 0.6        # local threshold up to which length pruning is used
 EXACT = 2.0 ** 52
+ANY = 2 ** 63 - 1         # id of a bound without one
 
 
 def quantize(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: float = 64.0) -> DataFrame:
@@ -65,7 +69,7 @@ def quantize(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scal
 
 
 def _pack(df: DataFrame, size: int) -> DataFrame:
-    """Rows (id, v, dim, norm, floor) sorted by length, longest first, and packed
+    """Rows (id, v, dim, norm, floor, last) sorted by length, longest first, and packed
     into rows of at most ``size`` vectors of one dimension."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,10 +87,10 @@ def _pack(df: DataFrame, size: int) -> DataFrame:
                     break
                 at += len(part)
                 raw = [np.ascontiguousarray(part[c].to_numpy(), dtype=kind).tobytes()
-                       for c, kind in (("id", "<i8"), ("norm", "<f8"), ("floor", "<f8"))]
+                       for c, kind in (("id", "<i8"), ("norm", "<f8"), ("floor", "<f8"), ("last", "<i8"))]
                 v = np.array(part["v"].tolist(), dtype="<f8").tobytes()
                 yield pd.DataFrame([(int(dim), int(part["id"].iloc[0]), float(part["norm"].max()), *raw, v)],
-                                   columns=["dim", "pack", "top", "ids", "norms", "floors", "vs"])
+                                   columns=["dim", "pack", "top", "ids", "norms", "floors", "lasts", "vs"])
             if at < len(rows):
                 held.append(rows.iloc[at:])
 
@@ -98,7 +102,8 @@ def _pack(df: DataFrame, size: int) -> DataFrame:
 
     return (df.repartitionByRange("dim", F.desc("norm"), "id")
             .sortWithinPartitions("dim", F.desc("norm"), "id")
-            .mapInPandas(run, "dim int, pack long, top double, ids binary, norms binary, floors binary, vs binary"))
+            .mapInPandas(run, "dim int, pack long, top double, ids binary, norms binary, floors binary, lasts binary, "
+                               "vs binary"))
 
 
 def _products(q: np.ndarray, p: np.ndarray, reach: float) -> np.ndarray:
@@ -108,11 +113,18 @@ def _products(q: np.ndarray, p: np.ndarray, reach: float) -> np.ndarray:
     return np.array(full, dtype=object)
 
 
-def search_cell(q_ids, q, floor, p_ids, p, norms, k: int) -> list[tuple[int, int, int]]:
-    """(query, candidate, score) rows of one cell that may belong to a top k.
+def _below(score: int) -> float:
+    """The score as a double that is not above it."""
+    return float(score) if abs(score) < EXACT else float(score) - abs(float(score)) * 2.0 ** -50
 
-    ``floor``: per query a proven lower bound of its k-th best score (-inf if
-    none); ``norms`` falls along the bucket."""
+
+def search_bucket(q_ids, q, floor, last, p_ids, p, norms, k: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(query's place, its best (-score, candidate)) of one bucket, as far as they
+    may belong to a top k.
+
+    ``floor`` and ``last``: per query a proven lower bound of its k-th best score
+    (-inf if none), and the id that scores equal to it must not exceed;
+    ``norms`` falls along the bucket."""
     out = []
     if not len(p_ids):
         return out
@@ -148,14 +160,14 @@ def search_cell(q_ids, q, floor, p_ids, p, norms, k: int) -> list[tuple[int, int
         s = _products(q[i], part, float(ql * norms[0]))
         keep = ids != q_ids[i]
         if np.isfinite(at_least):
-            keep &= s >= at_least
+            keep &= (s > at_least) | ((s == at_least) & (ids <= last[i]))
         s, ids = s[keep], ids[keep]
         if len(s) > k:
             edge = np.sort(s)[-k] if s.dtype == object else np.partition(s, len(s) - k)[-k]
             near = s >= edge
             s, ids = s[near], ids[near]
-        best = sorted(zip((-int(x) for x in s), ids.tolist(), strict=True))[:k]
-        out += [(int(q_ids[i]), c, -x) for x, c in best]
+        if len(ids):
+            out.append((i, sorted(zip((-int(x) for x in s), ids.tolist(), strict=True))[:k]))
     return out
 
 
@@ -168,15 +180,26 @@ def _run(blocks: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
+        right = right.sort_values("top", ascending=False)
         for b in left.itertuples(index=False):
-            q_ids, floor = np.frombuffer(b.ids, "<i8"), np.frombuffer(b.floors, "<f8")
+            q_ids = np.frombuffer(b.ids, "<i8")
+            floor, last = np.frombuffer(b.floors, "<f8").copy(), np.frombuffer(b.lasts, "<i8").copy()
             q = np.frombuffer(b.vs, "<f8").reshape(len(q_ids), -1)
-            need = float(np.min(floor / np.maximum(np.sqrt((q * q).sum(1)), 1e-300))) * (1 - 1e-9)
+            lengths = np.maximum(np.sqrt((q * q).sum(1)), 1e-300)
+            held = [[] for _ in q_ids]
             for p in right.itertuples(index=False):
-                if need <= 0 or p.top >= need:
-                    ids = np.frombuffer(p.ids, "<i8")
-                    out += search_cell(q_ids, q, floor, ids, np.frombuffer(p.vs, "<f8").reshape(len(ids), -1),
-                                       np.frombuffer(p.norms, "<f8"), k)
+                need = float(np.min(floor / lengths)) * (1 - 1e-9)
+                if need > 0 and p.top < need:
+                    break
+                ids = np.frombuffer(p.ids, "<i8")
+                for i, found in search_bucket(q_ids, q, floor, last, ids, np.frombuffer(p.vs, "<f8").reshape(len(ids), -1),
+                                              np.frombuffer(p.norms, "<f8"), k):
+                    held[i] = sorted(held[i] + found)[:k]
+                    if len(held[i]) == k:
+                        least, c = held[i][-1]
+                        if (_below(-least), -c) > (floor[i], -last[i]):
+                            floor[i], last[i] = _below(-least), c
+            out += [(int(q_ids[i]), c, -x) for i, best in enumerate(held) for x, c in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     row = F.pmod(F.xxhash64("pack", F.lit(1)), F.lit(down)).cast("int")       # one type on both sides: keys are hashed
@@ -197,19 +220,21 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vect
     """query_id, rank, vec_id, score: the k best of every row but the query's
     own, for the rows whose id is divisible by ``every``."""
     rows = materialize(quantize(df, key, vector, scale), "topk-rows")
-    none = F.lit(float("-inf"))
-    buckets = materialize(_pack(rows.withColumn("floor", none), BUCKET), "topk-buckets")
+    unbound = {"floor": F.lit(float("-inf")), "last": F.lit(ANY)}
+    buckets = materialize(_pack(rows.withColumns(unbound), BUCKET), "topk-buckets")
     queries = rows.where(F.col("id") % every == 0)
     # seeding: the longest vectors and an even sample
     share = min(1.0, SEED_ROWS / max(rows.count(), 1))
     longest = rows.agg(F.percentile_approx("norm", 1 - share / 2, 10_000)).first()[0]
     seeds = rows.where((F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 20)) < share * (1 << 20))
                        | (F.col("norm") > F.lit(longest)))
-    found = _best(_run(materialize(_pack(queries.withColumn("floor", none), BLOCK), "topk-first"),
-                       materialize(_pack(seeds.withColumn("floor", none), BUCKET), "topk-seeds"), k), k)
-    floors = (found.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
-              .where(F.col("n") >= k).select(F.col("query_id").alias("id"), F.col("least").cast("double").alias("floor")))
-    known = queries.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", none))
+    found = _best(_run(materialize(_pack(queries.withColumns(unbound), BLOCK), "topk-first"),
+                       materialize(_pack(seeds.withColumns(unbound), BUCKET), "topk-seeds"), k), k)
+    score = F.col("score").cast("double")
+    below = F.when(F.abs(score) < EXACT, score).otherwise(score - F.abs(score) * 2.0 ** -50)
+    floors = (found.where(F.col("rank") == k)
+              .select(F.col("query_id").alias("id"), below.alias("floor"), F.col("vec_id").alias("last")))
+    known = queries.join(floors, "id", "left").withColumns({c: F.coalesce(c, none) for c, none in unbound.items()})
     scores = _run(materialize(_pack(known, BLOCK), "topk-blocks"), buckets, k)
     return (_best(materialize(scores, "topk-scores"), k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
