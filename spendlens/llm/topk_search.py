@@ -13,11 +13,12 @@ cosine threshold t of that bucket.  Per query and bucket one way is chosen:
   interval are multiplied.
 
 All surviving products are verified exactly.  First thresholds come from a
-seeding pass over the longest vectors and an evenly hashed set of others; any
-lower bound keeps results exact, so the seed decides speed only.  The bound is a
-score and an id: of equal scores, which a very common vector gives in any number,
-only ids below that of the k-th best can still enter.  Bounds rise inside a cell
-from bucket to bucket.
+seeding pass over about ``SEED_ROWS`` vectors, half an evenly hashed set and half
+the longest of the others (a number that does not grow with the input); any lower
+bound keeps results exact, so the seed decides speed only.  A bound is a score and
+an id: of equal scores, which a very common vector gives in any number, only ids
+below that of the k-th best can still enter.  Bounds rise inside a cell from
+bucket to bucket.
 
 Vectors are sorted by length over the whole cluster (range partitions on length
 and id, so equal lengths are no hot key) and packed into bounded buckets, the
@@ -48,7 +49,7 @@ from spendlens.session import materialize
 BLOCK = 1024              # queries per block
 BUCKET = 4096             # vectors per bucket
 CELL = 2                  # blocks and buckets per side of a grid cell
-SEED_ROWS = 2048          # vectors of the seeding pass, about
+SEED_ROWS = 2048          # vectors of the seeding pass, about (one task packs them)
 LENGTH_BELOW = 0.6        # local threshold up to which length pruning is used
 EXACT = 2.0 ** 52
 ANY = 2 ** 63 - 1         # id of a bound without one
@@ -68,9 +69,10 @@ def quantize(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scal
         "norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e)))
 
 
-def _pack(df: DataFrame, size: int) -> DataFrame:
+def _pack(df: DataFrame, size: int, few: bool = False) -> DataFrame:
     """Rows (id, v, dim, norm, floor, last) sorted by length, longest first, and packed
-    into rows of at most ``size`` vectors of one dimension."""
+    into rows of at most ``size`` vectors of one dimension.  ``few``: the rows are
+    of a fixed number and packed by one task, into as few packs as can be."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = []
@@ -100,7 +102,7 @@ def _pack(df: DataFrame, size: int) -> DataFrame:
                 yield from packs(False)
         yield from packs(True)
 
-    return (df.repartitionByRange("dim", F.desc("norm"), "id")
+    return ((df.repartition(1) if few else df.repartitionByRange("dim", F.desc("norm"), "id"))
             .sortWithinPartitions("dim", F.desc("norm"), "id")
             .mapInPandas(run, "dim int, pack long, top double, ids binary, norms binary, floors binary, lasts binary, "
                                "vs binary"))
@@ -223,13 +225,12 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vect
     unbound = {"floor": F.lit(float("-inf")), "last": F.lit(ANY)}
     buckets = materialize(_pack(rows.withColumns(unbound), BUCKET), "topk-buckets")
     queries = rows.where(F.col("id") % every == 0)
-    # seeding: the longest vectors and an even sample
-    share = min(1.0, SEED_ROWS / max(rows.count(), 1))
-    longest = rows.agg(F.percentile_approx("norm", 1 - share / 2, 10_000)).first()[0]
-    seeds = rows.where((F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 20)) < share * (1 << 20))
-                       | (F.col("norm") > F.lit(longest)))
+    # seeding: half an even sample, half the longest of the others
+    share = min(1.0, SEED_ROWS / 2 / max(rows.count(), 1))
+    even = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 40)) < share * (1 << 40)
+    seeds = rows.where(even).unionByName(rows.where(~even).orderBy(F.desc("norm"), "id").limit(SEED_ROWS // 2))
     found = _best(_run(materialize(_pack(queries.withColumns(unbound), BLOCK), "topk-first"),
-                       materialize(_pack(seeds.withColumns(unbound), BUCKET), "topk-seeds"), k), k)
+                       materialize(_pack(seeds.withColumns(unbound), BUCKET, few=True), "topk-seeds"), k), k)
     score = F.col("score").cast("double")
     below = F.when(F.abs(score) < EXACT, score).otherwise(score - F.abs(score) * 2.0 ** -50)
     floors = (found.where(F.col("rank") == k)
