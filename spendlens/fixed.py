@@ -35,7 +35,6 @@ REQUIRED_LABELS = [
     "DESTINO", "TOTALPESOS", "DETALLEFINAL", "SOLICITUD",
     "POSICION", "CATEGORIA", "CLASE", "FAMILIA",
 ]
-DATE_COLUMNS = ["request_date", "order_date"]
 # columns whose nulls are reported as problems (reference labels)
 CRITICAL_NULL_LABELS = ["TOTALPESOS", "CATEGORIA", "DESTINO"]
 
@@ -54,8 +53,6 @@ ALERT_PATTERN = "patron_inusual"
 SEV_CRITICAL = "critico"
 SEV_HIGH = "alto"
 SEV_MEDIUM = "medio"
-SEV_LOW = "bajo"
-SEV_INFO = "info"
 
 STATE_EXCELLENT = "excelente"
 STATE_GOOD = "buena"
@@ -78,16 +75,7 @@ QUANTITY_PATTERNS = [
 ]
 
 # --- fixed values: the 26 model features (reference order) -----------------
-FEATURE_LABELS = [
-    "CATEGORIA", "CLASE", "FAMILIA", "DESTINO", "ORIGEN", "UN",
-    "CENTROCOSTO", "AÑO", "MES", "TRIMESTRE", "DIA_SEMANA",
-    "SEMANA_AÑO", "ES_FIN_MES", "ES_INICIO_MES", "ES_FIN_TRIMESTRE",
-    "CANTIDAD", "GASTO_PROM_CAT", "GASTO_MED_CAT", "GASTO_STD_CAT",
-    "GASTO_PROM_DEST", "GASTO_MED_DEST", "GASTO_PROM_ORIG",
-    "GASTO_PROM_UN", "RATIO_GASTO_CAT", "RATIO_GASTO_DEST",
-    "GASTO_MES_ANTERIOR",
-]
-# canonical column names of the same 26 features, same order
+# canonical column names
 FEATURES = [
     "category", "class", "family", "destination", "origin", "unit",
     "cost_center", "year", "month", "quarter", "weekday",
@@ -210,7 +198,6 @@ SUM_RECS = "   • {n} recomendaciones estratégicas generadas"
 SUM_NOPPS = "   • {n} oportunidades de ahorro cuantificadas"
 SUM_SAVING = "   • Ahorro Potencial Estimado: ${saving} ({pct}% del gasto total)"
 SUM_ACTIONS = " Acciones Prioritarias:"
-SUM_ITEM = "   {i}. {title}"
 SUM_NEXT = (" Próximos Pasos: Implementar las {n} acciones prioritarias identificadas para maximizar "
             "el impacto en los próximos 3-6 meses.")
 

@@ -145,8 +145,9 @@ def column_medians(df: DataFrame, columns: Sequence[str], p: Params) -> DataFram
     return wide.select(*[F.col(c).alias(f"med_{c}") for c in columns])
 
 
-def impute_medians(df: DataFrame, columns: Sequence[str], p: Params) -> DataFrame:
-    """SCA-6: null numeric values -> that column's exact median.
+def impute_medians(df: DataFrame, columns: Sequence[str], p: Params, source: DataFrame | None = None) -> DataFrame:
+    """SCA-6: null numeric values -> that column's exact median (over ``source``,
+    where given, in place of ``df`` itself).
 
     One partial-count pass finds the columns that have nulls; only those go
     through the median job (medians of complete columns are never used).
@@ -156,7 +157,7 @@ def impute_medians(df: DataFrame, columns: Sequence[str], p: Params) -> DataFram
     need = [c for c in columns if nulls[c]]
     if not need:
         return df
-    meds = A.scalar(A.keep_small(column_medians(df, need, p)))     # one row
+    meds = A.scalar(A.keep_small(column_medians(df if source is None else source, need, p)))     # one row
     out = df
     for c in need:
         out = out.withColumn(c, F.coalesce(F.col(c), meds[f"med_{c}"].cast(df.schema[c].dataType)))

@@ -31,17 +31,18 @@ def feature_columns(drop_leaking: bool = True) -> list[str]:
     return [c for c in fixed.FEATURES if not (drop_leaking and c in LEAKING)]
 
 
-def training_frame(prepared: DataFrame, p: Params) -> DataFrame:
-    """All prepared history rows with the 26 features (encoded), label = amount.
+def training_frame(history: DataFrame, rows: DataFrame, p: Params) -> DataFrame:
+    """``rows`` with the 26 features (encoded), label = amount; group statistics,
+    medians and labels are learnt on ``history`` (a part of ``rows``) alone.
 
     Written to the shared checkpoint folder (twice: before imputation and
     after encoding): boosting reads it once per iteration, and the lineage
     (statistics, medians, encoders) is long.
     """
-    f = FE.enrich(prepared.where(F.col("year").isNotNull()), prepared, p)
-    f = materialize(f, "training-enriched")
-    f = FE.impute_medians(f, FE.NUMERIC_FEATURES, p).select("request_line", *fixed.FEATURES, "amount")
-    return materialize(FE.encode_categories(prepared, f), "training-frame")
+    f = materialize(FE.enrich(rows, history, p), "training-enriched")
+    known = f.join(history.select("year").distinct(), "year", "left_semi")      # whole years
+    f = FE.impute_medians(f, FE.NUMERIC_FEATURES, p, known).select("request_line", *fixed.FEATURES, "amount")
+    return materialize(FE.encode_categories(history, f), "training-frame")
 
 
 def amount_model(drop_leaking: bool = True, max_iter: int = 20, max_depth: int = 5, seed: int = 42) -> Pipeline:
@@ -56,22 +57,32 @@ def amount_model(drop_leaking: bool = True, max_iter: int = 20, max_depth: int =
 @dataclasses.dataclass
 class TrainedModel:
     model: PipelineModel
-    test: DataFrame
+    test: DataFrame            # the held-out year; empty where there is none
     holdout_year: int | None
     drop_leaking: bool
+    history: DataFrame         # the years it learnt from
 
 
 def train(prepared: DataFrame, p: Params, drop_leaking: bool = True, max_iter: int = 20,
           max_depth: int = 5) -> TrainedModel:
-    """ML-3: fit on years before the last observed year, hold that year out."""
-    data = training_frame(prepared, p)
-    last = data.agg(F.max("year")).first()[0]
-    train_df = data.where(F.col("year") < last) if last is not None else data
-    test_df = data.where(F.col("year") == last) if last is not None else data.limit(0)
-    if train_df.isEmpty():             # a single year of history: no holdout
-        train_df, test_df, last = data, data, None
-    model = amount_model(drop_leaking, max_iter, max_depth, p.seed).fit(train_df)
-    return TrainedModel(model=model, test=test_df, holdout_year=last, drop_leaking=drop_leaking)
+    """ML-3: fit on years before the last observed year, hold that year out.
+
+    Nothing is learnt from the held-out year.  A single year of history is all
+    learnt from and leaves no holdout (``metrics`` are then null)."""
+    rows = prepared.where(F.col("year").isNotNull())
+    first, last = rows.agg(F.min("year"), F.max("year")).first()
+    history = rows.where(F.col("year") < last) if last != first else rows
+    data = training_frame(history, rows, p)
+    held = (F.col("year") == last) if last != first else F.lit(False)
+    model = amount_model(drop_leaking, max_iter, max_depth, p.seed).fit(data.where(~held))
+    return TrainedModel(model=model, test=data.where(held), holdout_year=last if last != first else None,
+                        drop_leaking=drop_leaking, history=history)
+
+
+def encode(model: PipelineModel | TrainedModel, prepared: DataFrame, features: DataFrame) -> DataFrame:
+    """``features`` with the label numbers that the model learnt (for a bare
+    pipeline: those of ``prepared``)."""
+    return FE.encode_categories(model.history if isinstance(model, TrainedModel) else prepared, features)
 
 
 def score(model: PipelineModel | TrainedModel, encoded_features: DataFrame) -> DataFrame:
@@ -86,12 +97,12 @@ def predicted_total(scored: DataFrame) -> DataFrame:
 
 
 def metrics(trained: TrainedModel) -> DataFrame:
-    """ML-5: R2, RMSE and MAE on the holdout year, as a table."""
+    """ML-5: R2, RMSE and MAE on the holdout year, as a table (null without one)."""
     pred = score(trained, trained.test)
     spark = pred.sparkSession
-    ev = RegressionEvaluator(labelCol="amount", predictionCol="prediction")
-    rows = [(name, float(ev.setMetricName(name).evaluate(pred))) for name in ("r2", "rmse", "mae")]
     n = pred.count()
+    ev = RegressionEvaluator(labelCol="amount", predictionCol="prediction")
+    rows = [(name, float(ev.setMetricName(name).evaluate(pred)) if n else None) for name in ("r2", "rmse", "mae")]
     return spark.createDataFrame(rows + [("holdout_rows", float(n))], "metric string, value double")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import dataclasses
 import datetime as _dt
 
+from . import fixed
 
 @dataclasses.dataclass(frozen=True)
 class Params:
@@ -19,7 +20,7 @@ class Params:
     recommendation_years: int = 2   # recommendation window: target-2 .. target
     quick_recommendation_years: int = 1
     # labels
-    unknown_label: str = "Desconocido"
+    unknown_label: str = fixed.UNKNOWN_LABEL
     # monitoring
     trend_years: int = 3
     trend_divisor: float = 3.0

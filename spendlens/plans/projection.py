@@ -127,8 +127,7 @@ class ProjectionReport:
         if self.method == "naive":
             return A.keep_small(naive_total(self.slice, self.p))
         from ..operators import model as ML
-        return A.keep_small(ML.predicted_total(ML.score(self.model, FE.encode_categories(self.prepared,
-                                                                                          self.features))))
+        return A.keep_small(ML.predicted_total(ML.score(self.model, ML.encode(self.model, self.prepared, self.features))))
 
     @functools.cached_property
     def headline(self) -> DataFrame:

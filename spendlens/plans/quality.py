@@ -21,6 +21,7 @@ from ..functions import text as X
 from ..operators import aggregates as A
 from ..operators import rules as R
 from ..params import Params
+from ..schema import PURCHASES_COLUMNS
 
 LABEL = dict(zip(fixed.REQUIRED_COLUMNS, fixed.REQUIRED_LABELS))
 
@@ -104,13 +105,15 @@ def advice(prof: DataFrame, probs: DataFrame) -> DataFrame:
     return out.select(F.row_number().over(w).alias("advice_no"), "advice")
 
 
-EXAMPLE_COLS = ["order_date", "origin", "amount", "request_line", "category", "destination"]
+#: Order of the examples: these columns, then the others of the row.
+EXAMPLE_ORDER = ["order_date", "origin", "amount", "request_line", "category", "destination"]
+EXAMPLE_COLS = EXAMPLE_ORDER + [c for c in PURCHASES_COLUMNS if c not in EXAMPLE_ORDER]
 
 
 def examples(df: DataFrame, prof: DataFrame, limit: int = 10) -> DataFrame:
     """TOP-10: first ``limit`` offending rows per problem, deterministic order.
 
-    Null problems show the row; the amount problem (<= 0) shows date, origin
+    Null problems show the whole row; the amount problem (<= 0) shows date, origin
     and amount, as the reference does.  Only problems that are reported get
     examples (the amount problem is reported when negatives > 0).
     """
@@ -130,11 +133,7 @@ def examples(df: DataFrame, prof: DataFrame, limit: int = 10) -> DataFrame:
     narrow = F.col("kind") == fixed.PROBLEM_NEGATIVE
     return top.select(
         "column_label", "kind", F.col("example_no").cast("int").alias("example_no"),
-        "order_date", "origin", "amount",
-        F.when(~narrow, F.col("request_line")).alias("request_line"),
-        F.when(~narrow, F.col("category")).alias("category"),
-        F.when(~narrow, F.col("destination")).alias("destination"),
-    )
+        *EXAMPLE_ORDER[:3], *[F.when(~narrow, F.col(c)).alias(c) for c in EXAMPLE_COLS[3:]])
 
 
 def summary(prof: DataFrame, probs: DataFrame) -> DataFrame:

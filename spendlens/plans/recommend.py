@@ -24,6 +24,7 @@ from ..functions import text as X
 from ..operators import aggregates as A
 from ..operators.quantiles import exact_percentile_scalar
 from ..params import Params
+from ..session import materialize
 
 REC_FIELDS = [("title", T.StringType()), ("description", T.StringType()), ("priority", T.StringType()),
               ("area", T.StringType()), ("impact", T.StringType()), ("actions", T.ArrayType(T.StringType()))]
@@ -205,7 +206,10 @@ def period_parts(df: DataFrame, p: Params) -> DataFrame:
     """FIL-10 (+ AGG-29): the last ``recent_months`` observed months are
     'recent', the ones before 'prior'.  Empty unless >= 2 x recent months
     were observed.  At most one row per observed month (a bounded list)."""
-    per = A.observed_periods(df)
+    return _recent_and_prior(A.observed_periods(df), p)
+
+
+def _recent_and_prior(per: DataFrame, p: Params) -> DataFrame:
     k = p.recent_months
     w = Window.orderBy(F.col("period").desc())   # one row per observed month
     ranked = per.withColumn("_rk", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
@@ -213,7 +217,10 @@ def period_parts(df: DataFrame, p: Params) -> DataFrame:
         "period", F.when(F.col("_rk") <= k, F.lit("recent")).otherwise(F.lit("prior")).alias("part"))
 
 
-def top_values_by_frequency(df: DataFrame, labels: Sequence[str], k: int = 5) -> DataFrame:
+TOP_VALUES = 5
+
+
+def top_values_by_frequency(df: DataFrame, labels: Sequence[str], k: int = TOP_VALUES) -> DataFrame:
     """TOP-5: the k most frequent values per dimension (null dropped)."""
     u = A.unpivot_dimensions(df, labels).where(F.col("value").isNotNull())
     g = u.groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("orders"))
@@ -236,18 +243,22 @@ def restrict_to_top_values(df: DataFrame, labels: Sequence[str], p: Params) -> D
 
 def period_spend_change(df: DataFrame, labels: Sequence[str], p: Params) -> DataFrame:
     """AGG-30 (+ SCA-15): per top value: recent vs prior spend and % change
-    (values whose prior spend is 0 are skipped)."""
-    rows = restrict_to_top_values(df, labels, p)
-    g = rows.groupBy("dimension", "value").agg(
-        F.sum(F.when(F.col("part") == "recent", F.col("amount")).otherwise(F.lit(0.0))).alias("recent"),
-        F.sum(F.when(F.col("part") == "prior", F.col("amount")).otherwise(F.lit(0.0))).alias("prior"))
-    tops = top_values_by_frequency(df, labels).select("dimension", "value")
-    g = tops.join(g, ["dimension", "value"], "left").select(
-        "dimension", "value", F.coalesce("recent", F.lit(0.0)).alias("recent"),
-        F.coalesce("prior", F.lit(0.0)).alias("prior"))
-    has = A.scalar(period_parts(df, p).agg(F.count(F.lit(1)).alias("_np")), "_np")
-    g = g.where(has > 0)
-    g = g.where(F.col("prior") != 0)
+    (values whose prior spend is 0 are skipped).
+
+    One scan: spend and orders per (dimension, value, month) are written once,
+    and the top values, the months and the change all come from that table."""
+    cols = [F.col(fixed.DIMENSIONS[l]).cast("string").alias(l) for l in labels]
+    long = df.select(*cols, A.month_start("order_date").alias("period"), "amount").unpivot(
+        ids=["period", "amount"], values=list(labels), variableColumnName="dimension", valueColumnName="value")
+    months = materialize(long.groupBy("dimension", "value", "period")
+                         .agg(F.sum("amount").alias("spend"), F.count(F.lit(1)).alias("orders")), "trend-months")
+    parts = _recent_and_prior(months.where(F.col("period").isNotNull()).select("period").distinct(), p)
+    spend = lambda part: F.coalesce(F.sum(F.when(F.col("part") == part, F.col("spend"))), F.lit(0.0))
+    g = (months.where(F.col("value").isNotNull()).join(F.broadcast(parts), "period", "left")
+         .groupBy("dimension", "value")
+         .agg(F.sum("orders").alias("orders"), spend("recent").alias("recent"), spend("prior").alias("prior")))
+    w = Window.partitionBy("dimension").orderBy(F.col("orders").desc(), F.col("value").asc())
+    g = g.withColumn("_rk", F.row_number().over(w)).where((F.col("_rk") <= TOP_VALUES) & (F.col("prior") != 0))
     chg = (F.col("recent") - F.col("prior")) / F.col("prior") * 100.0
     return g.select("dimension", "value", "recent", "prior", chg.alias("change_pct"),
                     S.change_direction(chg).alias("direction"))

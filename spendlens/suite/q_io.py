@@ -33,7 +33,7 @@ def _trained(spark, sf):
 
 def _encoded_slice(spark, sf):
     p = _prep(spark, sf)
-    return FE.encode_categories(p, FE.feature_frame(p, NEXT_YEAR, PARAMS))
+    return ML.encode(_trained(spark, sf), p, FE.feature_frame(p, NEXT_YEAR, PARAMS))
 
 
 @register("train_amount_model")

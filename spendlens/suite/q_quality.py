@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from .. import fixed
 from ..plans import quality as Q
@@ -68,8 +69,11 @@ lines2 AS (
   UNION ALL
   SELECT 99, ' Calidad de datos aceptable para análisis' WHERE (SELECT count(*) FROM lines) = 0)"""
 
+_EX_OTHERS = ("system company unit request_date cost_center level6 level7 level8 nature business_line detail "
+              "requester preparer request_id line_no class family buying_entity").split()
 _EX_ORDER = "order_date ASC NULLS FIRST, origin ASC NULLS FIRST, amount ASC NULLS FIRST, " \
-            "request_line ASC NULLS FIRST, category ASC NULLS FIRST, destination ASC NULLS FIRST"
+            "request_line ASC NULLS FIRST, category ASC NULLS FIRST, destination ASC NULLS FIRST, " \
+            + ", ".join(f"{c} ASC NULLS FIRST" for c in _EX_OTHERS)
 EXAMPLES = PROF + """,
 tagged AS (
   SELECT 'DESTINO' AS column_label, 'valores_nulos' AS kind, * FROM q WHERE destination IS NULL
@@ -160,14 +164,14 @@ def quality_recommendations(spark, sf):
 
 @register("quality_examples", """
 SELECT column_label, kind, CAST(rn AS INTEGER) AS example_no, order_date,
-       origin, amount,
-       CASE WHEN kind <> 'valores_negativos_o_cero' THEN request_line END AS request_line,
-       CASE WHEN kind <> 'valores_negativos_o_cero' THEN category END AS category,
-       CASE WHEN kind <> 'valores_negativos_o_cero' THEN destination END AS destination
+       origin, amount, """ + ", ".join(
+    f"CASE WHEN kind <> 'valores_negativos_o_cero' THEN {c}{'::VARCHAR' * (c == 'cost_center')} END AS {c}"
+    for c in ["request_line", "category", "destination", *_EX_OTHERS]) + """
 FROM ranked WHERE rn <= 10""", ctes=EXAMPLES, rounding=r("amount"))
 def quality_examples(spark, sf):
-    """TOP-10: first 10 example rows per problem, deterministic order."""
-    return _report(spark, sf).examples
+    """TOP-10: first 10 example rows per problem, deterministic order (the cost
+    centre as text: pandas reads integers with nulls as floats)."""
+    return _report(spark, sf).examples.withColumn("cost_center", F.col("cost_center").cast("string"))
 
 
 @register("quality_summary", """

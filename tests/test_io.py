@@ -50,7 +50,16 @@ def test_model_train_score_store(spark):
     m = {r["metric"]: r["value"] for r in ML.metrics(trained).collect()}
     assert set(m) == {"r2", "rmse", "mae", "holdout_rows"} and m["rmse"] >= m["mae"] >= 0
     assert "cat_ratio" not in ML.feature_columns(True)
-    enc = FE.encode_categories(prepared, FE.feature_frame(prepared, 2002, PARAMS))
+    # nothing of the held-out year is learnt: other amounts and labels there change no training row
+    other = prepared.withColumn("amount", F.when(F.col("year") == 2001, F.col("amount") * 7).otherwise(F.col("amount"))) \
+        .withColumn("category", F.when(F.col("year") == 2001, F.lit("0 new")).otherwise(F.col("category")))
+    before = F.col("year") < 2001
+    same = [ML.training_frame(x.where(before), x, PARAMS).where(before) for x in (prepared, other)]
+    assert same[0].exceptAll(same[1]).isEmpty() and same[1].exceptAll(same[0]).isEmpty()
+    one = ML.train(prepared.where("year = 2001"), PARAMS, max_iter=1, max_depth=2)
+    assert one.holdout_year is None
+    assert [r["value"] for r in ML.metrics(one).collect()] == [None, None, None, 0.0]
+    enc = ML.encode(trained, prepared, FE.feature_frame(prepared, 2002, PARAMS))
     path = ML.save(trained, scratch(spark, f"test-models/{uuid.uuid4().hex[:8]}"))
     # (request_line is not unique in the test data, so compare the multisets)
     a = sorted(r[0] for r in ML.score(trained, enc).select("prediction").collect())
