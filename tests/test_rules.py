@@ -1,12 +1,16 @@
 """Each rule fires and stays silent by threshold (parameters, not data)."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from spendlens.params import Params
+from spendlens.plans import anomalies as AN
 from spendlens.plans import monitoring as M
 from spendlens.plans import projection as PR
 from spendlens.plans import quality as Q
+from spendlens.plans import recommend as RC
 
 P = Params()
 
@@ -55,3 +59,55 @@ def test_quality_advice_clean_and_poor(spark):
     adv = [r["advice"] for r in Q.quality_report(poor, P).advice.collect()]
     assert adv[0].strip().startswith("CRÍTICO")
     assert any(a.startswith("Revisar proceso de captura para DESTINO (100.0% nulos)") for a in adv)
+
+
+@pytest.mark.parametrize("n,top,share,expected", [
+    (P.anomaly_many, 10.0, 0.0, []),
+    (P.anomaly_many + 1, 10.0, 0.0, ["alto"]),
+    (2, 10.0 * P.anomaly_ratio + 1, 0.0, ["critico"]),
+    (4, 10.0, P.origin_share + 0.25, ["medio"]),
+    (4, 10.0, P.origin_share, []),
+])
+def test_anomaly_alerts(spark, n, top, share, expected):
+    mine = int(n * share)
+    flagged = spark.createDataFrame([(True, "a" if i < mine else f"o{i}") for i in range(n)],
+                                    "is_anomaly boolean, origin string")
+    st = spark.createDataFrame([(n, 10.0, top)], "anomalies long, mean_normal double, max_anomalous double")
+    if share == 0.0:
+        flagged = flagged.withColumn("origin", F.lit(None).cast("string"))
+    assert [r["severity"] for r in AN.alerts(flagged, st, P).collect()] == expected
+
+
+@pytest.mark.parametrize("small,mean,expected", [
+    (P.small_orders_min, 100.0, []),
+    (P.small_orders_min + 1, 100.0, ["small"]),
+    (0, 100.0 * P.saving_mean_factor, []),
+    (0, 100.0 * P.saving_mean_factor + 1, ["origin"]),
+])
+def test_opportunities(spark, small, mean, expected):
+    df = spark.range(small).select(F.lit(1.0).alias("amount"))
+    stats = spark.createDataFrame([(100.0, 2.0)], "global_mean double, q25 double")
+    origins = spark.createDataFrame([("x", mean, 5000.0)], "origin string, mean double, total double")
+    got = RC.opportunities(df, P, stats, origins).collect()
+    assert [{"x": "origin"}.get(r["value"], "small") for r in got] == expected
+
+
+def _purchases(spark, months, factor, value="a"):
+    return spark.createDataFrame([(value, datetime.datetime(2000, 1 + m, 5), 100.0 * (factor if m >= months // 2 else 1))
+                                  for m in range(months)], "origin string, order_date timestamp_ntz, amount double")
+
+
+@pytest.mark.parametrize("months,factor,expected", [
+    (2 * P.recent_months, 1.0 + P.trend_min_pct / 100 + 0.01, ["a"]),
+    (2 * P.recent_months, 0.5, ["a"]),
+    (2 * P.recent_months, 1.0 + P.trend_min_pct / 200, []),
+    (2 * P.recent_months - 1, 3.0, []),                        # too few months observed
+])
+def test_dimension_trends(spark, months, factor, expected):
+    assert [r["value"] for r in RC.dimension_trends(_purchases(spark, months, factor), ["ORIGEN"], P).collect()] == expected
+
+
+def test_trends_skip_values_without_prior_spend(spark):
+    df = _purchases(spark, 2 * P.recent_months, 2.0).unionByName(
+        _purchases(spark, 2 * P.recent_months, 1.0, "new").where(f"month(order_date) > {P.recent_months}"))
+    assert [r["value"] for r in RC.dimension_trends(df, ["ORIGEN"], P).collect()] == ["a"]
