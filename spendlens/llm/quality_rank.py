@@ -5,27 +5,30 @@ line repetition), computed over the whole text inside tasks.  From a bounded
 sample of labelled documents the model learns weights ``w`` such that
 ``sigmoid(w . (f(a) - f(b)))`` is the chance that ``a`` is preferred to ``b``,
 by gradient descent of the logistic loss over pairs of a good and a bad
-document.  The threshold is the score quantile at the share of bad documents
-among the labelled ones; the returned score is
+document.  The threshold is the exact score quantile, over all labelled
+documents, at the share of bad ones among them; the returned score is
 ``sigmoid(w . f - threshold)``, so 0.5 sits on the threshold.
 
 Null and empty texts have all-zero counts and are scored like any other; a
 table without one of the two labels gives a model with zero weights and score
 0.5; repeated label rows of one document count once (the smallest label);
-repeated documents are scored row by row; extra columns are ignored.
+repeated documents are counted and scored row by row; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendlens.operators.quantiles import exact_percentiles
+from spendlens.session import materialize
+
 from .common import hash_sample, small_batches, small_transfers, texts
 
 FEATURES = ("log_chars", "log_words", "mean_word", "letters", "upper", "digits", "spaces", "symbols",
@@ -72,8 +75,12 @@ class BradleyTerry:
     w: np.ndarray
     threshold: float
 
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        """``w . f`` row by row: a row's sum does not depend on the rows beside it."""
+        return (np.clip((x - self.mean) / self.scale, -8, 8) * self.w).sum(1)
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8) @ self.w - self.threshold
+        z = self.raw(x) - self.threshold
         return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -103,21 +110,31 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = 20_000, steps: int = 30
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = 2_000) -> BradleyTerry:
-    """Fit on at most about ``per_label`` documents of each label (a documented
-    bound); features are computed in tasks, only their numbers reach the driver."""
+    """Weights from at most about ``per_label`` documents of each label (a
+    documented bound), the threshold from all labelled documents.  Features are
+    computed in tasks; only the sample's numbers reach the driver."""
     one = (labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
            .groupBy("doc_id").agg(F.min("quality").alias("quality")))
-    picked = hash_sample(one, "quality", per_label)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in small_batches(frames):
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["quality"],
-                                "x": [features(t) for t in frame["text"]]})
-
-    rows = (texts(docs).join(F.broadcast(picked), "doc_id")     # about 2 x per_label rows
-            .mapInPandas(run, "doc_id long, y int, x array<double>").toPandas())
-    rows = rows.sort_values(["doc_id", "y"], kind="stable")
-    return fit_pairs(np.array(rows["x"].tolist()), rows["y"].to_numpy())
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "x": [features(t) for t in frame["text"]]})
+
+    numbers = texts(docs).mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, x array<double>")
+    known = materialize(numbers.join(one, "doc_id"), "quality-features")    # numbers meet labels, texts are not dealt
+    rows = hash_sample(known, "quality", per_label).toPandas().sort_values(["doc_id", "quality"], kind="stable")
+    model = fit_pairs(np.array(rows["x"].tolist()), rows["quality"].to_numpy())
+    count = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
+    if len(count) < 2:
+        return model
+
+    def weigh(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                yield pd.DataFrame({"raw": model.raw(np.array(frame["x"].tolist()))})
+
+    cut = exact_percentiles(known.select("x").mapInPandas(weigh, "raw double"), "raw", [count[0] / sum(count.values())])
+    return replace(model, threshold=cut.first()["q0"])
 
 
 def score(docs: DataFrame, model: BradleyTerry) -> DataFrame:

@@ -116,6 +116,17 @@ def test_bradley_terry(spark, documents):
     assert kept.columns == documents.columns and kept.count() < documents.count()
 
 
+def test_threshold_comes_from_all_labelled_documents(spark, documents, texts):
+    labels = table(spark, SF, "labels")
+    known = sorted({r.doc_id: r.quality for r in labels.collect() if r.quality in (0, 1)}.items())
+    x, y = np.array([quality_rank.features(texts[i]) for i, _ in known]), np.array([q for _, q in known])
+    assert 0 < (y == 0).mean() < 0.4
+    for per_label in (5, 2_000):                                  # a small sample is about half bad, the table is not
+        m = quality_rank.train(documents, labels, per_label=per_label)
+        raw = np.clip((x - m.mean) / m.scale, -8, 8) @ m.w
+        assert m.threshold == pytest.approx(np.quantile(raw, (y == 0).mean()), abs=1e-9)
+
+
 def test_pair_loss_orders_separable_rows():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, len(quality_rank.FEATURES)))
