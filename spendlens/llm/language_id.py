@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import codepoints, hash_sample, small_batches, texts
+from .common import codepoints, hash_sample, per_worker, small_batches, texts
 
 DIM = 4096
 UNKNOWN = "und"
@@ -34,8 +34,10 @@ FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germani
             "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance",
             "ru": "slavic", "pl": "slavic", "cs": "slavic", "uk": "slavic"}
 
-# Per code point below 0x3000: is it a letter (others above count as letters).
-_LETTER = np.array([chr(c).isalpha() for c in range(0x3000)] + [True])
+
+def _letters() -> np.ndarray:
+    """Per code point: is it a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
 def vector(text: str | None) -> np.ndarray | None:
@@ -43,7 +45,7 @@ def vector(text: str | None) -> np.ndarray | None:
     if not text:
         return None
     c = codepoints(text.lower())
-    letter = _LETTER[np.minimum(c, 0x3000)]
+    letter = per_worker(("letters",), _letters)[c]
     if not letter.any():
         return None
     c = np.where(letter, c, np.uint32(32))

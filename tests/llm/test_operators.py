@@ -102,6 +102,15 @@ def test_language_hierarchy(spark, documents):
     assert language_id.identify(documents.limit(0), model).count() == 0
 
 
+def test_only_letters_make_a_language(spark, documents):
+    model = language_id.train(documents)
+    none = ["\U0001F600\U0001F600", "。。、", "１２３", "〇〡", "\ue000\uf8ff", "\U000F0000", "！？（）", "\U0001D7D8 \U0001F680"]
+    got = language_id.identify(docs_of(spark, none), model).collect()
+    assert [(r.lang_pred, r["score"]) for r in got] == [("und", 0.0)] * len(none)
+    assert (language_id.vector("日本語。１２\U0001F600café") == language_id.vector("日本語 café")).all()
+    assert language_id.vector("\U00020000") is not None and language_id.vector("한글") is not None
+
+
 def test_bradley_terry(spark, documents):
     sf = "/root/testdata/sf0.01"
     got = queries.QUERIES["op7_bradley_terry_quality"](spark, sf)
