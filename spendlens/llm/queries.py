@@ -38,8 +38,8 @@ def _only(value: str) -> Callable[[Column], Column]:
 @query("op1_quote_threads")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reply-ordered conversations without quotes, from the test conversations
-    written as mail with nested quotes."""
-    return quote_threads.conversations(quote_threads.with_quotes(table(spark, sf_dir, "conversations")))
+    written as mail with nested, whole and partial quotes."""
+    return quote_threads.conversations(quote_threads.with_quotes(table(spark, sf_dir, "conversations"), partial=True))
 
 
 @query("op2_language_hierarchy")

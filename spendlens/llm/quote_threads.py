@@ -4,11 +4,14 @@ Messages quote earlier ones as mail does: a line's quote level is the number of
 ``>`` signs it begins with (spaces may stand between them).  Lines of one level
 that follow each other form a passage.  A passage is normalised (lower case, one
 space between words) and hashed with SHA-256; a message's own passage, its text
-of level 0, is hashed alike, as a whole and paragraph by paragraph.
+of level 0, is hashed alike, as a whole, paragraph by paragraph and line by line.
+Runs of some of its lines are hashed where a quoted passage begins with the same
+line, for every number of lines that such passages have (blank lines not counted).
 
 Linking joins quoted passages to original messages of the same conversation by
 hash.  The original is the earliest message that holds the passage as its own
-words; it must come before the quoting one.  The passage of level 1 (of several,
+words: its whole passage, one paragraph, or lines that follow each other; it must
+come before the quoting one.  Wrapping matters only for part of a paragraph.  The passage of level 1 (of several,
 the one from the latest original) names the message that is replied to.
 
 A conversation is then a forest.  ``root_turn`` and ``depth`` come from pointer
@@ -53,19 +56,44 @@ def passages(messages: DataFrame) -> DataFrame:
     return flat.withColumn("hash", F.sha2(normalise(F.col("body")), 256))
 
 
+def _lines(body: Column) -> Column:
+    """The normalised lines of a passage, without blank ones."""
+    return F.filter(F.transform(F.split(body, "\n"), normalise), lambda x: x != "")
+
+
+def _run_hashes(own: DataFrame, quoted: DataFrame) -> DataFrame:
+    """(conv_id, turn, hash): runs of two or more own lines that begin as a quoted
+    passage of their conversation does and have as many lines.  Only the distinct
+    numbers of lines meet an own line, so one common line is no product of rows."""
+    sha = lambda x: F.sha2(x, 256)                                                       # noqa: E731
+    ks = (quoted.select("conv_id", _lines(F.col("body")).alias("lines")).where(F.size("lines") > 1)
+          .select("conv_id", sha(F.col("lines")[0]).alias("first"), F.size("lines").alias("k"))
+          .groupBy("conv_id", "first").agg(F.collect_set("k").alias("ks")))
+    lines = own.select(*KEY, "no", _lines(F.col("body")).alias("lines")).where(F.size("lines") > 1)
+    starts = lines.select(*KEY, "no", F.size("lines").alias("m"), F.posexplode(F.transform("lines", sha)).alias("i", "first"))
+    found = (starts.join(ks, ["conv_id", "first"])
+             .select(*KEY, "no", "i", F.filter("ks", lambda k: F.col("i") + k <= F.col("m")).alias("ks"))
+             .where(F.size("ks") > 0).groupBy(*KEY, "no").agg(F.collect_list(F.struct("i", "ks")).alias("at")))
+    run = lambda i, k: sha(F.array_join(F.slice("lines", i + 1, k), " "))                # noqa: E731
+    runs = F.flatten(F.transform("at", lambda a: F.transform(a["ks"], lambda k: run(a["i"], k))))
+    return lines.join(found, [*KEY, "no"]).select(*KEY, F.explode(F.array_distinct(runs)).alias("hash"))
+
+
 def own_hashes(parts: DataFrame) -> DataFrame:
     """(conv_id, hash, turn): the earliest message that holds a passage as its own
-    words, for whole own passages and their paragraphs; empty ones are no passages."""
-    own = parts.where((F.col("level") == 0) & (normalise(F.col("body")) != ""))
-    pieces = F.filter(F.concat(F.array("body"), F.split("body", r"\n\s*\n|\n")), lambda p: normalise(p) != "")
-    return (own.select(*KEY, F.explode(F.array_distinct(F.transform(pieces, lambda p: F.sha2(normalise(p), 256)))).alias("hash"))
-            .groupBy("conv_id", "hash").agg(F.min("turn").alias("turn")))
+    words, for whole own passages, their paragraphs, lines and quoted runs of lines;
+    empty ones are no passages."""
+    full = parts.where(normalise(F.col("body")) != "")
+    own, quoted = full.where(F.col("level") == 0), full.where(F.col("level") > 0)
+    pieces = F.filter(F.concat(F.array("body"), F.split("body", r"\n\s*\n"), F.split("body", "\n")), lambda p: normalise(p) != "")
+    one = own.select(*KEY, F.explode(F.array_distinct(F.transform(pieces, lambda p: F.sha2(normalise(p), 256)))).alias("hash"))
+    return one.unionByName(_run_hashes(own, quoted)).groupBy("conv_id", "hash").agg(F.min("turn").alias("turn"))
 
 
 def link(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, level, hash, source_turn) for every distinct quoted passage;
     source_turn is null where no earlier message holds it."""
-    parts = passages(messages)
+    parts = materialize(passages(messages), "quote-passages")
     quoted = parts.where((F.col("level") > 0) & (normalise(F.col("body")) != "")).select(*KEY, "level", "hash").distinct()
     source = materialize(own_hashes(parts).withColumnRenamed("turn", "source"), "quote-sources")
     return (quoted.join(source, ["conv_id", "hash"], "left")
@@ -122,16 +150,22 @@ def conversations(messages: DataFrame) -> DataFrame:
                          F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "body")
 
 
-def with_quotes(table: DataFrame) -> DataFrame:
+def with_quotes(table: DataFrame, partial: bool = False) -> DataFrame:
     """Stand-in input: the test table's messages written as mail.  A message quotes
     the whole text of an earlier one (turn - 1, or turn div 2 at every third
-    turn), and below it, one level deeper, what that one had quoted."""
+    turn), and below it, one level deeper, what that one had quoted.  ``partial``
+    leaves out the first line of the text quoted at odd turns and the last line at
+    even ones, where it has three or more."""
     rows = table.select("conv_id", "turn", "role", "text")
     of = lambda t: F.when(t % 3 == 2, F.floor(t / 2)).otherwise(t - 1)                   # noqa: E731
     told = rows.withColumn("a", of(F.col("turn"))).withColumn("b", of(F.col("a")))
     one = rows.select("conv_id", F.col("turn").alias("a"), F.col("text").alias("ta"))
     two = rows.select("conv_id", F.col("turn").alias("b"), F.col("text").alias("tb"))
     mark = lambda c, sign: F.concat(F.lit(sign), F.regexp_replace(c, "\n", "\n" + sign))
+    lines = F.split("ta", "\n")
+    some = F.when(F.size(lines) > 2, F.array_join(F.slice(lines, F.when(F.col("turn") % 2 == 0, 1).otherwise(2),
+                                                          F.size(lines) - 1), "\n")).otherwise(F.col("ta"))
     return (told.join(one, ["conv_id", "a"], "left").join(two, ["conv_id", "b"], "left")
             .select("conv_id", "turn", "role",
-                    F.concat_ws("\n", mark(F.col("tb"), ">> "), mark(F.col("ta"), "> "), F.col("text")).alias("text")))
+                    F.concat_ws("\n", mark(F.col("tb"), ">> "), mark(some if partial else F.col("ta"), "> "),
+                                F.col("text")).alias("text")))

@@ -87,6 +87,48 @@ def test_quote_threads(spark):
     assert quote_threads.conversations(rows.limit(0)).count() == 0
 
 
+def brute_sources(rows):
+    """(conv, turn, level, quoted words) -> earliest earlier turn that holds them as
+    its own passage, paragraph, or lines that follow each other."""
+    norm = lambda s: re.sub(r"\s+", " ", s.lower()).strip()                        # noqa: E731
+    own, quoted = {}, []
+    for conv, turn, _, text in rows:
+        runs = []
+        for line in (text or "").split("\n"):
+            m = re.match(r"^(?:>\s?)*", line)
+            if not runs or runs[-1][0] != m.group().count(">"):
+                runs.append((m.group().count(">"), []))
+            runs[-1][1].append(line[m.end():])
+        for level, lines in runs:
+            kept = [norm(x) for x in lines if norm(x)]
+            if level and kept:
+                quoted.append((conv, turn, level, " ".join(kept)))
+            if not level:
+                for a in range(len(kept)):
+                    for b in range(a, len(kept)):
+                        k = conv, " ".join(kept[a:b + 1])
+                        own[k] = min(own.get(k, turn), turn)
+    return {(c, t, lv, w): own[c, w] if own.get((c, w), t) < t else None for c, t, lv, w in quoted}
+
+
+def test_partial_quotes_of_several_lines(spark):
+    four = "One is here\ntwo  goes\nthree comes\nfour ends"
+    extra = [(901, 0, "user", four), (901, 1, "bot", "x\ny\nx\ny\nz"), (901, 2, "user", "> two goes\n> three comes\nmiddle"),
+             (901, 3, "bot", "> one is here\n> TWO goes\nstart"), (901, 4, "user", "> three comes\n>\n> four ends\nend"),
+             (901, 5, "bot", "> two goes\n> four ends\nnot one run"), (901, 6, "user", "> x\n> y\n> z\nsecond start"),
+             (901, 7, "bot", "a long paragraph\nover two lines\n\nand another\nof two"),
+             (901, 8, "user", "> a long\n> paragraph over\n> two lines\nwrapped anew"),
+             (901, 9, "bot", ">> y\n>> x\n> and another of two\nnested"), (902, 0, "user", "> two goes\n> three comes\nelsewhere")]
+    schema = "conv_id long, turn long, role string, text string"
+    got = {(r.conv_id, r.turn): r.parent_turn for r in quote_threads.conversations(spark.createDataFrame(extra, schema)).collect()}
+    assert got == {(901, 0): None, (901, 1): None, (901, 2): 0, (901, 3): 0, (901, 4): 0, (901, 5): None, (901, 6): 1,
+                   (901, 7): None, (901, 8): 7, (901, 9): 7, (902, 0): None}
+    rows = quote_threads.with_quotes(table(spark, SF, "conversations"), partial=True)
+    found = {(r.conv_id, r.turn, r.level, r.hash): r.source_turn for r in quote_threads.link(rows).collect()}
+    want = {(c, t, lv, hashlib.sha256(w.encode()).hexdigest()): s for (c, t, lv, w), s in brute_sources(rows.collect()).items()}
+    assert found == want and all(s is not None for s in want.values())
+
+
 # ---------------------------------------------------------------- op2, op7
 def test_language_hierarchy(spark, documents):
     got = queries.QUERIES["op2_language_hierarchy"](spark, "/root/testdata/sf0.01")
