@@ -30,7 +30,7 @@ as the model file asks; decoding reverses that, so every text without the mark
 character itself comes back exactly.
 
 Null and empty texts have no ids; an empty table gives no rows; repeated doc_ids
-are told apart by the row's text digest and repeated rows count once; null ids
+are told apart by the text digest, every repeated row has its own ids; null ids
 are kept; extra columns are ignored.
 """
 
@@ -367,31 +367,36 @@ def decode_ids(v: Vocabulary, ids: np.ndarray) -> str:
 
 
 def encode(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, part, ids): ids of whole texts as little-endian u32 bytes; short
-    documents are one part, long ones a part per chunk, numbered from 0."""
+    """(doc_id, digest, part, ids): ids of whole texts as little-endian u32 bytes;
+    short documents are one part, long ones a part per chunk, numbered from 0.
+    ``digest`` is the text's SHA-256: with doc_id it names a document, and every
+    input row has its own parts, so repeated rows repeat theirs."""
     kind = dict(docs.dtypes)["doc_id"]
-    rows = texts(docs)
+    rows = texts(docs).withColumn("digest", F.sha2("text", 256))
     short = rows.where(F.length("text") < chunk)
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(model)
         for frame in small_batches(frames, 2_000_000):
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "part": np.int64(0),
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "digest": frame["digest"], "part": np.int64(0),
                                 "ids": encode_batch(v, frame["text"].tolist(), chunk)})
 
-    near = short.mapInPandas(whole, f"doc_id {kind}, part long, ids binary")
+    near = short.mapInPandas(whole, f"doc_id {kind}, digest string, part long, ids binary")
     return near.unionByName(_encode_long(rows.where(F.length("text") >= chunk), model, chunk, kind))
 
 
 def _encode_long(rows: DataFrame, model: str, chunk: int, kind: str) -> DataFrame:
-    """The distributed scan: chunks are rows, matrices meet per run and per document."""
+    """The distributed scan: chunks are rows, matrices meet per run and per document.
+    Repeated rows are scanned once and their parts repeated at the end."""
     v = vocabulary(model)
     size, over = v.longest, v.longest - 1
     marked = F.concat(F.lit(MARK), F.translate("text", " ", MARK))
-    cut = (rows.select("doc_id", F.sha2("text", 256).alias("h"), marked.alias("s")).dropDuplicates(["doc_id", "h"])
+    cut = (rows.select("doc_id", F.col("digest").alias("h"), marked.alias("s"))
+           .groupBy("doc_id", "h").agg(F.first("s").alias("s"), F.count("*").alias("copies"))
            .withColumn("n", F.expr(f"cast((char_length(s) + {chunk - 1}) div {chunk} as bigint)"))
-           .select("doc_id", "h", "n", "s", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
-           .select("doc_id", "h", "n", "part", F.expr(f"substring(s, cast(part * {chunk} + 1 as int), {chunk})").alias("s"),
+           .select("doc_id", "h", "copies", "n", "s", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
+           .select("doc_id", "h", "copies", "n", "part",
+                   F.expr(f"substring(s, cast(part * {chunk} + 1 as int), {chunk})").alias("s"),
                    F.expr(f"substring(s, cast((part + 1) * {chunk} + 1 as int), {over})").alias("ahead")))
     chunks = materialize(cut.repartition("doc_id", "h", "part"), "piece-chunks")
     key = ["doc_id", "h"]
@@ -451,17 +456,19 @@ def _encode_long(rows: DataFrame, model: str, chunk: int, kind: str) -> DataFram
         voc = vocabulary(model)
         for frame in small_batches(frames, column="s"):
             learn_chunks(voc, frame["s"])
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "part": frame["part"], "ids": [
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "digest": frame["h"], "part": frame["part"], "ids": [
                 trace_chunk(voc, s, a, e, x) for s, a, e, x in
-                zip(frame["s"], frame["ahead"], frame["enter"], frame["leave"], strict=True)]})
+                zip(frame["s"], frame["ahead"], frame["enter"], frame["leave"], strict=True)],
+                "copies": frame["copies"]})
 
     on = (chunks["doc_id"].eqNullSafe(fixed["doc_id"]) & (chunks["h"] == fixed["h"]) & (chunks["part"] == fixed["part"]))
-    return (chunks.join(fixed, on).select(chunks["doc_id"], chunks["part"], "s", "ahead", "enter", "leave")
-            .mapInPandas(trace, f"doc_id {kind}, part long, ids binary"))
+    return (chunks.join(fixed, on).select(chunks["doc_id"], chunks["h"], chunks["part"], "s", "ahead", "enter", "leave", "copies")
+            .mapInPandas(trace, f"doc_id {kind}, digest string, part long, ids binary, copies long")
+            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies", "copy"))
 
 
 def decode(parts: DataFrame, model: str) -> DataFrame:
-    """(doc_id, part, text) of encoded parts.  A character's byte pieces never
+    """(doc_id, digest, part, text) of encoded parts.  A character's byte pieces never
     straddle parts, as pieces of one character start in one chunk; the leading
     space of a document is dropped from part 0 alone."""
     kind = dict(parts.dtypes)["doc_id"]
@@ -472,18 +479,20 @@ def decode(parts: DataFrame, model: str) -> DataFrame:
             for at in range(0, len(frame), 512):
                 f = frame.iloc[at:at + 512]
                 ids = [np.frombuffer(b, "<u4") for b in f["ids"]]
-                yield pd.DataFrame({"doc_id": f["doc_id"], "part": f["part"], "text": [
+                yield pd.DataFrame({"doc_id": f["doc_id"], "digest": f["digest"], "part": f["part"], "text": [
                     decode_ids(v, i) if p == 0 else decode_ids(v, np.concatenate([[v.id[MARK]], i]))
                     for p, i in zip(f["part"], ids, strict=True)]})
 
-    return parts.mapInPandas(run, f"doc_id {kind}, part long, text string")
+    return parts.mapInPandas(run, f"doc_id {kind}, digest string, part long, text string")
 
 
 def summary(parts: DataFrame, model: str) -> DataFrame:
-    """(doc_id, n_tokens, n_parts, n_chars, ids_digest): per-part digests and the
-    lengths of the decoded parts, added up per document.  ``ids_digest`` is the
-    sum over parts of crc32(part number, ids), as a long."""
-    spelled = parts.select("doc_id", "part", "ids")
+    """(doc_id, n_tokens, n_parts, n_chars, ids_digest), a row for every input row:
+    per-part digests and the lengths of the decoded parts, added up per document
+    (doc_id, digest).  ``ids_digest`` is the sum over parts of crc32(part number,
+    ids), as a long.  Repeated rows have equal parts, so a document's sums are shared
+    out by its number of first parts and its row comes as often."""
+    spelled = parts.select("doc_id", "digest", "part", "ids")
     kind = dict(parts.dtypes)["doc_id"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -492,11 +501,14 @@ def summary(parts: DataFrame, model: str) -> DataFrame:
         v = vocabulary(model)
         for frame in frames:
             yield pd.DataFrame({
-                "doc_id": frame["doc_id"], "tokens": [len(b) // 4 for b in frame["ids"]],
+                "doc_id": frame["doc_id"], "digest": frame["digest"], "part": frame["part"], "tokens": [len(b) // 4 for b in frame["ids"]],
                 "crc": [zlib.crc32(b, int(p) & 0xFFFFFFFF) for p, b in zip(frame["part"], frame["ids"], strict=True)],
                 "text_crc_len": [len(decode_ids(v, np.frombuffer(b, "<u4"))) + (p > 0 and v.pieces[int(np.frombuffer(
                     b, "<u4", 1)[0])].startswith(MARK) if b else 0) for p, b in zip(frame["part"], frame["ids"], strict=True)]})
 
-    one = spelled.mapInPandas(run, f"doc_id {kind}, tokens long, crc long, text_crc_len long")
-    return one.groupBy("doc_id").agg(F.sum("tokens").alias("n_tokens"), F.count("*").alias("n_parts"),
-                                     F.sum("text_crc_len").alias("n_chars"), F.sum("crc").alias("ids_digest"))
+    one = spelled.mapInPandas(run, f"doc_id {kind}, digest string, part long, tokens long, crc long, text_crc_len long")
+    sums = one.groupBy("doc_id", "digest").agg(
+        F.count_if(F.col("part") == 0).alias("copies"), F.sum("tokens").alias("n_tokens"), F.count("*").alias("n_parts"),
+        F.sum("text_crc_len").alias("n_chars"), F.sum("crc").alias("ids_digest"))
+    return (sums.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+            .select("doc_id", *[F.expr(f"{c} div copies").alias(c) for c in ("n_tokens", "n_parts", "n_chars", "ids_digest")]))

@@ -282,6 +282,23 @@ def test_piece_scan_distributed(spark, texts, monkeypatch):
     assert piece_scan.summary(piece_scan.encode(docs_of(spark, []), MODEL), MODEL).count() == 0
 
 
+def test_piece_scan_of_repeated_rows(spark):
+    v = piece_scan.Vocabulary(MODEL)
+    short, other, long = "the same words", "some other words here", "therandtion of " * 90
+    rows = [(1, short), (1, short), (1, other), (2, long), (2, long), (2, long[:-40]), (2, short), (3, ""), (3, None),
+            (None, short), (None, short), (None, long), (None, long), (None, other), (4, long)]
+    parts = piece_scan.encode(spark.createDataFrame(rows, "doc_id long, text string"), MODEL, chunk=500)
+    got = piece_scan.summary(parts, MODEL).collect()
+    count = lambda t: (len(piece_scan.encode_text(v, t or "", 500)) // 4, max(-(-(len(t or "") + 1) // 500), 1), len(t or ""))
+    assert Counter((r.doc_id, r.n_tokens, r.n_parts, r.n_chars) for r in got) == Counter((i, *count(t)) for i, t in rows)
+    crc = {}
+    for r in got:
+        crc.setdefault((r.n_chars, r.n_tokens), set()).add(r.ids_digest)
+    assert all(len(c) == 1 for c in crc.values())
+    firsts = Counter((r.doc_id, r.digest) for r in parts.where("part = 0").collect())
+    assert firsts == Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+
+
 # ---------------------------------------------------------------- op5
 def words_of(t):
     return [w for w in re.split(r"\s+", (t or "").lower()) if w]
