@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendlens.session import materialize
 
 T = TypeVar("T")
 
@@ -40,6 +41,16 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+#: Column that names a row where doc_id may be null or repeated.
+ROW = "_row_key"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own for every row in ``ROW``, written once, so
+    that every later reader sees the same numbers."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered-rows")
+
+
 def id_mod(column: str, n: int) -> Column:
     """crc32 of the id written as text, modulo n (null ids: 0)."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(0))

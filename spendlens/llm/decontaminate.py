@@ -33,8 +33,8 @@ The benchmark's shingles are broadcast while they are at most
 
 Null and empty texts and items hold no words and match nothing; repeated items
 are judged one by one, repeated item or document rows count once per id and
-text; null ids are left out; an empty table gives no rows; extra columns are
-ignored.
+text; null ids are left out of the pairs, ``clean`` judges every row; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ from pyspark.sql import functions as F
 
 from spendlens.session import materialize
 
+from .common import ROW, numbered
+
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 28
 BLOCKS, WIDTH = 8, 8
 BROADCAST_SHINGLES = 2_000_000
@@ -181,7 +183,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """``docs`` without contaminated documents; documents with null ids stay."""
-    bad = materialize(contaminated(docs, benchmark, similarity, radius).select(F.col("doc_id").alias("_bad")).distinct(),
-                      "decon-bad")
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    """``docs`` without contaminated documents, row by row, whatever their doc_id."""
+    rows = numbered(docs)
+    found = contaminated(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark, similarity, radius)
+    bad = materialize(found.select(F.col("doc_id").alias("_bad")).distinct(), "decon-bad")
+    return rows.join(bad, rows[ROW] == bad["_bad"], "left_anti").drop(ROW)

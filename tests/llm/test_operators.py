@@ -582,6 +582,20 @@ def test_pipeline_stage_by_stage(spark, texts):
     assert {r.doc_id for r in whole} == left and sum(r.n_tokens for r in whole) == sum(r.n_tokens for r in last)
 
 
+def test_filters_judge_rows_without_or_with_repeated_ids(spark, documents, texts):
+    import corpus_pipeline as P
+
+    one, two, three = sorted(texts.values(), key=len)[-3:]
+    rows = [(5, one), (5, one), (3, one), (None, one), (None, two), (None, two), (7, three), (7, one), (7, three)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, P.near_duplicates(spark, docs, SF).collect())) == Counter([(3, one), (None, two), (7, three)])
+    item = max((r.text for r in table(spark, SF, "benchmark").collect() if r.text), key=len)
+    rows = [(None, f"before {item} after"), (None, "nothing of it"), (1, f"x {item}"), (1, "another text"), (1, "another text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = P.decontamination(spark, docs, SF)
+    assert Counter(map(tuple, left.collect())) == Counter([rows[1], *rows[3:]]) and left.columns == docs.columns
+
+
 def test_pipeline_on_empty_documents(spark):
     import corpus_pipeline as P
 
