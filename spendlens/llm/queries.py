@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, pii_tagger, piece_scan, quality_rank, quote_threads, simhash_dedup, token_blocks, topk_search, url_filter
+from . import decontaminate, language_id, merkle, pii_tagger, piece_scan, quality_rank, quote_threads, simhash_dedup, token_blocks, topk_search, url_filter
 from .common import id_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +128,48 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 largest integer inner products of every 20th vector."""
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+@query("op11_merkle_manifest", sql="""
+WITH RECURSIVE d AS (SELECT *, CASE WHEN list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+        string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda a, e: xor(xor(a, e) >> 1, 3988292384 * (xor(a, e) & 1))) & 1 = 1 THEN replace(text, chr(10), '') ELSE text END AS seen
+    FROM documents),
+f AS (SELECT *, concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head FROM d),
+l AS (SELECT doc_id, source, sha256(concat(head, coalesce(strlen(text) || ':' || text, '-'))) AS leaf,
+      sha256(concat(head, coalesce(strlen(seen) || ':' || seen, '-'))) AS found FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+      count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM l),
+t AS (SELECT 0 AS lvl, s, pos, n, leaf AS h FROM p
+      UNION ALL SELECT lvl + 1, s, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1
+      GROUP BY lvl, s, pos // 3, n),
+u AS (SELECT lvl AS height, 0 AS lvl, s AS pos, count(*) OVER () AS n, h FROM t WHERE n = 1
+      UNION ALL SELECT 0, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1
+      GROUP BY lvl, pos // 3, n),
+a AS (SELECT lvl, s, pos, n, h FROM t WHERE n > 1
+      UNION ALL SELECT 1000 + lvl, -1, pos, n, h FROM u WHERE n > 1),
+b AS (SELECT x.lvl, x.s, x.pos, coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (y.pos < x.pos), '') AS before,
+      coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (y.pos > x.pos), '') AS after
+      FROM a x LEFT JOIN a y ON x.lvl = y.lvl AND x.s = y.s AND x.pos // 3 = y.pos // 3 AND x.pos <> y.pos GROUP BY ALL),
+w AS (SELECT row_number() OVER () AS id, doc_id, s AS src, leaf, found, pos FROM p),
+g AS (SELECT id, src, 0 AS lvl, src AS s, pos, found AS h, '' AS seen FROM w
+      UNION ALL SELECT g.id, g.src, CASE WHEN b.lvl IS NULL THEN 1000 ELSE g.lvl + 1 END,
+        CASE WHEN b.lvl IS NULL THEN -1 ELSE g.s END, CASE WHEN b.lvl IS NULL THEN g.src ELSE g.pos // 3 END,
+        CASE WHEN b.lvl IS NULL THEN g.h ELSE sha256(b.before || g.h || b.after) END,
+        CASE WHEN b.lvl IS NULL THEN g.seen ELSE g.seen || b.before || b.after END
+      FROM g LEFT JOIN b ON g.lvl = b.lvl AND g.s = b.s AND g.pos = b.pos WHERE b.lvl IS NOT NULL OR g.s >= 0),
+e AS (SELECT id, arg_max(h, lvl) AS folded_root, arg_max(seen, lvl) AS seen FROM g GROUP BY id)
+SELECT w.doc_id, w.leaf, t.h AS subroot, r.h AS root, sha256(e.seen) AS proof_sha256, e.folded_root, e.folded_root = r.h AS verified
+FROM w JOIN e ON w.id = e.id JOIN t ON t.s = w.src AND t.n = 1 JOIN u r ON r.n = 1
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proof of every document, and the root that its copy found later (half
+    of them without line feeds) folds to."""
+    docs, names = table(spark, sf_dir, "documents"), ("doc_id", "source", "lang", "n_chars", "text")
+    cut = merkle.leaf(*[F.col(c) for c in names[:-1]], F.replace("text", F.lit("\n"), F.lit("")))
+    found = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, cut)
+    of = merkle.manifest(docs, names, by="source", order="doc_id", keep={"found": found})
+    folded = merkle.fold(F.coalesce("found", "leaf"), "path")
+    return (of.select("doc_id", "leaf", "subroot", "root", merkle.proof("path").alias("proof_sha256"), folded.alias("folded_root"))
+            .withColumn("verified", F.col("folded_root") == F.col("root")))
