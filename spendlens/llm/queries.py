@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, merkle, pii_tagger, piece_scan, quality_rank, quote_threads, simhash_dedup, token_blocks, topk_search, url_filter
+from . import decontaminate, language_id, merkle, pii_tagger, piece_scan, quality_rank, quote_threads, repeat_windows, simhash_dedup, token_blocks, topk_search, url_filter
 from .common import id_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,3 +173,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = merkle.fold(F.coalesce("found", "leaf"), "path")
     return (of.select("doc_id", "leaf", "subroot", "root", merkle.proof("path").alias("proof_sha256"), folded.alias("folded_root"))
             .withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
+@query("op13_repeat_windows")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 400-byte strings that occur twice or more."""
+    out = repeat_windows.cleaned(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("data", 256).alias("kept_sha256"))
