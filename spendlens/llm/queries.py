@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, merkle, pii_tagger, piece_scan, quality_rank, quote_threads, repeat_windows, simhash_dedup, token_blocks, topk_search, url_filter
+from . import collocations, decontaminate, language_id, merkle, pii_tagger, piece_scan, quality_rank, quote_threads, repeat_windows, simhash_dedup, token_blocks, topk_search, url_filter
 from .common import id_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,6 +175,33 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("verified", F.col("folded_root") == F.col("root")))
 
 
+@query("op12_phrase_collocations", sql=r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+      FROM w, (VALUES (1), (2), (3)) t(k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+u AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT u.lang, u.phrase, u.k, u.a, u.cut, x.f AS l, y.f AS r,
+      ((u.a::HUGEINT * u.a * 1000000) // (x.f::HUGEINT * y.f))::BIGINT AS score
+      FROM u JOIN f x ON x.lang = u.lang AND x.phrase = array_to_string(u.w[1:u.cut], ' ')
+      JOIN f y ON y.lang = u.lang AND y.phrase = array_to_string(u.w[u.cut + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM c WHERE k = 3),
+m AS (SELECT lang, phrase, max(a) AS a FROM o GROUP BY ALL),
+q AS (SELECT b.* FROM b LEFT JOIN m ON b.k = 2 AND b.lang = m.lang AND b.phrase = m.phrase
+      WHERE m.a IS NULL OR 100 * m.a < 50 * b.a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM q)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, n.n, r.score FROM r JOIN n ON r.lang = n.lang WHERE r.rank <= 2000
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of two or three words of each language."""
+    return collocations.phrases(table(spark, sf_dir, "documents"), least=10, inside=50, top=2000)
+
+
 @query("op13_repeat_windows")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the bytes of 400-byte strings that occur twice or more."""
