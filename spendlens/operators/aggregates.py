@@ -11,18 +11,95 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import scalars as S
+from ..session import materialize
 
 
-def money_mean(amount="amount"):
-    """Mean of an amount column, from an exact decimal sum: the result does not
-    depend on the order in which rows are added."""
+def money(amount="amount") -> Column:
+    """An amount as a decimal, so that sums do not depend on the order of rows.
+
+    Doubles hold 15 reliable digits: ten decimals are kept below 10,000, five
+    below a thousand million, two above.  Null for values that no decimal holds
+    (infinite, or of more than 28 digits): they are left out of sums and counts of
+    a mean alike, and the quality profile counts them.
+    """
     c = F.col(amount) if isinstance(amount, str) else amount
-    return F.sum(c.cast("decimal(19,4)")).cast("double") / F.count(c)
+    d = c.try_cast("decimal(38,10)")
+    return (F.when(F.abs(c) < 1e4, d).when(F.abs(c) < 1e9, F.round(d, 5)).otherwise(F.round(d, 2))
+            .cast("decimal(38,10)"))
+
+
+def money_mean(amount="amount") -> Column:
+    """Mean of an amount column of rows; numerator and count cover the same rows."""
+    m = money(amount)
+    return F.try_divide(F.try_sum(m).cast("double"), F.count(m))
+
+
+#: What a cell of a cube holds: sum of amounts (double), exact sum, number of amounts
+#: in the exact sum, number of orders, largest amount.
+MEASURES = ("amount", "money", "priced", "orders", "largest")
+
+
+def measures(df: DataFrame) -> DataFrame:
+    """Purchase rows as cells of one order each; cells stay as they are.  So every
+    aggregate below reads rows and cubes alike."""
+    if "orders" in df.columns:
+        return df
+    return df.withColumn("money", money()).withColumns({
+        "priced": F.col("money").isNotNull().cast("bigint"), "orders": F.lit(1).cast("bigint"), "largest": F.col("amount")})
+
+
+def cells(df: DataFrame, *keys) -> DataFrame:
+    """The cells of the given keys: mergeable measures, one partial aggregate."""
+    return measures(df).groupBy(*keys).agg(
+        F.sum("amount").alias("amount"), F.try_sum("money").alias("money"), F.sum("priced").alias("priced"),
+        F.sum("orders").alias("orders"), F.max("largest").alias("largest"))
+
+
+def mean_of(where: Column | None = None) -> Column:
+    """Mean amount of cells, from exact sums; null where nothing was summed."""
+    money_, priced = F.col("money"), F.col("priced")
+    if where is not None:
+        money_, priced = F.when(where, money_), F.when(where, priced)
+    return F.try_divide(F.try_sum(money_).cast("double"), F.sum(priced))
+
+
+def orders_of(where: Column | None = None) -> Column:
+    """Number of orders of cells (0 for none)."""
+    return F.coalesce(F.sum(F.col("orders") if where is None else F.when(where, F.col("orders"))), F.lit(0)).cast("bigint")
+
+
+ALL = "_all"
+
+
+def monthly_cube(prepared: DataFrame, labels: Sequence[str] = (), year: int | None = None) -> DataFrame:
+    """Cells by (dimension, value, year, month): all rows by month (dimension and
+    value ``_all``), the named dimensions by year (month null; of ``year`` alone, where
+    given).  One scan that the headline, the months, the breakdown, the seasonal
+    model and the gap fill of a report share.
+
+    Without dimensions a cube has one cell a month and is kept in memory; with
+    them it grows with the number of values and is written once.
+    """
+    check_dimensions(prepared, labels)
+    if not labels:
+        return keep_small(cells(prepared, F.lit(ALL).alias("dimension"), F.lit(ALL).alias("value"), "year", "month"))
+    known = F.lit(True) if year is None else F.col("year") == year
+    cols = [F.when(known, F.col(fixed.DIMENSIONS[l]).cast("string")).alias(l) for l in labels]
+    long = (measures(prepared).select("year", "month", *MEASURES, *cols, F.lit(ALL).alias(ALL))
+            .unpivot(ids=["year", "month", *MEASURES], values=[ALL, *labels], variableColumnName="dimension",
+                     valueColumnName="value").where(F.col("value").isNotNull())
+            .withColumn("month", F.when(F.col("dimension") == ALL, F.col("month"))))
+    return materialize(cells(long, "dimension", "value", "year", "month"), "monthly-cube")
+
+
+def totals(cube: DataFrame) -> DataFrame:
+    """The cells of all rows, one a month."""
+    return cube.where((F.col("dimension") == ALL)) if "dimension" in cube.columns else cube
 
 
 def month_spine(spark: SparkSession) -> DataFrame:
@@ -75,7 +152,7 @@ def monthly_history_mean(hist: DataFrame, basis: str = "order_mean") -> DataFram
     ``basis="month_total"`` gives the mean monthly total instead.
     """
     if basis == "order_mean":
-        return hist.groupBy("month").agg(money_mean().alias("hist_mean"))
+        return measures(hist).groupBy("month").agg(mean_of().alias("hist_mean"))
     per = hist.groupBy("year", "month").agg(F.sum("amount").alias("_t"))
     return per.groupBy("month").agg(F.avg("_t").alias("hist_mean"))
 
@@ -107,27 +184,36 @@ def unpivot_dimensions(df: DataFrame, labels: Sequence[str], measure: str = "amo
                         valueColumnName="value").withColumnRenamed("_m", measure)
 
 
-def dimension_breakdown(df: DataFrame, labels: Sequence[str], top: int = 10) -> DataFrame:
-    """AGG-8 + TOP-1: per dimension value: total, mean, orders, share of total.
-
-    Null values are dropped; the share base is all non-null groups before the
-    top-k cut.  The per-dimension total is a tiny aggregate (one row per
-    dimension, broadcast); top-k uses ``row_number`` which Catalyst turns into
-    a partial per-task limit before the shuffle.
-    """
+def check_dimensions(df: DataFrame, labels: Sequence[str]) -> None:
     for label in labels:
         if label not in fixed.DIMENSIONS:
             raise ValueError(f"unknown dimension {label!r}; known: {sorted(fixed.DIMENSIONS)}")
         if fixed.DIMENSIONS[label] not in df.columns:
             raise ValueError(f"dimension {label!r} needs the column {fixed.DIMENSIONS[label]!r}")
+
+
+def dimension_breakdown(df: DataFrame, labels: Sequence[str], top: int = 10) -> DataFrame:
+    """AGG-8 + TOP-1: per dimension value: total, mean, orders, share of total, over
+    purchase rows or over the cells of a monthly cube.
+
+    Null values are dropped; the share base is all non-null groups before the
+    top-k cut.  The values' totals are read twice (ranks and shares) through one
+    shuffle; top-k uses ``row_number``, which Catalyst turns into a partial
+    per-task limit before the shuffle.
+    """
+    if "dimension" in df.columns:
+        long = df.where(F.col("dimension").isin(*labels))
+    else:
+        check_dimensions(df, labels)
+        cols = [F.col(fixed.DIMENSIONS[l]).cast("string").alias(l) for l in labels]
+        long = measures(df).select(*MEASURES, *cols)
+        if labels:
+            long = long.unpivot(ids=list(MEASURES), values=list(labels), variableColumnName="dimension", valueColumnName="value")
     if not labels:
-        spark = df.sparkSession
-        return spark.createDataFrame([], "dimension string, value string, total double, "
-                                         "mean double, orders bigint, share_pct double")
-    u = unpivot_dimensions(df, labels).where(F.col("value").isNotNull())
-    g = u.groupBy("dimension", "value").agg(
-        F.sum("amount").alias("total"), money_mean().alias("mean"),
-        F.count(F.lit(1)).alias("orders"))
+        return df.sparkSession.createDataFrame([], "dimension string, value string, total double, "
+                                                   "mean double, orders bigint, share_pct double, rank int")
+    g = (long.where(F.col("value").isNotNull()).groupBy("dimension", "value")
+         .agg(F.sum("amount").alias("total"), mean_of().alias("mean"), orders_of().alias("orders")))
     dim_tot = F.broadcast(g.groupBy("dimension").agg(F.sum("total").alias("_all")))
     w = Window.partitionBy("dimension").orderBy(F.col("total").desc(), F.col("value").asc())
     ranked = g.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= top)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -19,6 +19,7 @@ from ..params import Params
 from ..session import materialize
 from . import aggregates as A
 from .quantiles import exact_percentile_scalar, exact_percentiles
+from .ranks import placed
 
 
 def prepare(purchases: DataFrame) -> DataFrame:
@@ -145,56 +146,63 @@ def column_medians(df: DataFrame, columns: Sequence[str], p: Params) -> DataFram
     return wide.select(*[F.col(c).alias(f"med_{c}") for c in columns])
 
 
-def impute_medians(df: DataFrame, columns: Sequence[str], p: Params, source: DataFrame | None = None) -> DataFrame:
+def materialize_counted(df: DataFrame, name: str, columns: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
+    """``df`` written once, and the nulls of each column, counted while it is written."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    out = materialize(df.observe(seen, *[F.count_if(F.col(c).isNull()).alias(c) for c in columns]), name)
+    return out, seen.get
+
+
+def impute_medians(df: DataFrame, columns: Sequence[str], p: Params, source: DataFrame | None = None,
+                   nulls: dict[str, int] | None = None) -> DataFrame:
     """SCA-6: null numeric values -> that column's exact median (over ``source``,
     where given, in place of ``df`` itself).
 
-    One partial-count pass finds the columns that have nulls; only those go
-    through the median job (medians of complete columns are never used).
-    The medians come back as one scalar subquery (no join).
+    Only columns with nulls go through the median job (``nulls``: known counts;
+    without them, the columns whose type allows nulls).  The medians come back
+    as one scalar subquery (no join).
     """
-    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    need = [c for c in columns if nulls[c]]
+    need = [c for c in columns if (nulls[c] if nulls is not None else df.schema[c].nullable)]
     if not need:
         return df
     meds = A.scalar(A.keep_small(column_medians(df if source is None else source, need, p)))     # one row
-    out = df
-    for c in need:
-        out = out.withColumn(c, F.coalesce(F.col(c), meds[f"med_{c}"].cast(df.schema[c].dataType)))
-    return out
+    return df.withColumns({c: F.coalesce(F.col(c), meds[f"med_{c}"].cast(df.schema[c].dataType)) for c in need})
 
 
 def feature_frame(prepared: DataFrame, target_year: int, p: Params) -> DataFrame:
     """ML-2: the latest-year slice re-dated to the target, with the 26
     features (strings still unencoded) and the amount."""
     f = enrich(latest_year_slice(prepared, target_year), prepared, p)
-    # The enriched slice is read several times (null counts, medians, the
-    # imputation); write it once to the shared checkpoint folder so the
-    # statistics are not recomputed and the lineage stays short.
-    f = materialize(f, "feature-slice")
-    f = impute_medians(f, NUMERIC_FEATURES, p)
+    # The enriched slice is read twice (medians, imputation); write it once to the
+    # shared checkpoint folder so the statistics are not recomputed and the lineage
+    # stays short.  Its nulls are counted by the way.
+    f, nulls = materialize_counted(f, "feature-slice", NUMERIC_FEATURES)
+    f = impute_medians(f, NUMERIC_FEATURES, p, nulls=nulls)
     return f.select("request_line", *fixed.FEATURES, "amount")
 
 
-def label_index(labels: DataFrame, col: str) -> DataFrame:
-    """Dense 0-based index of the distinct non-null labels in sort order.
+def label_indexes(fit: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Dense 0-based index of the distinct non-null labels of every column, in sort
+    order: (col, label, index, n).  One unpivoted distinct, one range partitioning,
+    one write for all columns together."""
+    long = (fit.select(*[F.col(c).cast("string").alias(c) for c in columns])
+            .unpivot(ids=[], values=list(columns), variableColumnName="col", valueColumnName="label")
+            .where(F.col("label").isNotNull()).distinct())
+    ranked = placed(long, "col", [F.col("label")], "labels")
+    return ranked.select("col", "label", F.col("pos").cast("int").alias("index"), F.col("n").cast("int").alias("n"))
 
-    Distributed: the labels are range-sorted, each row gets a partition-local
-    position from ``monotonically_increasing_id`` and a per-partition offset
-    from the (bounded: one row per partition) counts.  The sorted labels are
-    written to the shared folder first so positions are stable if a task is
-    retried.
-    """
-    distinct = labels.select(F.col(col).cast("string").alias("label")).where(F.col("label").isNotNull()).distinct()
-    ranked = materialize(distinct.orderBy("label").withColumn("_id", F.monotonically_increasing_id()),
-                         f"labels-{col}")
-    mask = (1 << 33) - 1
-    with_pid = ranked.withColumn("_pid", F.shiftright("_id", 33)).withColumn("_pos", F.col("_id").bitwiseAND(F.lit(mask)))
-    counts = with_pid.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    return with_pid.join(F.broadcast(offs.select("_pid", "_off")), "_pid").select(
-        "label", (F.col("_off") + F.col("_pos")).cast("int").alias("index"))
+
+def encode_with(labels: DataFrame, apply: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``apply`` with the columns replaced by the numbers of ``labels``."""
+    out = apply
+    for c in columns:
+        mine = labels.where(F.col("col") == c).select(F.col("label").alias(f"_l_{c}"), F.col("index").alias(f"_i_{c}"))
+        k = F.coalesce(A.scalar(labels.where(F.col("col") == c).agg(F.max("n").alias("k")), "k"), F.lit(0))
+        out = (out.join(mine, F.col(c).cast("string") == F.col(f"_l_{c}"), "left")
+               .withColumn(c, F.coalesce(F.col(f"_i_{c}"), k)).drop(f"_i_{c}", f"_l_{c}"))
+    return out
 
 
 def encode_categories(fit: DataFrame, apply: DataFrame, columns: Sequence[str] = fixed.ENCODED_COLUMNS) -> DataFrame:
@@ -203,12 +211,4 @@ def encode_categories(fit: DataFrame, apply: DataFrame, columns: Sequence[str] =
     Labels sorted ascending get 0..k-1; null and unseen labels get k (like
     ``StringIndexer(stringOrderType='alphabetAsc', handleInvalid='keep')``).
     """
-    out = apply
-    for c in columns:
-        idx = label_index(fit, c)
-        k = A.scalar(idx.agg(F.count(F.lit(1)).cast("int").alias("_k")), "_k")
-        out = (out.join(idx.withColumnRenamed("label", f"_l_{c}"),
-                        F.col(c).cast("string") == F.col(f"_l_{c}"), "left")
-               .withColumn(c, F.coalesce(F.col("index"), k))
-               .drop("index", f"_l_{c}"))
-    return out
+    return encode_with(label_indexes(fit, columns), apply, columns)

@@ -10,8 +10,8 @@ series at once (``by`` = series key; empty = one global series):
 4. noise = sample std of what is left; bounds = yhat +- z * noise;
 5. future months come from ``sequence`` over the horizon, yhat is clamped at 0.
 
-Everything is groupBy/join over per-series or per-month rows: the inputs of
-the fitted model are bounded by (#series x #months), never by #rows.
+A fitted model is one row a series, which can be stored and used later; its input
+is bounded by (#series x #months), never by #rows.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 import statistics
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -31,10 +31,11 @@ def z_value(confidence: float) -> float:
 
 
 def monthly_series(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """AGG-7 per series: (by..., ds = month end, y), empty months = 0."""
+    """AGG-7 per series: (by..., ds = month end, y), empty months = 0; from purchase
+    rows or from the cells of a monthly cube."""
     by = list(by)
-    d = df.where(F.col("order_date").isNotNull()).select(
-        *by, F.last_day("order_date").alias("ds"), "amount")
+    day = F.col("order_date") if "order_date" in df.columns else F.make_date("year", "month", F.lit(1))
+    d = df.select(*by, F.last_day(day).alias("ds"), "amount").where(F.col("ds").isNotNull())
     sums = d.groupBy(*by, "ds").agg(F.sum("amount").alias("y"))
     span = d.groupBy(*by).agg(F.min("ds").alias("_a"), F.max("ds").alias("_b"))
     spine = span.select(*by, F.explode(F.sequence(
@@ -47,6 +48,59 @@ def _months_between(a, b):
     return ((F.year(a) - F.year(b)) * 12 + (F.month(a) - F.month(b)))
 
 
+#: The key of the one series of a model without ``by``.
+SERIES = "_series"
+
+
+def fit_series(df: DataFrame, by: Sequence[str] = (), min_season_months: int = 24) -> DataFrame:
+    """The fitted model, one row a series: first and last month, number of months,
+    intercept, slope, ``season`` (month of year -> deviation; all 0 and ``seasonal``
+    false below ``min_season_months``) and ``noise``.
+
+    The months of a series are dealt once by its key; trend, season and noise are
+    windows over them (their number is bounded by the dates, not by the rows).
+    """
+    by = list(by)
+    if not by:
+        by, df = [SERIES], df.withColumn(SERIES, F.lit(0))
+    one = Window.partitionBy(*by)
+    month = Window.partitionBy(*by, "moy")
+    s = monthly_series(df, by).repartition(*by).withColumns({
+        "first_month": F.min("ds").over(one), "last_month": F.max("ds").over(one), "months": F.count("*").over(one), "moy": F.month("ds")})
+    s = s.withColumn("t", _months_between(F.col("ds"), F.col("first_month")).cast("double"))
+    s = s.withColumns({"slope": F.coalesce(F.regr_slope("y", "t").over(one), F.lit(0.0)),
+                       "intercept": F.coalesce(F.regr_intercept("y", "t").over(one), F.lit(0.0))})
+    s = s.withColumn("res", F.col("y") - (F.col("intercept") + F.col("slope") * F.col("t")))
+    s = s.withColumns({"raw": F.avg("res").over(month), "same": F.count("*").over(month)})
+    centre = F.sum(F.col("raw") / F.col("same")).over(one) / F.sum(F.lit(1.0) / F.col("same")).over(one)      # every month once
+    s = s.withColumn("seasonal", F.col("months") >= min_season_months)
+    s = s.withColumn("dev", F.when(F.col("seasonal"), F.col("raw") - centre).otherwise(F.lit(0.0)))
+    return s.groupBy(*by, "first_month", "last_month", "months", "intercept", "slope", "seasonal").agg(
+        F.map_from_entries(F.collect_set(F.struct("moy", "dev"))).alias("season"),          # <= 12 entries
+        F.coalesce(F.stddev_samp(F.col("res") - F.col("dev")), F.lit(0.0)).alias("noise"))
+
+
+def predict_series(model: DataFrame, target_year: int, confidence: float = 0.95, intervals: bool = True,
+                   keep_raw: bool = False) -> DataFrame:
+    """(series key, month, predicted, lower, upper, seasonal) of a fitted model for the
+    forecast months that fall in the target year: a projection, no shuffle."""
+    by = [c for c in model.columns if c not in (SERIES, "first_month", "last_month", "months", "intercept", "slope",
+                                                "seasonal", "season", "noise")]
+    # last + 1 .. last + h, h = months to December of the target year
+    h = (F.lit(target_year) - F.year("last_month")) * 12 + (F.lit(12) - F.month("last_month"))
+    fut = model.withColumn("k", F.explode(F.sequence(F.lit(1), F.when(h <= 0, F.lit(12)).otherwise(h))))
+    fut = fut.withColumn("ds", F.last_day(F.add_months("last_month", F.col("k")))).where(F.year("ds") == target_year)
+    t = _months_between(F.col("ds"), F.col("first_month")).cast("double")
+    yhat = F.col("intercept") + F.col("slope") * t + F.coalesce(F.try_element_at("season", F.month("ds")), F.lit(0.0))
+    band = F.col("noise") * z_value(confidence)
+    none = F.lit(None).cast("double")
+    return fut.select(*by, F.month("ds").cast("int").alias("month"),
+                      S.clamp_non_negative(yhat).alias("predicted"),
+                      (S.clamp_non_negative(yhat - band) if intervals else none).alias("lower"),
+                      (S.clamp_non_negative(yhat + band) if intervals else none).alias("upper"), "seasonal",
+                      *([yhat.alias("raw_predicted"), (yhat - band).alias("raw_lower")] if keep_raw else []))
+
+
 def seasonal_forecast(df: DataFrame, target_year: int, confidence: float = 0.95,
                       intervals: bool = True, by: Sequence[str] = (),
                       min_season_months: int = 24, keep_raw: bool = False) -> DataFrame:
@@ -54,55 +108,16 @@ def seasonal_forecast(df: DataFrame, target_year: int, confidence: float = 0.95,
 
     Horizon = months from the last observed month to December of the target
     year (<= 0 -> 12), counted from the same series the model is fitted on.
-    Returns (by..., month, predicted, lower, upper) for the forecast months
-    that fall in the target year.
+    ``seasonal`` tells whether the series was long enough for a season.
     """
-    user_by = list(by)
-    by = user_by or ["_series"]          # one global series = a constant series key
-    if not user_by:
-        df = df.withColumn("_series", F.lit(0))
-    ser = A.keep_small(monthly_series(df, by))       # one row per (series, month)
-    start = ser.groupBy(*by).agg(F.min("ds").alias("_s"), F.max("ds").alias("_e"),
-                                 F.count(F.lit(1)).alias("_nm"))
-    s = ser.join(start, by)
-    s = s.withColumn("t", _months_between(F.col("ds"), F.col("_s")).cast("double"))
-    fit = s.groupBy(*by).agg(F.regr_slope("y", "t").alias("_b1"), F.regr_intercept("y", "t").alias("_b0"),
-                             F.first("_nm").alias("_nm"), F.first("_s").alias("_s"), F.first("_e").alias("_e"))
-    fit = fit.withColumn("_b1", F.coalesce("_b1", F.lit(0.0)))
-    fit = fit.withColumn("_b0", F.coalesce("_b0", F.lit(0.0)))
-    r = s.join(fit.select(*by, "_b1", "_b0"), by)
-    r = r.withColumn("_res", F.col("y") - (F.col("_b0") + F.col("_b1") * F.col("t"))) \
-        .withColumn("_moy", F.month("ds"))
-    season = r.groupBy(*by, "_moy").agg(F.avg("_res").alias("_sea"))
-    centre = season.groupBy(*by).agg(F.avg("_sea").alias("_c"))
-    season = season.join(centre, by).join(fit.select(*by, "_nm"), by)
-    season = season.select(*by, "_moy", F.when(F.col("_nm") >= min_season_months,
-                                               F.col("_sea") - F.col("_c")).otherwise(F.lit(0.0)).alias("_sea"))
-    r2 = r.join(season, [*by, "_moy"], "left")
-    noise = r2.groupBy(*by).agg(F.stddev_samp(F.col("_res") - F.coalesce("_sea", F.lit(0.0))).alias("_sd"))
-
-    # future months: last+1 .. last+h, h = months to December of the target year
-    last = F.col("_e")
-    h = (F.lit(target_year) - F.year(last)) * 12 + (F.lit(12) - F.month(last))
-    h = F.when(h <= 0, F.lit(12)).otherwise(h)
-    fut = fit.select(*by, "_b0", "_b1", "_s", "_e", h.alias("_h")).select(
-        *by, "_b0", "_b1", "_s",
-        F.explode(F.sequence(F.lit(1), F.col("_h"))).alias("_k"), "_e")
-    fut = fut.select(*by, "_b0", "_b1", "_s",
-                     F.last_day(F.add_months(F.col("_e"), F.col("_k"))).alias("ds"))
-    fut = fut.where(F.year("ds") == target_year)
-    fut = fut.withColumn("t", _months_between(F.col("ds"), F.col("_s")).cast("double")) \
-        .withColumn("_moy", F.month("ds"))
-    fut = fut.join(season, [*by, "_moy"], "left").join(noise, by)
-    yhat = F.col("_b0") + F.col("_b1") * F.col("t") + F.coalesce("_sea", F.lit(0.0))
-    z = z_value(confidence)
-    band = F.coalesce(F.col("_sd"), F.lit(0.0)) * z
-    out = fut.select(*user_by, F.month("ds").cast("int").alias("month"),
-                     S.clamp_non_negative(yhat).alias("predicted"),
-                     (S.clamp_non_negative(yhat - band) if intervals else F.lit(None).cast("double")).alias("lower"),
-                     (S.clamp_non_negative(yhat + band) if intervals else F.lit(None).cast("double")).alias("upper"),
-                     *([yhat.alias("raw_predicted"), (yhat - band).alias("raw_lower")] if keep_raw else []))
-    return out
+    return predict_series(fit_series(df, by, min_season_months), target_year, confidence, intervals, keep_raw)
+
+
+def _order_means(df: DataFrame) -> tuple[DataFrame, Column]:
+    """Mean order amount of each month (<= 12 rows) and of all rows."""
+    m = A.measures(df)
+    mm = m.where(F.col("month").isNotNull()).groupBy("month").agg(A.mean_of().alias("_mm"))
+    return mm, A.scalar(m.agg(A.mean_of().alias("_gm")), "_gm")
 
 
 def fill_missing_months(forecast: DataFrame, df: DataFrame) -> DataFrame:
@@ -115,19 +130,18 @@ def fill_missing_months(forecast: DataFrame, df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     have = forecast.select("month").distinct()
     missing = A.month_spine(spark).join(F.broadcast(have), "month", "left_anti")
-    mm = df.where(F.col("month").isNotNull()).groupBy("month").agg(A.money_mean().alias("_mm"))
-    gm = A.scalar(df.agg(A.money_mean().alias("_gm")), "_gm")
+    mm, gm = _order_means(df)
     filled = (missing.join(F.broadcast(mm), "month", "left")
               .select("month", F.coalesce(F.col("_mm"), gm).alias("predicted"),
                       F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper")))
-    return (forecast.select("month", "predicted", "lower", "upper").withColumn("source", F.lit("model"))
+    source = F.when(F.col("seasonal"), "model").otherwise("trend") if "seasonal" in forecast.columns else F.lit("model")
+    return (forecast.select("month", "predicted", "lower", "upper", source.alias("source"))
             .unionByName(filled.withColumn("source", F.lit("filled"))))
 
 
 def fallback_monthly(df: DataFrame) -> DataFrame:
     """ML-8: 12 months = mean order amount of that month, else global mean."""
     spark = df.sparkSession
-    mm = df.where(F.col("month").isNotNull()).groupBy("month").agg(A.money_mean().alias("_mm"))
-    gm = A.scalar(df.agg(A.money_mean().alias("_gm")), "_gm")
+    mm, gm = _order_means(df)
     return (A.month_spine(spark).join(F.broadcast(mm), "month", "left")
             .select("month", F.coalesce(F.col("_mm"), gm).alias("predicted")))

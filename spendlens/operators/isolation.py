@@ -4,10 +4,12 @@ With a single feature every isolation tree is a partition of the real line
 into leaf intervals, so the forest's mean path length E[h](x) is a step
 function with at most ``n_trees * sample_size`` breakpoints.  The job:
 
-1. **Sample** (one pass, no per-row Python): each row gets a uniform number
-   ``u`` from a hash of all its columns and the seed; tree ``t`` draws the
-   rows with ``frac(u - t * phi) < 2 * psi / n`` and keeps the ``psi`` with
-   the smallest such value (``row_number`` per tree: <= ~2 psi rows each).
+1. **Sample** (one pass, no per-row Python): a tree draws a row with chance
+   ``rate = 2 * psi / n``.  A hash of a few narrow columns and the seed gives a
+   row one uniform number ``u`` for every block of ``1 / rate`` trees (one block
+   where there are many rows): it survives where ``u < trees * rate``, and only
+   then is its tree worked out, ``floor(u / rate)``.  A tree keeps the ``psi`` rows
+   of the smallest ``u`` (``row_number`` per tree: <= ~2 psi rows each).
 2. **Fit** each tree on its <= psi values with ``applyInPandas`` grouped by
    tree id (100 groups of <= 256 rows): random splits uniform in
    [min, max], ``x <= threshold`` goes left, height limit ceil(log2 psi),
@@ -18,6 +20,8 @@ function with at most ``n_trees * sample_size`` breakpoints.  The job:
 4. **Score** rows with the JVM ``Bucketizer`` (binary search over the
    breakpoints) and a broadcast join to the step values -- no Python in the
    per-row pass.  score = 2 ** (-E[h] / c(psi)).
+5. **Threshold**: rows are counted per step, and the quantile of the scores is
+   the weighted quantile of the steps.
 
 Deterministic under repartitioning: the sample depends on row content and
 the seed only, and each tree's random splits on (seed, tree id).
@@ -34,9 +38,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import aggregates as A
+from .quantiles import ranked_values
 
 EULER = 0.5772156649015329
-PHI = 0.6180339887498949  # golden-ratio conjugate: spreads tree offsets
 
 
 def avg_path(n: float) -> float:
@@ -90,25 +94,34 @@ class IsolationModel:
     n_trees: int
 
 
-def sample(df: DataFrame, value: str, n_trees: int, sample_size: int, seed: int,
-           n: int | None = None) -> DataFrame:
+#: Columns whose hash draws a row, where present; rows that agree in all of them
+#: and the value are drawn alike.
+KEY = ("request_line", "request_id", "line_no", "order_date")
+
+
+def sample(df: DataFrame, value: str, n_trees: int, sample_size: int, seed: int, n: int) -> DataFrame:
     """Step 1: (tree_id, x) rows, at most ``psi`` per tree (``n`` = row count)."""
-    cols = df.columns
-    h = F.xxhash64(*[F.col(c) for c in cols], F.lit(seed))
-    u = (h.bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / float(1 << 53))
-    base = df.select(F.col(value).cast("double").alias("x"), u.alias("_u"))
-    n = df.count() if n is None else n
+    key = [F.col(c) for c in KEY if c in df.columns][:2]
     psi = min(sample_size, n)
-    rate = F.lit(2.0 * psi / max(n, 1))
-    t_ids = F.sequence(F.lit(0), F.lit(n_trees - 1))
-    pri = lambda t: F.col("_u") - t * PHI - F.floor(F.col("_u") - t * PHI)  # noqa: E731  frac(u - t*phi)
-    cand = (base
-            .select("x", "_u", F.explode(F.filter(t_ids, lambda t: pri(t) < rate)).alias("tree_id"))
-            .withColumn("_pri", pri(F.col("tree_id")))
-            .withColumn("_psi", F.lit(psi)))
-    w = Window.partitionBy("tree_id").orderBy("_pri", "x")
-    return (cand.withColumn("_rk", F.row_number().over(w))
-            .where(F.col("_rk") <= F.col("_psi")).select("tree_id", "x"))
+    rate = min(2.0 * psi / max(n, 1), 1.0)
+    block = min(n_trees, int(1.0 / rate)) if rate > 0 else n_trees        # trees of one draw
+    draws = -(-n_trees // block)
+
+    def drawn(j: int):
+        h = F.xxhash64(*key, F.col(value), F.lit(seed), F.lit(j))
+        u = h.bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / float(1 << 53)
+        trees = min(block, n_trees - j * block)
+        tree = F.least(F.floor(u / rate), F.lit(trees - 1)).cast("int") + j * block
+        return F.when(u < trees * rate, F.struct(tree.alias("tree_id"), u.alias("_u")))
+
+    if draws == 1:
+        cand = df.select(F.col(value).cast("double").alias("x"), drawn(0).alias("d")).where("d is not null")
+    else:
+        some = F.array_compact(F.array(*[drawn(j) for j in range(draws)]))
+        cand = df.select(F.col(value).cast("double").alias("x"), F.explode(some).alias("d"))
+    w = Window.partitionBy("tree_id").orderBy("_u", "x")
+    return (cand.select("x", "d.*").withColumn("_rk", F.row_number().over(w))
+            .where(F.col("_rk") <= psi).select("tree_id", "x"))
 
 
 def fit(df: DataFrame, value: str = "amount", n_trees: int = 100, sample_size: int = 256,
@@ -137,26 +150,46 @@ def fit(df: DataFrame, value: str = "amount", n_trees: int = 100, sample_size: i
                           values=values, c_psi=avg_path(psi), psi=psi, n_trees=trees)
 
 
-def score(model: IsolationModel, df: DataFrame, value: str = "amount",
-          out: str = "anomaly_score") -> DataFrame:
-    """Step 4: E[h](x) by binary search in the JVM, then 2^(-E[h]/c(psi))."""
+def bucketed(model: IsolationModel, df: DataFrame, value: str = "amount") -> DataFrame:
+    """``df`` with ``_bk``, the number of the step in which a row's value lies (binary
+    search in the JVM)."""
     from pyspark.ml.feature import Bucketizer
 
-    spark = df.sparkSession
     # Bucketizer buckets are [s_i, s_i+1); ours are (b_i, b_i+1]: shift each
     # breakpoint to the next representable double.
     inner = [float(np.nextafter(b, np.inf)) for b in model.splits]
     splits = [float("-inf")] + inner + [float("inf")]
-    tab = spark.createDataFrame(list(enumerate(model.values)), "bucket int, mean_path double")
     tmp = df.withColumn("_x", F.col(value).cast("double"))
     if len(splits) > 2:
         b = Bucketizer(splits=splits, inputCol="_x", outputCol="_bk", handleInvalid="keep").transform(tmp)
     else:
         b = tmp.withColumn("_bk", F.lit(0.0))
-    b = b.withColumn("_bk", F.col("_bk").cast("int"))
-    joined = b.join(F.broadcast(tab), b["_bk"] == tab["bucket"], "left")   # <= T*psi+1 rows
+    return b.withColumn("_bk", F.col("_bk").cast("int")).drop("_x")
+
+
+def step_scores(model: IsolationModel, spark) -> DataFrame:
+    """(bucket, score = 2^(-E[h]/c(psi))) of every step (<= T * psi + 1 rows)."""
     c = model.c_psi if model.c_psi > 0 else 1.0
-    return joined.withColumn(out, F.pow(F.lit(2.0), -F.col("mean_path") / c)).drop("_x", "_bk", "bucket", "mean_path")
+    tab = spark.createDataFrame(list(enumerate(model.values)), "bucket int, mean_path double")
+    return tab.select("bucket", F.pow(F.lit(2.0), -F.col("mean_path") / c).alias("_score"))
+
+
+def score(model: IsolationModel, df: DataFrame, value: str = "amount",
+          out: str = "anomaly_score") -> DataFrame:
+    """Step 4: the score of the step of every row."""
+    steps = F.broadcast(step_scores(model, df.sparkSession))                # <= T * psi + 1 rows
+    b = bucketed(model, df, value)
+    return b.join(steps, b["_bk"] == steps["bucket"], "left").withColumnRenamed("_score", out).drop("_bk", "bucket")
+
+
+def threshold(model: IsolationModel, df: DataFrame, quantile: float, value: str = "amount") -> DataFrame:
+    """Step 5: the exact quantile of the row scores (one row, ``_thr``), from the number
+    of rows on each step: at most T * psi + 1 groups, no rank of rows."""
+    spark = df.sparkSession
+    rows = bucketed(model, df.where(F.col(value).isNotNull()).select(value), value).groupBy("_bk").agg(F.count("*").alias("_c"))
+    counts = (rows.join(F.broadcast(step_scores(model, spark)), F.col("_bk") == F.col("bucket"))
+              .groupBy(F.col("_score").alias("_v")).agg(F.sum("_c").alias("_c")))
+    return ranked_values(counts, [quantile], ["_thr"]).select("_thr")
 
 
 def score_with_python(model: IsolationModel, values: np.ndarray) -> np.ndarray:

@@ -2,37 +2,79 @@
 
 Spark's exact ``percentile``/``median`` merge a value->count map per group in
 one task, so one hot group (say a third of all rows) would be held by a single
-task.  Here there is one path for every size, and no task holds a group:
-
-1. ``groupBy(group, value).count()`` with partial aggregation: repeated values
-   are one row.
-2. The counts are range-partitioned on (group, value) -- a hot group spreads
-   over as many partitions as its size asks for -- and written once, with the
-   partition's number, to the checkpoint folder.
-3. Counts per (group, partition) and a running sum over a group's partitions
-   (one row per partition that the group touches) give each partition's first
-   rank, the group's size, and so the partition that holds each wanted rank.
-4. Only those partitions are ranked, each within itself.  The values at the two
-   ranks around ``1 + p (n - 1)`` are interpolated; ranks are exact, so neither
-   value can be missing.
-
+task.  Here a sketch only brackets the wanted ranks, and an exact pass counts:
+
+1. one partial aggregate per group: the row count and ``percentile_approx`` a
+   little below and above each probability.  The sketch errs by at most
+   ``n / accuracy`` ranks and the margin is four times that, so the two rows
+   around the wanted rank lie inside the bracket; groups of up to ``accuracy``
+   rows are one bracket as a whole.
+2. one partial aggregate of counts: values inside a bracket by themselves, all
+   the others by the gap between brackets in which they fall.
+3. a running sum over those counts - at most about ``8 n / accuracy`` rows a
+   probability for a group of ``n`` - gives exact ranks, and the values at the
+   two ranks around ``1 + p (n - 1)`` are interpolated.
+
+All probabilities of all groups share both passes, whatever the size, and
+nothing runs while the plan is made.  A rank outside its bracket would raise.
 Result: one row per group with ``n`` and one column per probability.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
-
-
-def _same(cols: Sequence[str]) -> Column:
-    """Key columns equal their copies ``_k_<name>``; a null key is a group of its own."""
-    return reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in cols])
+#: Width of a bracket on either side, in sketch errors.
+MARGIN = 4
+
+
+def _any(conditions: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
+def _brackets(vals: DataFrame, keys: Sequence[str], probs: Sequence[float], accuracy: int) -> DataFrame:
+    """(keys, _n, _lo0, _hi0, _lo1, ...): pass 1."""
+    eps = MARGIN / accuracy
+    asks = [x for p in probs for x in (p - eps, p + eps)]
+    sketch = F.percentile_approx("_v", F.array(*[F.lit(min(max(x, 0.0), 1.0)) for x in asks]), accuracy)
+    out = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), sketch.alias("_b"))
+    whole = F.col("_n") <= accuracy
+    ends = []
+    for j, x in enumerate(asks):
+        low = j % 2 == 0
+        beyond = F.lit(-math.inf if low else math.inf)
+        inner = beyond if (x <= 0.0 if low else x >= 1.0) else F.when(whole, beyond).otherwise(F.col("_b")[j])
+        ends.append(inner.alias(f"_{'lo' if low else 'hi'}{j // 2}"))
+    return out.select(*keys, "_n", *ends)
+
+
+def ranked_values(counts: DataFrame, probs: Sequence[float], names: Sequence[str], keys: Sequence[str] = (),
+                  order: Sequence[str] = ("_v",), size: Column | None = None) -> DataFrame:
+    """Pass 3: quantiles of values ``_v`` that occur ``_c`` times (null ``_v``: some
+    values between its neighbours).  One row per group with ``_n``."""
+    keys = list(keys)
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    upto = group.orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("_n", F.sum("_c").over(group) if size is None else size).withColumn("_end", F.sum("_c").over(upto))
+    aggs = [F.max("_n").alias("_n")]
+    for i, p in enumerate(probs):
+        pos = F.lit(1.0) + F.lit(float(p)) * (F.col("_n") - 1)
+        for rank, name in ((F.floor(pos), f"_a{i}"), (F.ceil(pos), f"_z{i}")):
+            at = (rank > F.col("_end") - F.col("_c")) & (rank <= F.col("_end"))
+            aggs.append(F.max(F.when(at, F.col("_v"))).alias(name))
+        aggs.append(F.max(pos - F.floor(pos)).alias(f"_f{i}"))
+    one = ranked.groupBy(*keys).agg(*aggs)
+    lost = F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")
+    def between(i: int) -> Column:
+        a, z = F.col(f"_a{i}"), F.col(f"_z{i}")
+        return F.when(a == z, a).otherwise(a + F.col(f"_f{i}") * (z - a))       # also for infinite values
+    return one.select(*keys, "_n", *[F.when(F.col("_n").isNotNull(), F.coalesce(between(i), lost)).alias(names[i])
+                                     for i in range(len(probs))])
 
 
 def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
@@ -44,57 +86,34 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
     probs = [float(p) for p in probs]
     k = len(probs)
     names = list(names) if names else [f"q{i}" for i in range(k)]
-    keys = by if by else ["_g"]
-    vals = df.select(*[F.col(c) for c in by], F.col(value).cast("double").alias("_v"))
-    if not by:
-        vals = vals.withColumn("_g", F.lit(0))
+    keys = [f"_k{i}" for i in range(len(by))]
+    vals = df.select(*[F.col(c).alias(key) for c, key in zip(by, keys)], F.col(value).cast("double").alias("_v"))
     vals = vals.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
 
     def finish(out: DataFrame) -> DataFrame:
-        return (out if by else out.drop("_g")).withColumnRenamed("_n", "n")
+        out = out if by else out.where("_n is not null")
+        return out.select(*[F.col(key).alias(c) for c, key in zip(by, keys)], F.col("_n").alias("n"), *names)
 
     if not exact:
-        return finish(vals.groupBy(*keys)
-                      .agg(F.count(F.lit(1)).alias("_n"),
-                           F.percentile_approx("_v", F.array(*[F.lit(p) for p in probs]), accuracy).alias("_q"))
+        sketch = F.percentile_approx("_v", F.array(*[F.lit(p) for p in probs]), accuracy)
+        out = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"), sketch.alias("_q"))
+        return finish(out.withColumn("_n", F.when(F.col("_c") > 0, F.col("_c")))
                       .select(*keys, "_n", *[F.col("_q")[i].cast("double").alias(names[i]) for i in range(k)]))
 
-    counts = vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    laid = materialize(counts.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()),
-                       "quantile-counts")
-    group = Window.partitionBy(*keys)
-    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    held = (laid.groupBy(*keys, "_part").agg(F.sum("_c").alias("_m"))
-            .withColumn("_n", F.sum("_m").over(group))
-            .withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0))))
-    wanted = held.withColumn("_want", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), (F.lit(1.0) + F.lit(p) * (F.col("_n") - 1)).alias("pos"))
-        for i, p in enumerate(probs)])))
-    low, high = F.floor("_want.pos"), F.ceil("_want.pos")
-    inside = lambda rank: (rank > F.col("_before")) & (rank <= F.col("_before") + F.col("_m"))
-    # one row per group, partition with a wanted rank, and probability
-    wanted = (wanted.where(inside(low) | inside(high))
-              .select(*keys, "_part", "_n", "_before", F.col("_want.i").alias("_i"),
-                      F.col("_want.pos").alias("_pos"), low.alias("_lo"), high.alias("_hi")))
-    parts = wanted.groupBy(*keys, "_part").agg(
-        F.first("_n").alias("_n"), F.first("_before").alias("_before"),
-        F.collect_list(F.struct("_i", "_pos", "_lo", "_hi")).alias("_ask"))        # at most one per probability
-    parts = parts.withColumnsRenamed({c: f"_k_{c}" for c in [*keys, "_part"]})
-    upto = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (laid.join(parts, _same([*keys, "_part"]))
-              .select(*keys, "_part", "_v", "_c", "_n", "_before", "_ask")
-              .withColumn("_end", F.col("_before") + F.sum("_c").over(upto))
-              .withColumn("_a", F.explode("_ask")))
-    at = lambda rank: (F.col(rank) > F.col("_end") - F.col("_c")) & (F.col(rank) <= F.col("_end"))
-    picked = (ranked.where(at("_a._lo") | at("_a._hi"))
-              .groupBy(*keys, F.col("_a._i").alias("_i"))
-              .agg(F.first("_n").alias("_n"), F.first("_a._pos").alias("_pos"),
-                   F.max(F.when(at("_a._lo"), F.col("_v"))).alias("_vlo"),
-                   F.max(F.when(at("_a._hi"), F.col("_v"))).alias("_vhi"))
-              .withColumn("_q", F.col("_vlo") + (F.col("_pos") - F.floor("_pos")) * (F.col("_vhi") - F.col("_vlo"))))
-    return finish(picked.groupBy(*keys).agg(
-        F.max("_n").alias("_n"),
-        *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(names[i]) for i in range(k)]))
+    brackets = _brackets(vals, keys, probs, accuracy)
+    bounds = [c for c in brackets.columns if c not in keys]
+    if by:
+        named = brackets.select(*[F.col(c).alias(f"{c}_") for c in keys], *bounds)
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in keys])
+        seen = vals.join(named, same)
+    else:
+        seen = vals.withColumn("_br", brackets.select(F.struct(*bounds)).scalar()).select("_v", "_br.*")
+    v = F.col("_v")
+    above = sum(((v >= F.col(f"_lo{i}")).cast("int") + (v > F.col(f"_hi{i}")).cast("int") for i in range(k)), F.lit(0))
+    inside = _any([(v >= F.col(f"_lo{i}")) & (v <= F.col(f"_hi{i}")) for i in range(k)])
+    cells = (seen.groupBy(*keys, above.alias("_s"), F.when(inside, v).alias("_v"))
+             .agg(F.count(F.lit(1)).alias("_c")))
+    return finish(ranked_values(cells, probs, names, keys, order=("_s", "_v")))
 
 
 def exact_percentile_scalar(df: DataFrame, value: str, probs: Sequence[float],

@@ -7,8 +7,10 @@ Either way the flag is "score strictly above the exact (1 - c) quantile of
 the scores", so the flagged share is at most c (ties aside) and the
 threshold comes from the skew-safe quantile operator.
 
-Statistics are one conditional aggregate; per-dimension counts are one
-unpivot + groupBy; the top-N list is an ``orderBy().limit()``.
+The flagged rows are read twice: once for the cells of (origin, category, flag),
+from which statistics, counts by dimension, the origin share and the alerts come,
+and once for the top-N list, an ``orderBy().limit()``.  Each function takes flagged
+rows or such cells.
 """
 
 from __future__ import annotations
@@ -26,28 +28,32 @@ from ..operators import isolation as IF
 from ..operators import rules as R
 from ..operators.quantiles import exact_percentile_scalar
 from ..params import Params
+from ..session import materialize
 
 
 def clean(df: DataFrame) -> DataFrame:
     return df.where(S.nan_to_null("amount") > 0)
 
 
+def flag_above(rows: DataFrame, threshold: DataFrame, score_col: str) -> DataFrame:
+    """FIL-8: ``is_anomaly`` = score strictly above the one-row ``_thr``; ``score`` =
+    score - threshold (positive for anomalies)."""
+    out = rows.withColumn("threshold", A.scalar(A.keep_small(threshold), "_thr"))                # one row
+    return (out.withColumn("is_anomaly", F.coalesce(F.col(score_col) > F.col("threshold"), F.lit(False)))
+            .withColumn("score", F.col(score_col) - F.col("threshold")))
+
+
 def quantile_flag(rows: DataFrame, p: Params, score_col: str = "amount") -> DataFrame:
-    """ML-11 / FIL-8: ``is_anomaly`` = score > exact (1-c) quantile of the score;
-    ``score`` = score - threshold (positive for anomalies)."""
-    thr = A.keep_small(exact_percentile_scalar(rows, score_col, [1.0 - p.contamination], ["_thr"],
-                                               p.quantile_accuracy, exact=p.exact_quantiles))                 # one row
-    out = rows.withColumn("_thr", A.scalar(thr, "_thr"))
-    return (out.withColumn("is_anomaly", F.coalesce(F.col(score_col) > F.col("_thr"), F.lit(False)))
-            .withColumn("score", F.col(score_col) - F.col("_thr"))
-            .withColumnRenamed("_thr", "threshold"))
+    """ML-11: flagged above the exact (1-c) quantile of the score column."""
+    return flag_above(rows, exact_percentile_scalar(rows, score_col, [1.0 - p.contamination], ["_thr"],
+                                                    p.quantile_accuracy, exact=p.exact_quantiles), score_col)
 
 
 def forest_flag(rows: DataFrame, p: Params) -> DataFrame:
     """ML-10: isolation-forest scores, flagged above their (1-c) quantile."""
     model = IF.fit(rows, "amount", p.n_trees, p.sample_size, p.seed)
-    scored = IF.score(model, rows, "amount", "anomaly_score")
-    return quantile_flag(scored, p, "anomaly_score")
+    return flag_above(IF.score(model, rows, "amount", "anomaly_score"),
+                      IF.threshold(model, rows, 1.0 - p.contamination), "anomaly_score")
 
 
 def flag(df: DataFrame, p: Params, method: str = "quantile") -> DataFrame:
@@ -59,16 +65,21 @@ def flag(df: DataFrame, p: Params, method: str = "quantile") -> DataFrame:
     raise ValueError(f"unknown method {method!r}")
 
 
+def flag_cells(flagged: DataFrame) -> DataFrame:
+    """Cells by (origin, category, is_anomaly), written once."""
+    return materialize(A.cells(flagged, "origin", "category", "is_anomaly"), "anomaly-cells")
+
+
 def stats(flagged: DataFrame) -> DataFrame:
     """AGG-25: analysed, flagged, %, mean normal, mean flagged, max flagged
     (zeros when nothing was analysed)."""
-    a, anom = F.col("amount"), F.col("is_anomaly")
-    g = flagged.agg(
-        F.count(F.lit(1)).alias("rows_analysed"),
-        F.count_if(anom).alias("anomalies"),
-        A.money_mean(F.when(~anom, a)).alias("mean_normal"),
-        A.money_mean(F.when(anom, a)).alias("mean_anomalous"),
-        F.max(F.when(anom, a)).alias("max_anomalous"),
+    anom = F.col("is_anomaly")
+    g = A.measures(flagged).agg(
+        A.orders_of().alias("rows_analysed"),
+        A.orders_of(anom).alias("anomalies"),
+        A.mean_of(~anom).alias("mean_normal"),
+        A.mean_of(anom).alias("mean_anomalous"),
+        F.max(F.when(anom, F.col("largest"))).alias("max_anomalous"),
     )
     n = F.col("rows_analysed")
     return g.select(
@@ -83,20 +94,20 @@ def stats(flagged: DataFrame) -> DataFrame:
 def counts_by_dimension(flagged: DataFrame, labels=("ORIGEN", "CATEGORIA"), top: int = 10) -> DataFrame:
     """AGG-26: flagged rows per value of each dimension, top 10, null dropped."""
     cols = [F.col(fixed.DIMENSIONS[l]).cast("string").alias(l) for l in labels]
-    u = (flagged.where("is_anomaly").select(*cols)
-         .unpivot(ids=[], values=list(labels), variableColumnName="dimension", valueColumnName="value")
+    u = (A.measures(flagged).where("is_anomaly").select("orders", *cols)
+         .unpivot(ids=["orders"], values=list(labels), variableColumnName="dimension", valueColumnName="value")
          .where(F.col("value").isNotNull()))
-    g = u.groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("anomalies"))
+    g = u.groupBy("dimension", "value").agg(A.orders_of().alias("anomalies"))
     w = Window.partitionBy("dimension").orderBy(F.col("anomalies").desc(), F.col("value").asc())
     return g.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= top)
 
 
 def top_origin_share(flagged: DataFrame) -> DataFrame:
     """AGG-27: origin with the most flagged rows and its share of them."""
-    g = flagged.where(F.col("is_anomaly") & F.col("origin").isNotNull()).groupBy("origin") \
-        .agg(F.count(F.lit(1)).alias("n"))
+    flagged = A.measures(flagged)
+    g = flagged.where(F.col("is_anomaly") & F.col("origin").isNotNull()).groupBy("origin").agg(A.orders_of().alias("n"))
     top = g.orderBy(F.col("n").desc(), F.col("origin").asc()).limit(1)
-    tot = A.scalar(flagged.agg(F.count_if("is_anomaly").alias("anomalies")), "anomalies")
+    tot = A.scalar(flagged.agg(A.orders_of(F.col("is_anomaly")).alias("anomalies")), "anomalies")
     return top.withColumn("anomalies", tot).select(
         "origin", F.col("n").alias("origin_anomalies"), "anomalies",
         F.when(F.col("anomalies") > 0, F.col("n") / F.col("anomalies")).alias("share"))
@@ -169,9 +180,13 @@ class AnomalyReport:
     def flagged(self) -> DataFrame:
         return flag(self.df, self.p, self.method)
 
+    @functools.cached_property
+    def cells(self) -> DataFrame:
+        return flag_cells(self.flagged)
+
     @functools.cached_property
     def stats(self) -> DataFrame:
-        return A.keep_small(stats(self.flagged))                             # one row
+        return A.keep_small(stats(self.cells))                               # one row
 
     @functools.cached_property
     def top(self) -> DataFrame:
@@ -179,11 +194,11 @@ class AnomalyReport:
 
     @functools.cached_property
     def by_dimension(self) -> DataFrame:
-        return counts_by_dimension(self.flagged)
+        return counts_by_dimension(self.cells)
 
     @functools.cached_property
     def alerts(self) -> DataFrame:
-        return alerts(self.flagged, self.stats, self.p)
+        return alerts(self.cells, self.stats, self.p)
 
 
 def anomaly_report(df: DataFrame, p: Params, method: str = "quantile", top_n: int | None = None,

@@ -1,7 +1,8 @@
 """REP-1: monitoring of a current or past year (actual vs predicted spend).
 
-Inputs are the base purchases of the forecast window (SRC-5).  All outputs
-are lazy DataFrames: ``headline`` (1 row), ``monthly`` (12 rows),
+Inputs are the base purchases of the forecast window (SRC-5).  One scan makes
+the monthly cube; every table below reads the cube (or, given to a function by
+itself, the prepared rows: ``aggregates.measures``).  All outputs are DataFrames: ``headline`` (1 row), ``monthly`` (12 rows),
 ``breakdown`` (top values per dimension) and ``alerts``.
 """
 
@@ -46,11 +47,11 @@ def months_elapsed(year: int, p: Params) -> int:
     return p.as_of.month
 
 
-def headline(prepared: DataFrame, year: int, p: Params, budget: float | None = None) -> DataFrame:
+def headline(cube: DataFrame, year: int, p: Params, budget: float | None = None) -> DataFrame:
     """One row: actual year-to-date, predicted total, deviation, budget
     position and the year-end projection (AGG-3/4, SCA-8/10/11)."""
-    ydf, hist = split_history(prepared, year)
-    actual = ydf.agg(F.sum("amount").alias("actual"), F.count(F.lit(1)).alias("target_rows"))
+    ydf, hist = split_history(A.measures(A.totals(cube)), year)
+    actual = ydf.agg(F.sum("amount").alias("actual"), A.orders_of().alias("target_rows"))
     pred = A.predicted_annual_total(hist, p.trend_years, p.trend_divisor)
     h = actual.withColumn("predicted", A.scalar(pred, "predicted"))
     b = F.lit(budget).cast("double")
@@ -71,12 +72,12 @@ def headline(prepared: DataFrame, year: int, p: Params, budget: float | None = N
     )
 
 
-def monthly(prepared: DataFrame, year: int, p: Params, intervals: bool = True,
+def monthly(cube: DataFrame, year: int, p: Params, intervals: bool = True,
             basis: str = "order_mean") -> DataFrame:
     """12 rows: predicted (historical mean order of the month), actual,
     deviation, deviation %, and a +-15 % band (AGG-5/6, JOIN-6, SCA-8/9/16)."""
-    ydf, hist = split_history(prepared, year)
-    spine = A.month_spine(prepared.sparkSession)
+    ydf, hist = split_history(A.totals(cube), year)
+    spine = A.month_spine(cube.sparkSession)
     act = F.broadcast(A.monthly_actual(ydf))            # <= 12 rows
     hm = F.broadcast(A.monthly_history_mean(hist, basis))  # <= 12 rows
     m = spine.join(act, "month", "left").join(hm, "month", "left").select(
@@ -94,9 +95,9 @@ def monthly(prepared: DataFrame, year: int, p: Params, intervals: bool = True,
     )
 
 
-def breakdown(prepared: DataFrame, year: int, dimensions: Sequence[str], top: int = 10) -> DataFrame:
-    """AGG-8 over the target year's rows."""
-    ydf, _ = split_history(prepared, year)
+def breakdown(cube: DataFrame, year: int, dimensions: Sequence[str], top: int = 10) -> DataFrame:
+    """AGG-8 over the target year."""
+    ydf, _ = split_history(cube, year)
     return A.dimension_breakdown(ydf, dimensions, top)
 
 
@@ -131,7 +132,7 @@ def alerts(head: DataFrame, p: Params) -> DataFrame:
 
 
 class MonitoringReport:
-    """REP-1 tables, each planned on first access; the prepared frame is shared."""
+    """REP-1 tables, each planned on first access, all from one monthly cube."""
 
     def __init__(self, purchases: DataFrame, year: int, p: Params, budget: float | None = None,
                  dimensions: Sequence[str] = (), intervals: bool = True):
@@ -139,17 +140,21 @@ class MonitoringReport:
         self.year, self.p, self.budget = year, p, budget
         self.dimensions, self.intervals = list(dimensions), intervals
 
+    @functools.cached_property
+    def cube(self) -> DataFrame:
+        return A.monthly_cube(self.prepared, self.dimensions, self.year)
+
     @functools.cached_property
     def headline(self) -> DataFrame:
-        return A.keep_small(headline(self.prepared, self.year, self.p, self.budget))   # one row
+        return A.keep_small(headline(self.cube, self.year, self.p, self.budget))   # one row
 
     @functools.cached_property
     def monthly(self) -> DataFrame:
-        return monthly(self.prepared, self.year, self.p, self.intervals)
+        return monthly(self.cube, self.year, self.p, self.intervals)
 
     @functools.cached_property
     def breakdown(self) -> DataFrame:
-        return breakdown(self.prepared, self.year, self.dimensions)
+        return breakdown(self.cube, self.year, self.dimensions)
 
     @functools.cached_property
     def alerts(self) -> DataFrame:
@@ -159,10 +164,10 @@ class MonitoringReport:
 def monitoring_report(purchases: DataFrame, year: int, p: Params, budget: float | None = None,
                       dimensions: Sequence[str] = (), intervals: bool = True) -> MonitoringReport:
     """REP-1 over the purchases of the forecast window; raises ``InsufficientData``
-    where the year or its history holds no valid rows (one aggregate of one column)."""
+    where the year or its history holds no valid rows (read from the cube)."""
     report = MonitoringReport(purchases, year, p, budget, dimensions, intervals)
-    seen = report.prepared.agg(F.count_if(F.col("year") == year).alias("target"),
-                               F.count_if(F.col("year") < year).alias("history")).first()
+    seen = A.totals(report.cube).agg(A.orders_of(F.col("year") == year).alias("target"),
+                                     A.orders_of(F.col("year") < year).alias("history")).first()
     if not seen["target"]:
         raise InsufficientData(f"no valid rows in {year}")
     if not seen["history"]:

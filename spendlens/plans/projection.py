@@ -5,6 +5,8 @@ Total: the amount model's summed predictions (``method="model"``, a fitted
 (``method="naive"``, the reference's fallback; no silent catch).
 Monthly: the seasonal model (ML-7) with missing months filled (JOIN-7).
 Breakdown: the latest year's actual spend per dimension value (ML-9).
+
+Everything but the amount model comes from one monthly cube, one scan.
 """
 
 from __future__ import annotations
@@ -29,11 +31,11 @@ from . import monitoring as M
 
 def sufficiency_checks(prepared: DataFrame, p: Params, target_year: int | None = None) -> DataFrame:
     """FIL-13: (check, ok, observed, needed) in one conditional aggregate."""
-    aggs = [F.count(F.lit(1)).alias("_rows")]
+    aggs = [A.orders_of().alias("_rows")]
     if target_year is not None:
-        aggs += [F.count_if(F.col("year") == target_year).alias("_target"),
-                 F.count_if(F.col("year") < target_year).alias("_hist")]
-    one = prepared.agg(*aggs)
+        aggs += [A.orders_of(F.col("year") == target_year).alias("_target"),
+                 A.orders_of(F.col("year") < target_year).alias("_hist")]
+    one = A.measures(A.totals(prepared)).agg(*aggs)
     items = [F.struct(F.lit("not_empty").alias("check"), (F.col("_rows") > 0).alias("ok"),
                       F.col("_rows").alias("observed"), F.lit(1).cast("bigint").alias("needed")),
              F.struct(F.lit("min_rows").alias("check"), (F.col("_rows") >= p.min_rows).alias("ok"),
@@ -62,8 +64,9 @@ def naive_total(latest: DataFrame, p: Params) -> DataFrame:
 
 def monthly(prepared: DataFrame, target_year: int, p: Params, intervals: bool = True) -> DataFrame:
     """ML-7 + JOIN-7 + SCA-16/17: 12 monthly rows for the target year."""
-    fc = A.keep_small(FC.seasonal_forecast(prepared, target_year, p.confidence, intervals))  # <= 12 rows
-    filled = FC.fill_missing_months(fc, prepared)
+    cube = A.totals(prepared)
+    fc = A.keep_small(FC.seasonal_forecast(cube, target_year, p.confidence, intervals))  # <= 12 rows
+    filled = FC.fill_missing_months(fc, cube)
     return filled.select("month", S.month_name("month").alias("month_name"), "predicted",
                          "lower", "upper", "source")
 
@@ -79,7 +82,7 @@ def headline(prepared: DataFrame, total: DataFrame, p: Params, target_year: int,
     months of history (SCA-9, SCA-11, AGG-28)."""
     b = F.lit(budget).cast("double")
     diff, pct = S.budget_position(b, F.col("projected_total"))
-    hm = A.scalar(A.history_months(prepared), "history_months")
+    hm = A.scalar(A.history_months(A.totals(prepared)), "history_months")
     lo, hi = S.interval_band("projected_total", p.year_band, intervals)
     return total.withColumn("history_months", hm).select(
         F.lit(target_year).cast("int").alias("year"), F.lit(fixed.MODE_PROJECTION).alias("mode"),
@@ -113,10 +116,15 @@ class ProjectionReport:
         self.year, self.p, self.budget = target_year, p, budget
         self.dimensions, self.intervals, self.method, self.model = list(dimensions), intervals, method, model
 
+    @functools.cached_property
+    def cube(self) -> DataFrame:
+        return A.monthly_cube(self.prepared, self.dimensions)
+
     @functools.cached_property
     def slice(self) -> DataFrame:
-        """The latest year's rows with all their columns (no feature frame needed)."""
-        return FE.latest_year_slice(self.prepared, self.year)
+        """The latest year's cells (no feature frame needed)."""
+        last = A.scalar(A.totals(self.cube).agg(F.max("year").alias("last")), "last")
+        return self.cube.where(F.col("year") == last)
 
     @functools.cached_property
     def features(self) -> DataFrame:
@@ -125,17 +133,17 @@ class ProjectionReport:
     @functools.cached_property
     def total(self) -> DataFrame:
         if self.method == "naive":
-            return A.keep_small(naive_total(self.slice, self.p))
+            return A.keep_small(naive_total(A.totals(self.slice), self.p))
         from ..operators import model as ML
         return A.keep_small(ML.predicted_total(ML.score(self.model, ML.encode(self.model, self.prepared, self.features))))
 
     @functools.cached_property
     def headline(self) -> DataFrame:
-        return headline(self.prepared, self.total, self.p, self.year, self.budget, self.intervals)
+        return headline(self.cube, self.total, self.p, self.year, self.budget, self.intervals)
 
     @functools.cached_property
     def monthly(self) -> DataFrame:
-        return monthly(self.prepared, self.year, self.p, self.intervals)
+        return monthly(self.cube, self.year, self.p, self.intervals)
 
     @functools.cached_property
     def breakdown(self) -> DataFrame:
@@ -147,7 +155,7 @@ class ProjectionReport:
 
     @functools.cached_property
     def checks(self) -> DataFrame:
-        return sufficiency_checks(self.prepared, self.p)
+        return sufficiency_checks(self.cube, self.p)
 
 
 def projection_report(purchases: DataFrame, target_year: int, p: Params, budget: float | None = None,

@@ -21,7 +21,7 @@ from ..functions import text as X
 from ..operators import aggregates as A
 from ..operators import rules as R
 from ..params import Params
-from ..schema import PURCHASES_COLUMNS
+from ..schema import PURCHASES_COLUMNS, InsufficientData
 
 LABEL = dict(zip(fixed.REQUIRED_COLUMNS, fixed.REQUIRED_LABELS))
 
@@ -174,4 +174,9 @@ class QualityReport:
 
 
 def quality_report(df: DataFrame, p: Params, details: bool = True) -> QualityReport:
-    return QualityReport(df, p, details)
+    """REP-4; raises ``InsufficientData`` on an empty input (read from the profile
+    that the report needs anyway)."""
+    report = QualityReport(df, p, details)
+    if not report.profile.first()["rows"]:
+        raise InsufficientData("no purchases to check")
+    return report

@@ -1,8 +1,10 @@
 """REP-6: savings recommendations, trends, opportunities, executive summary.
 
-Group profiles are single ``groupBy`` aggregates (map-side partial sums);
-global scalars (mean, quartiles, p75 of group sizes) are one-row frames that
-are broadcast -- a proven size bound.  Ordered cuts (first 10 recommendations,
+One scan makes the cells of (origin, unit, category); the profiles, the top
+categories, the global mean and all five rules read those.  Only the quartiles
+and the small orders look at the purchases again.  Every function takes purchase
+rows or such cells.  Global scalars are one-row frames, read as scalar
+subqueries.  Ordered cuts (first 10 recommendations,
 top 3 units, top 5 opportunities, top 10 trends) are ``orderBy().limit()``,
 i.e. a per-partition top-k merged on the driver side of the plan, never a
 global sort.  Every order ends with the key columns so results are
@@ -24,19 +26,34 @@ from ..functions import text as X
 from ..operators import aggregates as A
 from ..operators.quantiles import exact_percentile_scalar
 from ..params import Params
+from ..schema import InsufficientData
 from ..session import materialize
 
 REC_FIELDS = [("title", T.StringType()), ("description", T.StringType()), ("priority", T.StringType()),
               ("area", T.StringType()), ("impact", T.StringType()), ("actions", T.ArrayType(T.StringType()))]
 
 
-def global_stats(df: DataFrame, p: Params) -> DataFrame:
+def spend_cells(df: DataFrame) -> DataFrame:
+    """Cells by (origin, unit, category), written once."""
+    return materialize(A.cells(df, "origin", "unit", "category"), "spend-cells")
+
+
+def amount_quartiles(df: DataFrame, p: Params) -> DataFrame:
+    """AGG-15: q25 and q75 of the order amounts (one row)."""
+    return exact_percentile_scalar(df, "amount", [0.25, 0.75], ["q25", "q75"], p.quantile_accuracy, exact=p.exact_quantiles)
+
+
+def global_stats(df: DataFrame, p: Params, cells: DataFrame | None = None) -> DataFrame:
     """AGG-15 + global mean/total/count: one row."""
-    q = exact_percentile_scalar(df, "amount", [0.25, 0.75], ["q25", "q75"], p.quantile_accuracy, exact=p.exact_quantiles)
-    g = df.agg(A.money_mean().alias("global_mean"), F.sum("amount").alias("total_spend"),
-               F.count(F.lit(1)).alias("orders"))
-    qs = A.scalar(q)
-    return g.withColumn("q25", qs["q25"]).withColumn("q75", qs["q75"])
+    g = A.measures(df if cells is None else cells).agg(
+        A.mean_of().alias("global_mean"), F.sum("amount").alias("total_spend"), A.orders_of().alias("orders"))
+    q = A.scalar(amount_quartiles(df, p))
+    return g.withColumn("q25", q["q25"]).withColumn("q75", q["q75"])
+
+
+def _profile(df: DataFrame, key: str) -> DataFrame:
+    return (A.measures(df).where(F.col(key).isNotNull()).groupBy(key)
+            .agg(F.sum("amount").alias("total"), A.mean_of().alias("mean"), A.orders_of().alias("orders")))
 
 
 def top_categories_by_group(df: DataFrame, group_col: str, k: int = 3) -> DataFrame:
@@ -51,9 +68,7 @@ def top_categories_by_group(df: DataFrame, group_col: str, k: int = 3) -> DataFr
 
 def origin_profile(df: DataFrame, stats: DataFrame) -> DataFrame:
     """AGG-17: per origin: total, mean, orders and the class against q25/q75."""
-    g = df.where(F.col("origin").isNotNull()).groupBy("origin").agg(
-        F.sum("amount").alias("total"), A.money_mean().alias("mean"),
-        F.count(F.lit(1)).alias("orders"))
+    g = _profile(df, "origin")
     q = A.scalar(stats.select("q25", "q75"))
     cls = (F.when(F.col("mean") > q["q75"], fixed.ORIGIN_CLASS_HIGH)
            .when(F.col("mean") < q["q25"], fixed.ORIGIN_CLASS_LOW)
@@ -63,14 +78,12 @@ def origin_profile(df: DataFrame, stats: DataFrame) -> DataFrame:
 
 def unit_profile(df: DataFrame) -> DataFrame:
     """AGG-18 (with FIL-11): per non-null unit: total, mean, orders."""
-    return df.where(F.col("unit").isNotNull()).groupBy("unit").agg(
-        F.sum("amount").alias("total"), A.money_mean().alias("mean"),
-        F.count(F.lit(1)).alias("orders"))
+    return _profile(df, "unit")
 
 
 def group_size_p75(df: DataFrame, p: Params) -> DataFrame:
     """AGG-16: 75th percentile of the number of orders per origin (one row)."""
-    sizes = df.where(F.col("origin").isNotNull()).groupBy("origin").agg(F.count(F.lit(1)).alias("n"))
+    sizes = _profile(df, "origin").select(F.col("orders").alias("n"))
     return exact_percentile_scalar(sizes, "n", [0.75], ["p75_orders"], p.quantile_accuracy, exact=p.exact_quantiles)
 
 
@@ -84,14 +97,10 @@ def _rec_frame(df: DataFrame, rule_no: int, key: Column, metric: Column, **field
     return df.select(*cols)
 
 
-def recommendations(df: DataFrame, p: Params, stats: DataFrame | None = None,
-                    origins: DataFrame | None = None, units: DataFrame | None = None) -> DataFrame:
+def recommendations(cells: DataFrame, p: Params, stats: DataFrame, origins: DataFrame, units: DataFrame) -> DataFrame:
     """RUL-6 (+ AGG-16, TOP-3, TOP-4, TOP-8): five rules, first 10 in rule order."""
-    stats = stats if stats is not None else global_stats(df, p)
-    origins = origins if origins is not None else origin_profile(df, stats)
-    units = units if units is not None else unit_profile(df)
     gmean = A.scalar(stats, "global_mean")
-    p75 = A.scalar(group_size_p75(df, p), "p75_orders")
+    p75 = A.scalar(group_size_p75(cells, p), "p75_orders")
     o, t, m, n = F.col("origin"), F.col("total"), F.col("mean"), F.col("orders")
 
     r1 = _rec_frame(
@@ -116,7 +125,7 @@ def recommendations(df: DataFrame, p: Params, stats: DataFrame | None = None,
         priority=fixed.SEV_HIGH, area=fixed.REC3_AREA,
         impact=X.template(fixed.REC3_IMPACT, saving=X.money(t * p.unit_saving)),
         actions=F.array(*[F.lit(a) for a in fixed.REC3_ACTIONS]))
-    cats = top_categories(df, 3)                                              # TOP-3
+    cats = top_categories(cells, 3)                                              # TOP-3
     c = F.col("category")
     r4 = _rec_frame(
         cats, 4, c, t,
@@ -167,12 +176,9 @@ def small_order_totals(df: DataFrame, stats: DataFrame) -> DataFrame:
                                        F.sum("amount").alias("small_spend"))
 
 
-def opportunities(df: DataFrame, p: Params, stats: DataFrame | None = None,
-                  origins: DataFrame | None = None) -> DataFrame:
+def opportunities(df: DataFrame, p: Params, stats: DataFrame, origins: DataFrame) -> DataFrame:
     """RUL-8 (+ FIL-9, AGG-31, TOP-7): expensive origins and small orders,
     top 5 by saving."""
-    stats = stats if stats is not None else global_stats(df, p)
-    origins = origins if origins is not None else origin_profile(df, stats)
     o, t = F.col("origin"), F.col("total")
 
     def frame(src, **f):
@@ -228,17 +234,37 @@ def top_values_by_frequency(df: DataFrame, labels: Sequence[str], k: int = TOP_V
     return g.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
 
 
-def restrict_to_top_values(df: DataFrame, labels: Sequence[str], p: Params) -> DataFrame:
-    """JOIN-8: rows whose dimension value is a top-5 value and whose month is
-    in the recent/prior list.  Both lists are bounded (5 x dims, 12 months),
-    so they are broadcast."""
-    base = df.withColumn("period", A.month_start("order_date"))
+def _long_months(df: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Rows as (dimension, value, period, amount)."""
     cols = [F.col(fixed.DIMENSIONS[l]).cast("string").alias(l) for l in labels]
-    long = base.select(*cols, "period", "amount").unpivot(
+    return df.select(*cols, A.month_start("order_date").alias("period"), "amount").unpivot(
         ids=["period", "amount"], values=list(labels), variableColumnName="dimension", valueColumnName="value")
-    tops = F.broadcast(top_values_by_frequency(df, labels).select("dimension", "value"))
-    parts = F.broadcast(period_parts(df, p))
-    return long.join(tops, ["dimension", "value"], "inner").join(parts, "period", "inner")
+
+
+def trend_months(df: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Spend and orders by (dimension, value, month), written once: top values,
+    periods and changes all come from it."""
+    return materialize(_long_months(df, labels).groupBy("dimension", "value", "period")
+                       .agg(F.sum("amount").alias("spend"), F.count(F.lit(1)).alias("orders")), "trend-months")
+
+
+def _top_values(months: DataFrame) -> DataFrame:
+    g = months.where(F.col("value").isNotNull()).groupBy("dimension", "value").agg(F.sum("orders").alias("orders"))
+    w = Window.partitionBy("dimension").orderBy(F.col("orders").desc(), F.col("value").asc())
+    return g.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= TOP_VALUES)
+
+
+def _parts(months: DataFrame, p: Params) -> DataFrame:
+    return _recent_and_prior(months.where(F.col("period").isNotNull()).select("period").distinct(), p)
+
+
+def restrict_to_top_values(df: DataFrame, labels: Sequence[str], p: Params) -> DataFrame:
+    """JOIN-8: rows whose dimension value is a top-5 value and whose month is
+    in the recent/prior list.  Both lists come from one table of months and are
+    bounded (5 x dims, 12 months), so they are broadcast."""
+    months = trend_months(df, labels)
+    tops = F.broadcast(_top_values(months).select("dimension", "value"))
+    return _long_months(df, labels).join(tops, ["dimension", "value"]).join(F.broadcast(_parts(months, p)), "period")
 
 
 def period_spend_change(df: DataFrame, labels: Sequence[str], p: Params) -> DataFrame:
@@ -247,12 +273,8 @@ def period_spend_change(df: DataFrame, labels: Sequence[str], p: Params) -> Data
 
     One scan: spend and orders per (dimension, value, month) are written once,
     and the top values, the months and the change all come from that table."""
-    cols = [F.col(fixed.DIMENSIONS[l]).cast("string").alias(l) for l in labels]
-    long = df.select(*cols, A.month_start("order_date").alias("period"), "amount").unpivot(
-        ids=["period", "amount"], values=list(labels), variableColumnName="dimension", valueColumnName="value")
-    months = materialize(long.groupBy("dimension", "value", "period")
-                         .agg(F.sum("amount").alias("spend"), F.count(F.lit(1)).alias("orders")), "trend-months")
-    parts = _recent_and_prior(months.where(F.col("period").isNotNull()).select("period").distinct(), p)
+    months = trend_months(df, labels)
+    parts = _parts(months, p)
     spend = lambda part: F.coalesce(F.sum(F.when(F.col("part") == part, F.col("spend"))), F.lit(0.0))
     g = (months.where(F.col("value").isNotNull()).join(F.broadcast(parts), "period", "left")
          .groupBy("dimension", "value")
@@ -276,8 +298,7 @@ def dimension_trends(df: DataFrame, labels: Sequence[str], p: Params) -> DataFra
 
 def spend_summary(df: DataFrame, opps: DataFrame) -> DataFrame:
     """AGG-32: total spend, orders, mean, saving sum and saving % (one row)."""
-    g = df.agg(F.sum("amount").alias("total_spend"), F.count(F.lit(1)).alias("orders"),
-               A.money_mean().alias("mean"))
+    g = A.measures(df).agg(F.sum("amount").alias("total_spend"), A.orders_of().alias("orders"), A.mean_of().alias("mean"))
     s = opps.agg(F.coalesce(F.sum("saving"), F.lit(0.0)).alias("saving"),
                  F.count(F.lit(1)).alias("opportunities"))
     sv = A.scalar(s)
@@ -326,31 +347,35 @@ class RecommendationReport:
                  include_trends: bool = True):
         self.df, self.p, self.dimensions, self.include_trends = df, p, list(dimensions), include_trends
 
-    # one row / one row per origin or unit / <= 10 / <= 5 rows: kept because
-    # several tables read them
+    # written once; one row / one row per origin or unit / <= 10 / <= 5 rows: kept
+    # because several tables read them
+    @functools.cached_property
+    def cells(self) -> DataFrame:
+        return spend_cells(self.df)
+
     @functools.cached_property
     def stats(self) -> DataFrame:
-        return A.keep_small(global_stats(self.df, self.p))
+        return A.keep_small(global_stats(self.df, self.p, self.cells))
 
     @functools.cached_property
     def origins(self) -> DataFrame:
-        return A.keep_small(origin_profile(self.df, self.stats))
+        return A.keep_small(origin_profile(self.cells, self.stats))
 
     @functools.cached_property
     def units(self) -> DataFrame:
-        return A.keep_small(unit_profile(self.df))
+        return A.keep_small(unit_profile(self.cells))
 
     @functools.cached_property
     def origin_top_categories(self) -> DataFrame:
-        return top_categories_by_group(self.df, "origin")
+        return top_categories_by_group(self.cells, "origin")
 
     @functools.cached_property
     def unit_top_categories(self) -> DataFrame:
-        return top_categories_by_group(self.df, "unit")
+        return top_categories_by_group(self.cells, "unit")
 
     @functools.cached_property
     def recommendations(self) -> DataFrame:
-        return A.keep_small(recommendations(self.df, self.p, self.stats, self.origins, self.units))
+        return A.keep_small(recommendations(self.cells, self.p, self.stats, self.origins, self.units))
 
     @functools.cached_property
     def opportunities(self) -> DataFrame:
@@ -362,12 +387,17 @@ class RecommendationReport:
 
     @functools.cached_property
     def summary(self) -> DataFrame:
-        return executive_summary(self.df, self.recommendations, self.opportunities)
+        return executive_summary(self.cells, self.recommendations, self.opportunities)
 
 
 def recommendation_report(df: DataFrame, p: Params, dimensions: Sequence[str] = ("ORIGEN", "UN"),
                           include_trends: bool = True) -> RecommendationReport:
-    return RecommendationReport(df, p, dimensions, include_trends)
+    """REP-6; raises ``InsufficientData`` where there are no purchases (read from
+    the cells that the report needs anyway)."""
+    report = RecommendationReport(df, p, dimensions, include_trends)
+    if report.cells.isEmpty():
+        raise InsufficientData("no purchases to analyse")
+    return report
 
 
 def quick_recommendations(df: DataFrame, p: Params) -> DataFrame:

@@ -152,14 +152,18 @@ def purchases_year(purchases: DataFrame, year: int) -> DataFrame:
 def latest_year_fallback(purchases: DataFrame, year: int) -> DataFrame:
     """SRC-4: rows of ``year``; if it has none, rows of ``year - 1``.
 
-    One job: both years are read, the largest year present is found with a
-    global max (one row, broadcast) and only rows of that year are kept.
+    The later year present is asked for first - of a staged table from the values
+    of its partitions, without reading a column - so the rows come from a scan of
+    that year alone, with its filters pushed down.
     """
-    two = years_between(purchases, year - 1, year).withColumn("_y", F.year("order_date"))
-    if two.isEmpty():
+    if "order_year" in purchases.columns:
+        seen = purchases.where(F.col("order_year").between(year - 1, year)).agg(F.max("order_year"))
+    else:
+        seen = years_between(purchases, year - 1, year).agg(F.max(F.year("order_date")))
+    chosen = seen.first()[0]
+    if chosen is None:
         raise InsufficientData(f"no rows in {year} nor in {year - 1}")
-    chosen = F.broadcast(two.agg(F.max("_y").alias("_chosen")))
-    return two.join(chosen, F.col("_y") == F.col("_chosen")).drop("_y", "_chosen")
+    return purchases_year(purchases, chosen)
 
 
 def forecast_history_window(purchases: DataFrame, year: int, p: Params) -> DataFrame:

@@ -19,8 +19,8 @@ fl AS (SELECT cl.*, threshold, coalesce(amount > threshold, false) AS is_anomaly
        FROM cl, thr),
 st AS (SELECT count(*) AS rows_analysed, CAST(count_if(is_anomaly) AS BIGINT) AS anomalies,
               CASE WHEN count(*) > 0 THEN count_if(is_anomaly) / count(*) * 100.0 ELSE 0.0 END AS anomaly_pct,
-              coalesce((sum((CASE WHEN NOT is_anomaly THEN amount END)::DECIMAL(19,4))::DOUBLE / count(CASE WHEN NOT is_anomaly THEN amount END)), 0.0) AS mean_normal,
-              coalesce((sum((CASE WHEN is_anomaly THEN amount END)::DECIMAL(19,4))::DOUBLE / count(CASE WHEN is_anomaly THEN amount END)), 0.0) AS mean_anomalous,
+              coalesce(sum(round(amount * 10000)::HUGEINT) FILTER (NOT is_anomaly)::DOUBLE / 10000 / count(*) FILTER (NOT is_anomaly), 0.0) AS mean_normal,
+              coalesce(sum(round(amount * 10000)::HUGEINT) FILTER (is_anomaly)::DOUBLE / 10000 / count(*) FILTER (is_anomaly), 0.0) AS mean_anomalous,
               coalesce(max(CASE WHEN is_anomaly THEN amount END), 0.0) AS max_anomalous
        FROM fl),
 ub AS (UNPIVOT (SELECT origin AS ORIGEN, category AS CATEGORIA FROM fl WHERE is_anomaly)

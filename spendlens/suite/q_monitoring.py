@@ -44,7 +44,7 @@ head AS (
 MONTHLY = PREP + """,
 spine AS (SELECT CAST(range AS INTEGER) AS month FROM range(1, 13)),
 ma AS (SELECT month, SUM(amount) AS actual_sum FROM ydf GROUP BY month),
-mh AS (SELECT month, (sum(amount::DECIMAL(19,4))::DOUBLE / count(amount)) AS hist_mean FROM hist GROUP BY month),
+mh AS (SELECT month, (sum(round(amount * 10000)::HUGEINT)::DOUBLE / 10000 / count(amount)) AS hist_mean FROM hist GROUP BY month),
 mm AS (SELECT s.month, coalesce(ma.actual_sum, 0.0) AS a, coalesce(mh.hist_mean, 0.0) AS predicted
        FROM spine s LEFT JOIN ma USING (month) LEFT JOIN mh USING (month)),
 monthly AS (
@@ -70,7 +70,7 @@ u AS (UNPIVOT (SELECT origin AS ORIGEN, unit AS UN, category AS CATEGORIA, class
                       family AS FAMILIA, destination AS DESTINO, company AS EMPRESA, amount FROM ydf)
       ON ORIGEN, UN, CATEGORIA, CLASE, FAMILIA, DESTINO, EMPRESA
       INTO NAME dimension VALUE value),
-g AS (SELECT dimension, value, SUM(amount) AS total, (sum(amount::DECIMAL(19,4))::DOUBLE / count(amount)) AS mean, count(*) AS orders
+g AS (SELECT dimension, value, SUM(amount) AS total, (sum(round(amount * 10000)::HUGEINT)::DOUBLE / 10000 / count(amount)) AS mean, count(*) AS orders
       FROM u WHERE value IS NOT NULL GROUP BY dimension, value)"""
 
 ALERTS_SELECT = """
@@ -105,23 +105,28 @@ def _prepared(spark, sf):
     return M.prepare(P.forecast_history_window(base(spark, sf), YEAR, PARAMS))
 
 
+def _cube(spark, sf, dimensions=()):
+    """The monthly cube of the report window: one scan for all tables."""
+    return A.monthly_cube(_prepared(spark, sf), dimensions, YEAR)
+
+
 @register("monitoring_headline", "SELECT * FROM head", ctes=HEAD, rounding=HEAD_R)
 def monitoring_headline(spark, sf):
     """REP-1 headline: actual YTD, predicted total, deviation, budget, year-end projection."""
-    return M.headline(_prepared(spark, sf), YEAR, PARAMS, BUDGET)
+    return M.headline(_cube(spark, sf), YEAR, PARAMS, BUDGET)
 
 
 @register("monitoring_monthly", "SELECT * FROM monthly", ctes=MONTHLY, rounding=MONTH_R)
 def monitoring_monthly(spark, sf):
     """REP-1 monthly table: 12 rows, actual vs historical mean order per month."""
-    return M.monthly(_prepared(spark, sf), YEAR, PARAMS, intervals=True)
+    return M.monthly(_cube(spark, sf), YEAR, PARAMS, intervals=True)
 
 
 @register("annual_totals", "SELECT year, SUM(amount) AS total FROM hist GROUP BY year",
           ctes=PREP, rounding=r("total"))
 def annual_totals(spark, sf):
     """AGG-2: spend per history year."""
-    _, hist = M.split_history(_prepared(spark, sf), YEAR)
+    _, hist = M.split_history(_cube(spark, sf), YEAR)
     return A.annual_totals(hist)
 
 
@@ -129,14 +134,14 @@ def annual_totals(spark, sf):
           ctes=PRED, rounding=r("mean_total, trend, predicted", 4))
 def predicted_annual_total(spark, sf):
     """AGG-3: mean annual total plus the 3-year trend term."""
-    _, hist = M.split_history(_prepared(spark, sf), YEAR)
+    _, hist = M.split_history(_cube(spark, sf), YEAR)
     return A.predicted_annual_total(hist, PARAMS.trend_years, PARAMS.trend_divisor)
 
 
 @register("ytd_actual", "SELECT SUM(amount) AS actual FROM ydf", ctes=PREP, rounding=r("actual"))
 def ytd_actual(spark, sf):
     """AGG-4: target-year spend."""
-    ydf, _ = M.split_history(_prepared(spark, sf), YEAR)
+    ydf, _ = M.split_history(_cube(spark, sf), YEAR)
     return A.sum_amount(ydf, "actual")
 
 
@@ -144,15 +149,15 @@ def ytd_actual(spark, sf):
           ctes=PREP, rounding=r("actual_sum"))
 def monthly_actual(spark, sf):
     """AGG-5: target-year spend per month."""
-    ydf, _ = M.split_history(_prepared(spark, sf), YEAR)
+    ydf, _ = M.split_history(_cube(spark, sf), YEAR)
     return A.monthly_actual(ydf)
 
 
-@register("monthly_history_mean", "SELECT month, (sum(amount::DECIMAL(19,4))::DOUBLE / count(amount)) AS hist_mean FROM hist GROUP BY month",
+@register("monthly_history_mean", "SELECT month, (sum(round(amount * 10000)::HUGEINT)::DOUBLE / 10000 / count(amount)) AS hist_mean FROM hist GROUP BY month",
           ctes=PREP, rounding=r("hist_mean", 6))
 def monthly_history_mean(spark, sf):
     """AGG-6: mean order amount per month over the history years."""
-    _, hist = M.split_history(_prepared(spark, sf), YEAR)
+    _, hist = M.split_history(_cube(spark, sf), YEAR)
     return A.monthly_history_mean(hist)
 
 
@@ -160,7 +165,7 @@ def monthly_history_mean(spark, sf):
           rounding=r("actual") | r("predicted", 6))
 def month_spine(spark, sf):
     """JOIN-6: months 1..12 left-joined to the two monthly aggregates, missing -> 0."""
-    ydf, hist = M.split_history(_prepared(spark, sf), YEAR)
+    ydf, hist = M.split_history(_cube(spark, sf), YEAR)
     spine = A.month_spine(spark)
     return (spine.join(F.broadcast(A.monthly_actual(ydf)), "month", "left")
             .join(F.broadcast(A.monthly_history_mean(hist)), "month", "left")
@@ -210,11 +215,11 @@ def budget_position(spark, sf):
           rounding=r("total") | r("mean, share_pct", 6))
 def dimension_breakdown(spark, sf):
     """AGG-8 + TOP-1: top-10 values per dimension of 2001 with share of total."""
-    return M.breakdown(_prepared(spark, sf), YEAR, ALL_DIMS)
+    return M.breakdown(_cube(spark, sf, ALL_DIMS), YEAR, ALL_DIMS)
 
 
 @register("monitoring_alerts", ALERTS_SELECT, ctes=HEAD, rounding=r("observed, expected", 4))
 def monitoring_alerts(spark, sf):
     """RUL-1: deviation, budget-consumption and projection-over-budget alerts."""
-    head = M.headline(_prepared(spark, sf), YEAR, PARAMS, BUDGET)
+    head = M.headline(_cube(spark, sf), YEAR, PARAMS, BUDGET)
     return M.alerts(head, PARAMS)

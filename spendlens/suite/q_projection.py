@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import scalars as S
+from ..operators import aggregates as A
 from ..operators import features as FE
 from ..operators import forecast as FC
 from ..plans import projection as PR
@@ -45,12 +46,12 @@ _IMP = ", ".join(f"coalesce(fe.{c}, med_{c}) AS {c}" if c not in
 FEAT = _prep_sql(1997, 2002) + f""",
 mx AS (SELECT max(year) AS my FROM pp),
 fs AS (SELECT pp.* REPLACE (CAST(2002 AS INTEGER) AS year) FROM pp, mx WHERE pp.year = mx.my),
-cs AS (SELECT category, (sum(amount::DECIMAL(19,4))::DOUBLE / count(amount)) AS cat_mean, median(amount) AS cat_median, stddev_samp(amount) AS cat_std
+cs AS (SELECT category, (sum(round(amount * 10000)::HUGEINT)::DOUBLE / 10000 / count(amount)) AS cat_mean, median(amount) AS cat_median, stddev_samp(amount) AS cat_std
        FROM pp WHERE category IS NOT NULL GROUP BY category),
-dst AS (SELECT destination, (sum(amount::DECIMAL(19,4))::DOUBLE / count(amount)) AS dest_mean, median(amount) AS dest_median
+dst AS (SELECT destination, (sum(round(amount * 10000)::HUGEINT)::DOUBLE / 10000 / count(amount)) AS dest_mean, median(amount) AS dest_median
         FROM pp WHERE destination IS NOT NULL GROUP BY destination),
-os AS (SELECT origin, (sum(amount::DECIMAL(19,4))::DOUBLE / count(amount)) AS origin_mean FROM pp WHERE origin IS NOT NULL GROUP BY origin),
-us AS (SELECT unit, (sum(amount::DECIMAL(19,4))::DOUBLE / count(amount)) AS unit_mean FROM pp WHERE unit IS NOT NULL GROUP BY unit),
+os AS (SELECT origin, (sum(round(amount * 10000)::HUGEINT)::DOUBLE / 10000 / count(amount)) AS origin_mean FROM pp WHERE origin IS NOT NULL GROUP BY origin),
+us AS (SELECT unit, (sum(round(amount * 10000)::HUGEINT)::DOUBLE / 10000 / count(amount)) AS unit_mean FROM pp WHERE unit IS NOT NULL GROUP BY unit),
 gm AS (SELECT median(amount) AS prev_month_spend FROM pp),
 fe AS (SELECT fs.*, cs.cat_mean, cs.cat_median, cs.cat_std, dst.dest_mean, dst.dest_median, os.origin_mean,
               us.unit_mean, fs.amount / (cs.cat_mean + 1.0) AS cat_ratio,
@@ -96,8 +97,8 @@ yh AS (SELECT CAST(month(ds) AS INTEGER) AS month, b0 + b1 * t + coalesce(sea.se
 fc AS (SELECT month, CASE WHEN yhat IS NOT NULL THEN greatest(yhat, 0.0) END AS predicted,
               greatest(yhat - band, 0.0) AS lower, greatest(yhat + band, 0.0) AS upper,
               yhat AS raw_predicted, yhat - band AS raw_lower FROM yh),
-mm AS (SELECT month, (sum(amount::DECIMAL(19,4))::DOUBLE / count(amount)) AS m FROM pp WHERE month IS NOT NULL GROUP BY month),
-gmean AS (SELECT (sum(amount::DECIMAL(19,4))::DOUBLE / count(amount)) AS g FROM pp),
+mm AS (SELECT month, (sum(round(amount * 10000)::HUGEINT)::DOUBLE / 10000 / count(amount)) AS m FROM pp WHERE month IS NOT NULL GROUP BY month),
+gmean AS (SELECT (sum(round(amount * 10000)::HUGEINT)::DOUBLE / 10000 / count(amount)) AS g FROM pp),
 filled AS (
   SELECT month, predicted, lower, upper, 'model' AS source FROM fc
   UNION ALL
@@ -307,7 +308,7 @@ def encode_categories(spark, sf):
           ctes=FEAT, rounding=r("projected_total", 4))
 def projection_fallback_total(spark, sf):
     """ML-6: latest-year spend x 1.05."""
-    return PR.naive_total(_feats(spark, sf), PARAMS)
+    return PR.naive_total(FE.latest_year_slice(_prep(spark, sf), NEXT_YEAR), PARAMS)
 
 
 @register("sufficiency_checks", """
@@ -342,7 +343,7 @@ def monthly_resample(spark, sf):
           rounding=r("predicted, lower, upper"))
 def seasonal_forecast(spark, sf):
     """ML-7: trend + season monthly forecast for 2002 with 95 % bounds."""
-    return FC.seasonal_forecast(_prep(spark, sf), NEXT_YEAR, PARAMS.confidence)
+    return FC.seasonal_forecast(A.monthly_cube(_prep(spark, sf)), NEXT_YEAR, PARAMS.confidence).drop("seasonal")
 
 
 @register("clamp_non_negative", "SELECT month, raw_predicted, predicted, raw_lower, lower FROM fc", ctes=SEAS,
@@ -380,7 +381,7 @@ FROM (SELECT *, sum(total) OVER (PARTITION BY dimension) AS all_total,
 u AS (UNPIVOT (SELECT origin AS ORIGEN, unit AS UN, category AS CATEGORIA, class AS CLASE, family AS FAMILIA,
                       destination AS DESTINO, company AS EMPRESA, amount FROM fs)
       ON ORIGEN, UN, CATEGORIA, CLASE, FAMILIA, DESTINO, EMPRESA INTO NAME dimension VALUE value),
-g AS (SELECT dimension, value, SUM(amount) AS total, (sum(amount::DECIMAL(19,4))::DOUBLE / count(amount)) AS mean, count(*) AS orders
+g AS (SELECT dimension, value, SUM(amount) AS total, (sum(round(amount * 10000)::HUGEINT)::DOUBLE / 10000 / count(amount)) AS mean, count(*) AS orders
       FROM u WHERE value IS NOT NULL GROUP BY dimension, value)""",
           rounding=r("total") | r("mean, share_pct", 6))
 def dimension_forecast(spark, sf):

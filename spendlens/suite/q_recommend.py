@@ -22,13 +22,13 @@ def _window_sql(y0: int) -> str:
     return f"""
 rw AS (SELECT * FROM purchases
        WHERE order_date >= TIMESTAMP '{y0}-01-01' AND order_date < TIMESTAMP '2002-01-01'),
-gs AS (SELECT (sum(amount::DECIMAL(19,4))::DOUBLE / count(amount)) AS global_mean, sum(amount) AS total_spend, count(*) AS orders,
+gs AS (SELECT (sum(round(amount * 10000)::HUGEINT)::DOUBLE / 10000 / count(amount)) AS global_mean, sum(amount) AS total_spend, count(*) AS orders,
               quantile_cont(amount, 0.25) AS q25, quantile_cont(amount, 0.75) AS q75 FROM rw),
-op AS (SELECT origin, sum(amount) AS total, (sum(amount::DECIMAL(19,4))::DOUBLE / count(amount)) AS mean, count(*) AS orders
+op AS (SELECT origin, sum(amount) AS total, (sum(round(amount * 10000)::HUGEINT)::DOUBLE / 10000 / count(amount)) AS mean, count(*) AS orders
        FROM rw WHERE origin IS NOT NULL GROUP BY origin),
 op2 AS (SELECT op.*, CASE WHEN mean > q75 THEN 'alto' WHEN mean < q25 THEN 'bajo' ELSE 'normal' END
                AS spend_class FROM op, gs),
-up AS (SELECT unit, sum(amount) AS total, (sum(amount::DECIMAL(19,4))::DOUBLE / count(amount)) AS mean, count(*) AS orders
+up AS (SELECT unit, sum(amount) AS total, (sum(round(amount * 10000)::HUGEINT)::DOUBLE / 10000 / count(amount)) AS mean, count(*) AS orders
        FROM rw WHERE unit IS NOT NULL GROUP BY unit),
 p75 AS (SELECT quantile_cont(orders, 0.75) AS p75_orders FROM op),
 tc AS (SELECT category, sum(amount) AS total FROM rw WHERE category IS NOT NULL
@@ -83,7 +83,7 @@ o2 AS (SELECT 'Consolidación de Compras', 'OPERACIONAL', 'Pedidos pequeños',
 opps AS (SELECT CAST(row_number() OVER (ORDER BY saving DESC, value) AS INTEGER) AS opp_no, *
          FROM (SELECT * FROM (SELECT * FROM o1 UNION ALL SELECT * FROM o2)
                ORDER BY saving DESC, value LIMIT 5)),
-ss AS (SELECT sum(amount) AS total_spend, count(*) AS orders, (sum(amount::DECIMAL(19,4))::DOUBLE / count(amount)) AS mean FROM rw),
+ss AS (SELECT sum(amount) AS total_spend, count(*) AS orders, (sum(round(amount * 10000)::HUGEINT)::DOUBLE / 10000 / count(amount)) AS mean FROM rw),
 sv AS (SELECT coalesce(sum(saving), 0.0) AS saving, count(*) AS opportunities FROM opps),
 spend AS (SELECT ss.*, sv.saving, sv.opportunities, sv.saving / ss.total_spend * 100.0 AS saving_pct
           FROM ss, sv),
@@ -154,7 +154,7 @@ def _recs_out(recs):
 @register("amount_quartiles", "SELECT q25, q75 FROM gs", ctes=REC, rounding=r("q25, q75", 6))
 def amount_quartiles(spark, sf):
     """AGG-15: q25 and q75 of amount (linear interpolation), skew-safe exact."""
-    return _rep(spark, sf).stats.select("q25", "q75")
+    return RC.amount_quartiles(_rw(spark, sf), PARAMS)
 
 
 @register("group_size_p75", "SELECT p75_orders FROM p75", ctes=REC, rounding=r("p75_orders", 6))
@@ -187,9 +187,9 @@ SELECT * FROM (
   WHERE rk <= 3)""", ctes=REC, rounding=r("total"))
 def top_categories_by_group(spark, sf):
     """AGG-19: top-3 categories by spend inside each origin and each unit."""
-    df = _rw(spark, sf)
-    a = RC.top_categories_by_group(df, "origin").select(F.lit("ORIGEN").alias("group_dimension"), "*")
-    b = RC.top_categories_by_group(df, "unit").select(F.lit("UN").alias("group_dimension"), "*")
+    rep = _rep(spark, sf)
+    a = rep.origin_top_categories.select(F.lit("ORIGEN").alias("group_dimension"), "*")
+    b = rep.unit_top_categories.select(F.lit("UN").alias("group_dimension"), "*")
     return a.unionByName(b)
 
 
@@ -205,11 +205,10 @@ SELECT op2.origin, op2.mean, op2.orders, gs.global_mean, gs.q25, gs.q75, p75.p75
 FROM op2, gs, p75""", ctes=REC, rounding=r("mean, global_mean, q25, q75, p75_orders", 6))
 def scalar_broadcast(spark, sf):
     """JOIN-9: each origin next to the global scalars (mean, q25, q75, p75 of counts)."""
-    df = _rw(spark, sf)
-    stats = RC.global_stats(df, PARAMS)
-    o = RC.origin_profile(df, stats)
-    s = A.scalar(stats.select("global_mean", "q25", "q75"))
-    p75 = A.scalar(RC.group_size_p75(df, PARAMS), "p75_orders")
+    rep = _rep(spark, sf)
+    o = rep.origins
+    s = A.scalar(rep.stats.select("global_mean", "q25", "q75"))
+    p75 = A.scalar(RC.group_size_p75(rep.cells, PARAMS), "p75_orders")
     return o.select("origin", "mean", "orders", s["global_mean"].alias("global_mean"), s["q25"].alias("q25"),
                     s["q75"].alias("q75"), p75.alias("p75_orders"))
 

@@ -93,3 +93,32 @@ def test_sketch_only_mode_is_close(spark, data):
         lo, hi = np.searchsorted(v, r["q0"], side="left"), np.searchsorted(v, r["q0"], side="right")
         err = n / 10_000 + 1
         assert lo - err <= 0.5 * (n - 1) <= hi + err
+
+
+def test_brackets_hold_every_rank(spark, data):
+    """A coarse sketch over groups far larger than its accuracy: values equal numpy's,
+    and only a small part of the values is ranked."""
+    rows, df = data
+    want = expected(rows)
+    for r in exact_percentiles(df, "v", PROBS, by=["g"], accuracy=100).collect():
+        n, q = want[r["g"]]
+        assert r["n"] == n
+        assert [r[f"q{i}"] for i in range(len(PROBS))] == pytest.approx(q.tolist(), rel=1e-12, abs=1e-9)
+    v = np.array([r[1] for r in rows if r[1] is not None and not np.isnan(r[1])])
+    got = exact_percentiles(df, "v", [0.25, 0.5], accuracy=200).first()
+    assert [got["q0"], got["q1"]] == pytest.approx(np.percentile(v, [25, 50]).tolist(), rel=1e-12)
+
+
+def test_planned_without_a_job(spark, data):
+    """Two scans, no job while planning, however many probabilities."""
+    _, df = data
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    q = exact_percentiles(df, "v", PROBS, by=["g"])
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+    assert len(q.collect()) == len(expected(data[0]))
+
+
+def test_infinite_values(spark):
+    df = spark.createDataFrame([(float("-inf"),), (1.0,), (2.0,), (float("inf"),), (float("inf"),)], "v double")
+    got = exact_percentiles(df, "v", [0.0, 0.25, 0.5, 1.0]).first()
+    assert [got[f"q{i}"] for i in range(4)] == [float("-inf"), 1.0, 2.0, float("inf")]
