@@ -232,3 +232,40 @@ ALERT_BAND_OTHER = "yellow"
 
 # --- fixed values: short Spanish month names of the medium date format -----
 MONTH_ABBR = ["ene", "feb", "mar", "abr", "may", "jun", "jul", "ago", "sept", "oct", "nov", "dic"]
+
+# --- fixed values: field names of the nested report documents --------------
+# (name in the document, column of the report table)
+DOC_MONTH = [("mes", "month"), ("mes_nombre", "month_name"), ("gasto_predicho", "predicted"), ("gasto_real", "actual"),
+             ("desviacion", "deviation"), ("desviacion_porcentual", "deviation_pct"),
+             ("intervalo_inferior", "lower"), ("intervalo_superior", "upper")]
+DOC_BREAKDOWN = [("dimension", "dimension"), ("valor", "value"), ("gasto_total", "total"), ("gasto_promedio", "mean"),
+                 ("cantidad_pedidos", "orders"), ("porcentaje_total", "share_pct")]
+DOC_ALERT = [("tipo", "type"), ("severidad", "severity"), ("titulo", "title"), ("descripcion", "description"),
+             ("valor_observado", "observed"), ("valor_esperado", "expected"), ("dimension", "dimension")]
+DOC_MONITORING = [("modo", "mode"), ("anio", "year"), ("gasto_real_acumulado", "actual"), ("gasto_predicho_total", "predicted"),
+                  ("desviacion_total", "deviation"), ("desviacion_porcentual", "deviation_pct"),
+                  ("presupuesto_asignado", "budget"), ("presupuesto_restante", "remaining"),
+                  ("proyeccion_fin_anio", "year_end_projection")]
+DOC_PROJECTION = [("modo", "mode"), ("anio", "year"), ("gasto_proyectado_total", "projected_total"),
+                  ("intervalo_confianza_inferior", "lower"), ("intervalo_confianza_superior", "upper"),
+                  ("presupuesto_asignado", "budget"), ("diferencia_presupuesto", "difference"),
+                  ("diferencia_porcentual", "difference_pct"), ("nivel_confianza", "confidence"),
+                  ("datos_historicos_meses", "history_months")]
+DOC_QUALITY = [("total_registros", "rows"), ("estado_general", "state"), ("puntuacion_calidad", "score"),
+               ("registros_invalidos", "invalid_rows"), ("totalpesos_negativos", "negatives"),
+               ("fechas_invalidas", "invalid_dates"), ("requiere_limpieza", "needs_cleaning")]
+DOC_PROBLEM = [("columna", "column_label"), ("tipo_problema", "kind"), ("cantidad", "count"), ("porcentaje", "pct")]
+DOC_ANOMALIES = [("total_registros_analizados", "rows_analysed"), ("total_anomalias", "anomalies"),
+                 ("porcentaje_anomalias", "anomaly_pct"), ("gasto_promedio_normal", "mean_normal"),
+                 ("gasto_promedio_anomalo", "mean_anomalous"), ("gasto_maximo_anomalo", "max_anomalous")]
+DOC_ANOMALY = [("origen", "origin"), ("categoria", "category"), ("destino", "destination"), ("totalpesos", "amount"),
+               ("desviacion_estandar", "relative_excess"), ("score_anomalia", "score"), ("detalle", "detail")]
+DOC_CONTEXT = [("solicitud", "ctx_request_id"), ("posicion", "ctx_line_no"), ("empresa", "ctx_company"), ("un", "ctx_unit")]
+DOC_RECOMMENDATION = [("titulo", "title"), ("descripcion", "description"), ("prioridad", "priority"), ("categoria", "area"),
+                      ("impacto_estimado", "impact"), ("acciones_sugeridas", "actions")]
+DOC_PROFILE = [("gasto_total", "total"), ("gasto_promedio", "mean"), ("total_pedidos", "orders")]
+DOC_TREND = [("dimension", "dimension"), ("valor", "value"), ("tendencia", "direction"), ("variacion_porcentual", "change_pct"),
+             ("gasto_actual", "recent"), ("gasto_anterior", "prior")]
+DOC_OPPORTUNITY = [("tipo", "kind"), ("dimension", "dimension"), ("valor", "value"), ("descripcion", "description"),
+                   ("gasto_actual", "spend"), ("ahorro_estimado", "saving"), ("porcentaje_ahorro", "saving_pct"),
+                   ("complejidad", "complexity"), ("plazo_implementacion", "lead_time")]

@@ -123,14 +123,19 @@ NUMERIC_FEATURES = [
 
 def enrich(forecast: DataFrame, hist: DataFrame, p: Params) -> DataFrame:
     """JOIN-2..5 + SCA-5 + AGG-13: group statistics, ratios, lag feature."""
-    gs = group_stats(hist, p)
-    f = (forecast.join(category_stats(hist, p, gs), "category", "left")
-         .join(destination_stats(hist, p, gs), "destination", "left")
-         .join(origin_stats(hist, p, gs), "origin", "left")
-         .join(unit_stats(hist, p, gs), "unit", "left"))
+    return enrich_with(forecast, group_stats(hist, p))
+
+
+def enrich_with(forecast: DataFrame, gs: DataFrame) -> DataFrame:
+    """``enrich`` with statistics that are known already (``group_stats``, perhaps stored)."""
+    f = (forecast.join(_stats_of(gs, "category", cat_mean="mean", cat_median="median", cat_std="std"), "category", "left")
+         .join(_stats_of(gs, "destination", dest_mean="mean", dest_median="median"), "destination", "left")
+         .join(_stats_of(gs, "origin", origin_mean="mean"), "origin", "left")
+         .join(_stats_of(gs, "unit", unit_mean="mean"), "unit", "left"))
     f = f.withColumn("cat_ratio", S.spend_ratio("amount", "cat_mean"))
     f = f.withColumn("dest_ratio", S.spend_ratio("amount", "dest_mean"))
-    return f.withColumn("prev_month_spend", A.scalar(global_median(hist, p, gs), "prev_month_spend"))
+    last = gs.where(F.col("dim") == ALL).select(F.col("median").alias("prev_month_spend"))
+    return f.withColumn("prev_month_spend", A.scalar(last, "prev_month_spend"))
 
 
 def column_medians(df: DataFrame, columns: Sequence[str], p: Params) -> DataFrame:
@@ -167,8 +172,13 @@ def impute_medians(df: DataFrame, columns: Sequence[str], p: Params, source: Dat
     need = [c for c in columns if (nulls[c] if nulls is not None else df.schema[c].nullable)]
     if not need:
         return df
-    meds = A.scalar(A.keep_small(column_medians(df if source is None else source, need, p)))     # one row
-    return df.withColumns({c: F.coalesce(F.col(c), meds[f"med_{c}"].cast(df.schema[c].dataType)) for c in need})
+    return impute_with(df, need, A.keep_small(column_medians(df if source is None else source, need, p)))
+
+
+def impute_with(df: DataFrame, columns: Sequence[str], medians: DataFrame) -> DataFrame:
+    """Nulls of the columns replaced by those of the one-row ``medians``."""
+    meds = A.scalar(medians)
+    return df.withColumns({c: F.coalesce(F.col(c), meds[f"med_{c}"].cast(df.schema[c].dataType)) for c in columns})
 
 
 def feature_frame(prepared: DataFrame, target_year: int, p: Params) -> DataFrame:

@@ -24,8 +24,10 @@ from ..operators import aggregates as A
 from ..operators import features as FE
 from ..operators import forecast as FC
 from ..operators import rules as R
+from ..operators.ranks import placed
 from ..params import Params
 from ..schema import InsufficientData
+from ..session import materialize
 from . import monitoring as M
 
 
@@ -76,6 +78,30 @@ def dimension_forecast(latest: DataFrame, dimensions: Sequence[str], top: int =
     return A.dimension_breakdown(latest, dimensions, top)
 
 
+def scale_to_total(parts: DataFrame, total: DataFrame) -> DataFrame:
+    """ML-9 scaled: the one-row ``projected_total`` dealt to the values of each
+    dimension in proportion to their ``total`` - (dimension, value, total, scaled).
+
+    In cents, by largest remainders: every value gets the whole cents of its share,
+    and the cents left over go to the largest remainders (ties: by value), so the
+    parts of a dimension add up to the total exactly.  Values without positive spend
+    get nothing; a dimension without any stays unscaled (null).  Remainders are
+    ranked across partitions (``ranks.placed``), so a dimension may have any number
+    of values.
+    """
+    cents = lambda c: F.round(c * 100).cast("decimal(38,0)")        # noqa: E731
+    whole = F.greatest(cents(A.scalar(total, "projected_total")), F.lit(0).cast("decimal(38,0)"))
+    g = parts.select("dimension", "value", "total", F.greatest(cents(F.col("total")), F.lit(0).cast("decimal(38,0)")).alias("part"))
+    sums = g.groupBy("dimension").agg(F.sum("part").cast("decimal(38,0)").alias("parts"))
+    g = g.join(F.broadcast(sums), "dimension").where(F.col("parts") > 0).withColumn("whole", whole)   # a row a dimension
+    g = g.withColumns({"share": F.expr("whole * part div parts"), "rest": F.expr("cast(whole * part % parts as decimal(38,0))")})
+    given = materialize(g, "scaled-shares")
+    left = given.groupBy("dimension").agg((F.max("whole") - F.sum("share")).cast("bigint").alias("over"))
+    ranked = placed(given, "dimension", [F.col("rest").desc(), F.col("value")], "scaled-ranks").join(F.broadcast(left), "dimension")
+    return ranked.select("dimension", "value", "total",
+                         ((F.col("share") + F.when(F.col("pos") < F.col("over"), 1).otherwise(0)) / 100.0).alias("scaled"))
+
+
 def headline(prepared: DataFrame, total: DataFrame, p: Params, target_year: int,
              budget: float | None = None, intervals: bool = True) -> DataFrame:
     """One row: projected total, +-10 % band, budget difference, confidence,
@@ -106,7 +132,7 @@ def alerts(head: DataFrame, p: Params) -> DataFrame:
 
 
 class ProjectionReport:
-    """REP-2 tables, each planned on first access; features are built once."""
+    """REP-2 tables, each planned on first access."""
 
     def __init__(self, purchases: DataFrame, target_year: int, p: Params, budget: float | None = None,
                  dimensions: Sequence[str] = (), intervals: bool = True, method: str = "naive", model=None):
@@ -126,16 +152,12 @@ class ProjectionReport:
         last = A.scalar(A.totals(self.cube).agg(F.max("year").alias("last")), "last")
         return self.cube.where(F.col("year") == last)
 
-    @functools.cached_property
-    def features(self) -> DataFrame:
-        return FE.feature_frame(self.prepared, self.year, self.p)
-
     @functools.cached_property
     def total(self) -> DataFrame:
         if self.method == "naive":
             return A.keep_small(naive_total(A.totals(self.slice), self.p))
         from ..operators import model as ML
-        return A.keep_small(ML.predicted_total(ML.score(self.model, ML.encode(self.model, self.prepared, self.features))))
+        return A.keep_small(ML.predicted_total(ML.score(self.model, ML.features(self.model, self.prepared, self.year))))
 
     @functools.cached_property
     def headline(self) -> DataFrame:
@@ -149,6 +171,12 @@ class ProjectionReport:
     def breakdown(self) -> DataFrame:
         return dimension_forecast(self.slice, self.dimensions)
 
+    @functools.cached_property
+    def scaled_breakdown(self) -> DataFrame:
+        """The projected total dealt to all values of the dimensions."""
+        parts = (self.slice.where(F.col("dimension") != A.ALL).groupBy("dimension", "value").agg(F.sum("amount").alias("total")))
+        return scale_to_total(parts, self.total)
+
     @functools.cached_property
     def alerts(self) -> DataFrame:
         return alerts(self.headline, self.p)

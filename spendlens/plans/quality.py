@@ -21,24 +21,37 @@ from ..functions import text as X
 from ..operators import aggregates as A
 from ..operators import rules as R
 from ..params import Params
-from ..schema import PURCHASES_COLUMNS, InsufficientData
+from ..schema import PURCHASES_COLUMNS, PURCHASES_RAW, InsufficientData, bad_values, coerced
 
 LABEL = dict(zip(fixed.REQUIRED_COLUMNS, fixed.REQUIRED_LABELS))
 
 
+#: Types that the columns of the profile should have.
+TYPES = {f.name: f.dataType for f in PURCHASES_RAW.fields}
+
+
 def profile(df: DataFrame, p: Params) -> DataFrame:
-    """AGG-20..24 + SCA-13/14 in one aggregate: one row."""
+    """AGG-20..24 + SCA-13/14 + FIL-12 in one aggregate: one row.
+
+    Columns may come as text: dates and amounts are read with ``try_cast``, and
+    ``bad_<column>`` counts the values present that cannot be (a bad date also counts
+    among the invalid dates, which are those that are null once read)."""
+    have = {f.name: f.dataType for f in df.schema.fields}
+    read = {c: coerced(F.col(c), have[c], TYPES[c]) for c in ("amount", "order_date", "request_date")}
+    bad = bad_values(df, PURCHASES_RAW)
     unk = F.lit(p.unknown_label)
-    amount = F.col("amount")
+    amount = read["amount"]
     aggs = [F.count(F.lit(1)).alias("rows")]
     aggs += [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in fixed.REQUIRED_COLUMNS]
+    aggs += [(F.count_if(bad[c]) if c in bad else F.lit(0).cast("bigint")).alias(f"bad_{c}") for c in CAST_COLUMNS]
     aggs += [
         F.count_if(amount < 0).alias("negatives"),
-        (F.count_if(F.col("order_date").isNull()) + F.count_if(F.col("request_date").isNull()))
+        (F.count_if(read["order_date"].isNull()) + F.count_if(read["request_date"].isNull()))
         .alias("invalid_dates"),
         F.count_if((amount <= 0) | (F.col("category") == unk) | (F.col("destination") == unk))
         .alias("invalid_rows"),
         F.count_if(F.col("category") == unk).alias("unknown"),
+        F.count_if(amount.isNotNull() & A.money(amount).isNull()).alias("unfit_amounts"),
     ]
     prof = df.agg(*aggs)
     nulls = sum((F.col(f"null_{c}") for c in fixed.REQUIRED_COLUMNS), F.lit(0))
@@ -48,6 +61,20 @@ def profile(df: DataFrame, p: Params) -> DataFrame:
     return prof.withColumn("needs_cleaning", S.needs_cleaning("state"))
 
 
+#: Columns that are not text in the schema, so that a value can fail to be one.
+CAST_COLUMNS = ("order_date", "request_date", "cost_center", "amount")
+
+
+def castability(prof: DataFrame) -> DataFrame:
+    """FIL-12 in long form: (column_name, bad values, bad %) of the columns that are not
+    text, and the amounts that no decimal holds."""
+    items = [F.struct(F.lit(c).alias("column_name"), F.col(f"bad_{c}").alias("bad"),
+                      pct_of(F.col(f"bad_{c}"), F.col("rows")).alias("bad_pct")) for c in CAST_COLUMNS]
+    items.append(F.struct(F.lit("amount (infinite or too large)").alias("column_name"), F.col("unfit_amounts").alias("bad"),
+                          pct_of(F.col("unfit_amounts"), F.col("rows")).alias("bad_pct")))
+    return prof.select(F.inline(F.array(*items)))
+
+
 def pct_of(n, rows):
     return F.when(rows > 0, n / rows * 100.0).otherwise(F.lit(0.0))
 
@@ -152,6 +179,10 @@ class QualityReport:
     def profile(self) -> DataFrame:
         return A.keep_small(profile(self.df, self.p))                        # one row
 
+    @functools.cached_property
+    def castability(self) -> DataFrame:
+        return castability(self.profile)
+
     @functools.cached_property
     def null_counts(self) -> DataFrame:
         return null_counts(self.profile)

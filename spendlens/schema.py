@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,19 +66,36 @@ class InsufficientData(ValueError):
     """A report was asked for data that the input does not hold."""
 
 
-def conform(df: DataFrame, schema: T.StructType, name: str) -> DataFrame:
-    """Select the schema's columns with its types; raise listing any missing.
+def coerced(c: Column, have: T.DataType, want: T.DataType) -> Column:
+    """A value as the type ``want``; null where it cannot be read as one (SCA-1: a date
+    that is none, a number with letters), and for NaN, which is a missing value: as
+    null it leaves sums, means and ranks alone."""
+    out = c if have == want else c.try_cast(want)
+    return F.when(~F.isnan(out), out) if isinstance(want, (T.DoubleType, T.FloatType)) else out
 
-    This is the schema contract of the reference (required-column check),
-    enforced before any job runs.
-    """
-    present = set(df.columns)
-    missing = [f.name for f in schema.fields if f.name not in present]
+
+def require_columns(df: DataFrame, schema: T.StructType, name: str) -> None:
+    """FIL-12, SET-2: raise listing the missing columns, before any job runs."""
+    missing = sorted({f.name for f in schema.fields} - set(df.columns))
     if missing:
-        raise SchemaError(f"{name}: missing columns {sorted(missing)}")
-    def column(f: T.StructField):
-        c = df[f.name].cast(f.dataType)
-        # NaN is a missing value: as null it leaves sums, means and ranks alone
-        return F.when(~F.isnan(c), c) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c
+        raise SchemaError(f"{name}: missing columns {missing}")
+
+
+def conform(df: DataFrame, schema: T.StructType, name: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Select the schema's columns with its types, and those of ``keep`` as they are.
+
+    Values that cannot be cast become null (``bad_values`` counts them); missing
+    columns raise.
+    """
+    require_columns(df, schema, name)
+    have = {f.name: f.dataType for f in df.schema.fields}
+    return df.select(*[coerced(F.col(f.name), have[f.name], f.dataType).alias(f.name) for f in schema.fields],
+                     *[c for c in keep if c in have])
+
 
-    return df.select(*[column(f).alias(f.name) for f in schema.fields])
+def bad_values(df: DataFrame, schema: T.StructType) -> dict[str, Column]:
+    """For every column that has to be cast: true where a value is present and
+    cannot be (FIL-12).  Columns of the right type have none."""
+    have = {f.name: f.dataType for f in df.schema.fields}
+    return {f.name: F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()
+            for f in schema.fields if f.name in have and have[f.name] != f.dataType}

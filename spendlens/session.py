@@ -68,4 +68,21 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/materialized/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.materialized_at = path
+    return out
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder through Spark's own file system; true if it was there."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(*frames) -> None:
+    """Delete the tables that ``materialize`` wrote for these frames (others are left
+    alone); whatever else reads them fails from then on."""
+    for df in frames:
+        if path := getattr(df, "materialized_at", None):
+            delete_path(df.sparkSession, path)

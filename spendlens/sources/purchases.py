@@ -7,9 +7,8 @@ descriptive keys (null keys form their own group, SQL semantics).
 
 Scale notes: filters are applied on the fact side *before* the join, so
 Catalyst pushes them into the Parquet scan (and prunes year partitions of a
-staged table).  The catalogue is joined without a hint: AQE broadcasts it
-when its measured size is under the broadcast threshold and falls back to a
-sort-merge join otherwise.  The grouping is one shuffle on the 22 keys with
+staged table).  The catalogue is broadcast where its measured rows are within a
+bound and joined by salted keys otherwise.  The grouping is one shuffle on the 22 keys with
 map-side partial sums.
 """
 
@@ -24,6 +23,7 @@ from ..functions import scalars as S
 from ..params import Params
 from ..schema import (CATALOGUE, FACT_KEYS, PURCHASES_COLUMNS, PURCHASES_RAW,
                       InsufficientData, SchemaError, conform)
+from ..session import materialize
 
 
 def filter_date_between(df: DataFrame, start: Any = None, end: Any = None,
@@ -61,29 +61,43 @@ def filter_extra_equals(df: DataFrame, extra: Mapping[str, Any] | None = None) -
     return df
 
 
+#: Catalogue rows up to which every task gets the whole of it (a row is some 300
+#: bytes in memory, so at most about 60 MB).
+BROADCAST_ROWS = 200_000
+
+
 def join_catalogue(fact: DataFrame, catalogue: DataFrame, dedupe_catalogue: bool = False,
-                   normalise_keys: bool = False) -> DataFrame:
+                   normalise_keys: bool = False, broadcast_rows: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:
     """JOIN-1: LEFT equi-join on cost_center = cost_center_id AND company = unit.
 
     Duplicate catalogue rows fan out (as in the reference) unless
     ``dedupe_catalogue`` keeps one row per key.  ``normalise_keys`` compares
     the text key like a case-insensitive collation that ignores trailing
-    spaces (upper + rtrim on both sides).  No broadcast hint: the
-    catalogue's size is not bounded by contract, so AQE decides at runtime
-    from its measured size.
+    spaces (upper + rtrim on both sides).
+
+    The catalogue is written once and its rows counted: up to ``broadcast_rows`` it
+    is broadcast and the purchases are not dealt at all.  A larger one is joined by
+    shuffle, each key in ``salts`` parts, so a hot key is spread over as many tasks;
+    purchases with a null key, which match nothing, get parts of their own.
     """
     if dedupe_catalogue:
         catalogue = catalogue.dropDuplicates(["cost_center_id", "unit"])
-    d = catalogue.select(
+    d = materialize(catalogue.select(
         F.col("cost_center_id").alias("_cc"), F.col("unit").alias("_un"),
-        "unit", "destination", "level6", "level7", "level8", "nature")
+        "unit", "destination", "level6", "level7", "level8", "nature"), "catalogue")
+    un, company = F.col("_un"), F.col("company")
     if normalise_keys:
-        d = d.withColumn("_un", F.upper(F.rtrim("_un")))
-        fkey = F.upper(F.rtrim(fact["company"]))
-    else:
-        fkey = fact["company"]
-    j = fact.join(d, (fact["cost_center"] == d["_cc"]) & (fkey == d["_un"]), "left")
-    return j.drop("_cc", "_un")
+        un, company = F.upper(F.rtrim(un)), F.upper(F.rtrim(company))
+    d = d.withColumn("_un", un).where(F.col("_cc").isNotNull() & F.col("_un").isNotNull())
+    f = fact.withColumn("_fu", company)
+    if d.count() <= broadcast_rows:
+        j = f.join(F.broadcast(d), (F.col("cost_center") == F.col("_cc")) & (F.col("_fu") == F.col("_un")), "left")
+        return j.drop("_cc", "_un", "_fu")
+    part = F.pmod(F.xxhash64(*[F.col(c) for c in ("request_id", "line_no", "order_date", "amount") if c in fact.columns]), F.lit(salts))
+    f = f.withColumn("_part", F.when(F.col("cost_center").isNull() | F.col("_fu").isNull(), -1 - part).otherwise(part))
+    d = d.withColumn("_dp", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("_dp", F.col("_dp").cast("bigint"))
+    j = f.join(d, (F.col("cost_center") == F.col("_cc")) & (F.col("_fu") == F.col("_un")) & (F.col("_part") == F.col("_dp")), "left")
+    return j.drop("_cc", "_un", "_fu", "_part", "_dp")
 
 
 def base_purchases(purchases_raw: DataFrame, catalogue: DataFrame,
@@ -91,7 +105,13 @@ def base_purchases(purchases_raw: DataFrame, catalogue: DataFrame,
                    origin: str | None = None, company: str | None = None,
                    extra: Mapping[str, Any] | None = None, dedupe_catalogue: bool = False,
                    normalise_keys: bool = False) -> DataFrame:
-    """SRC-1: filtered fact LEFT JOIN catalogue, SUM(amount) over 22 keys."""
+    """SRC-1: filtered fact LEFT JOIN catalogue, SUM(amount) over 22 keys.
+
+    Columns may come as text; where the input has a partition column
+    ``order_year``, a date range also prunes its folders."""
+    if "order_year" in purchases_raw.columns and start is not None and end is not None:
+        lo, hi = (int(str(d)[:4]) for d in (start, end))
+        purchases_raw = purchases_raw.where(F.col("order_year").between(lo, hi))
     fact = conform(purchases_raw, PURCHASES_RAW, "purchases_raw")
     cat = conform(catalogue, CATALOGUE, "catalogue")
     fact = filter_date_between(fact, start, end)

@@ -1,49 +1,55 @@
-"""SRC-7: writing report tables, and a nested JSON document when wanted.
+"""SRC-7: writing reports.
 
-Reports are sets of long tables; each is written as its own Parquet (or
-JSON) table under one folder.  ``report_document`` assembles the reference's
-nested response shape with ``to_json(struct(...))`` from the bounded tables
-(one headline row, 12 months, top-k breakdown rows, a few alerts).
+A report is a set of long tables.  ``publish`` writes them, and on request the
+nested document (``plans.documents``), as one version of a folder: readers see all
+tables of one run of a report, never a mixture (``sources.versions``).
 """
 
 from __future__ import annotations
 
 from typing import Iterable
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-REPORT_TABLES = ("headline", "monthly", "breakdown", "alerts", "profile", "null_counts", "problems",
+from . import versions as V
+
+REPORT_TABLES = ("headline", "monthly", "breakdown", "alerts", "profile", "null_counts", "castability", "problems",
                  "advice", "examples", "summary", "stats", "top", "by_dimension", "recommendations",
                  "origins", "units", "trends", "opportunities", "checks")
 
 
+def report_tables(report, tables: Iterable[str] | None = None) -> dict[str, DataFrame]:
+    """The tables that a report has, by name."""
+    found = {name: getattr(report, name) for name in tables or REPORT_TABLES if hasattr(type(report), name)}
+    return {name: df for name, df in found.items() if isinstance(df, DataFrame)}
+
+
+def publish(spark: SparkSession, report, root: str, tables: Iterable[str] | None = None, document: DataFrame | None = None,
+            keep: int = 2) -> list[str]:
+    """Write the tables of a report (and its ``document``) under ``root`` as the new
+    current version; returns their names.  Older versions beyond ``keep`` go."""
+    version, path = V.begin(root)
+    all_ = report_tables(report, tables) | ({} if document is None else {"document": document})
+    for name, df in all_.items():
+        df.write.parquet(f"{path}/{name}")
+    V.commit(spark, root, version, {"tables": sorted(all_), "report": type(report).__name__})
+    V.prune(spark, root, keep)
+    return sorted(all_)
+
+
+def read_published(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """A table of the current version."""
+    return V.table(spark, root, table)
+
+
 def write_report(report, path: str, tables: Iterable[str] | None = None, fmt: str = "parquet",
                  mode: str = "overwrite") -> list[str]:
-    """Write every present table of a report object to ``path/<table>``."""
-    written = []
-    for name in tables or REPORT_TABLES:
-        if not hasattr(type(report), name) and not hasattr(report, name):
-            continue
-        df = getattr(report, name, None)
-        if not isinstance(df, DataFrame):
-            continue
+    """Write every table of a report to ``path/<table>``, in any format of Spark's."""
+    written = report_tables(report, tables)
+    for name, df in written.items():
         df.write.mode(mode).format(fmt).save(f"{path.rstrip('/')}/{name}")
-        written.append(name)
-    return written
+    return list(written)
 
 
 def read_report_table(spark, path: str, table: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.format(fmt).load(f"{path.rstrip('/')}/{table}")
-
-
-def report_document(headline: DataFrame, lists: dict[str, DataFrame], order: dict[str, str]) -> DataFrame:
-    """One row with a JSON document: headline fields plus one array per list
-    table (ordered by ``order[name]``).  Every list table must be bounded
-    (months, top-k rows, alerts) -- it is gathered into one row."""
-    out = headline
-    for name, df in lists.items():
-        arr = df.agg(F.sort_array(F.collect_list(F.struct(F.col(order[name]).alias("_k"), F.struct(*df.columns).alias("v"))))
-                     .alias("_a")).select(F.transform("_a", lambda x: x["v"]).alias(name))
-        out = out.withColumn(name, arr.select(name).scalar())
-    return out.select(F.to_json(F.struct(*out.columns)).alias("document"))

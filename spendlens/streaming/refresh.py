@@ -4,9 +4,11 @@ The reference refreshes its dashboard by polling the full query every five
 minutes.  The Spark form reads newly arrived purchase files as a stream and
 keeps the monthly spend per (year, month) as streaming state: one row per
 calendar month, so the state stays small whatever the data volume.  Each
-micro-batch rewrites the complete monthly table (a Parquet table in a shared
-folder) from ``foreachBatch``; the report jobs read that table.  The stream
-checkpoint makes the refresh restartable after a failure.
+micro-batch writes the complete monthly table as a new version of a shared folder
+and commits it (``sources.versions``), so readers see the table before the batch or
+after it, never a part; the report jobs read ``current_months``.  The stream
+checkpoint makes the refresh restartable after a failure: a batch that is run again
+commits the same table once more.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources import versions as V
+
 
 def monthly_spend(stream: DataFrame) -> DataFrame:
     """Spend and order count per (year, month) over rows with amount > 0 and
@@ -25,6 +29,11 @@ def monthly_spend(stream: DataFrame) -> DataFrame:
         F.sum("amount").alias("spend"), F.count(F.lit(1)).alias("orders"))
 
 
+def current_months(spark: SparkSession, table_path: str) -> DataFrame:
+    """The monthly table of the last committed batch."""
+    return V.table(spark, table_path, "months")
+
+
 def start_refresh(spark: SparkSession, source: str, schema: T.StructType, table_path: str,
                   checkpoint: str, trigger: dict | None = None, query_name: str | None = None,
                   state_partitions: int = 8) -> StreamingQuery:
@@ -40,7 +49,10 @@ def start_refresh(spark: SparkSession, source: str, schema: T.StructType, table_
     agg = monthly_spend(stream)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(table_path)
+        version, path = V.begin(table_path)
+        batch.write.parquet(f"{path}/months")
+        V.commit(batch.sparkSession, table_path, version, {"batch": batch_id})
+        V.prune(batch.sparkSession, table_path, keep=2)
 
     w = (agg.writeStream.outputMode("complete").foreachBatch(write_batch)
          .option("checkpointLocation", checkpoint))

@@ -61,6 +61,12 @@ aal AS (
   FROM tos WHERE origin_anomalies > anomalies * 0.5)"""
 
 
+#: The top list of the report document beside its counts.
+DOC_SQL = """
+SELECT st.anomalies AS anomalias, (SELECT value FROM cbd WHERE dimension = 'ORIGEN' AND rank = 1) AS primer_origen,
+       ta.amount AS importe, strftime(ta.order_date, '%Y-%m-%d') AS fecha FROM ta, st"""
+
+
 def _year(spark, sf):
     return P.latest_year_fallback(base(spark, sf), PARAMS.as_of.year)
 

@@ -18,8 +18,10 @@ from .core import ALL_DIMS, BUDGET, NEXT_YEAR, PARAMS, PROJ_BUDGET, YEAR, base,
 
 Z = FC.z_value(PARAMS.confidence)
 
+# the oracles state patterns and column lists by themselves
 _QTY = " , ".join(
-    f"TRY_CAST(NULLIF(regexp_extract(detail, '{pat}', 1, 'i'), '') AS BIGINT)" for pat in fixed.QUANTITY_PATTERNS)
+    f"TRY_CAST(NULLIF(regexp_extract(detail, '{pat}', 1, 'i'), '') AS BIGINT)"
+    for pat in (r"Cant[.:]?\s*(\d+)", r"Cantidad[.:]?\s*(\d+)", r"PZA[.:]?\s*(\d+)", r"UN[.:]?\s*(\d+)"))
 
 
 def _prep_sql(y0: int, y1: int) -> str:
@@ -37,11 +39,13 @@ pp AS (SELECT *, CAST(year(order_date) AS INTEGER) AS year, CAST(month(order_dat
          AND amount > 0)"""
 
 
-_NUM = FE.NUMERIC_FEATURES
+_PLAIN = ["cost_center", "year", "month", "quarter", "weekday", "day", "iso_week", "is_month_end", "is_month_start",
+          "is_quarter_end", "quantity"]
+_NUM = ["amount", *_PLAIN, "cat_mean", "cat_median", "cat_std", "dest_mean", "dest_median", "origin_mean", "unit_mean",
+        "cat_ratio", "dest_ratio", "prev_month_spend"]
+_TEXT = ["category", "class", "family", "destination", "origin", "unit"]
 _MED = ", ".join(f"median(CAST({c} AS DOUBLE)) AS med_{c}" for c in _NUM)
-_IMP = ", ".join(f"coalesce(fe.{c}, med_{c}) AS {c}" if c not in
-                 ("cost_center", "year", "month", "quarter", "weekday", "day", "iso_week", "is_month_end",
-                  "is_month_start", "is_quarter_end", "quantity") else f"fe.{c} AS {c}" for c in _NUM)
+_IMP = ", ".join(f"fe.{c} AS {c}" if c in _PLAIN else f"coalesce(fe.{c}, med_{c}) AS {c}" for c in _NUM)
 
 FEAT = _prep_sql(1997, 2002) + f""",
 mx AS (SELECT max(year) AS my FROM pp),
@@ -61,12 +65,12 @@ fe AS (SELECT fs.*, cs.cat_mean, cs.cat_median, cs.cat_std, dst.dest_mean, dst.d
 med AS (SELECT {_MED} FROM fe),
 imp AS (SELECT fe.request_line, fe.category, fe.class, fe.family, fe.destination, fe.origin, fe.unit, {_IMP}
         FROM fe, med),
-feat AS (SELECT request_line, {", ".join(fixed.FEATURES)}, amount FROM imp)"""
+feat AS (SELECT request_line, {", ".join(c for c in [*_TEXT, *_NUM] if c != "day")} FROM imp)"""
 
 _ENC = ",\n".join(
     f"enc_{c} AS (SELECT {c} AS label, CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS INTEGER) AS idx "
     f"FROM (SELECT DISTINCT {c} FROM pp WHERE {c} IS NOT NULL)),\n"
-    f"k_{c} AS (SELECT CAST(count(*) AS INTEGER) AS k FROM enc_{c})" for c in fixed.ENCODED_COLUMNS)
+    f"k_{c} AS (SELECT CAST(count(*) AS INTEGER) AS k FROM enc_{c})" for c in _TEXT)
 ENC = FEAT + ",\n" + _ENC
 
 # seasonal model over the prepared rows of the window, target year T
@@ -294,8 +298,8 @@ def feature_frame(spark, sf):
 
 
 @register("encode_categories", "SELECT feat.request_line, " + ", ".join(
-    f"coalesce(enc_{c}.idx, (SELECT k FROM k_{c})) AS {c}" for c in fixed.ENCODED_COLUMNS) +
-    " FROM feat " + " ".join(f"LEFT JOIN enc_{c} ON feat.{c} = enc_{c}.label" for c in fixed.ENCODED_COLUMNS),
+    f"coalesce(enc_{c}.idx, (SELECT k FROM k_{c})) AS {c}" for c in _TEXT) +
+    " FROM feat " + " ".join(f"LEFT JOIN enc_{c} ON feat.{c} = enc_{c}.label" for c in _TEXT),
     ctes=ENC)
 def encode_categories(spark, sf):
     """ML-1: label indices learnt on the history (sorted labels, null/unseen -> k)."""
@@ -389,6 +393,25 @@ def dimension_forecast(spark, sf):
     return PR.dimension_forecast(FE.latest_year_slice(_prep(spark, sf), NEXT_YEAR), ALL_DIMS)
 
 
+@register("dimension_forecast_scaled", """
+SELECT dimension, value, total, (share + CASE WHEN row_number() OVER (PARTITION BY dimension ORDER BY rest DESC, value) <= over
+       THEN 1 ELSE 0 END)::DOUBLE / 100 AS scaled
+FROM (SELECT *, whole - sum(share) OVER (PARTITION BY dimension) AS over FROM (
+  SELECT dimension, value, total, whole, (whole * part) // every AS share, (whole * part) % every AS rest FROM (
+    SELECT *, sum(part) OVER (PARTITION BY dimension)::HUGEINT AS every FROM (
+      SELECT dimension, value, total, greatest(round(total * 100), 0)::HUGEINT AS part,
+             (SELECT round(projected_total * 100)::HUGEINT FROM tot) AS whole FROM sg))))""", ctes=FEAT + """,
+tot AS (SELECT sum(amount) * 1.05 AS projected_total FROM feat),
+u AS (UNPIVOT (SELECT origin AS ORIGEN, unit AS UN, category AS CATEGORIA, class AS CLASE, family AS FAMILIA,
+                      destination AS DESTINO, company AS EMPRESA, amount FROM fs)
+      ON ORIGEN, UN, CATEGORIA, CLASE, FAMILIA, DESTINO, EMPRESA INTO NAME dimension VALUE value),
+sg AS (SELECT dimension, value, SUM(amount) AS total FROM u WHERE value IS NOT NULL GROUP BY dimension, value)""",
+          rounding=r("total, scaled"))
+def dimension_forecast_scaled(spark, sf):
+    """ML-9 (scale_to_total): the projected total dealt to all values of every dimension."""
+    return _report(spark, sf).scaled_breakdown
+
+
 _HEAD_R = r("budget") | r("projected_total, lower, upper, difference", 4) | r("difference_pct, confidence", 6)
 
 
