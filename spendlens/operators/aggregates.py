@@ -53,6 +53,11 @@ def measures(df: DataFrame) -> DataFrame:
         "priced": F.col("money").isNotNull().cast("bigint"), "orders": F.lit(1).cast("bigint"), "largest": F.col("amount")})
 
 
+def counted(df: DataFrame) -> DataFrame:
+    """Rows as cells of one order each, for functions that only count."""
+    return df if "orders" in df.columns else df.withColumn("orders", F.lit(1).cast("bigint"))
+
+
 def cells(df: DataFrame, *keys) -> DataFrame:
     """The cells of the given keys: mergeable measures, one partial aggregate."""
     return measures(df).groupBy(*keys).agg(
@@ -61,7 +66,8 @@ def cells(df: DataFrame, *keys) -> DataFrame:
 
 
 def mean_of(where: Column | None = None) -> Column:
-    """Mean amount of cells, from exact sums; null where nothing was summed."""
+    """Mean amount of cells, from exact sums; null where nothing was summed, or where
+    the sum has more than 28 digits."""
     money_, priced = F.col("money"), F.col("priced")
     if where is not None:
         money_, priced = F.when(where, money_), F.when(where, priced)

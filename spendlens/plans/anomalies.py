@@ -94,7 +94,7 @@ def stats(flagged: DataFrame) -> DataFrame:
 def counts_by_dimension(flagged: DataFrame, labels=("ORIGEN", "CATEGORIA"), top: int = 10) -> DataFrame:
     """AGG-26: flagged rows per value of each dimension, top 10, null dropped."""
     cols = [F.col(fixed.DIMENSIONS[l]).cast("string").alias(l) for l in labels]
-    u = (A.measures(flagged).where("is_anomaly").select("orders", *cols)
+    u = (A.counted(flagged).where("is_anomaly").select("orders", *cols)
          .unpivot(ids=["orders"], values=list(labels), variableColumnName="dimension", valueColumnName="value")
          .where(F.col("value").isNotNull()))
     g = u.groupBy("dimension", "value").agg(A.orders_of().alias("anomalies"))
@@ -104,7 +104,7 @@ def counts_by_dimension(flagged: DataFrame, labels=("ORIGEN", "CATEGORIA"), top:
 
 def top_origin_share(flagged: DataFrame) -> DataFrame:
     """AGG-27: origin with the most flagged rows and its share of them."""
-    flagged = A.measures(flagged)
+    flagged = A.counted(flagged)
     g = flagged.where(F.col("is_anomaly") & F.col("origin").isNotNull()).groupBy("origin").agg(A.orders_of().alias("n"))
     top = g.orderBy(F.col("n").desc(), F.col("origin").asc()).limit(1)
     tot = A.scalar(flagged.agg(A.orders_of(F.col("is_anomaly")).alias("anomalies")), "anomalies")

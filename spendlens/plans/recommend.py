@@ -45,10 +45,10 @@ def amount_quartiles(df: DataFrame, p: Params) -> DataFrame:
 
 def global_stats(df: DataFrame, p: Params, cells: DataFrame | None = None) -> DataFrame:
     """AGG-15 + global mean/total/count: one row."""
-    g = A.measures(df if cells is None else cells).agg(
-        A.mean_of().alias("global_mean"), F.sum("amount").alias("total_spend"), A.orders_of().alias("orders"))
-    q = A.scalar(amount_quartiles(df, p))
-    return g.withColumn("q25", q["q25"]).withColumn("q75", q["q75"])
+    g = A.scalar(A.measures(df if cells is None else cells).agg(
+        A.mean_of().alias("global_mean"), F.sum("amount").alias("total_spend"), A.orders_of().alias("orders")))
+    return amount_quartiles(df, p).select(g["global_mean"].alias("global_mean"), g["total_spend"].alias("total_spend"),
+                                          g["orders"].alias("orders"), "q25", "q75")
 
 
 def _profile(df: DataFrame, key: str) -> DataFrame:

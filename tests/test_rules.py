@@ -111,3 +111,58 @@ def test_trends_skip_values_without_prior_spend(spark):
     df = _purchases(spark, 2 * P.recent_months, 2.0).unionByName(
         _purchases(spark, 2 * P.recent_months, 1.0, "new").where(f"month(order_date) > {P.recent_months}"))
     assert [r["value"] for r in RC.dimension_trends(df, ["ORIGEN"], P).collect()] == ["a"]
+
+
+# ---------------------------------------------------------------- RUL-6
+def _recommended(spark, origins=(), units=(), categories=(), gmean=100.0):
+    """Rule numbers and titles for the given profiles: origins (name, total, mean, orders,
+    class), units (name, total, mean, orders), categories (name, total)."""
+    o = spark.createDataFrame(list(origins), "origin string, total double, mean double, orders long, spend_class string")
+    u = spark.createDataFrame(list(units), "unit string, total double, mean double, orders long")
+    stats = spark.createDataFrame([(gmean, 1.0, 2.0)], "global_mean double, q25 double, q75 double")
+    rows = [(x[0], None, None, x[1], int(x[3])) for x in origins] + [(None, None, c, t, 1) for c, t in categories]
+    cells = spark.createDataFrame([(a, b, c, t, None, n, n, t) for a, b, c, t, n in rows],
+                                  "origin string, unit string, category string, amount double, money decimal(38,10), "
+                                  "priced long, orders long, largest double")
+    return [(r["rule_no"], r["title"]) for r in RC.recommendations(cells, P, stats, o, u).orderBy("rec_no").collect()]
+
+
+def test_rule_1_high_origin(spark):
+    got = _recommended(spark, origins=[("a", 10.0, 5.0, 4, "alto"), ("b", 20.0, 5.0, 4, "normal"), ("c", 1.0, 5.0, 4, "bajo")])
+    assert [t for n, t in got if n == 1] == ["Optimizar gastos en a"]
+    assert not [t for n, t in _recommended(spark, origins=[("a", 10.0, 5.0, 4, "normal")]) if n == 1]
+
+
+def test_rule_2_many_orders(spark):
+    got = _recommended(spark, origins=[(x, 1.0, 1.0, n, "normal") for x, n in (("a", 1), ("b", 2), ("c", 3), ("d", 10))])
+    assert [t for n, t in got if n == 2] == ["Consolidar pedidos en d"]               # p75 of 1, 2, 3, 10 is 4.75
+    same = _recommended(spark, origins=[(x, 1.0, 1.0, 5, "normal") for x in "abcd"])
+    assert not [t for n, t in same if n == 2]
+
+
+@pytest.mark.parametrize("mean,fires", [(100.0 * P.unit_mean_factor, False), (100.0 * P.unit_mean_factor + 0.01, True)])
+def test_rule_3_expensive_units(spark, mean, fires):
+    got = _recommended(spark, units=[("u", 10.0, mean, P.few_orders)])
+    assert [t for n, t in got if n == 3] == (["Revisar procesos de aprobación en u"] if fires else [])
+
+
+def test_rule_3_looks_at_three_units(spark):
+    got = _recommended(spark, units=[(f"u{i}", 1.0, 1000.0 - i, P.few_orders) for i in range(5)])
+    assert [t[-2:] for n, t in got if n == 3] == ["u0", "u1", "u2"]
+
+
+def test_rule_4_three_categories(spark):
+    got = _recommended(spark, categories=[("x", 5.0), ("y", 9.0), ("z", 1.0), ("w", 7.0)])
+    assert [t for n, t in got if n == 4] == [f"Estrategia de compra para {c}" for c in "ywx"]
+    assert not _recommended(spark)
+
+
+@pytest.mark.parametrize("orders,fires", [(P.few_orders, False), (P.few_orders - 1, True)])
+def test_rule_5_few_orders(spark, orders, fires):
+    got = _recommended(spark, units=[("u", 10.0, 1.0, orders)])
+    assert [t for n, t in got if n == 5] == (["Consolidar compras de u con otras unidades"] if fires else [])
+
+
+def test_first_ten_in_rule_order(spark):
+    got = _recommended(spark, origins=[(f"o{i:02}", float(i), 5.0, 4, "alto") for i in range(12)], categories=[("x", 1.0)])
+    assert [n for n, _ in got] == [1] * P.max_recommendations and got[0][1].endswith("o11")
