@@ -1,8 +1,8 @@
 """Phrase collocations, counted in HAT-tries.
 
-Tasks turn texts into word ids and count all runs of one to ``LONGEST`` words of a
-piece in a HAT-trie: a shallow trie over word ids whose leaves are hash containers.
-A container holds a range of first words; when it is full it bursts at a word
+Tasks turn texts into word ids and count the runs of ``k`` words of a piece in a
+HAT-trie: a shallow trie over word ids whose leaves are hash containers.  A
+container holds a range of first words; when it is full it bursts at a word
 border, and one that holds a single first word bursts by the second word.  When a
 task's tries hold more than ``ENTRIES`` counts, whole subtrees - those that have
 merged least - leave as sorted runs, one row for each prefix partition (a hash of
@@ -11,7 +11,13 @@ the first two words), so that memory is bounded whatever the vocabulary.
 All runs of a prefix partition are merged in one task; the number of partitions
 follows the bytes of the texts, so a partition stays small, and a very common word
 is spread by its second word.  Only phrases of ``least`` occurrences or more leave
-the merge; scores are joins and partial aggregates over those.
+the merge.
+
+Words are counted first, then pairs, then triples: a phrase occurs no more often
+than its parts, so only phrases whose parts are frequent are counted.  Tasks ask a
+Bloom filter of the frequent parts, of at most ``2 ** FILTER_BITS`` bits; it never
+says no to one, and where it is too small for its parts it only saves less.
+Scores are joins and partial aggregates over the frequent phrases.
 
 Null texts are empty, null languages are ``und``; phrases never cross a piece or a
 text; repeated rows count each time; texts of any length are read in parts that
@@ -30,10 +36,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.session import materialize
+from spendlens.operators.ranks import placed
+from spendlens.session import forget, materialize
 
 from .common import small_transfers
-from .ranks import placed
 
 LONGEST = 3
 BITS = 21                                   # of a word id; three fit into a signed long
@@ -42,6 +48,7 @@ ENTRIES = 600_000                           # counts of a task's tries
 WORDS = 400_000                             # word ids of a task between two starts
 PART = 4_000_000                            # bytes of text counted at a time
 SHARE = 16_000_000                          # bytes of text for each prefix partition
+FILTER_BITS = 26                            # at most 8 MB go to a task
 
 _TO = bytearray(range(256))
 _TO[65:91] = bytes(range(97, 123))          # A-Z
@@ -128,11 +135,47 @@ def words_of(text: bytes) -> tuple[pa.Array, np.ndarray]:
     return _strings(data[inside], ends), np.cumsum(cut)[last]
 
 
+def codes(words: list[np.ndarray], lang: str) -> np.ndarray:
+    """A 64-bit code for each phrase, from the hashes of its words in order."""
+    out = np.full(len(words[0]), xxhash.xxh3_64_intdigest(lang.encode()), dtype=np.uint64)
+    for h in words:
+        out = (out * np.uint64(0x9E3779B97F4A7C15) + h) * np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+class Bloom:
+    """Two bits for each code; ``cells`` are 64 bits each."""
+
+    def __init__(self, cells: np.ndarray) -> None:
+        self.cells, self.mask = cells, np.uint64(len(cells) * 64 - 1)
+
+    def __contains__(self, code: int) -> bool:
+        return bool(self.has(np.array([code], dtype=np.uint64))[0])
+
+    def has(self, code: np.ndarray) -> np.ndarray:
+        out = np.ones(len(code), dtype=bool)
+        for place in (code & self.mask, code >> np.uint64(32) & self.mask):
+            out &= (self.cells[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
+
+
+def bloom(known: DataFrame) -> Bloom:
+    """The filter of a column ``code``: 16 bits a code, up to ``2 ** FILTER_BITS``."""
+    bits = 1 << min(FILTER_BITS, max(12, (16 * known.count()).bit_length()))
+    places = F.array(F.col("code").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("code", 32).bitwiseAND(F.lit(bits - 1)))
+    got = (known.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("cell"))
+           .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))).toPandas()
+    cells = np.zeros(bits // 64, dtype=np.uint64)
+    cells[got["cell"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    return Bloom(cells)
+
+
 class Counter:
-    """Word ids and a trie for each language of one task."""
+    """Word ids and a trie for each language of one task, for phrases of ``k`` words."""
 
-    def __init__(self, partitions: int) -> None:
-        self.partitions, self.tries = partitions, {}
+    def __init__(self, partitions: int, k: int, parts: Bloom | None = None) -> None:
+        self.partitions, self.k, self.parts, self.tries = partitions, k, parts, {}
         self.start()
 
     def start(self) -> None:
@@ -140,7 +183,7 @@ class Counter:
 
     def add(self, lang: str, text: bytes) -> Iterator[dict]:
         words, piece = words_of(text)
-        if not len(words):
+        if len(words) < self.k:
             return
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
@@ -152,51 +195,56 @@ class Counter:
         ids.update(zip(new, range(len(names), len(names) + len(new)), strict=True))
         names += new
         self.hashes += [xxhash.xxh3_64_intdigest(w) for w in new]
-        w = np.array([ids[x] for x in distinct], dtype=np.int64)[coded.indices.to_numpy()]
-        keys, key = [], np.zeros(len(w), dtype=np.int64)
-        for k in range(LONGEST):
-            if k:
-                key, whole = key[:-1], piece[k:] == piece[:-k]
-            key = key | (w[k:] << (BITS * (LONGEST - 1 - k)))
-            keys.append(key[whole] if k else key)
-        keys, counts = np.unique(np.concatenate(keys), return_counts=True)
+        number = np.array([ids[x] for x in distinct], dtype=np.int64)
+        at = coded.indices.to_numpy()
+        k, n = self.k, len(at) - self.k + 1
+        w = number[at]
+        keep = piece[k - 1:] == piece[:n]
+        if self.parts is not None:                          # both parts of k - 1 words are frequent
+            h = np.array(self.hashes, dtype=np.uint64)[w]
+            part = self.parts.has(codes([h[i:len(h) - k + 2 + i] for i in range(k - 1)], lang))
+            keep &= part[:n] & part[1:n + 1]
+        key = np.zeros(n, dtype=np.int64)
+        for i in range(k):
+            key |= w[i:n + i] << (BITS * (LONGEST - 1 - i))
+        keys, counts = np.unique(key[keep], return_counts=True)
         trie = self.tries.setdefault(lang, HatTrie())
-        for at in range(0, len(keys), ENTRIES):
-            trie.add(keys[at:at + ENTRIES], counts[at:at + ENTRIES])
+        for i in range(0, len(keys), ENTRIES):
+            trie.add(keys[i:i + ENTRIES], counts[i:i + ENTRIES])
             if sum(map(len, self.tries.values())) > ENTRIES:
                 yield from self.flush(ENTRIES // 2)
 
     def flush(self, most: int = 0) -> Iterator[dict]:
-        """Runs of what leaves the tries: a row for each language and partition."""
+        """Runs of what leaves the tries, ordered by their words: a row for each language
+        and partition."""
         total = sum(map(len, self.tries.values()))
-        names, hashes = pa.array(self.names, pa.binary()), np.array(self.hashes, dtype=np.uint64)
-        for lang, trie in list(self.tries.items()):
-            keys, counts = trie.leave(most * len(trie) // max(total, 1))
-            if not most:
-                del self.tries[lang]
-            if not len(keys):
-                continue
-            part = [keys >> (2 * BITS), keys >> BITS & (1 << BITS) - 1, keys & (1 << BITS) - 1]
-            mixed = (hashes[part[0]] * np.uint64(0x9E3779B97F4A7C15) + hashes[part[1]]) * np.uint64(0xD6E8FEB86659FD93)
-            bucket = ((mixed >> np.uint64(33)) % np.uint64(self.partitions)).astype(np.int64)
-            size = (part[1] > 0).astype(np.int64) + (part[2] > 0)
-            phrases = np.empty(len(keys), dtype=object)
-            for k in range(LONGEST):
-                some = np.flatnonzero(size == k)
-                columns = [names.take(pa.array(p[some])) for p in part[:k + 1]]
-                joined = pc.binary_join_element_wise(*columns, b" ") if k else columns[0]
-                phrases[some] = joined.to_pylist()
-            order = sorted(range(len(keys)), key=list(zip(bucket.tolist(), phrases, strict=True)).__getitem__)
-            bucket, phrases, counts, one = bucket[order], phrases[order], counts[order], (size == 0)[order]
-            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(keys)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                yield {"lang": lang, "part": int(bucket[a]), "words": int(counts[a:b][one[a:b]].sum()),
-                       "phrases": b"\n".join(phrases[a:b]), "counts": counts[a:b].astype("<i8").tobytes()}
-
-
-RUN = pa.schema([("lang", pa.string()), ("part", pa.int64()), ("words", pa.int64()),
-                 ("phrases", pa.binary()), ("counts", pa.binary())])
-COUNT = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("f", pa.int64())])
+        out = {lang: trie.leave(most * len(trie) // max(total, 1)) for lang, trie in self.tries.items()}
+        if not most:
+            self.tries = {}
+        out = {lang: x for lang, x in out.items() if len(x[0])}
+        if not out:
+            return
+        hashes, order = np.array(self.hashes, dtype=np.uint64), np.argsort(np.array(self.names, dtype=object), kind="stable")
+        names = pa.array(self.names, pa.binary()).take(pa.array(order))
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        for lang, (keys, counts) in out.items():
+            ids = [keys >> (BITS * (LONGEST - 1 - i)) & (1 << BITS) - 1 for i in range(self.k)]
+            prefix = codes([hashes[i] for i in ids[:2]], lang)
+            part = ((prefix >> np.uint64(33)) % np.uint64(self.partitions)).astype(np.int64)
+            ranks = [rank[i] for i in ids]
+            sort = np.lexsort((*ranks[::-1], part))
+            part, counts = part[sort], counts[sort].astype("<i8")
+            columns = [names.take(pa.array(r[sort])) for r in ranks]
+            phrases = pc.binary_join_element_wise(*columns, b" ") if self.k > 1 else columns[0]
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)])).astype(np.int32)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), phrases), b"\n").to_pylist()
+            for a, b, text in zip(cuts[:-1].tolist(), cuts[1:].tolist(), joined, strict=True):
+                yield {"lang": lang, "part": int(part[a]), "n": int(counts[a:b].sum()), "phrases": text, "counts": counts[a:b].tobytes()}
+
+
+RUN = pa.schema([("lang", pa.string()), ("part", pa.int64()), ("n", pa.int64()), ("phrases", pa.binary()), ("counts", pa.binary())])
+COUNT = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("f", pa.int64()), ("code", pa.int64())])
 
 
 def parts(texts: list[str]) -> Iterator[bytes]:
@@ -220,20 +268,27 @@ def parts(texts: list[str]) -> Iterator[bytes]:
     yield b"".join(held)
 
 
-def runs(docs: DataFrame, partitions: int) -> DataFrame:
-    """Sorted runs of counted phrases: lang, part, words (occurrences of single words
-    among them), phrases (one a line), counts (little-endian longs)."""
+def runs(docs: DataFrame, partitions: int, k: int, frequent: Bloom | None = None) -> DataFrame:
+    """Sorted runs of counted phrases of ``k`` words: lang, part, n (occurrences),
+    phrases (one a line), counts (little-endian longs)."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)               # at most 2 ** FILTER_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(partitions)
+        counter = Counter(partitions, k, sent.value)
 
         def rows() -> Iterator[dict]:
+            waiting: dict[str, list[bytes]] = {}
             for batch in batches:
                 langs = batch.column("lang").dictionary_encode()
                 for i, lang in enumerate(langs.dictionary.to_pylist()):
                     mine = batch.column("text").filter(pc.equal(langs.indices, i))
-                    for part in parts(mine.to_pylist()):
-                        yield from counter.add(lang, part)
+                    for part in parts(mine.to_pylist()):                    # small parts wait for others
+                        held = waiting.setdefault(lang, [])
+                        held.append(part)
+                        if sum(map(len, held)) >= PART:
+                            yield from counter.add(lang, b"".join(waiting.pop(lang)))
+            for lang, held in waiting.items():
+                yield from counter.add(lang, b"".join(held))
             yield from counter.flush()
 
         held, size = [], 0
@@ -246,7 +301,7 @@ def runs(docs: DataFrame, partitions: int) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_pylist(held, RUN)
 
-    return docs.mapInArrow(run, "lang string, part long, words long, phrases binary, counts binary")
+    return docs.mapInArrow(run, "lang string, part long, n long, phrases binary, counts binary")
 
 
 def _merged(phrases: list[bytes], counts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
@@ -260,36 +315,39 @@ def _merged(phrases: list[bytes], counts: list[bytes]) -> tuple[pa.Array, np.nda
 
 
 def merged(sorted_runs: DataFrame, partitions: int, least: int) -> DataFrame:
-    """(lang, phrase, k, f) of the phrases that occur ``least`` times or more."""
+    """(lang, phrase, k, f, code) of the phrases that occur ``least`` times or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def ready(of, phrases, counts):
+        def ready(lang: str, phrases: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
             names, total = _merged(phrases, counts)
             some = total >= least
-            names = names.filter(pa.array(some)).cast(pa.string())
-            size = pc.add(pc.count_substring(names, " "), 1).cast(pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array([of[0]] * len(names), pa.string()), names, size, pa.array(total[some])], schema=COUNT)
+            names = names.filter(pa.array(some)).to_pylist()
+            split = [name.split(b" ") for name in names]
+            words = [np.array([xxhash.xxh3_64_intdigest(w[i]) for w in split], dtype=np.uint64) for i in range(len(split[0]))] if split else []
+            code = codes(words, lang).view(np.int64) if split else np.zeros(0, dtype=np.int64)
+            return pa.RecordBatch.from_pydict({"lang": [lang] * len(names), "phrase": [x.decode("utf-8", "replace") for x in names],
+                                               "k": [len(w) for w in split], "f": total[some], "code": code}, COUNT)
 
         now, phrases, counts, size = None, [], [], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 of = (batch.column("lang")[i].as_py(), batch.column("part")[i].as_py())
                 if of != now and now is not None:
-                    yield ready(now, phrases, counts)
+                    yield ready(now[0], phrases, counts)
                     phrases, counts, size = [], [], 0
                 now = of
                 phrases.append(batch.column("phrases")[i].as_py())
                 counts.append(batch.column("counts")[i].as_py())
                 size += len(phrases[-1])
-                if size > 2 * SHARE and len(phrases) > 1:                           # merged so far: one longer run
+                if size > SHARE and len(phrases) > 1:                               # merged so far: one longer run
                     names, total = _merged(phrases, counts)
                     phrases, counts = [b"\n".join(names.to_pylist())], [total.astype("<i8").tobytes()]
                     size = 0
         if now is not None:
-            yield ready(now, phrases, counts)
+            yield ready(now[0], phrases, counts)
 
     dealt = sorted_runs.select("lang", "part", "phrases", "counts").repartition(partitions, "lang", "part")
-    return dealt.sortWithinPartitions("lang", "part").mapInArrow(run, "lang string, phrase string, k int, f long")
+    return dealt.sortWithinPartitions("lang", "part").mapInArrow(run, "lang string, phrase string, k int, f long, code long")
 
 
 def _words(phrase: str, k: int) -> Column:
@@ -303,9 +361,15 @@ def phrases(docs: DataFrame, least: int = 10, inside: int = 50, top: int = 2000)
     texts = small_transfers(docs).select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = max(8, -(-size // SHARE))
-    counted = materialize(runs(texts, partitions), "phrase-runs")
-    n = counted.groupBy("lang").agg(F.sum("words").alias("n"))
-    known = materialize(merged(counted, partitions, least), "phrase-counts")
+    frequent, known = None, []
+    for k in range(1, LONGEST + 1):
+        counted = materialize(runs(texts, partitions, k, frequent), "phrase-runs")
+        if k == 1:
+            n = materialize(counted.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-words")
+        known.append(materialize(merged(counted, partitions, least), "phrase-counts"))
+        forget(counted)
+        frequent = bloom(known[-1])
+    known = known[0].unionByName(known[1]).unionByName(known[2])
     cuts = F.when(F.col("k") == 2, F.array(F.struct(F.lit(1).alias("cut"), _words("phrase", 1).alias("left"), _words("phrase", -1).alias("right"))))
     cuts = cuts.otherwise(F.array(
         F.struct(F.lit(1).alias("cut"), _words("phrase", 1).alias("left"), _words("phrase", -2).alias("right")),

@@ -28,9 +28,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spendlens.operators.ranks import placed
 from spendlens.session import materialize
 
-from .ranks import placed
 
 FAN, LEVELS = 3, 5
 BLOCK = FAN ** LEVELS
