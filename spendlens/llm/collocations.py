@@ -44,10 +44,11 @@ from .common import small_transfers
 LONGEST = 3
 BITS = 21                                   # of a word id; three fit into a signed long
 BURST = 16_384                              # counts of a container
-ENTRIES = 600_000                           # counts of a task's tries
-WORDS = 400_000                             # word ids of a task between two starts
-PART = 4_000_000                            # bytes of text counted at a time
-SHARE = 16_000_000                          # bytes of text for each prefix partition
+ENTRIES = 300_000                           # counts of a task's tries
+WORDS = 250_000                             # word ids of a task between two starts
+PART = 2_000_000                            # bytes of text counted at a time
+SHARE = 8_000_000                           # bytes of text for each merging task
+PREFIXES = 4                                # prefix partitions of a merging task, so that tasks are even
 FILTER_BITS = 26                            # at most 8 MB go to a task
 
 _TO = bytearray(range(256))
@@ -346,7 +347,7 @@ def merged(sorted_runs: DataFrame, partitions: int, least: int) -> DataFrame:
         if now is not None:
             yield ready(now[0], phrases, counts)
 
-    dealt = sorted_runs.select("lang", "part", "phrases", "counts").repartition(partitions, "lang", "part")
+    dealt = sorted_runs.select("lang", "part", "phrases", "counts").repartition(partitions, "part")
     return dealt.sortWithinPartitions("lang", "part").mapInArrow(run, "lang string, phrase string, k int, f long, code long")
 
 
@@ -363,7 +364,7 @@ def phrases(docs: DataFrame, least: int = 10, inside: int = 50, top: int = 2000)
     partitions = max(8, -(-size // SHARE))
     frequent, known = None, []
     for k in range(1, LONGEST + 1):
-        counted = materialize(runs(texts, partitions, k, frequent), "phrase-runs")
+        counted = materialize(runs(texts, PREFIXES * partitions, k, frequent), "phrase-runs")
         if k == 1:
             n = materialize(counted.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-words")
         known.append(materialize(merged(counted, partitions, least), "phrase-counts"))

@@ -41,14 +41,14 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
-#: Column that names a row where doc_id may be null or repeated.
-ROW = "_row_key"
-
-
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number of its own for every row in ``ROW``, written once, so
-    that every later reader sees the same numbers."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered-rows")
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number of its own for every row - doc_id may be null or repeated -
+    written once, so that every later reader sees the same numbers; and the name of
+    that column, which no column of ``docs`` has."""
+    name = "_row_key"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered-rows"), name
 
 
 def id_mod(column: str, n: int) -> Column:
@@ -57,20 +57,23 @@ def id_mod(column: str, n: int) -> Column:
 
 
 def hash_sample(rows: DataFrame, stratum: str, per_stratum: int, seed: int = 7) -> DataFrame:
-    """About ``per_stratum`` rows of each value of ``stratum``, chosen by a hash
-    of ``doc_id``.
+    """About ``per_stratum`` rows of each value of ``stratum``, chosen by a hash of
+    the whole row, so rows that share an id (or have none) are drawn one by one.
 
     One counting job (a value per stratum reaches the driver) turns the bound
     into a hash threshold per stratum; the sample itself is a plain filter, so
     no stratum is shuffled or sorted however large it is.  Values of
-    ``stratum`` must be few (languages, label values).
+    ``stratum`` must be few (languages, label values).  Rows that are equal in all
+    columns come together; should so many come that the sample is over four times
+    its bound, it is cut there.
     """
     counts = {r[0]: r[1] for r in rows.groupBy(stratum).count().collect() if r[0] is not None}
-    u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    u = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns], F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     keep = F.lit(False)
     for value, n in sorted(counts.items(), key=lambda kv: str(kv[0])):
         keep = keep | ((F.col(stratum) == F.lit(value)) & (u < F.lit(per_stratum / n)))
-    return rows.where(keep)
+    picked, most = rows.where(keep), 4 * per_stratum * max(len(counts), 1)
+    return picked.limit(most) if picked.select(F.lit(1)).limit(most + 1).count() > most else picked
 
 
 def small_batches(frames: Iterator[pd.DataFrame], chars: int = 4_000_000,

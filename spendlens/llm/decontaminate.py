@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from spendlens.session import materialize
 
-from .common import ROW, numbered
+from .common import numbered
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 28
 BLOCKS, WIDTH = 8, 8
@@ -184,7 +184,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """``docs`` without contaminated documents, row by row, whatever their doc_id."""
-    rows = numbered(docs)
-    found = contaminated(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark, similarity, radius)
-    bad = materialize(found.select(F.col("doc_id").alias("_bad")).distinct(), "decon-bad")
-    return rows.join(bad, rows[ROW] == bad["_bad"], "left_anti").drop(ROW)
+    rows, key = numbered(docs)
+    found = contaminated(rows.select(F.col(key).alias("doc_id"), "text"), benchmark, similarity, radius)
+    bad = materialize(found.select(F.col("doc_id").alias(key)).distinct(), "decon-bad")
+    return rows.join(bad, key, "left_anti").drop(key).select(*docs.columns)

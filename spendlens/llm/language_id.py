@@ -139,7 +139,7 @@ def train(labelled: DataFrame, per_language: int = 500, families: Mapping[str, s
                     if (v := vector(t)) is not None]
             yield pd.DataFrame(rows, columns=["doc_id", "lang", "x"])
 
-    rows = picked.mapInPandas(run, "doc_id long, lang string, x binary").toPandas().sort_values(["doc_id", "x"])
+    rows = picked.mapInPandas(run, f"doc_id {dict(labelled.dtypes)['doc_id']}, lang string, x binary").toPandas().sort_values(["doc_id", "x"])
     x = np.frombuffer(b"".join(bytes(b) for b in rows["x"]), dtype=np.float32).reshape(-1, DIM)
     return Hierarchy(x, rows["lang"].to_numpy(dtype=object), families)
 

@@ -314,7 +314,7 @@ def labelled_windows(docs: DataFrame, spans: str | None = None, most: int = 1_00
                     out.append((r.doc_id, a, wc.tobytes() + wy.tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "a", "w"])
 
-    rows = (hash_sample(asked, "_one", most).mapInPandas(run, "doc_id long, a long, w binary").toPandas()
+    rows = (hash_sample(asked, "_one", most).mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, a long, w binary").toPandas()
             .sort_values(["doc_id", "a", "w"], kind="stable"))
     arrays = [np.frombuffer(bytes(w), np.int8).astype(np.int64) for w in rows["w"]]
     return fit([(a[:WINDOW], a[WINDOW:]) for a in arrays])

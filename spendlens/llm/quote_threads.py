@@ -23,7 +23,7 @@ conversation is no single task.  Bodies are the texts without quoted lines.
 Rows without conv_id or turn are left out; repeated rows of one (conv_id, turn)
 count once, with the least role and text; null and empty texts are messages with
 an empty body that nothing links to; an empty table gives no rows; extra columns
-are ignored.
+are ignored.  Long messages cost time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -40,18 +40,23 @@ def normalise(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` reads it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def passages(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, no, level, body, hash): the passages of every message in order."""
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.struct(
         F.length(F.regexp_replace(F.regexp_extract(line, r"^((?:>\s?)*)", 1), "[^>]", "")).alias("level"),
         F.regexp_replace(line, r"^(?:>\s?)*", "").alias("line")))
-    # a new passage starts where the level changes: fold the lines into runs
-    empty = F.expr("cast(array() as array<struct<level:int, body:string>>)")
-    runs = F.aggregate(lines, empty, lambda done, x: F.when(
-        (F.size(done) > 0) & (F.element_at(done, -1)["level"] == x["level"]),
-        F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(
-            x["level"].alias("level"), F.concat_ws("\n", F.element_at(done, -1)["body"], x["line"]).alias("body")))))
-        .otherwise(F.concat(done, F.array(F.struct(x["level"].alias("level"), x["line"].alias("body"))))))
+    # a new passage starts where the level changes; every line is looked at once
+    at = lambda x, i: F.get(x, i)["level"]                                               # noqa: E731
+    runs = _once(lines, lambda x: _once(
+        F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (at(x, i) != at(x, i - 1))),
+        lambda starts: F.transform(starts, lambda s, j: F.struct(
+            at(x, s).alias("level"),
+            F.array_join(F.slice(x, s + 1, F.coalesce(F.get(starts, j + 1), F.size(x)) - s)["line"], "\n").alias("body")))))
     flat = messages.select(*KEY, F.posexplode(runs).alias("no", "p")).select(*KEY, "no", "p.level", "p.body")
     return flat.withColumn("hash", F.sha2(normalise(F.col("body")), 256))
 

@@ -259,8 +259,9 @@ def split_image(image: bytes) -> list[np.ndarray]:
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1) -> None:
     """Encode whole texts and write their images, in ascending doc_id order.
 
-    Texts are range-partitioned on doc_id (text breaks ties) before they are
-    encoded, so ids are made once, in place, and never shuffled."""
+    Texts are range-partitioned on doc_id and a hash of the text before they are
+    encoded, so ids are made once, in place, and never shuffled, and no text is
+    sampled for the ranges; texts of one doc_id stand in the order of their hashes."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +296,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1) -> None
         if held:
             yield flush(names)
 
-    (texts(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    (texts(docs).withColumn("mark", F.xxhash64("text")).repartitionByRange("doc_id", "mark")
+     .sortWithinPartitions("doc_id", "mark", "text").drop("mark")
      .mapInArrow(run, f"image_no int, doc_ids array<{kind}>, n_ids long, image binary")
      .withColumn("shard", F.spark_partition_id())
      .write.mode("overwrite").parquet(folder))

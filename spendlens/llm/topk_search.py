@@ -26,12 +26,12 @@ queries into bounded blocks.  The work is a grid of cells, each a few blocks
 beside a few buckets; a cell emits at most k rows per query, merged by a final
 window.  In its cell, a bucket shorter than anything a block still needs is
 passed over unread.  Components become ``floor(64 x)``; products are exact integers
-(float64 while they stay below 2^53, Python integers beyond, ends of the long
-range at most).
+(float64 while they stay below 2^53, Python integers beyond; a product that no long
+holds raises).
 
 Vectors that are null, or hold a null, NaN or infinity, take no part; nor do
-null ids.  A repeated id counts once, with its least vector; vectors only meet
-vectors of the same dimension; an empty table gives no rows; a query with fewer
+null ids.  Rows that repeat an id are candidates, and queries, each by itself (so
+they are candidates of each other); vectors only meet vectors of the same dimension; an empty table gives no rows; a query with fewer
 than k candidates returns them all; ties go to the smaller id.
 """
 
@@ -44,6 +44,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spendlens.operators.ranks import placed
 from spendlens.session import materialize
 
 BLOCK = 1024              # queries per block
@@ -64,7 +65,7 @@ def quantize(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scal
             # floor as a double: a bigint would saturate far components
             .withColumn("v", F.transform(vector, lambda e: F.rint(F.lit(scale) * e)
                                          - F.when(F.rint(F.lit(scale) * e) > F.lit(scale) * e, 1.0).otherwise(0.0)))
-            .groupBy("id").agg(F.min("v").alias("v")))
+            .select("id", "v"))
     return rows.withColumn("dim", F.size("v")).withColumn(
         "norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e)))
 
@@ -111,7 +112,9 @@ def _pack(df: DataFrame, size: int, few: bool = False) -> DataFrame:
 def _products(q: np.ndarray, p: np.ndarray, reach: float) -> np.ndarray:
     if reach < EXACT:
         return p @ q
-    full = [min(max(sum(int(a) * int(b) for a, b in zip(row, q, strict=True)), -2 ** 63), 2 ** 63 - 1) for row in p]
+    full = [sum(int(a) * int(b) for a, b in zip(row, q, strict=True)) for row in p]
+    if any(not -2 ** 63 <= x < 2 ** 63 for x in full):
+        raise OverflowError("an inner product is beyond the long range")
     return np.array(full, dtype=object)
 
 
@@ -221,10 +224,14 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vect
           scale: float = 64.0) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of every row but the query's
     own, for the rows whose id is divisible by ``every``."""
-    rows = materialize(quantize(df, key, vector, scale), "topk-rows")
+    # every row is named by its place in the order of ids, so that of equal scores the
+    # smaller id comes first, and a row that shares its id with others stays one of them
+    rows = placed(quantize(df, key, vector, scale).withColumnRenamed("id", "vec").withColumn("all", F.lit(0)), "all", [F.col("vec")], "topk-ids")
+    rows = materialize(rows.select(F.col("pos").alias("id"), "vec", "v", "dim", "norm"), "topk-rows")
+    names, rows, asked = rows.select("id", "vec"), rows.drop("vec"), rows.where(F.col("vec") % every == 0).select("id")
     unbound = {"floor": F.lit(float("-inf")), "last": F.lit(ANY)}
     buckets = materialize(_pack(rows.withColumns(unbound), BUCKET), "topk-buckets")
-    queries = rows.where(F.col("id") % every == 0)
+    queries = rows.join(asked, "id", "left_semi")
     # seeding: half an even sample, half the longest of the others
     share = min(1.0, SEED_ROWS / 2 / max(rows.count(), 1))
     even = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 40)) < share * (1 << 40)
@@ -237,5 +244,8 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vect
               .select(F.col("query_id").alias("id"), below.alias("floor"), F.col("vec_id").alias("last")))
     known = queries.join(floors, "id", "left").withColumns({c: F.coalesce(c, none) for c, none in unbound.items()})
     scores = _run(materialize(_pack(known, BLOCK), "topk-blocks"), buckets, k)
-    return (_best(materialize(scores, "topk-scores"), k)
-            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+    best = _best(materialize(scores, "topk-scores"), k).select(F.col("query_id").alias("q"), F.col("rank").cast("int").alias("rank"),
+                                                               F.col("vec_id").alias("c"), "score")
+    return (best.join(names.select(F.col("id").alias("q"), F.col("vec").alias("query_id")), "q")
+            .join(names.select(F.col("id").alias("c"), F.col("vec").alias("vec_id")), "c")
+            .select("query_id", "rank", "vec_id", "score"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from spendlens.llm import (decontaminate, language_id, pii_tagger, piece_scan, quality_rank, queries, quote_threads,
                            simhash_dedup, token_blocks, topk_search, url_filter)
-from spendlens.llm.common import id_mod, table
+from spendlens.llm.common import hash_sample, id_mod, table
 from spendlens.llm.components import components
 from spendlens.suite.compare import compare, duck_connection
 
@@ -523,13 +523,13 @@ def test_against_sql(spark, key):
 
 # ---------------------------------------------------------------- op10
 def brute_topk(rows, k):
-    v = {i: np.floor(64 * np.array(x, dtype=np.float64)) for i, x in rows}
+    v = [(i, np.floor(64 * np.array(x, dtype=np.float64))) for i, x in rows]
     out = []
-    for q in sorted(v):
+    for n, (q, x) in enumerate(v):
         if q % 20 == 0:
-            s = sorted((-int(v[q] @ v[c]), c) for c in v if c != q and len(v[c]) == len(v[q]))[:k]
-            out += [(q, n + 1, c, -x) for n, (x, c) in enumerate(s)]
-    return out
+            s = sorted((-int(x @ y), c) for m, (c, y) in enumerate(v) if m != n and len(y) == len(x))[:k]
+            out += [(q, i + 1, c, -z) for i, (z, c) in enumerate(s)]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("spread", [0.0, 1.5])
@@ -543,7 +543,8 @@ def test_topk(spark, monkeypatch, spread):
     x *= np.exp(spread * rng.normal(size=(900, 1)))
     x[300:600] = x[300]                                            # a third of all rows are one vector
     rows = [(i, [float(a) for a in np.float32(r)]) for i, r in enumerate(x)] + [(1000, [1.0, 2.0]), (1020, [0.0] * 6)]
-    bad = [(2000, None), (2020, [None] * 6), (2040, [float("nan")] * 6), (2060, [float("inf")] + [0.0] * 5), (None, [1.0] * 6), (0, rows[0][1])]
+    rows += [(0, rows[0][1]), (40, rows[7][1]), (7, rows[8][1])]                  # ids that occur twice
+    bad = [(2000, None), (2020, [None] * 6), (2040, [float("nan")] * 6), (2060, [float("inf")] + [0.0] * 5), (None, [1.0] * 6)]
     frame = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").withColumn("norm", F.lit("x"))
     got = topk_search.top_k(frame, k=7).collect()
     assert sorted(map(tuple, got)) == brute_topk(rows, 7)
@@ -611,3 +612,69 @@ def test_registration():
     names = set(E.queries())
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
     assert set(queries.ORACLES) <= set(E.oracle_sql())
+
+
+# ------------------------------------------------------- rows, ids and samples
+def test_repeated_vector_ids_are_rows_of_their_own(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.5, 0.0]), (20, [2.0, 0.0]), (20, [0.0, 1.0]), (3, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk_search.top_k(df, k=20, every=20).collect())
+    q = [tuple(int(64 * x) for x in v) for _, v in rows]
+    want = []
+    for i in (2, 3):
+        best = sorted((-sum(a * b for a, b in zip(q[i], q[j], strict=True)), rows[j][0]) for j in range(5) if j != i)
+        want += [(20, n + 1, c, -x) for n, (x, c) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_products_beyond_a_long_raise(spark):
+    df = spark.createDataFrame([(20, [1e9] * 4), (1, [1e9] * 4)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="long range"):
+        topk_search.top_k(df, k=2, every=20).collect()
+
+
+def test_text_ids(spark):
+    docs = spark.createDataFrame([(f"d{i}", t, lang) for i, (t, lang) in enumerate(
+        [("the cat and the dog mail a@b.co 10.0.0.1", "en"), ("der hund und die katze", "de")] * 20)], "doc_id string, text string, lang string")
+    assert language_id.identify(docs, language_id.train(docs)).count() == 40
+    found = pii_tagger.find_spans(docs, pii_tagger.labelled_windows(docs)).collect()
+    assert {r.doc_id for r in found} == {f"d{i}" for i in range(40)}
+
+
+@pytest.mark.parametrize("ids", ["one", "none", "own"])
+def test_samples_are_bounded_whatever_the_ids(spark, ids):
+    one = {"one": F.lit(7), "none": F.lit(None).cast("long"), "own": F.col("id")}[ids]
+    rows = spark.range(20_000).select(one.alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"),
+                                      (F.col("id") % 2).alias("label"))
+    for seed in range(3):
+        n = hash_sample(rows, "label", 500, seed).count()
+        assert 700 < n < 1300
+    same = rows.select(F.lit(1).alias("doc_id"), F.lit("t").alias("text"), F.lit(0).alias("label"))
+    assert all(hash_sample(same, "label", 500, seed).count() in (0, 2000) for seed in range(6))
+
+
+def test_clashing_row_names_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g", "keep"), (None, "x", "me")], "doc_id long, text string, _row_key string")
+    items = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.clean(docs, items).collect()] == [(None, "x", "me")]
+    import corpus_pipeline
+    out = corpus_pipeline.near_duplicates(spark, docs.unionByName(docs), "")
+    assert sorted((r["_row_key"] for r in out.collect())) == ["keep", "me"] and out.columns == docs.columns
+
+
+def test_long_message(spark):
+    """200,000 lines of changing levels: linear in the length of a message."""
+    import time
+    text = "\n".join(("> " * (i % 3)) + f"line {i}" for i in range(200_000))
+    rows = spark.createDataFrame([(1, 0, "user", "line 1\nhello"), (1, 1, "bot", text)], "conv_id long, turn long, role string, text string")
+    began = time.time()
+    got = {r.turn: r for r in quote_threads.conversations(rows).collect()}
+    assert time.time() - began < 60
+    assert got[1].parent_turn == 0 and got[1].body.count("\n") == 66_666 and got[1].n_quotes == 133_333
+
+
+def test_texts_are_no_range_keys(spark):
+    """Texts of one id stay together whole; ids ascend over the files."""
+    docs = docs_of(spark, ["b " * 50, "a", "c"]).withColumn("doc_id", F.lit(5).cast("long"))
+    got = token_blocks.round_trip(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert len(got) == 3 and sorted(r.start for r in got)[0] == 0
