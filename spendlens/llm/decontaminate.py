@@ -23,7 +23,9 @@ Steps:
    fingerprints within ``RADIUS`` (below 32) bits some block differs in at most
    three, so each item lists the values within three bits of each of its blocks
    and windows meet them by equality: all pairs within the radius, with
-   certainty.  At overlap 0.8 the expected distance is 13 bits with a standard
+   certainty.  Blocks this wide let most pairs of one length through, so a window
+   is asked only about the items whose anchors it holds (step 2: no other item can
+   reach the threshold), and the items are part of the key.  At overlap 0.8 the expected distance is 13 bits with a standard
    deviation of 3.2, so the radius of 28 lies 4.6 deviations out.
 4. Verification.  Candidates are compared by exact weighted overlap of the
    shingles themselves (as text), not their hashes.
@@ -106,11 +108,15 @@ def items_of(benchmark: DataFrame) -> DataFrame:
                        .withColumn("h", _hashes("iw")).withColumn("fp", _fingerprint(F.col("h"))), "decon-items")
 
 
+def _item_hash() -> Column:
+    return F.sha2(F.array_join("iw", " "), 256)
+
+
 def anchors(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, dn, pos, item row) for every document position whose shingle
     occurs in an item.  Shorter items need shingles of their own length."""
     keys = materialize(items.select("item_id", "iw", "n", "shingles", F.explode("h").alias("k"))
-                       .select("item_id", "n", "shingles", F.sha2(F.array_join("iw", " "), 256).alias("ih"), "k")
+                       .select("item_id", "n", "shingles", _item_hash().alias("ih"), "k")
                        .distinct(), "decon-keys")
     small = keys.count() <= BROADCAST_SHINGLES
     distinct = keys.select("k").distinct()
@@ -148,7 +154,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     clamp = F.transform(starts, lambda p: F.greatest(F.least(p, F.col("dn") - F.col("n")), F.lit(0)))
     spots = materialize(marks.withColumn("need", need).withColumn("starts", F.array_distinct(clamp))
                         .where(F.size("starts") > 0)
-                        .select("doc_id", "dn", "n", F.explode("starts").alias("start")).distinct(), "decon-windows")
+                        .select("doc_id", "dn", "n", "item_id", "ih", F.explode("starts").alias("start")).distinct(), "decon-windows")
     # the words of each window; a document's windows travel as one small row, its text once
     wanted = spots.groupBy("doc_id", "dn").agg(F.collect_set(F.struct("start", "n")).alias("spots"))
     texts = (docs.join(materialize(wanted, "decon-wanted"), "doc_id").withColumn("w", words())
@@ -160,16 +166,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
                          "decon-prints")
     numbers = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
     near = F.expr(f"filter(sequence(0, 255), x -> bit_count(x ^ v) <= {radius // BLOCKS})")
-    index = (items.select("item_id", "iw", "n", F.col("fp").alias("ifp"), numbers.alias("b"))
+    index = (items.select("item_id", _item_hash().alias("ih"), "iw", "n", F.col("fp").alias("ifp"), numbers.alias("b"))
              .withColumn("v", _block("ifp", F.col("b"))).withColumn("v", F.explode(near)))
-    probes = (marked.select("doc_id", "start", "n", "ww", "fp", numbers.alias("b"))
+    # a window asks only for the items whose anchors it holds: no other can reach the threshold
+    probes = (marked.join(spots.select("doc_id", "start", "n", "item_id", "ih").distinct(), ["doc_id", "start", "n"])
+              .select("doc_id", "start", "n", "item_id", "ih", "ww", "fp", numbers.alias("b"))
               .withColumn("v", _block("fp", F.col("b"))))
     # a pair may collide in several blocks: the first block whose distance is small
     # enough speaks for it, so that no later distinct is needed
     diff = F.col("fp").bitwiseXOR(F.col("ifp"))
     earlier = F.expr(f"exists(filter(sequence(0, {BLOCKS - 1}), j -> j < b), j -> bit_count("
                      f"shiftrightunsigned(fp ^ ifp, j * {WIDTH}) & 255) <= {radius // BLOCKS})")
-    pairs = probes.join(index, ["n", "b", "v"]).where((F.bit_count(diff) <= radius) & ~earlier)
+    pairs = probes.join(index, ["item_id", "ih", "n", "b", "v"]).where((F.bit_count(diff) <= radius) & ~earlier)
     # written before the costly comparison: it then runs once a pair, in evenly dealt tasks
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = materialize(pairs.select("doc_id", "start", "ww", "item_id", "iw")
