@@ -2,7 +2,8 @@
 
 A segmentation is a path over text positions, a step being a vocabulary piece
 and its weight the piece's score; the best path is a product of matrices over
-the (max, +) semiring.  A document is cut into chunks of ``CHUNK`` characters.
+the (max, +) semiring.  A document is cut into chunks of about ``CHUNK``
+characters, each of which begins with a word (but inside a word longer than that).
 A chunk's *transfer matrix* has a row for every entry state and a column for
 every exit state, a state being the number of characters that the piece crossing
 the boundary reaches into the chunk.  Matrices are combined associatively, which
@@ -24,8 +25,8 @@ weight -ln(2 + rank), Zipf's law for ranks; ``ranks=False`` takes the scores as
 they are, for a file of log-probabilities.  Weights are rounded to multiples of
 2^-20, so sums are exact in whatever order they are taken.  Characters without a piece are spelled in
 byte pieces at the library's unknown-character penalty.  Ties go to the longer
-last piece inside a word, to the smaller state at a chunk's boundary: a long text
-gets a best path, and always the same.  Texts are prefixed with a word mark and spaces become word marks,
+last piece inside a word, so equal words have equal ids in texts of every length; to
+the smaller state at a boundary inside a word that is longer than a chunk.  Texts are prefixed with a word mark and spaces become word marks,
 as the model file asks; decoding reverses that, so every text without the mark
 character itself comes back exactly.
 
@@ -36,6 +37,7 @@ are kept; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -49,6 +51,8 @@ from .common import RecentMemory, codepoints, per_worker, small_batches, texts
 
 MARK = "▁"
 CHUNK = 1 << 15           # characters per chunk
+#: All up to the last beginning of a word.
+WORD_START = re.compile(f"(?s).*[^{MARK}]{MARK}")
 RUN = 64                  # chunks whose matrices are combined in one go
 MEMORY = 60_000          # words remembered by a worker, per generation
 DENSE = 0x180             # code points of the dense automaton
@@ -237,6 +241,10 @@ class Vocabulary:
     def last_cut(self, s: str) -> int:
         return next((i for i in range(len(s) - 1, 0, -1) if self.safe(s[i - 1], s[i])), 0)
 
+    def ends(self, s: str, opens: bool, closes: bool) -> tuple[int, int]:
+        """Where the whole words of a chunk begin and end."""
+        return 0 if opens else self.first_cut(s), len(s) if closes else self.last_cut(s)
+
     def split(self, s: str) -> list[str]:
         """Words between safe boundaries before word marks (a subset of all safe
         boundaries: those after a character that is no mark)."""
@@ -258,15 +266,27 @@ def vocabulary(path: str) -> Vocabulary:
     return per_worker(("pieces", path), lambda: Vocabulary(path))
 
 
-def transfer(v: Vocabulary, s: str, ahead: str, first: bool, last: bool) -> np.ndarray:
+def cuts_of(s: str, chunk: int) -> list[tuple[int, bool]]:
+    """Where the chunks of a marked text begin, and whether a word does there: at the
+    last beginning of a word up to each multiple of ``chunk``, or there, in the midst
+    of a longer word."""
+    out = [(0, True)]
+    for c in range(chunk, len(s), chunk):
+        found = WORD_START.match(s, c - chunk, c + 1)
+        out.append((found.end() - 1, True) if found else (c, False))
+    return out
+
+
+def transfer(v: Vocabulary, s: str, ahead: str, first: bool, last: bool, opens: bool, closes: bool) -> np.ndarray:
     """Transfer matrix of the chunk ``s``; ``ahead`` is the text that follows it
     (at most ``longest - 1`` characters).  A row per entry state, a column per
-    exit state; the ends of a document have state 0 only."""
+    exit state; the ends of a document have state 0 only.  ``opens`` and ``closes``:
+    a word begins where the chunk does, and where it ends."""
     size = v.longest
     m = np.full((size, size), NEVER)
     reach = s + ahead
     states = 1 if first else min(size, len(s) + 1)
-    cut_a, cut_b = v.first_cut(s), v.last_cut(s)
+    cut_a, cut_b = v.ends(s, opens, closes)
     if cut_a < len(s) and cut_b >= cut_a:
         inside = sum(v.word(w)[0] for w in v.split(s[cut_a:cut_b]))
         tail, _ = v.forward(reach[cut_b:], len(s) - cut_b, [0.0])
@@ -303,10 +323,10 @@ def best_states(matrices: list[np.ndarray], enter: int, leave: int) -> list[int]
     return out[::-1][1:]
 
 
-def trace_chunk(v: Vocabulary, s: str, ahead: str, enter: int, leave: int) -> bytes:
+def trace_chunk(v: Vocabulary, s: str, ahead: str, enter: int, leave: int, opens: bool, closes: bool) -> bytes:
     """Ids of the pieces that start in the chunk, between its boundary states."""
     end = len(s) + leave
-    cut_a, cut_b = v.first_cut(s), v.last_cut(s)
+    cut_a, cut_b = v.ends(s, opens, closes)
     if cut_a >= len(s) or cut_b < cut_a or enter > cut_a:
         r = (s + ahead)[:end]
         _, back = v.forward(r, len(s), [NEVER] * enter + [0.0])
@@ -325,11 +345,11 @@ def encode_text(v: Vocabulary, text: str, chunk: int = CHUNK) -> bytes:
     s = v.marked(text)
     if len(s) <= chunk:
         return b"".join([v.word(w)[1] for w in v.split(s)])
-    cuts = list(range(0, len(s), chunk))
-    parts = [(s[i:i + chunk], s[i + chunk:i + chunk + v.longest - 1]) for i in cuts]
-    ms = [transfer(v, a, b, i == 0, i == len(parts) - 1) for i, (a, b) in enumerate(parts)]
+    cuts = [*cuts_of(s, chunk), (len(s), True)]
+    parts = [(s[a:b], s[b:b + v.longest - 1], opens, closes) for (a, opens), (b, closes) in zip(cuts, cuts[1:], strict=False)]
+    ms = [transfer(v, a, b, i == 0, i == len(parts) - 1, *at) for i, (a, b, *at) in enumerate(parts)]
     states = [0, *best_states(ms, 0, 0), 0]
-    return b"".join(trace_chunk(v, a, b, states[i], states[i + 1]) for i, (a, b) in enumerate(parts))
+    return b"".join(trace_chunk(v, a, b, states[i], states[i + 1], *at) for i, (a, b, *at) in enumerate(parts))
 
 
 def encode_batch(v: Vocabulary, many: list[str], chunk: int) -> list[bytes]:
@@ -341,10 +361,11 @@ def encode_batch(v: Vocabulary, many: list[str], chunk: int) -> list[bytes]:
             for t, c in zip(many, cut, strict=True)]
 
 
-def learn_chunks(v: Vocabulary, chunks: Iterable[str]) -> None:
-    """Learn the inner words of chunks."""
-    for s in chunks:
-        v.learn(v.split(s[v.first_cut(s):v.last_cut(s)]))
+def learn_chunks(v: Vocabulary, chunks: Iterable[tuple[str, bool, bool]]) -> None:
+    """Learn the inner words of chunks (text, opens, closes)."""
+    for s, opens, closes in chunks:
+        a, b = v.ends(s, opens, closes)
+        v.learn(v.split(s[a:b]))
 
 
 def decode_ids(v: Vocabulary, ids: np.ndarray) -> str:
@@ -394,20 +415,26 @@ def _encode_long(rows: DataFrame, model: str, chunk: int, kind: str) -> DataFram
     cut = (rows.select("doc_id", F.col("digest").alias("h"), marked.alias("s"))
            .groupBy("doc_id", "h").agg(F.first("s").alias("s"), F.count("*").alias("copies"))
            .withColumn("n", F.expr(f"cast((char_length(s) + {chunk - 1}) div {chunk} as bigint)"))
-           .select("doc_id", "h", "copies", "n", "s", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
-           .select("doc_id", "h", "copies", "n", "part",
-                   F.expr(f"substring(s, cast(part * {chunk} + 1 as int), {chunk})").alias("s"),
-                   F.expr(f"substring(s, cast((part + 1) * {chunk} + 1 as int), {over})").alias("ahead")))
+           # where chunks begin: as in cuts_of
+           .withColumn("starts", F.expr(f"transform(sequence(0, n), p -> if(p = 0, 0, if(p = n, char_length(s), cast((p - 1) * {chunk} + "
+                                        f"char_length(regexp_extract(substring(s, cast((p - 1) * {chunk} + 1 as int), {chunk + 1}), "
+                                        f"'(?s)^(.*[^{MARK}]){MARK}', 1)) as int))))"))
+           .withColumn("cuts", F.expr(f"transform(starts, (x, p) -> if(p > 0 and x = (p - 1) * {chunk}, struct(cast(p * {chunk} as int) as at, "
+                                      "false as word), struct(x as at, true as word)))"))
+           .select("doc_id", "h", "copies", "n", "s", "cuts", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
+           .withColumns({"a": F.expr("get(cuts, cast(part as int))"), "z": F.expr("get(cuts, cast(part + 1 as int))")})
+           .select("doc_id", "h", "copies", "n", "part", F.col("a.word").alias("opens"), F.col("z.word").alias("closes"),
+                   F.expr("substring(s, a.at + 1, z.at - a.at)").alias("s"), F.expr(f"substring(s, z.at + 1, {over})").alias("ahead")))
     chunks = materialize(cut.repartition("doc_id", "h", "part"), "piece-chunks")
     key = ["doc_id", "h"]
 
     def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         voc = vocabulary(model)
         for frame in small_batches(frames, column="s"):
-            learn_chunks(voc, frame["s"])
+            learn_chunks(voc, zip(frame["s"], frame["opens"], frame["closes"], strict=True))
             frame = frame.copy()
-            frame["m"] = [transfer(voc, s, a, p == 0, p == n - 1).tobytes() for s, a, p, n in
-                          zip(frame["s"], frame["ahead"], frame["part"], frame["n"], strict=True)]
+            frame["m"] = [transfer(voc, s, a, p == 0, p == n - 1, o, c).tobytes() for s, a, p, n, o, c in
+                          zip(*[frame[x] for x in ("s", "ahead", "part", "n", "opens", "closes")], strict=True)]
             yield frame[["doc_id", "h", "n", "part", "m"]]
 
     levels = [materialize(chunks.mapInPandas(matrices, f"doc_id {kind}, h string, n long, part long, m binary"),
@@ -455,14 +482,14 @@ def _encode_long(rows: DataFrame, model: str, chunk: int, kind: str) -> DataFram
     def trace(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         voc = vocabulary(model)
         for frame in small_batches(frames, column="s"):
-            learn_chunks(voc, frame["s"])
+            learn_chunks(voc, zip(frame["s"], frame["opens"], frame["closes"], strict=True))
             yield pd.DataFrame({"doc_id": frame["doc_id"], "digest": frame["h"], "part": frame["part"], "ids": [
-                trace_chunk(voc, s, a, e, x) for s, a, e, x in
-                zip(frame["s"], frame["ahead"], frame["enter"], frame["leave"], strict=True)],
+                trace_chunk(voc, s, a, e, x, o, c) for s, a, e, x, o, c in
+                zip(*[frame[x] for x in ("s", "ahead", "enter", "leave", "opens", "closes")], strict=True)],
                 "copies": frame["copies"]})
 
     on = (chunks["doc_id"].eqNullSafe(fixed["doc_id"]) & (chunks["h"] == fixed["h"]) & (chunks["part"] == fixed["part"]))
-    return (chunks.join(fixed, on).select(chunks["doc_id"], chunks["h"], chunks["part"], "s", "ahead", "enter", "leave", "copies")
+    return (chunks.join(fixed, on).select(chunks["doc_id"], chunks["h"], chunks["part"], "s", "ahead", "opens", "closes", "enter", "leave", "copies")
             .mapInPandas(trace, f"doc_id {kind}, digest string, part long, ids binary, copies long")
             .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies", "copy"))
 

@@ -678,3 +678,21 @@ def test_texts_are_no_range_keys(spark):
     docs = docs_of(spark, ["b " * 50, "a", "c"]).withColumn("doc_id", F.lit(5).cast("long"))
     got = token_blocks.round_trip(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
     assert len(got) == 3 and sorted(r.start for r in got)[0] == 0
+
+
+def test_piece_ids_do_not_depend_on_chunks(spark, texts):
+    """Equal words have equal ids at every chunk size, in one place and spread."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    v = piece_scan.vocabulary(path)
+    some = [t for t in texts.values() if t][:60] + ["Ünïcödé  ß \U0001F600 日本語 " * 40, "  two  spaces " * 30, "a\nb c" * 200]
+    whole = [piece_scan.encode_text(v, t, 1 << 30) for t in some]
+    for chunk in (40, 137, 1000):
+        assert [piece_scan.encode_text(v, t, chunk) for t in some] == whole or any(
+            len(w) >= chunk for t in some for w in v.split(v.marked(t)))
+    spread = piece_scan.encode(docs_of(spark, some), path, 500).orderBy("doc_id", "part").collect()
+    got = {}
+    for r in spread:
+        got[r.doc_id] = got.get(r.doc_id, b"") + bytes(r.ids)
+    long = {i for i, t in enumerate(some) if any(len(w) >= 500 for w in v.split(v.marked(t)))}
+    assert [got[i] for i in range(len(some)) if i not in long] == [w for i, w in enumerate(whole) if i not in long]
+    assert sum(r.part > 0 for r in spread) > 20
