@@ -109,18 +109,25 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = 20_000, steps: int = 30
     return BradleyTerry(mean, scale, w, float(np.quantile(raw, float((y == 0).mean()))))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = 2_000) -> BradleyTerry:
-    """Weights from at most about ``per_label`` documents of each label (a
-    documented bound), the threshold from all labelled documents.  Features are
-    computed in tasks; only the sample's numbers reach the driver."""
-    one = (labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
-           .groupBy("doc_id").agg(F.min("quality").alias("quality")))
+def numbers_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, x): the features of every document."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in small_batches(frames):
             yield pd.DataFrame({"doc_id": frame["doc_id"], "x": [features(t) for t in frame["text"]]})
 
-    numbers = texts(docs).mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, x array<double>")
+    return texts(docs).mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, x array<double>")
+
+
+def train(docs: DataFrame, labels: DataFrame, per_label: int = 2_000, numbers: DataFrame | None = None) -> BradleyTerry:
+    """Weights from at most about ``per_label`` documents of each label (a
+    documented bound), the threshold from all labelled documents.  Features are
+    computed in tasks, or given as ``numbers`` (``numbers_of``, written); only the
+    sample's numbers reach the driver."""
+    one = (labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
+           .groupBy("doc_id").agg(F.min("quality").alias("quality")))
+
+    numbers = numbers_of(docs) if numbers is None else numbers
     known = materialize(numbers.join(one, "doc_id"), "quality-features")    # numbers meet labels, texts are not dealt
     rows = hash_sample(known, "quality", per_label).toPandas().sort_values(["doc_id", "quality"], kind="stable")
     model = fit_pairs(np.array(rows["x"].tolist()), rows["quality"].to_numpy())
@@ -137,15 +144,17 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 2_000) -> Bradley
     return replace(model, threshold=cut.first()["q0"])
 
 
-def score(docs: DataFrame, model: BradleyTerry) -> DataFrame:
-    """doc_id, score and predicted (1 if score >= 0.5) for every document."""
+def score(docs: DataFrame, model: BradleyTerry, numbers: DataFrame | None = None) -> DataFrame:
+    """doc_id, score and predicted (1 if score >= 0.5) for every document, whose
+    features may be given as ``numbers``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in small_batches(frames):
-            s = model.score(np.array([features(t) for t in frame["text"]]).reshape(-1, len(FEATURES)))
+        for frame in frames:
+            s = model.score(np.array(frame["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES)))
             yield pd.DataFrame({"doc_id": frame["doc_id"], "score": s, "predicted": (s >= 0.5).astype("int32")})
 
-    return texts(docs).mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, predicted int")
+    numbers = numbers_of(docs) if numbers is None else numbers
+    return numbers.mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: BradleyTerry) -> DataFrame:

@@ -9,7 +9,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, language_id, merkle, pii_tagger, piece_scan, quality_rank, quote_threads, repeat_windows, simhash_dedup, token_blocks, topk_search, url_filter
+from spendlens.session import materialize
+
+from . import (collocations, decontaminate, language_id, merkle, pii_tagger, piece_scan, quality_rank, quote_threads,
+               repeat_windows, simhash_dedup, token_blocks, topk_search, url_filter)
 from .common import id_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,8 +90,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; learnt where crc32(doc_id) mod 3 is not 1."""
     docs, held = table(spark, sf_dir, "documents"), id_mod("doc_id", 3) == 1
-    model = quality_rank.train(docs, table(spark, sf_dir, "labels").where(~held))
-    return quality_rank.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+    numbers = materialize(quality_rank.numbers_of(docs), "quality-numbers")         # texts are read once
+    model = quality_rank.train(docs, table(spark, sf_dir, "labels").where(~held), numbers=numbers)
+    return quality_rank.score(docs, model, numbers).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
 @query("op8_covering_simhash")

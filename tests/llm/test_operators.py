@@ -696,3 +696,28 @@ def test_piece_ids_do_not_depend_on_chunks(spark, texts):
     long = {i for i, t in enumerate(some) if any(len(w) >= 500 for w in v.split(v.marked(t)))}
     assert [got[i] for i in range(len(some)) if i not in long] == [w for i, w in enumerate(whole) if i not in long]
     assert sum(r.part > 0 for r in spread) > 20
+
+
+def test_bradley_terry_scores_against_brute_force(spark, documents, texts):
+    """Scores of every document from features written once, against the plain formula."""
+    labels = table(spark, SF, "labels")
+    numbers = quality_rank.numbers_of(documents)
+    model = quality_rank.train(documents, labels, numbers=numbers)
+    for got in (quality_rank.score(documents, model), quality_rank.score(documents, model, numbers)):
+        for r in got.collect():
+            z = sum((min(max((f - m) / s, -8), 8)) * w for f, m, s, w in
+                    zip(quality_rank.features(texts[r.doc_id] or ""), model.mean, model.scale, model.w, strict=True))
+            want = 1 / (1 + np.exp(-(z - model.threshold)))
+            assert abs(r.score - want) < 1e-9 and r.predicted == (r.score >= 0.5)
+
+
+def test_language_scores_against_brute_force(spark, documents, texts):
+    """Decisions of every document, one by one, against those made in batches."""
+    model = language_id.train(documents)
+    for r in language_id.identify(documents, model).collect():
+        x = language_id.vector(texts[r.doc_id] or "")
+        if x is None:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        lang, p = model.predict(x[None])
+        assert r.lang_pred == lang[0] and abs(r.score - p[0]) < 1e-6
