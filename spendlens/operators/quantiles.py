@@ -79,7 +79,7 @@ def ranked_values(counts: DataFrame, probs: Sequence[float], names: Sequence[str
 
 def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
                       by: Sequence[str] = (), names: Sequence[str] | None = None,
-                      accuracy: int = 100_000, exact: bool = True) -> DataFrame:
+                      accuracy: int = 10_000, exact: bool = True) -> DataFrame:
     """See the module docstring.  ``exact=False`` returns the sketch values
     (``percentile_approx``, rank error <= n / accuracy) in one aggregation."""
     by = list(by)
@@ -117,7 +117,7 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
 
 
 def exact_percentile_scalar(df: DataFrame, value: str, probs: Sequence[float],
-                            names: Sequence[str], accuracy: int = 100_000, exact: bool = True) -> DataFrame:
+                            names: Sequence[str], accuracy: int = 10_000, exact: bool = True) -> DataFrame:
     """Global quantiles as a one-row frame (zero rows in -> one row of nulls)."""
     q = exact_percentiles(df, value, probs, names=names, accuracy=accuracy, exact=exact)
     return q.agg(*[F.max(n).alias(n) for n in names])

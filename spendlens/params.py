@@ -61,7 +61,7 @@ class Params:
     # data quality
     example_limit: int = 10
     # quantiles: exact (skew-safe) by default; False = sketch only (percentile_approx)
-    quantile_accuracy: int = 100_000
+    quantile_accuracy: int = 10_000
     exact_quantiles: bool = True
 
     def replace(self, **kw) -> "Params":
