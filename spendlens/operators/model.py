@@ -48,7 +48,7 @@ def learn_features(history: DataFrame, rows: DataFrame, p: Params) -> tuple[Data
     """The training frame, and what encodes other rows the same way."""
     stats = materialize(FE.group_stats(history, p), "training-statistics")
     f = materialize(FE.enrich_with(rows, stats), "training-enriched")
-    known = f.join(history.select("year").distinct(), "year", "left_semi")      # whole years
+    known = f.join(F.broadcast(history.select("year").distinct()), "year", "left_semi")     # whole years, a handful: never dealt by year
     learnt = Learnt(labels=FE.label_indexes(history, fixed.ENCODED_COLUMNS), statistics=stats,
                     medians=materialize(FE.column_medians(known, FE.NUMERIC_FEATURES, p), "training-medians"),
                     series=FC.fit_series(history))
@@ -78,6 +78,20 @@ class Learnt:
         return {f.name: getattr(self, f.name) for f in dataclasses.fields(self)}
 
 
+#: Rows of one task of the boosting, which holds their features and errors from pass to
+#: pass (some 700 bytes a row).
+ROWS_A_TASK = 400_000
+
+
+def dealt(data: DataFrame, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """A written frame in parts of about ``rows_a_task`` rows, however its files lie; a
+    frame of one part stays as it is."""
+    tasks = -(-data.count() // rows_a_task)
+    if tasks <= 1:
+        return data
+    return data.repartition(max(tasks, data.sparkSession.sparkContext.defaultParallelism), "request_line", "amount", "family")
+
+
 def amount_model(drop_leaking: bool = True, max_iter: int = 20, max_depth: int = 5, seed: int = 42) -> Pipeline:
     cols = feature_columns(drop_leaking)
     return Pipeline(stages=[
@@ -107,7 +121,7 @@ def train(prepared: DataFrame, p: Params, drop_leaking: bool = True, max_iter: i
     history = rows.where(F.col("year") < last) if last != first else rows
     data, learnt = learn_features(history, rows, p)
     held = (F.col("year") == last) if last != first else F.lit(False)
-    model = amount_model(drop_leaking, max_iter, max_depth, p.seed).fit(data.where(~held))
+    model = amount_model(drop_leaking, max_iter, max_depth, p.seed).fit(dealt(data).where(~held))
     return TrainedModel(model=model, test=data.where(held), holdout_year=last if last != first else None,
                         drop_leaking=drop_leaking, learnt=learnt)
 
