@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import codepoints, hash_sample, small_batches, small_transfers, texts
+from .common import codepoints, hash_sample, release, small_batches, small_transfers, texts
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -299,6 +299,7 @@ def labelled_windows(docs: DataFrame, spans: str | None = None, most: int = 1_00
              .withColumn("_one", F.lit(1)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for frame in small_batches(frames):
             out = []
             for r in frame.itertuples(index=False):
@@ -386,6 +387,7 @@ def find_spans(docs: DataFrame, model: Tagger | None) -> DataFrame:
     """doc_id, base (joined base spans) and spans (all spans) for every document."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         finder = Finder(model)
         for frame in small_batches(frames):
             found = finder.find(frame["text"].tolist())
@@ -411,6 +413,7 @@ def redact(docs: DataFrame, model: Tagger | None) -> DataFrame:
     ``n_chars``, where it is a column, follows the new text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         finder = Finder(model)
         for frame in small_batches(frames):
             frame = frame.copy()

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from spendlens.operators.quantiles import exact_percentiles
 from spendlens.session import materialize
 
-from .common import hash_sample, small_batches, small_transfers, texts
+from .common import hash_sample, release, small_batches, small_transfers, texts
 
 FEATURES = ("log_chars", "log_words", "mean_word", "letters", "upper", "digits", "spaces", "symbols",
             "symbol_words", "shout_words", "distinct_words", "top_word", "repeat_pairs", "distinct_lines",
@@ -113,6 +113,7 @@ def numbers_of(docs: DataFrame) -> DataFrame:
     """(doc_id, x): the features of every document."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for frame in small_batches(frames):
             yield pd.DataFrame({"doc_id": frame["doc_id"], "x": [features(t) for t in frame["text"]]})
 
@@ -161,6 +162,7 @@ def accepted(docs: DataFrame, model: BradleyTerry) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is at least 0.5."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for frame in small_batches(frames):
             s = model.score(np.array([features(t) if isinstance(t, str) else features("") for t in frame["text"]])
                             .reshape(-1, len(FEATURES)))

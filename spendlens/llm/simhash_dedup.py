@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from spendlens.session import materialize
 
-from .common import small_batches, texts
+from .common import release, small_batches, texts
 from .components import components
 
 BITS, SEED = 64, 42
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp) with fp as a signed long, for whole texts."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for frame in small_batches(frames):
             fp = np.array([fingerprint(t, shingle) for t in frame["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": fp})
