@@ -37,17 +37,20 @@ are kept; extra columns are ignored.
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.session import materialize
 
-from .common import RecentMemory, codepoints, per_worker, small_batches, texts
+from .common import RecentMemory, codepoints, gathered, per_worker, small_batches, texts
 
 MARK = "▁"
 CHUNK = 1 << 15           # characters per chunk
@@ -56,7 +59,10 @@ WORD_START = re.compile(f"(?s).*[^{MARK}]{MARK}")
 RUN = 64                  # chunks whose matrices are combined in one go
 MEMORY = 60_000          # words remembered by a worker, per generation
 DENSE = 0x180             # code points of the dense automaton
+#: Whether a word goes through it.
+FIT = re.compile(f"[\x00-{chr(DENSE - 1)}{MARK}]{{1,48}}").fullmatch
 NEVER = -1e300
+IDS = operator.itemgetter(1)       # of (score, ids)
 
 
 class Vocabulary:
@@ -94,17 +100,16 @@ class Vocabulary:
         used = sorted({ord(ch) for p in self.score for ch in p if ord(ch) < DENSE})
         self.code = np.zeros(DENSE + 1, dtype=np.int64)          # code point -> column; 0: no piece has it
         self.code[used] = np.arange(2, len(used) + 2)
-        mark = ord(MARK)
-        column = lambda ch: 1 if ord(ch) == mark else int(self.code[min(ord(ch), DENSE)])         # noqa: E731
+        column = {chr(u): i for i, u in enumerate(used, 2)} | {MARK: 1}
         edges: list[dict[int, int]] = [{}, {}]
         at_node = {}
         for piece in self.score:
-            if all(map(column, piece)):
+            if all(map(column.__contains__, piece)):
                 node = 1
-                for ch in piece:
-                    nxt = edges[node].get(column(ch))
+                for c in map(column.__getitem__, piece):
+                    nxt = edges[node].get(c)
                     if nxt is None:
-                        nxt = edges[node][column(ch)] = len(edges)
+                        nxt = edges[node][c] = len(edges)
                         edges.append({})
                     node = nxt
                 at_node[node] = piece
@@ -112,7 +117,7 @@ class Vocabulary:
         for node, out in enumerate(edges):
             for c, nxt in out.items():
                 self.next[node, c] = nxt
-        self.node_score, self.node_id = np.full(len(edges), NEVER), np.full(len(edges), -1, dtype=np.int64)
+        self.node_score, self.node_id = np.full(len(edges), NEVER), np.full(len(edges), -1, dtype=np.int32)
         for node, piece in at_node.items():
             self.node_score[node], self.node_id[node] = self.score[piece], self.id[piece]
 
@@ -123,7 +128,7 @@ class Vocabulary:
         new = self.words.missing(set(words))
         dense = []
         for w in new:
-            if len(w) <= 48 and w.replace(MARK, "").isascii() or len(w) <= 48 and max(w.replace(MARK, "a")) < chr(DENSE):
+            if FIT(w):
                 dense.append(w)
             else:
                 self.words[w] = self._slow(w)
@@ -145,7 +150,7 @@ class Vocabulary:
         chars[np.arange(most)[None, :] < size[:, None]] = column
         best = np.full((n, most + 1), NEVER)
         best[:, 0] = 0.0
-        back, piece = np.zeros((n, most + 1), dtype=np.int64), np.full((n, most + 1), -1, dtype=np.int64)
+        back, piece = np.zeros((n, most + 1), dtype=np.int32), np.full((n, most + 1), -1, dtype=np.int32)
         for i in range(most):
             rows = np.arange(np.searchsorted(-size, -i, "left"))            # words longer than i
             node = self.next[1, chars[rows, i]]
@@ -179,11 +184,11 @@ class Vocabulary:
         order = np.argsort(row, kind="stable")
         raw = ids[order].astype("<u4").tobytes()
         ends = (np.cumsum(np.bincount(row, minlength=n)) * 4).tolist()
-        for k, (w, s, b, a) in enumerate(zip(words, best[np.arange(n), size].tolist(), ends, [0, *ends], strict=False)):
-            if spelled[k]:
-                self.words[w] = s, np.array(self.trace(w, back[k].tolist(), len(w), True), dtype="<u4").tobytes()
-            else:
-                self.words[w] = s, raw[a:b]
+        score = best[np.arange(n), size].tolist()
+        self.words.update(zip(words, zip(score, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True), strict=True))
+        for k in np.flatnonzero(spelled).tolist():
+            w = words[k]
+            self.words[w] = score[k], np.array(self.trace(w, back[k, :len(w) + 1].tolist(), len(w), True), dtype="<u4").tobytes()
 
     def marked(self, text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
@@ -353,12 +358,21 @@ def encode_text(v: Vocabulary, text: str, chunk: int = CHUNK) -> bytes:
 
 
 def encode_batch(v: Vocabulary, many: list[str], chunk: int) -> list[bytes]:
-    """``encode_text`` of texts whose words are learnt together."""
-    cut = [v.split(v.marked(t)) if len(t) < chunk else None for t in many]
-    v.learn(w for c in cut if c for w in c)
-    word = v.word
-    return [encode_text(v, t, chunk) if c is None else b"".join([word(w)[1] for w in c])
-            for t, c in zip(many, cut, strict=True)]
+    """``encode_text`` of texts whose words are learnt together.  Texts whose words stand
+    between single spaces are cut in Arrow, and each distinct word is looked up once."""
+    plain = [bool(t) and len(t) < chunk and t[0] != " " and t[-1] != " " and "  " not in t and MARK not in t for t in many]
+    cut = [v.split(v.marked(t)) if len(t) < chunk and not p else None for t, p in zip(many, plain, strict=True)]
+    parts = pc.split_pattern(pa.array([t for t, p in zip(many, plain, strict=True) if p], pa.string()), " ")
+    coded = parts.flatten().dictionary_encode()
+    distinct = [MARK + w for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+    v.learn(set(distinct).union(*[c for c in cut if c]))
+    words = v.words                     # holds them all until words are learnt again
+    flat, ends = gathered(list(map(IDS, map(words.__getitem__, distinct))), coded.indices.to_numpy())
+    at = (ends[parts.offsets.to_numpy()] * 4).tolist()
+    raw = flat.astype("<u4").tobytes()
+    of_plain = (raw[a:b] for a, b in zip(at, at[1:], strict=False))
+    return [next(of_plain) if p else encode_text(v, t, chunk) if c is None else b"".join([words[w][1] for w in c])
+            for t, p, c in zip(many, plain, cut, strict=True)]
 
 
 def learn_chunks(v: Vocabulary, chunks: Iterable[tuple[str, bool, bool]]) -> None:

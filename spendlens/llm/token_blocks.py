@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from spendlens.session import ensure_checkpoint_dir, materialize
 
-from .common import RecentMemory, per_worker, texts
+from .common import RecentMemory, gathered, per_worker, texts
 
 BLOCK, PERCENTILE, IMAGE_IDS, CACHE = 128, 95, 1 << 18, 450_000
 PLANE = BLOCK // 8            # bytes of a plane of bits
@@ -131,18 +131,13 @@ class WordEncoder:
         cut = pc.split_pattern(lines, " ")
         at = cut.offsets.to_numpy()
         coded = cut.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()        # to_pylist takes ten times as long
         known = self.known
         if new := known.missing(distinct):
             self._learn(new)
-        ids = [known[w] for w in distinct]
-        pool = np.frombuffer(b"".join(ids), dtype="<u4")
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        word = coded.indices.to_numpy()
-        per_word = size[word]
-        ends = np.concatenate(([0], np.cumsum(per_word)))
+        ids = list(map(known.__getitem__, distinct))
+        flat, ends = gathered(ids, coded.indices.to_numpy())
         n[~whole] = np.diff(ends[at - at[0]])
-        flat = pool[np.repeat((np.cumsum(size) - size)[word] - ends[:-1], per_word) + np.arange(ends[-1])]
         if not whole.any():
             return flat, n
         out, first = np.zeros(n.sum(), dtype="<u4"), np.cumsum(n) - n

@@ -721,3 +721,24 @@ def test_language_scores_against_brute_force(spark, documents, texts):
             continue
         lang, p = model.predict(x[None])
         assert r.lang_pred == lang[0] and abs(r.score - p[0]) < 1e-6
+
+
+def test_piece_scan_looks_each_word_up_once():
+    """A batch asks the memory for its distinct words, however often they come; texts with
+    other white space, marks or none at all keep their ids."""
+    v = piece_scan.Vocabulary(MODEL)
+    asked = []
+
+    class Counted(piece_scan.RecentMemory):
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    v.words = Counted(piece_scan.MEMORY)
+    many = ["the cat and the dog " * 40 + "end", "dog end\nend", "é the"]
+    got = piece_scan.encode_batch(v, many, 1 << 15)
+    assert len(asked) <= 7
+    odd = ["", " ", " a", "a ", "a  b", "▁", "a▁b", *many]
+    assert piece_scan.encode_batch(v, odd, 1 << 15) == [piece_scan.encode_text(v, t) for t in odd]
+    assert got == [piece_scan.encode_text(v, t) for t in many]
+    assert piece_scan.encode_batch(v, [], 1000) == [] and piece_scan.encode_batch(v, ["", " a"], 1000)[0] == b""
