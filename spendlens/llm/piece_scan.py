@@ -364,7 +364,7 @@ def encode_batch(v: Vocabulary, many: list[str], chunk: int) -> list[bytes]:
     cut = [v.split(v.marked(t)) if len(t) < chunk and not p else None for t, p in zip(many, plain, strict=True)]
     parts = pc.split_pattern(pa.array([t for t, p in zip(many, plain, strict=True) if p], pa.string()), " ")
     coded = parts.flatten().dictionary_encode()
-    distinct = [MARK + w for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+    distinct = pc.binary_join_element_wise(pa.scalar(MARK), coded.dictionary, "").to_numpy(zero_copy_only=False).tolist()
     v.learn(set(distinct).union(*[c for c in cut if c]))
     words = v.words                     # holds them all until words are learnt again
     flat, ends = gathered(list(map(IDS, map(words.__getitem__, distinct))), coded.indices.to_numpy())
