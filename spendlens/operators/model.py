@@ -23,6 +23,7 @@ from ..params import Params
 from ..session import materialize
 from ..sources import versions as V
 from . import aggregates as A
+from . import boosting
 from . import features as FE
 from . import forecast as FC
 
@@ -47,10 +48,12 @@ def training_frame(history: DataFrame, rows: DataFrame, p: Params) -> DataFrame:
 def learn_features(history: DataFrame, rows: DataFrame, p: Params) -> tuple[DataFrame, "Learnt"]:
     """The training frame, and what encodes other rows the same way."""
     stats = materialize(FE.group_stats(history, p), "training-statistics")
-    f = materialize(FE.enrich_with(rows, stats), "training-enriched")
-    known = f.join(F.broadcast(history.select("year").distinct()), "year", "left_semi")     # whole years, a handful: never dealt by year
+    used = {"request_line", "amount", *fixed.FEATURES, *FE.NUMERIC_FEATURES}
+    f = materialize(FE.enrich_with(rows.select(*[c for c in rows.columns if c in used]), stats), "training-enriched")
+    years = materialize(history.select("year").distinct(), "training-years")
+    known = f.join(F.broadcast(years), "year", "left_semi")     # whole years, a handful: never dealt by year
     learnt = Learnt(labels=FE.label_indexes(history, fixed.ENCODED_COLUMNS), statistics=stats,
-                    medians=materialize(FE.column_medians(known, FE.NUMERIC_FEATURES, p), "training-medians"),
+                    medians=materialize(FE.column_medians(known, FE.NUMERIC_FEATURES, p, FE.TOGETHER), "training-medians"),
                     series=FC.fit_series(history))
     return materialize(learnt.finish(f), "training-frame"), learnt
 
@@ -78,16 +81,16 @@ class Learnt:
         return {f.name: getattr(self, f.name) for f in dataclasses.fields(self)}
 
 
-#: Rows of one task of the boosting, which holds their features and errors from pass to
-#: pass (some 700 bytes a row).
-ROWS_A_TASK = 400_000
+#: Rows of one task of the boosting, which holds their codes and errors from pass to
+#: pass (some 24 bytes a row).
+ROWS_A_TASK = 5_000_000
 
 
 def dealt(data: DataFrame, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
     """A written frame in parts of about ``rows_a_task`` rows, however its files lie; a
-    frame of one part stays as it is."""
+    frame that is read in as many parts stays as it is."""
     tasks = -(-data.count() // rows_a_task)
-    if tasks <= 1:
+    if tasks <= data.rdd.getNumPartitions():
         return data
     return data.repartition(max(tasks, data.sparkSession.sparkContext.defaultParallelism), "request_line", "amount", "family")
 
@@ -121,7 +124,8 @@ def train(prepared: DataFrame, p: Params, drop_leaking: bool = True, max_iter: i
     history = rows.where(F.col("year") < last) if last != first else rows
     data, learnt = learn_features(history, rows, p)
     held = (F.col("year") == last) if last != first else F.lit(False)
-    model = amount_model(drop_leaking, max_iter, max_depth, p.seed).fit(dealt(data).where(~held))
+    assembler, trees = amount_model(drop_leaking, max_iter, max_depth, p.seed).getStages()
+    model = PipelineModel([assembler, boosting.fit(trees, dealt(data).where(~held), assembler.getInputCols())])
     return TrainedModel(model=model, test=data.where(held), holdout_year=last if last != first else None,
                         drop_leaking=drop_leaking, learnt=learnt)
 
