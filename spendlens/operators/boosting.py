@@ -5,12 +5,11 @@ splits, from the same sample of rows, the same gains, order of ties and pruning.
 Spark's own training keeps some 440 bytes a row from pass to pass and looks at every
 feature of every row by itself.  Here
 
-1. a row is its bins, several features to a number of 16 bits (the digits of a mixed
-   radix), and its error: some 24 bytes, kept in blocks of ``BLOCK`` rows;
-2. a pass counts a block by (node, number) with numpy, which adds up to the counts of
-   every feature; one array a task goes back, whatever its rows;
-3. the driver picks the splits from those counts, at most 3 x nodes x features x bins
-   numbers, and the next tree starts from errors that are kept in place of the old ones.
+1. a row is its bins, a byte a feature, and its label, kept in blocks of ``BLOCK`` rows
+   and never written again; beside them its prediction, which every tree replaces;
+2. a pass counts a block by (node, bin) with numpy, row after row as Spark adds, so that
+   ties fall alike; one array a task goes back, whatever its rows;
+3. the driver picks the splits from those counts, 3 x nodes x features x bins numbers.
 """
 
 from __future__ import annotations
@@ -23,6 +22,7 @@ from typing import Iterable, Iterator, Sequence
 import numpy as np
 from pyspark import RDD, StorageLevel, cloudpickle
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,7 +81,7 @@ def thresholds(values: np.ndarray, expected: float, splits: int) -> np.ndarray:
 
 
 class Task:
-    """What a task does with blocks ``(bins, label, prediction)``."""
+    """What a task does with blocks ``((bins, label), prediction)``; no prediction before the first tree."""
 
     def __init__(self, cuts: list[np.ndarray], block: int = BLOCK):
         self.cuts, self.block = cuts, block
@@ -112,9 +112,9 @@ class Task:
         if n:
             yield block(held)
 
-    def opened(self, row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def opened(self, row) -> tuple[np.ndarray, np.ndarray]:
         label = np.frombuffer(row[1], dtype=np.float64)
-        return np.frombuffer(row[0], dtype=self.type).reshape(len(self.varies), len(label)), label, np.zeros(len(label))
+        return np.frombuffer(row[0], dtype=self.type).reshape(len(self.varies), len(label)), label
 
     def at(self, tree: list[dict], bins: np.ndarray) -> np.ndarray:
         """The node of every row."""
@@ -131,17 +131,17 @@ class Task:
                 todo.append((tree[i][child], np.flatnonzero(side) if rows is None else rows[side]))
         return node
 
-    def count(self, blocks: Iterable, tree: list[dict], nodes: list[int], first: bool) -> Iterator[np.ndarray]:
+    def count(self, blocks: Iterable, tree: list[dict], nodes: list[int]) -> Iterator[np.ndarray]:
         """(count, sum, sum of squares) x nodes x bins of all features, of one task."""
         slots = np.full(len(tree), -1, dtype=np.int64)
         slots[nodes] = np.arange(len(nodes))
         m = len(nodes)
         sums = [np.zeros((3, m * self.bins[f])) for f in self.varies]
-        for bins, label, prediction in blocks:
+        for (bins, label), prediction in blocks:
             for at in range(0, len(label), CHUNK):
                 part = slice(at, at + CHUNK)
                 of, y = bins[:, part], np.empty(len(label[part]))           # numpy adds slowly where a number type was unpickled
-                y[:] = label[part] if first else 2.0 * (label[part] - prediction[part])
+                y[:] = label[part] if prediction is None else 2.0 * (label[part] - prediction[part])
                 slot = slots[self.at(tree, of)]
                 if (slot < 0).any():
                     keep = np.flatnonzero(slot >= 0)
@@ -154,11 +154,12 @@ class Task:
                     np.add.at(total[2], key, square)
         yield np.concatenate([s.reshape(3, m, -1) for s in sums], axis=2)
 
-    def learnt(self, blocks: Iterable, tree: list[dict], weight: float) -> Iterator:
-        """Blocks with the predictions after one more tree."""
+    def learnt(self, blocks: Iterable, tree: list[dict], weight: float) -> Iterator[np.ndarray]:
+        """The predictions of the blocks after one more tree."""
         value = np.array([n["sum"] / n["n"] for n in tree])
-        for bins, label, prediction in blocks:
-            yield bins, label, prediction + value[self.at(tree, bins)] * weight
+        for (bins, _), prediction in blocks:
+            one = value[self.at(tree, bins)] * weight
+            yield one if prediction is None else prediction + one
 
 
 def _variance(n, s, q):
@@ -188,12 +189,17 @@ def best_split(task: Task, sums: np.ndarray, node: dict) -> tuple | None:
     return best
 
 
-def _grow(task: Task, state: RDD, depth: int, first: bool) -> list[dict]:
+def _kept(blocks: RDD) -> RDD:
+    """Kept block by block, so that what is zipped need not be batched anew."""
+    return blocks._reserialize(BatchedSerializer(CPickleSerializer(), 1)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _grow(task: Task, state: RDD, depth: int) -> list[dict]:
     """One tree, a job a level."""
     tree: list[dict] = [{}]
     nodes = [0]
     for level in range(depth):
-        part = state.mapPartitions(lambda blocks, t=tree, o=nodes: task.count(blocks, t, o, first))
+        part = state.mapPartitions(lambda blocks, t=tree, o=nodes: task.count(blocks, t, o))
         total = part.treeReduce(np.add) if part.getNumPartitions() > TASKS_TO_DRIVER else part.reduce(np.add)
         asked, nodes = nodes, []
         for i, sums in zip(asked, total.transpose(1, 0, 2)):
@@ -282,13 +288,15 @@ def fit(estimator: GBTRegressor, rows: DataFrame, columns: Sequence[str]) -> GBT
     seen = _sample(rows.select(*columns), fraction, get("seed"))
     cuts = [thresholds(seen[:, f], fraction * n, min(get("maxBins"), n) - 1) for f in range(len(columns))]
     task = Task(cuts)
-    state = rows.mapInArrow(task.encode, "bins binary, label binary").rdd.map(task.opened).persist(StorageLevel.MEMORY_AND_DISK)
-    trees: list[list[dict]] = []
+    points = _kept(rows.mapInArrow(task.encode, "bins binary, label binary").rdd.map(task.opened))
+    state, made, trees = points.map(lambda b: (b, None)), [], []
     for m in range(get("maxIter")):
-        trees.append(_grow(task, state, get("maxDepth"), first=not m))
-        if m:
-            old.unpersist()
-        old, weight = state, get("stepSize") if m else 1.0
-        state = old.mapPartitions(lambda blocks, t=trees[-1], w=weight: task.learnt(blocks, t, w)).persist(StorageLevel.MEMORY_AND_DISK)
-    old.unpersist()
+        trees.append(_grow(task, state, get("maxDepth")))
+        weight = get("stepSize") if m else 1.0
+        made.append(_kept(state.mapPartitions(lambda blocks, t=trees[-1], w=weight: task.learnt(blocks, t, w))))
+        state = points.zip(made[-1])
+        if m > 1:
+            made[m - 2].unpersist()         # the last one is there since this tree's first pass
+    for old in (points, *made[-3:]):
+        old.unpersist()
     return _model(spark, estimator, trees, cuts)
